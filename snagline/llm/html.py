@@ -122,7 +122,8 @@ def read_page(page: str) -> tuple[list[str], list[_Node]]:
         marks = _WORDS.findall(f"{names.get('class', '')} {names.get('id', '')} {names.get('role', '')}")
         off = up.off or tag in _ASIDE or "hidden" in names or (tag != "body" and not _NAMES.isdisjoint(marks))
         step = ".".join([tag, *sorted(set(_WORDS.findall(names.get("class", ""))))])
-        node = _Node(tag, f"{up.path}>{step}", off, up.linked or tag == "a", up)
+        path = up.path if tag in ("html", "body") else f"{up.path}>{step}"  # either may be left out
+        node = _Node(tag, path, off, up.linked or tag == "a", up)
         stack.append(node)
         if tag in _CONTAINER and not off:
             containers.append(node)
