@@ -36,7 +36,7 @@ def ingest_plan(cursor: DataFrame, files: DataFrame) -> DataFrame:
 
 def complete_lines(spark: SparkSession, *paths: str) -> DataFrame:
     """(path, line, text) of the lines that end in a line feed; a torn tail is left out."""
-    whole = spark.read.option("wholetext", "true").text(list(paths)).select(F.col("_metadata.file_path").alias("path"), "value")
+    whole = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     lines = F.split("value", "\n", -1)
     done = F.slice(lines, 1, F.size(lines) - 1)
     return whole.select("path", F.posexplode(done).alias("line", "text"))

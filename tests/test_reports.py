@@ -1,0 +1,150 @@
+from datetime import date, datetime
+
+from pyspark.sql import functions as F
+
+from snagline.functions import exprs as E
+from snagline.operators import reports as R
+from snagline.operators import sessions as S
+from snagline.sources import files as S_FILES
+from snagline.streaming import weekly
+
+
+def test_waste_is_split_and_unknown_spreads(spark):
+    hits = spark.createDataFrame([("d", "x", "a"), ("d", "y", "a"), ("d", "y", "b"), ("d", "z", "c")], "detector_id string, key string, session_id string")
+    usage = spark.createDataFrame([("a", 10, 4.0), ("b", 2, None), ("c", 0, 0.0)], "session_id string, tokens long, cost_usd double")
+    got = {r["key"]: (r["est_cost"], r["est_tokens"]) for r in R.equal_split_waste(hits, usage).collect()}
+    assert got == {"x": (2.0, 5.0), "y": (None, 7.0), "z": (0.0, 0.0)}
+
+
+def cells(spark, key, *events):
+    return [("d", key, f"2026-W{10 + i}", min(e, 1), e) for i, e in enumerate(events) if e]
+
+
+def test_trend_statuses(spark):
+    rows = cells(spark, "flat", 2, 2, 2, 2) + cells(spark, "spike", 1, 1, 1, 9) + cells(spark, "new", 0, 0, 0, 2)
+    df = spark.createDataFrame(rows, "detector_id string, key string, week string, sessions long, events long")
+    got = {r["key"]: r["status"] for r in R.trends(df, df.select("week"), 3).collect()}
+    assert got == {"spike": "accelerating", "new": "new"}
+    assert {r["status"] for r in R.trends(df, df.select("week"), 5).collect()} == {"insufficient_history"}
+
+
+def test_recurrence_needs_adjacent_weeks(spark):
+    rows = [("d", "up", date(2026, 1, 5), 1, 1), ("d", "up", date(2026, 1, 12), 1, 2), ("d", "gap", date(2026, 1, 5), 1, 1), ("d", "gap", date(2026, 1, 19), 1, 2),
+            ("d", "tie", date(2026, 1, 5), 2, 2), ("d", "tie", date(2026, 1, 12), 1, 2), ("d", "one", date(2026, 1, 5), 1, 1)]
+    df = spark.createDataFrame(rows, "detector_id string, key string, monday date, sessions long, events long")
+    assert {r["key"]: r["direction"] for r in R.recurrence(df).collect()} == {"up": "up", "gap": "unknown", "tie": "down", "one": "unknown"}
+
+
+def test_digest_worsening_wins(spark):
+    schema = "detector_id string, key string, sessions long, events long"
+    now = spark.createDataFrame([("d", "a", 2, 1), ("d", "n", 1, 1), ("d", "same", 1, 1), ("d", "less", 1, 1)], schema)
+    old = spark.createDataFrame([("d", "a", 1, 5), ("d", "g", 1, 1), ("d", "same", 1, 1), ("d", "less", 1, 2)], schema)
+    got = {r["key"]: r["verdict"] for r in R.digest(now, old).collect()}
+    assert got == {"a": "worsening", "n": "new", "g": "gone", "same": None, "less": "improving"}
+
+
+def test_streaks_and_escalation(spark):
+    days = [("l", date(2026, 1, 1 + i), 0 if i >= 3 else 1, 0 if i >= 3 else 1) for i in range(25)]
+    df = spark.createDataFrame(days, "lesson_id string, day date, sessions long, events long")
+    got = R.resolution_streaks(df, 21).collect()
+    assert [(r["first"], r["resolved"], r["length"]) for r in got] == [("2026-01-04", "2026-01-24", 22)]
+    assert R.resolution_streaks(df, 23).count() == 0
+    applied = spark.createDataFrame([("l", date(2026, 1, 2))], "lesson_id string, applied_at date")
+    assert [(r["events_before"], r["events_after"], r["escalate"]) for r in R.escalations(df, applied).collect()] == [(1, 0, False)]
+
+
+def test_snapshots_keep_review_state(spark):
+    old = spark.createDataFrame([("d", "a", 1, 1, "drafted"), ("d", "b", 1, 1, "open"), ("d", "c", 1, 1, "dismissed")], "detector_id string, key string, sessions long, events long, state string")
+    new = spark.createDataFrame([("d", "a", 5, 5), ("d", "n", 1, 1)], "detector_id string, key string, sessions long, events long")
+    got = {r["key"]: (r["sessions"], r["state"]) for r in R.refreshed_clusters(old, new).collect()}
+    assert got == {"a": (5, "drafted"), "c": (1, "dismissed"), "n": (1, "open")}
+
+
+def test_malformed_times_are_kept(spark):
+    df = spark.createDataFrame([("2026-01-01T00:00:00Z",), ("2026-03-01T00:00:00,5+00:00",), ("?",), (None,)], "ts string")
+    assert [r["ts"] for r in R.retained(df, "ts", "2026-02-01").collect()] == ["2026-03-01T00:00:00,5+00:00", "?", None]
+
+
+def test_token_deltas_restart(spark):
+    df = spark.createDataFrame([("s", 1, 5), ("s", 2, 9), ("s", 3, 2)], "session_id string, at int, total long")
+    assert [r["delta"] for r in R.token_deltas(df).orderBy("at").collect()] == [5, 4, 2]
+
+
+def test_iso_weeks_of_all_days(spark):
+    days = spark.range(2200).select(F.date_add(F.lit("2019-12-25").cast("date"), F.col("id").cast("int")).alias("d"))
+    for r in days.select("d", E.iso_week("d").alias("w")).collect():
+        y, w, _ = r["d"].isocalendar()
+        assert r["w"] == f"{y}-W{w:02d}"
+
+
+def test_signatures_and_redaction(spark):
+    texts = {
+        "open /home/me/a.py failed at 12": "open <path> failed at <n>",
+        "id 123e4567-e89b-12d3-a456-426614174000 0xFF": "id <uuid> <hex>",
+        "see src/x_1.py\nand  ./b": "see <path> and .<path>",
+        "token: abcdef99": "token: <redacted:secret>",
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r["t"]: r["s"] for r in df.select("t", E.signature(F.col("t")).alias("s")).collect()} == texts
+    secret = spark.createDataFrame([("AKIA" + "A" * 16 + " Bearer abcdefgh1 password='hunter2'",)], "t string")
+    got = secret.select(E.redacted(F.col("t")).alias("r")).first()["r"]
+    assert got == "<redacted:aws-access-key> Bearer <redacted:bearer-token> password='<redacted:secret>'"
+
+
+def test_small_expressions(spark):
+    row = spark.createDataFrame([("Exit code 12\nboom", "FOO=1 /bin/make x", "zed: command not found", "Please fix The  Thing.")], "a string, c string, s string, t string")
+    got = row.select(
+        E.exit_code(F.col("a")).alias("exit"), E.program(F.col("s"), F.col("c")).alias("p"), E.program(F.lit(""), F.col("c")).alias("q"), E.action_key(F.col("t")).alias("k")
+    ).first()
+    assert tuple(got) == (12, "zed", "make", "fix:the thing")
+
+
+def test_pairing_folds_and_episodes(spark):
+    calls = spark.createDataFrame([("s", "1", 1, "Bash", "ls"), ("s", "2", 2, "Bash", "x"), ("s", "3", 3, "Edit", None)], "session_id string, tool_use_id string, at int, tool string, command string")
+    results = spark.createDataFrame([("s", "1", 2, True, False, "Exit code 2\nbad"), ("s", "1", 3, False, False, "Exit code 0"), ("s", "3", 4, True, False, "no")],
+                                    "session_id string, tool_use_id string, at int, is_error boolean, rejected boolean, text string")
+    assert {r["tool_use_id"]: r["kind"] for r in S.paired_runs(calls, results).collect()} == {"1": "run_failed", "2": "run", "3": "tool_error"}
+    rows = spark.createDataFrame([("s", i, k) for i, k in enumerate(["marker", "turn", "turn", "marker", "action", "turn"])], "session_id string, obs_id int, kind string")
+    assert [r["is_correction"] for r in S.corrections(rows).orderBy("obs_id").collect()] == [False, True, False, False, False, False]
+    talk = [(1, "human_request", "please fix the build"), (2, "assistant_text", "ok"), (3, "human_request", "status?"), (4, "human_request", "this is done."),
+            (5, "human_request", "write docs"), (6, "human_request", "cancel that")]
+    df = spark.createDataFrame([(9, *t) for t in talk], "session_key long, ordinal long, origin string, text string")
+    got = S.episodes(df).orderBy("episode").collect()
+    assert [(r["action_key"], r["start_ordinal"], r["end_ordinal"], r["lifecycle"], r["asked_status"]) for r in got] == [
+        ("fix:the build", 1, 4, "completed", 1),
+        ("write:docs", 5, 6, "cancelled", 0),
+    ]
+    assert S.spans_of(S.episodes(df), df).count() == 6
+
+
+def test_transcript_sources(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"type":"user","sessionId":"s","message":{"content":"hi"}}\n{"type":"assistant","sessionId":"s","message":{"content":[{"type":"tool_use","id":"t1","name":"Bash","input":{"command":"ls"}}]}}\nnot json\n{"torn')
+    lines = S_FILES.complete_lines(spark, str(tmp_path))
+    records = S_FILES.transcript_records(lines)
+    assert [r["record_type"] for r in records.orderBy("line").collect()] == ["user", "assistant", "untyped"]
+    blocks = {r["line"]: (r["block_type"], r["text"], r["command"]) for r in S_FILES.content_blocks(records).collect()}
+    assert blocks[0] == ("text", "hi", None) and blocks[1] == ("tool_use", None, "ls")
+    files = S_FILES.listed(spark, str(tmp_path))
+    known = files.selectExpr("path", "size - 3 as size", "prefix_sha").unionAll(spark.createDataFrame([("gone", 1, "x")], "path string, size long, prefix_sha string"))
+    assert sorted(r["action"] for r in S_FILES.ingest_plan(known, files).collect()) == ["missing", "resume"]
+    assert S_FILES.settled(files, "2001-01-01", 60).count() == 0 and S_FILES.settled(files, str(datetime(2100, 1, 1)), 60).count() == 1
+    (tmp_path / "d.log").write_text('{"ts":"2026-10-01T00:00:00Z","rule_id":"r","tool":"t","cwd":"/","session_id":"s","fragment":"f"}\n{"ts":"x"}\n{"to')
+    assert S_FILES.denials(spark, str(tmp_path / "d.log")).count() == 1
+    (tmp_path / "c.json").write_text('{"never":[{"id":"a","pack":"p","match":{"regex":"^x"}}],"always":[]}')
+    assert [tuple(r) for r in S_FILES.catalogue(spark, str(tmp_path / "c.json")).collect()] == [("never", "p", "a", "^x")]
+
+
+def test_weekly_stream(spark, tmp_path):
+    rows = spark.createDataFrame([(datetime(2026, 1, 5, 1), "e", 1), (datetime(2026, 1, 11, 23), "e", 2), (datetime(2026, 1, 12), "e", 1), (datetime(2026, 2, 20), "e", 1)], "ts timestamp, event_type string, user_id long")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    counts = weekly.weekly_counts(weekly.event_stream(spark, str(tmp_path / "in")))
+    weekly.write_weekly(counts, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = sorted((str(r["monday"])[:10], r["events"], r["sessions"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("2026-01-05", 2, 2), ("2026-01-12", 1, 1)]
+
+
+def test_budgets_and_caps(spark):
+    df = spark.createDataFrame([("g", 1, "ab"), ("g", 2, "cd"), ("g", 3, "e"), ("h", 1, "é")], "g string, o int, t string")
+    assert sorted((r["g"], r["o"]) for r in R.packed(df, ["g"], ["o"], "t", 4).collect()) == [("g", 1), ("g", 2), ("h", 1)]
+    cap = R.omitted_after(df.withColumnRenamed("o", "ordinal"), ["g"], ["ordinal"], 2).collect()
+    assert sorted(tuple(r) for r in cap) == [("g", 2, 1, 3, 3), ("h", 1, 0, None, None)]
