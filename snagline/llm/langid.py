@@ -7,7 +7,6 @@ first: the first length of which an n-gram is known decides.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
@@ -21,11 +20,11 @@ from pyspark.sql import functions as F
 from snagline.llm.common import add_text_columns
 
 #: Bounds of the model: labelled training rows per language, words and n-grams kept.
-SAMPLE_ROWS, MAX_WORDS, MAX_GRAMS = 1_000, 200_000, 100_000
+SAMPLE_ROWS, MAX_WORDS, MAX_GRAMS = 500, 200_000, 100_000
 LONGEST_GRAM = 4
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
-_CACHE = 300_000
+_CACHE = 200_000
 
 
 def is_held_out(doc_id: str | Column) -> Column:
@@ -58,38 +57,50 @@ def _counts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 @dataclass
 class LanguageModel:
-    """Log frequencies by language: a row of `logs` for each (n, token); n = 0 are words."""
+    """Log frequencies by language: a row of `logs` for each token; rows[0] has the words, rows[n] the n-grams."""
 
     langs: list[str]
-    rows: dict[tuple[int, str], int]
+    rows: list[dict[str, int]]
     logs: np.ndarray
 
     def scorer(self) -> Callable[[str], tuple[str, float]]:
         """A function from a whole text to (language, share of the likelihood)."""
-        cached: dict[str, np.ndarray] = {}
-
-        def vector(word: str) -> np.ndarray:
-            row = self.rows.get((0, word))
-            if row is not None:
-                return self.logs[row]
+        plain = self.logs.tolist()
+        words_of, width = self.rows[0] if self.rows else {}, len(self.langs)
+        # rows of words met so far: those of the model, then one for each word scored by its n-grams
+        met: dict[str, int] = {}
+        table = np.concatenate((self.logs, np.zeros((_CACHE, width))))
+        known_rows = len(self.logs)
+
+        def vector(word: str) -> list[float]:
             for n in range(LONGEST_GRAM, 0, -1):
-                known = [r for g in grams(word[:200], n) if (r := self.rows.get((n, g))) is not None]
+                of = self.rows[n]
+                known = [plain[r] for g in grams(word[:200], n) if (r := of.get(g)) is not None]
                 if known:
-                    return self.logs[known].mean(axis=0)
-            return np.zeros(len(self.langs))
+                    return [sum(column) / len(known) for column in zip(*known)]
+            return [0.0] * width
+
+        def row_of(word: str) -> int:
+            row = words_of.get(word)
+            if row is None:
+                row = met.get(word)
+                if row is None:
+                    row = met[word] = known_rows + len(met)
+                    table[row] = vector(word)
+            return row
 
         def score(text: str) -> tuple[str, float]:
             words = Counter(_LETTERS.findall(text.lower()))
             if not words or not self.langs:
                 return UNKNOWN, 0.0
-            total = np.zeros(len(self.langs))
-            for word, c in words.items():
-                v = cached.get(word)
-                if v is None:
-                    if len(cached) >= _CACHE:
-                        cached.clear()
-                    v = cached[word] = vector(word)
-                total += v * c
+            total = np.zeros(width)
+            several = list(words.items())
+            for at in range(0, len(several), _CACHE // 2):
+                part = several[at : at + _CACHE // 2]
+                if len(met) + len(part) > _CACHE:
+                    met.clear()
+                rows = [row_of(w) for w, _ in part]
+                total += np.array([c for _, c in part], float) @ table[rows]
             best = int(total.argmax())
             return self.langs[best], float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum())
 
@@ -106,7 +117,7 @@ def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, max_words: int = MAX_
     rows = rows.where("text is not null and lang is not null").select("lang", "text")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
-        return LanguageModel([], {}, np.zeros((0, 0)))
+        return LanguageModel([], [], np.zeros((0, 0)))
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample_rows / n))])
     chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
     counts = chosen.mapInPandas(_counts, "lang string, n int, token string, c long")
@@ -119,17 +130,13 @@ def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, max_words: int = MAX_
     kept = tokens.withColumn("place", place).where(F.col("place") <= F.when(kind == 0, max_words).otherwise(max_grams))
     langs = sorted(sizes)
     total = {(r["lang"], r["n"]): r["total"] for r in totals.collect()}
-    found = kept.select("n", "token", "by").toPandas()
-    logs = np.zeros((len(found), len(langs)))
-    rows_of: dict[tuple[int, str], int] = {}
-    floor = {(lang, n): math.log(0.5 / (t + 1)) for (lang, n), t in total.items()}
-    for i, (n, token, by_lang) in enumerate(found.itertuples(index=False, name=None)):
-        rows_of[int(n), token] = i
-        for j, lang in enumerate(langs):
-            c = by_lang.get(lang, 0)
-            t = total.get((lang, n), 1)
-            logs[i, j] = math.log((c + 0.5) / (t + 1)) if c else floor.get((lang, n), math.log(0.5))
-    return LanguageModel(langs, rows_of, logs)
+    each = kept.select("n", "token", *[F.col("by")[lang].alias(f"c{j}") for j, lang in enumerate(langs)]).toPandas()
+    counts_of = each[[f"c{j}" for j in range(len(langs))]].fillna(0).to_numpy(float)
+    sums = np.array([[total.get((lang, n), 1) for lang in langs] for n in range(LONGEST_GRAM + 1)], float)
+    rows_of: list[dict[str, int]] = [{} for _ in range(LONGEST_GRAM + 1)]
+    for i, (n, token) in enumerate(zip(each["n"], each["token"])):
+        rows_of[n][token] = i
+    return LanguageModel(langs, rows_of, np.log((counts_of + 0.5) / (sums[each["n"].to_numpy(int)] + 1)))
 
 
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text: str = "text") -> DataFrame:

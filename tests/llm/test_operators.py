@@ -484,7 +484,7 @@ def test_languages(spark):
 
 
 def test_backoff_goes_to_shorter_grams():
-    rows_of = {(0, "known"): 0, (2, "<z"): 1, (1, "q"): 2}
+    rows_of = [{"known": 0}, {"q": 2}, {"<z": 1}, {}, {}]
     model = langid.LanguageModel(["a", "b"], rows_of, np.array([[-1.0, -9.0], [-9.0, -1.0], [-1.0, -9.0]]))
     score = model.scorer()
     assert score("known")[0] == "a" and score("zq")[0] == "b" and score("qqq")[0] == "a" and score("7")[0] == "und"
