@@ -49,7 +49,7 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
     combined before the shuffle and its join is one that adaptive execution
     can split.  Nothing is collected but three numbers a step.
 
-    Returns (node, root) for every node that has an edge to another node.
+    Returns (node, root) for every node but the least of its component, the root.
     Edges with a null end and loops are ignored; an empty table gives no rows.
     """
     now = edges.select(

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +16,10 @@ from snagline.llm.setlink import band_keys, mixed, similar_components
 from snagline.llm.simhash import signed
 
 #: Characters of a shingle; bands and rows of a signature.
-CHARS, BANDS, ROWS = 5, 12, 4
+CHARS, BANDS, ROWS = 5, 14, 5
 SIMILAR = 0.8
+#: Characters whose shingles are hashed at a time.
+BLOCK_CHARS = 300_000
 #: Up to so many line ids are broadcast when their texts are fetched.
 BROADCAST_IDS = 2_000_000
 _WHITE = " \t\n\r\x0b\x0c"
@@ -50,28 +56,37 @@ def _ids():
     return lambda text: ([line_id(line) for line in stripped_lines(text)],)
 
 
-def _signatures():
-    """Bands of the lines of a text that this task has not just seen."""
+def _signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, keys) of the lines that this task has not just seen, some thousand lines at a time."""
     seen: set[int] = set()
+    new: dict[int, str] = {}
 
-    def signatures(text: str) -> tuple:
-        if len(seen) > 1_000_000:
-            seen.clear()
-        new: dict[int, str] = {}
-        for line in stripped_lines(text):
-            if line and (i := line_id(line)) not in seen:
-                new[i] = line
-        if not new:
-            return ([], [])
-        seen.update(new)
+    def rows() -> pa.RecordBatch:
         values, owner = shingles(list(new.values()))
         keys = band_keys(values, owner, len(new), BANDS, ROWS).view(np.int64)
-        return (list(new), keys.tolist())
-
-    return signatures
-
+        ends = np.arange(0, keys.size + 1, BANDS, dtype=np.int32)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(new), pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))], ["id", "keys"]
+        )
 
-def _sets(wanted_bytes: bool = True):
+    size = 0
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            for line in stripped_lines(text or ""):
+                if line and (i := line_id(line)) not in seen:
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+                    seen.add(i)
+                    new[i] = line
+                    size += len(line)
+            if size > BLOCK_CHARS:
+                yield rows()
+                new, size = {}, 0
+    if new:
+        yield rows()
+
+
+def _sets():
     seen: set[int] = set()
 
     def sets(text: str) -> tuple:
@@ -84,12 +99,12 @@ def _sets(wanted_bytes: bool = True):
     return sets
 
 
-def _items():
-    def items(line: str) -> tuple:
-        values = shingles([line])[0]
-        return (np.unique((values >> np.uint64(32)).astype(np.uint32)).tobytes(), 0)
-
-    return items
+def line_sets(items: pd.Series) -> list[np.ndarray]:
+    """The sorted distinct shingles of each line, from its UTF-8 bytes."""
+    values, owner = shingles([x.decode("utf-8", "surrogatepass") for x in items])
+    cells = np.unique((owner.astype(np.uint64) << np.uint64(32)) | (values >> np.uint64(32)))
+    cuts = np.searchsorted(cells >> np.uint64(32), np.arange(1, len(items), dtype=np.uint64))
+    return [x.astype(np.uint32) for x in np.split(cells, cuts)]
 
 
 def duplicate_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar: float = SIMILAR) -> DataFrame:
@@ -108,10 +123,7 @@ def duplicate_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     found = add_text_columns(docs, text, [doc_id], "ids array<long>", _ids)
     rows = stored(found.withColumn("row", F.monotonically_increasing_id()), "lines")
-    keyed = add_text_columns(docs, text, [], "ids array<long>, keys array<array<long>>", _signatures)
-    pairs = keyed.select(F.explode(F.arrays_zip("ids", "keys")).alias("x")).select(
-        F.col("x.ids").alias("id"), F.col("x.keys").alias("keys")
-    )
+    pairs = docs.select(F.col(text)).mapInArrow(_signatures, "id long, keys array<long>")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         lines = add_text_columns(docs, text, [], "ids array<long>, lines array<string>", _sets)
@@ -119,9 +131,10 @@ def duplicate_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             F.col("x.ids").alias("id"), F.col("x.lines").alias("line")
         )
         some = lines.join(broadcast_if_small(ids, BROADCAST_IDS), "id", "left_semi").dropDuplicates(["id"])
-        return add_text_columns(some, "line", ["id"], "items binary, fp long", _items)
+        # whole lines travel, which are smaller than their sets
+        return some.select("id", F.encode("line", "UTF-8").alias("items"), F.lit(0).cast("long").alias("fp"))
 
-    roots = similar_components(pairs, sets_of, similar)
+    roots = similar_components(pairs, sets_of, similar, sets_from=line_sets)
     places = rows.select(F.col(doc_id).alias("doc_id"), "row", F.posexplode("ids").alias("place", "id")).where("id <> 0")
     labelled = places.join(roots, places["id"] == roots["node"], "left").select(
         "doc_id", "row", "place", F.coalesce("root", "id").alias("label")

@@ -8,48 +8,73 @@ edges that joins all sets which are similar enough and meet in a bucket.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snagline.llm.common import shuffle_partitions, stored
+from snagline.llm.common import broadcast_if_small, shuffle_partitions, stored
 from snagline.llm.components import connected_components
 from snagline.llm.simhash import Forest, GrayIndex, grouped_rows
 
 #: Members compared in one task at a time.
 CHUNK = 2048
+#: Up to so many shared buckets (8 bytes each) are broadcast.
+BROADCAST_BUCKETS = 1_000_000
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Times that a small set is hashed anew for its empty bins.
+REHASHED = 12
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit values (multiply, shift, xor)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    """A bijective scrambling of 64-bit values (shift, xor, multiply)."""
+    x = x ^ (x >> np.uint64(32))
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def band_keys(values: np.ndarray, owner: np.ndarray, n: int, bands: int, rows: int) -> np.ndarray:
-    """(n, bands) keys of n sets; values are scrambled hashes, owner their set."""
+    """(n, bands) keys of n sets; values are scrambled hashes, owner (ascending) their set."""
     bins = bands * rows
-    sig = np.full(n * bins, _EMPTY)
-    np.minimum.at(sig, owner * bins + ((values >> np.uint64(40)) % np.uint64(bins)).astype(np.int64), values)
-    sig = sig.reshape(n, bins)
-    # an empty bin takes the value of the next full one, scrambled by the distance
-    empty, step = sig == _EMPTY, 1
-    full = sig.copy()
-    while empty.any() and step < bins:
-        take = np.roll(full, -step, axis=1)
-        now = empty & (take != _EMPTY)
-        sig[now] = mixed(take[now] + np.uint64(step))
-        empty &= ~now
+
+    def least(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+        cell = (values >> np.uint64(40)) * np.uint64(bins) >> np.uint64(24)
+        full = np.full(n * bins, _EMPTY)
+        np.minimum.at(full, owner * bins + cell.astype(np.int64), values)
+        return full.reshape(n, bins)
+
+    sig = least(values, owner, n)
+    # empty bins of a set of few values are filled by hashing it anew, a few times
+    few = np.bincount(owner, minlength=n) < 4 * bins
+    for again in range(1, REHASHED + 1):
+        few &= (sig == _EMPTY).any(axis=1)
+        if not few.any():
+            break
+        own = few[owner]
+        number = np.cumsum(few) - 1
+        more = least(mixed(values[own] + np.uint64(again)), number[owner[own]], int(few.sum()))
+        sig[few] = np.where(sig[few] == _EMPTY, more, sig[few])
+    # what is empty still takes the value of the next full bin, scrambled by the distance
+    full, step = sig.copy(), 1
+    row, column = np.nonzero(full == _EMPTY)
+    while len(row) and step < bins:
+        take = full[row, (column + step) % bins]
+        found = take != _EMPTY
+        sig[row[found], column[found]] = mixed(take[found] + np.uint64(step))
+        row, column = row[~found], column[~found]
         step += 1
-    keys = np.full((n, bands), np.uint64(0))
+    # the bins of a band lie apart, so that bins which borrow do not borrow the same value
+    sig = sig.reshape(n, rows, bands)
+    keys = np.broadcast_to(np.arange(bands, dtype=np.uint64), (n, bands)).copy()
     for r in range(rows):
-        keys = mixed(keys * np.uint64(31) + sig[:, r::rows])
-    return mixed(keys + np.arange(bands, dtype=np.uint64))
+        keys *= np.uint64(0x9E3779B97F4A7C15)
+        keys += sig[:, r]
+    return mixed(keys)
 
 
 def _similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -68,11 +93,15 @@ def _compare(sets: list[np.ndarray], pairs: Iterable[tuple[int, int]], least: fl
             edges.append((i, j))
 
 
-def _linked(least: float, radius: int | None):
+def packed_sets(items: pd.Series) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint32) for x in items]
+
+
+def _linked(least: float, radius: int | None, sets_from: Callable[[pd.Series], list[np.ndarray]]):
     def linked(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in grouped_rows(batches, "key"):
             rows = rows.drop_duplicates("id")
-            sets = [np.frombuffer(x, np.uint32) for x in rows["items"]]
+            sets = sets_from(rows["items"])
             edges, forest, n = [], Forest(len(sets)), len(sets)
             if radius is None:
                 _compare(sets, ((i, j) for i in range(n) for j in range(i)), least, edges, forest)
@@ -90,21 +119,21 @@ def _linked(least: float, radius: int | None):
     return linked
 
 
-def _edges(tasks: DataFrame, sets: DataFrame, least: float, radius: int | None) -> DataFrame:
+def _edges(tasks: DataFrame, sets: DataFrame, least: float, radius: int | None, sets_from) -> DataFrame:
     """Edges within each key of tasks (key, id)."""
     full = tasks.join(sets, "id").select("key", "id", "items", "fp")
     dealt = full.repartition(shuffle_partitions(tasks.sparkSession), "key").sortWithinPartitions("key", "id")
-    return stored(dealt.mapInPandas(_linked(least, radius), "a long, b long").distinct(), "links")
+    return stored(dealt.mapInPandas(_linked(least, radius, sets_from), "a long, b long").distinct(), "links")
 
 
 def similar_components(
-    keys: DataFrame, sets_of, least: float, radius: int | None = None, chunk: int = CHUNK
+    keys: DataFrame, sets_of, least: float, radius: int | None = None, chunk: int = CHUNK, sets_from=packed_sets
 ) -> DataFrame:
-    """(node, root) for every set that is linked to another.
+    """(node, root) for every set that is linked to a smaller one.
 
     keys has (id, keys array<long>), repeats of an id allowed.  sets_of(ids)
-    gives (id, items, fp) for the ids of a DataFrame: items are the sorted
-    distinct 32-bit values of the set as bytes, fp a SimHash.  With a radius
+    gives (id, items, fp) for the ids of a DataFrame: items are bytes of which
+    sets_from makes the sorted distinct values of each set, fp a SimHash.  With a radius
     the Gray-order index proposes the pairs of a bucket; without, all pairs
     that are not connected yet are compared.
 
@@ -112,11 +141,11 @@ def similar_components(
     of such a bucket are not all connected after that, those outside its
     largest component are compared with every chunk.
     """
-    parts = shuffle_partitions(keys.sparkSession)
-    members = keys.select("id", F.explode("keys").alias("bucket")).repartition(parts, "bucket").distinct()
-    near = Window.partitionBy("bucket").orderBy("id")
-    members = members.select("id", "bucket", F.lag("id").over(near).alias("p"), F.lead("id").over(near).alias("q"))
-    members = stored(members.where("p is not null or q is not null").select("id", "bucket"), "members")
+    keys = stored(keys, "keys")
+    each = keys.select("id", F.explode("keys").alias("bucket"))
+    shared = each.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    shared = broadcast_if_small(stored(shared.select("bucket"), "shared"), BROADCAST_BUCKETS)
+    members = stored(each.join(shared, "bucket", "left_semi").distinct(), "members")
     sizes = members.groupBy("bucket").agg(
         F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("mark"), F.sum(F.xxhash64("id") % 1_000_003).alias("sum")
     )
@@ -131,7 +160,7 @@ def similar_components(
     dealt = members.join(kept, "bucket").withColumn("chunk", F.pmod(F.xxhash64("bucket", "id"), F.col("chunks")))
     dealt = stored(dealt, "dealt")
     sets = stored(sets_of(dealt.select("id").distinct()), "sets")
-    edges = _edges(dealt.select(F.xxhash64("bucket", "chunk").alias("key"), "id"), sets, least, radius)
+    edges = _edges(dealt.select(F.xxhash64("bucket", "chunk").alias("key"), "id"), sets, least, radius, sets_from)
     roots = connected_components(edges)
     large = dealt.where("chunks > 1")
     if large.isEmpty():
@@ -148,5 +177,5 @@ def similar_components(
     every = rest.select("bucket", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "id")
     against = label.select("bucket", "chunk", "id").join(rest.select("bucket", "part").distinct(), "bucket")
     tasks = every.select("bucket", "part", "chunk", "id").unionAll(against.select("bucket", "part", "chunk", "id"))
-    more = _edges(tasks.select(F.xxhash64("bucket", "part", "chunk").alias("key"), "id"), sets, least, radius)
+    more = _edges(tasks.select(F.xxhash64("bucket", "part", "chunk").alias("key"), "id"), sets, least, radius, sets_from)
     return connected_components(edges.unionAll(more))

@@ -207,7 +207,7 @@ def test_near_duplicates_keep_one_of_each_group(spark, monkeypatch):
     # small chunks force the second round over buckets that are not connected
     import snagline.llm.setlink as setlink
 
-    monkeypatch.setattr(setlink.similar_components, "__defaults__", (None, 4))
+    monkeypatch.setattr(setlink.similar_components, "__defaults__", (None, 4, setlink.packed_sets))
     assert sorted(str((r["doc_id"] is None, r["doc_id"] or 0)) for r in neardup.drop_near_duplicates(df).collect()) == want
 
 
