@@ -52,7 +52,8 @@ def transcript_records(lines: DataFrame) -> DataFrame:
 def content_blocks(records: DataFrame) -> DataFrame:
     """One row per block of message.content, which is a string or a list."""
     content = F.try_variant_get("record", "$.message.content", "array<variant>")
-    plain = F.try_variant_get("record", "$.message.content", "string")
+    # a list would be cast to its JSON
+    plain = F.when(content.isNull(), F.try_variant_get("record", "$.message.content", "string"))
     block = F.explode_outer(content).alias("block")
     rows = records.select("path", "line", "record_type", F.try_variant_get("record", "$.sessionId", "string").alias("session_id"), plain.alias("plain"), block)
     get = lambda p, t="string": F.try_variant_get("block", p, t)
