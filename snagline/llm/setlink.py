@@ -23,6 +23,8 @@ from snagline.llm.simhash import Forest, GrayIndex, grouped_rows
 CHUNK = 2048
 #: Up to so many shared buckets (8 bytes each) are broadcast.
 BROADCAST_BUCKETS = 1_000_000
+#: Values looked up at a time, and bytes of items whose groups are compared together.
+PAIR_VALUES, BLOCK_BYTES = 2_000_000, 4_000_000
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Times that a small set is hashed anew for its empty bins.
 REHASHED = 12
@@ -97,15 +99,105 @@ def packed_sets(items: pd.Series) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint32) for x in items]
 
 
+class _Cells:
+    """The values of many sets in one sorted array, for comparing many pairs at once."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.fromiter(map(len, sets), np.int64, len(sets))
+        self.start = np.cumsum(self.size) - self.size
+        number = np.repeat(np.arange(len(sets), dtype=np.uint64), self.size)
+        values = np.concatenate(sets).astype(np.uint64) if sets else np.empty(0, np.uint64)
+        self.cells = (number << np.uint64(32)) | values
+
+    def similar(self, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+        """Which of the pairs of sets (a, b) have a Jaccard similarity of at least so much."""
+        a, b = np.where(self.size[a] <= self.size[b], a, b), np.where(self.size[a] <= self.size[b], b, a)
+        found = np.zeros(len(a), bool)
+        left = np.flatnonzero(self.size[a] >= least * self.size[b])
+        upto = np.cumsum(self.size[a[left]])
+        begin = 0
+        while begin < len(left):  # some values at a time
+            end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + PAIR_VALUES, "right")))
+            now = left[begin:end]
+            found[now] = self._reach(a[now], b[now], least)
+            begin = end
+        return found
+
+    def _reach(self, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+        size = self.size[a]
+        pair = np.repeat(np.arange(len(a)), size)
+        place = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size) + self.start[a][pair]
+        wanted = (self.cells[place] & np.uint64(0xFFFFFFFF)) | (b[pair].astype(np.uint64) << np.uint64(32))
+        at = np.minimum(np.searchsorted(self.cells, wanted), len(self.cells) - 1)
+        both = np.bincount(pair[self.cells[at] == wanted], minlength=len(a))
+        return both >= least * (size + self.size[b] - both) - 1e-9
+
+
+def linked_pairs(group: np.ndarray, number: np.ndarray, cells: _Cells, least: float) -> np.ndarray:
+    """Edges (place, place) that connect, in each group, what its similar sets connect.
+
+    group is ascending, number the set of each place.  In each step every group
+    compares one member that it has reached with all that it has not.
+    """
+    place, reached, edges = np.arange(len(group)), np.zeros(len(group), bool), []
+    while len(place):
+        # a group whose members are all reached is done; one without reached members takes its first
+        order = np.lexsort((~reached, group[place]))
+        place, reached = place[order], reached[order]
+        g = group[place]
+        first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(g))))
+        now = place[first][of]
+        reached[first] = True
+        asked = np.flatnonzero(~reached)
+        ok = cells.similar(number[now[asked]], number[place[asked]], least)
+        hit = asked[ok]
+        edges.append(np.stack((now[hit], place[hit]), axis=1))
+        open_groups = np.zeros(len(first), bool)
+        reached[hit] = True
+        open_groups[of[~reached]] = True
+        stays = open_groups[of]
+        stays[first] = False
+        place, reached = place[stays], reached[stays]
+    return np.concatenate(edges) if edges else np.empty((0, 2), np.int64)
+
+
+def grouped_blocks(batches: Iterable[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """Whole groups from batches that are sorted by key, several small ones together."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        keys = batch[key].to_numpy()
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        weight, block = np.cumsum(batch["items"].str.len().to_numpy()), 0
+        if held and len(keys) and held[-1][key].iloc[-1] != keys[0]:
+            yield pd.concat(held)
+            held = []
+        begin = 0
+        for start in starts[1:].tolist():
+            if weight[start - 1] - block > BLOCK_BYTES or held:
+                yield pd.concat([*held, batch.iloc[begin:start]])
+                held, begin, block = [], start, weight[start - 1]
+        if begin < len(keys):
+            held.append(batch.iloc[begin:])
+    if held:
+        yield pd.concat(held)
+
+
 def _linked(least: float, radius: int | None, sets_from: Callable[[pd.Series], list[np.ndarray]]):
     def linked(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if radius is None:
+            for rows in grouped_blocks(batches, "key"):
+                rows = rows.drop_duplicates(["key", "id"])
+                ids, first, number = np.unique(rows["id"].to_numpy(), return_index=True, return_inverse=True)
+                cells = _Cells(sets_from(rows["items"].iloc[first]))
+                edges = ids[number[linked_pairs(rows["key"].to_numpy(), number, cells, least)]]
+                yield pd.DataFrame({"a": edges[:, 0], "b": edges[:, 1]})
+            return
         for rows in grouped_rows(batches, "key"):
             rows = rows.drop_duplicates("id")
             sets = sets_from(rows["items"])
             edges, forest, n = [], Forest(len(sets)), len(sets)
-            if radius is None:
-                _compare(sets, ((i, j) for i in range(n) for j in range(i)), least, edges, forest)
-            elif n > 1:
+            if n > 1:
                 codes = rows["fp"].to_numpy(np.int64).view(np.uint64)
                 index = GrayIndex(codes)
                 for at in range(0, n, 256):

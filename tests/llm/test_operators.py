@@ -152,6 +152,33 @@ def test_simhash_components(spark, split_at, monkeypatch):
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
 
 
+def test_linked_pairs_connect_what_brute_force_connects():
+    import pandas as pd
+
+    from snagline.llm import setlink
+
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        base = [rng.integers(0, 2**32, rng.integers(1, 40), dtype=np.uint32) for _ in range(5)]
+        sets = [np.unique(np.where(rng.random(len(x)) < 0.08, np.uint32(7), x)) for x in (base[rng.integers(5)] for _ in range(40))]
+        number, group = rng.integers(0, 40, 60), np.sort(rng.integers(0, 8, 60))
+        want, got = simhash.Forest(60), simhash.Forest(60)
+        alike = lambda i, j: group[i] == group[j] and setlink._similar(sets[number[i]], sets[number[j]], 0.8)  # noqa: B023, E731
+        pairs = np.array([(i, j) for i in range(60) for j in range(i) if alike(i, j)]).reshape(-1, 2)
+        want.add(pairs[:, 0], pairs[:, 1])
+        edges = setlink.linked_pairs(group, number, setlink._Cells(sets), 0.8)
+        assert all(alike(i, j) for i, j in edges.tolist())
+        got.add(edges[:, 0], edges[:, 1])
+        assert want.root.tolist() == got.root.tolist()
+    # groups stay whole, however the batches cut them
+    rows = pd.DataFrame({"key": np.sort(rng.integers(0, 9, 50)), "items": [b"x" * 2_000_000] * 50})
+    cut = [rows.iloc[a : a + 7] for a in range(0, 50, 7)]
+    blocks = list(setlink.grouped_blocks(cut, "key"))
+    assert pd.concat(blocks).equals(rows) and len(blocks) > 1
+    assert sum(b["key"].nunique() for b in blocks) == rows["key"].nunique()
+    assert setlink.linked_pairs(np.empty(0, np.int64), np.empty(0, np.int64), setlink._Cells([]), 0.8).shape == (0, 2)
+
+
 def test_split_buckets_keep_every_link(spark):
     rng = np.random.default_rng(4)
     base = np.uint64(rng.integers(0, 1 << 63))
