@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snagline.llm.common import add_text_columns, broadcast_if_small, stored
+from snagline.llm.common import add_text_columns, broadcast_if_small, distinct, stored
 from snagline.llm.setlink import band_keys, mixed, similar_components
 from snagline.llm.simhash import signed
 
@@ -102,7 +102,7 @@ def _sets():
 def line_sets(items: pd.Series) -> list[np.ndarray]:
     """The sorted distinct shingles of each line, from its UTF-8 bytes."""
     values, owner = shingles([x.decode("utf-8", "surrogatepass") for x in items])
-    cells = np.unique((owner.astype(np.uint64) << np.uint64(32)) | (values >> np.uint64(32)))
+    cells = distinct((owner.astype(np.uint64) << np.uint64(32)) | (values >> np.uint64(32)))
     cuts = np.searchsorted(cells >> np.uint64(32), np.arange(1, len(items), dtype=np.uint64))
     return [x.astype(np.uint32) for x in np.split(cells, cuts)]
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snagline.llm.common import LOWER_BYTES, add_text_columns, shuffle_partitions, stored
+from snagline.llm.common import LOWER_BYTES, add_text_columns, distinct, shuffle_partitions, stored
 from snagline.llm.components import connected_components
 
 SEED = 42
@@ -168,7 +168,7 @@ def grouped_rows(batches: Iterable[pd.DataFrame], key: str) -> Iterator[pd.DataF
 def _links(radius: int):
     def links(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in grouped_rows(batches, "bucket"):
-            codes = np.unique(rows["fp"].to_numpy(np.int64).view(np.uint64))
+            codes = distinct(rows["fp"].to_numpy(np.int64).view(np.uint64))
             if len(codes) > 1:
                 root = linked_in_block(codes, radius)
                 own = np.flatnonzero(root != np.arange(len(codes)))
