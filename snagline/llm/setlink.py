@@ -95,6 +95,20 @@ def _compare(sets: list[np.ndarray], pairs: Iterable[tuple[int, int]], least: fl
             edges.append((i, j))
 
 
+def _compare_rest(sets: list[np.ndarray], least: float, edges: list, forest: Forest) -> None:
+    """Compares every pair that the proposed ones have not connected."""
+    root = np.array([forest.find(i) for i in range(len(sets))])
+    if (root == root[0]).all():
+        return
+    cells = _Cells(sets)
+    for i in range(len(sets) - 1):
+        apart = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+        hit = apart[cells.similar(np.full(len(apart), i), apart, least)] if len(apart) else apart
+        if len(hit):
+            edges += [(i, j) for j in hit.tolist()]
+            root[np.isin(root, root[hit])] = root[i]
+
+
 def packed_sets(items: pd.Series) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint32) for x in items]
 
@@ -204,6 +218,7 @@ def _linked(least: float, radius: int | None, sets_from: Callable[[pd.Series], l
                     q, j = index.search(codes[at : at + 256], radius)
                     later = j < q + at
                     _compare(sets, zip((q[later] + at).tolist(), j[later].tolist()), least, edges, forest)
+                _compare_rest(sets, least, edges, forest)
             ids = rows["id"].to_numpy()
             i = np.array(edges, np.int64).reshape(-1, 2)
             yield pd.DataFrame({"a": ids[i[:, 0]], "b": ids[i[:, 1]]})
@@ -226,8 +241,8 @@ def similar_components(
     keys has (id, keys array<long>), repeats of an id allowed.  sets_of(ids)
     gives (id, items, fp) for the ids of a DataFrame: items are bytes of which
     sets_from makes the sorted distinct values of each set, fp a SimHash.  With a radius
-    the Gray-order index proposes the pairs of a bucket; without, all pairs
-    that are not connected yet are compared.
+    the Gray-order index proposes the pairs of a bucket that are compared first;
+    then, or without one, all pairs that are not connected yet are compared.
 
     Buckets of more than chunk members are dealt into chunks.  If the members
     of such a bucket are not all connected after that, those outside its

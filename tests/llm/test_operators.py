@@ -241,6 +241,32 @@ def test_near_duplicates_keep_one_of_each_group(spark, monkeypatch):
 # --- 7: decontamination -------------------------------------------------------------------------
 
 
+def test_near_duplicates_that_differ_in_repeats_only(spark):
+    rows, far = [], 0
+    for k in range(20):
+        words = [f"q{k}x{i}" for i in np.random.default_rng(k).permutation(300)]
+        short, long = " ".join(words), " ".join(words + words[100:120] * 50)
+        assert jaccard(short, long) > 0.8
+        prints = [simhash.simhash(simhash.shingle_hashes(t, 5)) for t in (short, long)]
+        far += (prints[0] ^ prints[1]).bit_count() > neardup.RADIUS
+        rows += [(2 * k, short), (2 * k + 1, long)]
+    assert far > 5
+    left = {r["doc_id"] for r in neardup.drop_near_duplicates(docs(spark, rows)).collect()}
+    assert left == {2 * k for k in range(20)}
+
+
+def test_pairs_outside_the_radius_are_compared():
+    import pandas as pd
+
+    from snagline.llm import setlink
+
+    sets = [np.arange(i, i + 100, dtype=np.uint32) for i in (0, 5, 500, 505, 10)]
+    rows = pd.DataFrame({"key": 1, "id": range(5), "items": [x.tobytes() for x in sets], "fp": [0, -1, 0, -1, 0x0F0F0F0F0F0F0F0F]})
+    (edges,) = setlink._linked(0.8, 20, setlink.packed_sets)(iter([rows]))
+    assert {tuple(sorted(e)) for e in edges.to_numpy().tolist()} >= {(0, 1), (2, 3)}
+    assert {i for e in edges.to_numpy().tolist() for i in e} == set(range(5))
+
+
 def plain_contamination(rows, items, width=10):
     windows = {}
     for item, text in items:
