@@ -17,11 +17,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from snagline.llm.common import add_text_columns
+from snagline.llm.common import add_text_columns, stored
 
 #: Bounds of the model: labelled training rows per language, words and n-grams kept.
 SAMPLE_ROWS, MAX_WORDS, MAX_GRAMS = 500, 200_000, 100_000
 LONGEST_GRAM = 4
+#: Added to the count of every known token in every language.
+ALPHA = 0.5
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _CACHE = 200_000
@@ -110,33 +112,42 @@ class LanguageModel:
 def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> LanguageModel:
     """A model of the columns text and lang of rows.
 
-    At most about sample_rows rows of a language are used, chosen by a hash of
-    their text; words and n-grams are counted in Spark, and the most frequent
-    ones, in a number bounded by max_words and max_grams, come to the driver.
+    At most about sample_rows rows with letters of a language are used, chosen
+    by a hash of text and row number, so that copies are sampled like other
+    rows; words and n-grams are counted in Spark, and the most frequent ones, in
+    a number bounded by max_words and max_grams, come to the driver.  A token
+    that a language has not seen has the same frequency in all languages,
+    however much was sampled of each.
     """
-    rows = rows.where("text is not null and lang is not null").select("lang", "text")
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return LanguageModel([], [], np.zeros((0, 0)))
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample_rows / n))])
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    place = F.pmod(F.xxhash64("text", "row"), F.lit(1_000_000))
+    chosen = numbered.where(place < F.element_at(share, F.col("lang")) * 1_000_000).drop("row")
     counts = chosen.mapInPandas(_counts, "lang string, n int, token string, c long")
-    counts = counts.groupBy("lang", "n", "token").agg(F.sum("c").alias("c"))
+    counts = stored(counts.groupBy("lang", "n", "token").agg(F.sum("c").alias("c")), "counts")
     totals = counts.groupBy("lang", "n").agg(F.sum("c").alias("total"))
     by = F.map_from_entries(F.collect_list(F.struct("lang", "c")))
     tokens = counts.groupBy("n", "token").agg(F.sum("c").alias("all"), by.alias("by")).where("n > 0 or all > 1")
     kind = F.when(F.col("n") == 0, 0).otherwise(1)
     place = F.row_number().over(Window.partitionBy(kind).orderBy(F.desc("all"), "n", "token"))
     kept = tokens.withColumn("place", place).where(F.col("place") <= F.when(kind == 0, max_words).otherwise(max_grams))
-    langs = sorted(sizes)
     total = {(r["lang"], r["n"]): r["total"] for r in totals.collect()}
+    langs = sorted({lang for lang, _ in total})
     each = kept.select("n", "token", *[F.col("by")[lang].alias(f"c{j}") for j, lang in enumerate(langs)]).toPandas()
     counts_of = each[[f"c{j}" for j in range(len(langs))]].fillna(0).to_numpy(float)
-    sums = np.array([[total.get((lang, n), 1) for lang in langs] for n in range(LONGEST_GRAM + 1)], float)
+    kinds = each["n"].to_numpy(int)
+    shared = ALPHA * np.bincount(kinds, minlength=LONGEST_GRAM + 1)[:, None]
+    sums = np.array([[total.get((lang, n), 0) for lang in langs] for n in range(LONGEST_GRAM + 1)], float).reshape(-1, len(langs)) + shared
+    floor = ALPHA / np.maximum(sums.max(axis=1, initial=0.0, keepdims=True), ALPHA)
+    frequency = np.where(counts_of > 0, (counts_of + ALPHA) / np.maximum(sums, ALPHA)[kinds], floor[kinds])
     rows_of: list[dict[str, int]] = [{} for _ in range(LONGEST_GRAM + 1)]
     for i, (n, token) in enumerate(zip(each["n"], each["token"])):
         rows_of[n][token] = i
-    return LanguageModel(langs, rows_of, np.log((counts_of + 0.5) / (sums[each["n"].to_numpy(int)] + 1)))
+    return LanguageModel(langs, rows_of, np.log(frequency))
 
 
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text: str = "text") -> DataFrame:

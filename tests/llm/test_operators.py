@@ -536,6 +536,32 @@ def test_languages(spark):
     assert all(again[i] == got[i]["lang_pred"] for i in range(240))
 
 
+def test_languages_of_small_samples_do_not_win(spark):
+    rng = np.random.default_rng(8)
+    words = {g: [f"{a}{b}{a}" for a in s for b in s] for g, s in {"aa": ["ba", "ke", "lu"], "bb": ["wir", "sch", "ung"]}.items()}
+    text = lambda g, n: " ".join(rng.choice(words[g], n))
+    rows = [(None, text(g, 60), g) for g in words for _ in range(40)]
+    rows += [(None, " ".join(words["aa"][:2] + words["bb"][:2] + ["zoo"]), "tiny"), (None, "12 34", "mute")]
+    # the languages' rows are copies of one text but for a few
+    rows += [(None, "xo xoxo oxo " * 5, "copies")] * 900 + [(None, f"xo {text('aa', 3)}", "copies") for _ in range(5)]
+    model = langid.train(docs(spark, rows).repartition(3), sample_rows=100)
+    assert model.langs == ["aa", "bb", "copies", "tiny"]
+    score = model.scorer()
+    for g in words:
+        assert all(score(text(g, 20))[0] == g for _ in range(50))
+    assert score("xo oxo xoxo")[0] == "copies"
+    # in every language an unseen word has the frequency of no more than any seen one, and the same one
+    row = model.logs[model.rows[0]["xoxo"]]
+    assert row[0] == row[1] == row[3] < row[2]
+
+
+def test_copies_are_sampled_evenly(spark):
+    rows = [(None, "one two three", "en")] * 4000
+    for k in range(3):
+        model = langid.train(docs(spark, [(i, t + f" v{k}", g) for i, t, g in rows]), sample_rows=200)
+        assert model.langs == ["en"] and "two" in model.rows[0]
+
+
 def test_backoff_goes_to_shorter_grams():
     rows_of = [{"known": 0}, {"q": 2}, {"<z": 1}, {}, {}]
     model = langid.LanguageModel(["a", "b"], rows_of, np.array([[-1.0, -9.0], [-9.0, -1.0], [-1.0, -9.0]]))
