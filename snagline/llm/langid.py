@@ -2,7 +2,9 @@
 
 Words that the training rows know are scored by their log frequency in each
 language.  Any other word falls back to its character n-grams, the longest
-first: the first length of which an n-gram is known decides.
+first: the first length of which an n-gram is known decides.  Runs of letters
+are read whole; an unknown one counts as a word for every RUN_LETTERS of its
+letters, and once at least.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from snagline.llm.common import add_text_columns, stored
 #: Bounds of the model: labelled training rows per language, words and n-grams kept.
 SAMPLE_ROWS, MAX_WORDS, MAX_GRAMS = 500, 200_000, 100_000
 LONGEST_GRAM = 4
+#: Letters of an unknown run that weigh as much as one word.
+RUN_LETTERS = 10
 #: Added to the count of every known token in every language.
 ALPHA = 0.5
 UNKNOWN = "und"
@@ -33,9 +37,9 @@ def is_held_out(doc_id: str | Column) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id) % 4 == 2
 
 
-def grams(word: str, n: int) -> list[str]:
+def grams(word: str, n: int) -> Iterator[str]:
     edged = f"<{word}>"
-    return [edged[i : i + n] for i in range(len(edged) - n + 1)]
+    return (edged[i : i + n] for i in range(len(edged) - n + 1))
 
 
 def _counts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -48,10 +52,9 @@ def _counts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lang, counts in words.items():
             parts: Counter = Counter()
             for word, c in counts.items():
-                if len(word) <= 40:
-                    for n in range(1, LONGEST_GRAM + 1):
-                        for g in grams(word, n):
-                            parts[n, g] += c
+                for n in range(1, LONGEST_GRAM + 1):
+                    for g in grams(word, n):
+                        parts[n, g] += c
             rows += [(lang, 0, w, c) for w, c in counts.items()]
             rows += [(lang, n, g, c) for (n, g), c in parts.items()]
         yield pd.DataFrame(rows, columns=["lang", "n", "token", "c"])
@@ -67,20 +70,20 @@ class LanguageModel:
 
     def scorer(self) -> Callable[[str], tuple[str, float]]:
         """A function from a whole text to (language, share of the likelihood)."""
-        plain = self.logs.tolist()
         words_of, width = self.rows[0] if self.rows else {}, len(self.langs)
         # rows of words met so far: those of the model, then one for each word scored by its n-grams
         met: dict[str, int] = {}
         table = np.concatenate((self.logs, np.zeros((_CACHE, width))))
-        known_rows = len(self.logs)
+        known_rows, letters = len(self.logs), [0]
 
-        def vector(word: str) -> list[float]:
+        def vector(word: str) -> np.ndarray | float:
             for n in range(LONGEST_GRAM, 0, -1):
                 of = self.rows[n]
-                known = [plain[r] for g in grams(word[:200], n) if (r := of.get(g)) is not None]
+                known = Counter(r for g in grams(word, n) if (r := of.get(g)) is not None)
                 if known:
-                    return [sum(column) / len(known) for column in zip(*known)]
-            return [0.0] * width
+                    times = np.fromiter(known.values(), float, len(known))
+                    return times @ self.logs[list(known)] * (max(1.0, len(word) / RUN_LETTERS) / times.sum())
+            return 0.0
 
         def row_of(word: str) -> int:
             row = words_of.get(word)
@@ -89,6 +92,7 @@ class LanguageModel:
                 if row is None:
                     row = met[word] = known_rows + len(met)
                     table[row] = vector(word)
+                    letters[0] += len(word)
             return row
 
         def score(text: str) -> tuple[str, float]:
@@ -99,8 +103,9 @@ class LanguageModel:
             several = list(words.items())
             for at in range(0, len(several), _CACHE // 2):
                 part = several[at : at + _CACHE // 2]
-                if len(met) + len(part) > _CACHE:
-                    met.clear()
+                if len(met) + len(part) > _CACHE or letters[0] > 20 * _CACHE:
+                    met.clear()  # a memory of words that are scored anew when they come again
+                    letters[0] = 0
                 rows = [row_of(w) for w, _ in part]
                 total += np.array([c for _, c in part], float) @ table[rows]
             best = int(total.argmax())

@@ -562,6 +562,19 @@ def test_copies_are_sampled_evenly(spark):
         assert model.langs == ["en"] and "two" in model.rows[0]
 
 
+def test_runs_of_letters_are_read_whole(spark):
+    rng = np.random.default_rng(5)
+    run = lambda s, n: "".join(rng.choice(list(s), n))
+    rows = [(None, run("一二三四五", 60), "zh") for _ in range(30)] + [(None, run("あいうえお", 60), "ja") for _ in range(30)]
+    model = langid.train(docs(spark, rows))
+    score = model.scorer()
+    assert score(run("一二三四五", 50))[0] == "zh" and score(run("あいうえお", 50))[0] == "ja"
+    # what stands behind the first letters counts, and a long run weighs more than a short one
+    assert score(run("一二三四五", 250) + run("あいうえお", 2000))[0] == "ja"
+    assert score(" ".join([run("一二三四五", 8) for _ in range(4)]) + " " + run("あいうえお", 400))[0] == "ja"
+    assert score(run("あいうえお", 300_000))[0] == "ja"
+
+
 def test_backoff_goes_to_shorter_grams():
     rows_of = [{"known": 0}, {"q": 2}, {"<z": 1}, {}, {}]
     model = langid.LanguageModel(["a", "b"], rows_of, np.array([[-1.0, -9.0], [-9.0, -1.0], [-1.0, -9.0]]))
