@@ -4,6 +4,10 @@ Every page scores its containers (text of their blocks, less what is linked)
 and votes for the tag and class path of the best one, with digits taken out so
 that pages of one layout agree.  Spark adds the votes by host; then each page
 is read again and the container on its host's winning path is its article.
+
+Elements named like a side part are left out, unless they hold most of the
+unlinked text in the page's article and main elements or, where there is none,
+of the page.
 """
 
 from __future__ import annotations
@@ -33,12 +37,20 @@ _BLOCK = frozenset(
 )
 _CONTAINER = frozenset("article body center div main section td".split())
 #: Elements that are never part of an article, and words of class, id and role that say so.
-_ASIDE = frozenset("aside button dialog footer form head header menu nav select".split())
+_ASIDE = frozenset("button dialog head menu nav select".split())
+_OFTEN_ASIDE = frozenset("aside footer form header".split())
 _NAMES = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus"
     " footer form header masthead menu nav navbar navigation newsletter notice popup promo promoted related reply"
     " replies respond search share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: Those that can be longer than an article and yet are none.
+_NEVER = frozenset(
+    "ad ads advert adverts advertisement comment comments consent cookie cookies disqus popup promo promoted replies"
+    " respond sponsor sponsored".split()
+)
+#: Before the last part of a name they say that the page has such a part or not, not that this is one.
+_TELLING = frozenset("has have hide is no not show with without".split())
 #: An open one is closed by the next of its kind, or by what cannot stand in it.
 _CLOSES = {"p": _BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
            "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]),
@@ -48,16 +60,41 @@ BROADCAST_HOSTS = 100_000
 
 
 class _Node:
-    __slots__ = ("tag", "path", "off", "linked", "score", "blocks", "parent")
+    __slots__ = ("tag", "path", "off", "linked", "score", "blocks", "parent", "never", "dropped", "main")
 
     def __init__(self, tag: str, path: str, off: bool, linked: bool, parent: _Node | None):
         self.tag, self.path, self.off, self.linked, self.parent = tag, path, off, linked, parent
         self.score = 0.0
         self.blocks: list[int] = []
+        self.never = self.main = False  # its text is never an article's; it stands in an article or main element
+        self.dropped: tuple[int, ...] = ()  # places of the elements around it that its names leave out
+
+
+def _named_aside(names: dict[str, str]) -> tuple[bool, bool]:
+    """Whether class, id or role name a side part, and whether one that is never an article."""
+    tokens = f"{names.get('class', '')} {names.get('id', '')} {names.get('role', '')}".split()
+    aside = never = False
+    for token in tokens:
+        parts = _WORDS.findall(token)
+        if parts and parts[-1] in _NAMES and not (len(parts) > 1 and parts[-2] in _TELLING):
+            aside = True
+            never |= len(parts) == 1 and parts[0] in _NEVER
+    return aside, never
 
 
 def read_page(page: str) -> tuple[list[str], list[_Node]]:
     """The text blocks of a page in order, and its containers with their blocks and scores."""
+    blocks, containers, wrappers = _read(page, frozenset())
+    return _read(page, wrappers)[:2] if wrappers else (blocks, containers)
+
+
+def _read(page: str, kept: frozenset[int] | None) -> tuple[list[str], list[_Node], frozenset[int]]:
+    """Blocks, containers, and the places of left-out elements that hold most of the text.
+
+    The elements at the places in kept are not left out; None keeps all but
+    those whose tag or hidden attribute leaves them out.
+    """
+    whole, in_main, sizes, mains = 0, 0, Counter(), Counter()
     top = _Node("", "", False, False, None)
     stack, blocks, containers = [top], [], []
     held: list[str] = []
@@ -86,10 +123,18 @@ def read_page(page: str) -> tuple[list[str], list[_Node]]:
             continue
         at = m.end()
         if m["text"] or m["cdata"]:
-            if not stack[-1].off:
+            inner = stack[-1]
+            if not inner.off:
                 text = m["text"] or m["cdata"].replace("&", "&amp;")
                 held.append(text)
-                linked += len(text) * stack[-1].linked
+                linked += len(text) * inner.linked
+            if not inner.never and not inner.linked:
+                size = len((m["text"] or m["cdata"]).strip())
+                whole += size
+                in_main += size * inner.main
+                for place in inner.dropped:
+                    sizes[place] += size
+                    mains[place] += size * inner.main
             continue
         if not m["tag"]:
             continue
@@ -119,16 +164,22 @@ def read_page(page: str) -> tuple[list[str], list[_Node]]:
             continue
         names = {k.lower(): (a or b or c or "").lower() for k, a, b, c in _NAMED.findall(m["attr"])} if m["attr"] else {}
         up = stack[-1]
-        marks = _WORDS.findall(f"{names.get('class', '')} {names.get('id', '')} {names.get('role', '')}")
-        off = up.off or tag in _ASIDE or "hidden" in names or (tag != "body" and not _NAMES.isdisjoint(marks))
+        out = tag in _ASIDE or "hidden" in names
+        aside, never = _named_aside(names) if names and tag not in ("html", "body") else (False, False)
+        aside = (aside or tag in _OFTEN_ASIDE) and kept is not None and m.start() not in kept
+        off = up.off or out or aside
         step = ".".join([tag, *sorted(set(_WORDS.findall(names.get("class", ""))))])
         path = up.path if tag in ("html", "body") else f"{up.path}>{step}"  # either may be left out
         node = _Node(tag, path, off, up.linked or tag == "a", up)
+        node.never, node.main = up.never or out or never, up.main or tag in ("article", "main")
+        node.dropped = (*up.dropped, m.start()) if aside else up.dropped
         stack.append(node)
         if tag in _CONTAINER and not off:
             containers.append(node)
     flush()
-    return blocks, containers
+    held_by, of = (mains, in_main) if in_main else (sizes, whole)
+    most = frozenset(p for p, n in held_by.items() if 2 * n > of)
+    return blocks, containers, most
 
 
 def best_path(page: str) -> tuple[str, float] | None:
@@ -139,8 +190,13 @@ def best_path(page: str) -> tuple[str, float] | None:
 
 
 def article(page: str, path: str | None) -> str:
-    """Text on the path; a page that has nothing there gives its own best container's."""
+    """Text on the path; a page that has nothing there gives its own best container's.
+
+    A page without other text gives that of the elements left out by name.
+    """
     blocks, containers = read_page(page)
+    if not blocks:
+        blocks, containers, _ = _read(page, None)
     chosen = sorted({b for n in containers if n.path == path for b in n.blocks})
     if not chosen:
         best = max(containers, key=lambda n: n.score, default=None)

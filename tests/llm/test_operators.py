@@ -609,6 +609,23 @@ def test_pages(spark):
 # --- 10: language model -------------------------------------------------------------------------
 
 
+def test_wrappers_with_names_of_side_parts_keep_their_article():
+    long = "A sentence of the article that goes on. " * 20
+    inner = f'<div class="sidebar">Side part</div><p>{long}</p>'
+    for wrapper in (
+        'div class="content has-sidebar"', 'div class="post hentry comments-open"', 'div class="layout-no-sidebar"', 'div class="search-page"',
+        'div class="elementor-widget-container"', 'form id="aspnetForm"', 'div class="page search"', 'div class="site-header"',
+    ):
+        page = f"<body><{wrapper}>{inner}</{wrapper.split()[0]}><div>Copyright</div></body>"
+        rest = "\n\nCopyright" if wrapper.startswith("form") else ""  # a form is no container, so the body is the best
+        assert html.article(page, html.best_path(page)[0]) == long.strip() + rest, wrapper
+    main = f'<div class="x widget"><main><p>Short.</p></main></div><p>{long}</p>'
+    assert "Short." in html.article(main, None)
+    for side in ("site-footer", "post-comments", "cookie", "main nav"):
+        assert html.article(f'<div><p>{long}</p><div class="{side}">Other</div></div>', None) == long.strip()
+    assert html.article(f'<div class="comments"><p>{long}</p></div>', None) == long.strip()
+
+
 def test_language_model(spark):
     rng = np.random.default_rng(9)
 
