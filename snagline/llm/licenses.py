@@ -77,7 +77,8 @@ def notice_finder() -> Callable[[str], list[tuple[int, int, str, int]]]:
                 areas.setdefault(k, []).append([max(0, begin - e), min(len(text), begin + n + e)])
         out = []
         for k, spans in areas.items():
-            pattern, _, _, label = patterns[k]
+            pattern, n, e, label = patterns[k]
+            shortest = n - e
             spans.sort()
             joined = [spans[0]]
             for a, b in spans[1:]:
@@ -85,8 +86,11 @@ def notice_finder() -> Callable[[str], list[tuple[int, int, str, int]]]:
                     joined[-1][1] = max(joined[-1][1], b)
                 else:
                     joined.append([a, b])
-            for a, b in joined:
-                out += [(m.start(), m.end(), label, sum(m.fuzzy_counts)) for m in pattern.finditer(text, a, b)]
+            while joined:  # the best match of an area, then the areas on both sides of it
+                a, b = joined.pop()
+                if b - a >= shortest and (m := pattern.search(text, a, b)):
+                    out.append((m.start(), m.end(), label, sum(m.fuzzy_counts)))
+                    joined += [[a, m.start()], [m.end(), b]]
         return sorted(out)
 
     return find

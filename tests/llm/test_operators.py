@@ -384,6 +384,15 @@ def test_fuzzy_notices():
         assert not any(x[2] == label for x in find("some words. " + "#".join(notice) + "."))
 
 
+def test_inexact_notices_before_exact_ones():
+    find = licenses.notice_finder()
+    assert find("all rights reservd. all rights reserved.") == [(0, 18, "all-rights-reserved", 1), (20, 39, "all-rights-reserved", 0)]
+    notice = next(n for n, label in licenses.NOTICES if label == "mit" and n.startswith("permission"))
+    wrong = notice.replace("granted", "grantd")
+    got = [(text_at, e) for text_at, _, label, e in find(f"{wrong} {notice} {wrong}") if label == "mit"]
+    assert got == [(0, 1), (len(wrong) + 1, 0), (len(wrong) + len(notice) + 2, 1)]
+
+
 def test_licenses(spark):
     rows = hard_rows() + [
         (300, "Under the MIT license. under-the_mit license; Apache License, Version 2.0; cc-by-nc"),
