@@ -43,13 +43,16 @@ def ascii_lower(column: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    A folder of its own is made only where the session names none (tests).
+    A folder of its own is made only where the session names none and driver
+    and executors are one process (tests); on a cluster that is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="snagline-checkpoints-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -61,12 +64,39 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hints a broadcast when the counted rows stay below the bound.
+#: Bytes of a broadcast side, counted before the join.
+BROADCAST_BYTES = 16 << 20
 
-    Beyond it the join shuffles both sides; the rows that come out are the same.
+
+def _width(column: Column, kind: T.DataType) -> Column:
+    """About the bytes of a value; text and binary as they are, an array by its elements."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        inner = F.aggregate(column, F.lit(0), lambda a, x: (a + _width(x, kind.elementType)).cast("int"))
+        return F.coalesce(inner, F.lit(0)) + 16
+    return F.lit(16)
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hints a broadcast when the counted bytes of the rows stay below the bound.
+
+    Rows are counted up to what the bound could hold, then their bytes.  Beyond
+    it the join shuffles both sides; the rows that come out are the same.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    most = max_bytes // (16 * max(1, len(df.columns)))
+    widths = [_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
+    size = df.limit(most + 1).select(sum(widths, F.lit(0)).alias("w")).agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0))).first()
+    return F.broadcast(df) if size[0] <= most and size[1] <= max_bytes else df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,23 +108,40 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 
+#: Bytes of texts that a task turns into Python strings at a time.
+SLICE_BYTES = 1 << 20
+
+
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about SLICE_BYTES, one row at least."""
+    for batch in batches:
+        step = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+        for at in range(0, max(1, batch.num_rows), step):
+            yield batch.slice(at, step)
+
+
+def texts_of(column: pa.Array) -> Iterator[str | None]:
+    """The texts of a column, some at a time."""
+    for part in slices([pa.RecordBatch.from_arrays([column], ["text"])]):
+        yield from part.column(0).to_pylist()
+
 
 def add_text_columns(df: DataFrame, text: str, keep: list[str], fields: str, maker: Callable[[], Callable]) -> DataFrame:
     """The columns in keep, then those that a function makes of each whole text.
 
     fields is a schema string.  maker is called once a task and gives a
     function from the text (str, null as empty) to one tuple per row.  Arrow
-    batches go through; no row is held longer than its batch.
+    batches go through in slices of about SLICE_BYTES; no row is held longer.
     """
     added = T.StructType.fromDDL(fields)
-    kept = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
+    kept = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`"))
     out = T.StructType([*kept.schema.fields[:-1], *added.fields])
     types = [to_arrow_type(f.dataType) for f in added.fields]
     names = [f.name for f in out.fields]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = maker()
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             made = list(zip(*[make(t or "") for t in texts])) or [[] for _ in types]
             columns = [*batch.columns[:-1], *[pa.array(c, t) for c, t in zip(made, types)]]

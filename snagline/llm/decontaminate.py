@@ -12,14 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from snagline.llm.common import LOWER, UPPER, broadcast_if_small, stored, text_of
+from snagline.llm.common import LOWER, UPPER, broadcast_if_small, free_name, stored, text_of
 
 #: Words of a window.
 WINDOW = 10
 #: How many terms of a window are intersected before whole words are compared.
 RAREST = 2
-#: Bounds in rows for broadcasts of test terms, test windows and document keys.
-BROADCAST_TERMS, BROADCAST_WINDOWS, BROADCAST_DOCS = 1_000_000, 200_000, 500_000
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -69,7 +67,7 @@ def build_index(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFr
     placed = raw.where("raw <> ''").select(
         "k1", "k2", (F.col("place") - F.when(begins, 0).otherwise(1)).alias("place"), _lower_word(F.col("raw")).alias("term")
     )
-    return stored(placed.join(broadcast_if_small(terms, BROADCAST_TERMS), "term", "left_semi"), "postings")
+    return stored(placed.join(broadcast_if_small(terms), "term", "left_semi"), "postings")
 
 
 def _anchors(found: DataFrame, index: DataFrame, rarest: int) -> DataFrame:
@@ -93,21 +91,21 @@ def occurrences(docs: DataFrame, found: DataFrame, text: str = "text", rarest: i
     hits = None
     for rank in range(1, rarest + 1):
         these = anchors.where(F.col("rank") == rank).select("term", "window", "offset", "n")
-        shifted = index.join(broadcast_if_small(these, BROADCAST_WINDOWS), "term").where("place >= offset")
+        shifted = index.join(broadcast_if_small(these), "term").where("place >= offset")
         shifted = shifted.select("k1", "k2", (F.col("place") - F.col("offset")).alias("start"), "window", "n")
         if hits is None:
             hits = stored(shifted.distinct(), "hits")
             continue
         # windows of fewer distinct terms have no further list to intersect
         longer = these.select("window").distinct()
-        open_hits = hits.join(broadcast_if_small(longer, BROADCAST_WINDOWS), "window", "left_semi")
-        ended = hits.join(broadcast_if_small(longer, BROADCAST_WINDOWS), "window", "left_anti")
-        keys = broadcast_if_small(stored(open_hits.select("k1", "k2").distinct(), "open"), BROADCAST_DOCS)
+        open_hits = hits.join(broadcast_if_small(longer), "window", "left_semi")
+        ended = hits.join(broadcast_if_small(longer), "window", "left_anti")
+        keys = broadcast_if_small(stored(open_hits.select("k1", "k2").distinct(), "open"))
         shifted = shifted.join(keys, ["k1", "k2"], "left_semi")
         both = open_hits.join(shifted.drop("n"), ["k1", "k2", "start", "window"], "left_semi")
         columns = ["k1", "k2", "start", "window", "n"]
         hits = stored(both.select(columns).unionAll(ended.select(columns)), "hits")
-    keys = broadcast_if_small(stored(hits.select("k1", "k2").distinct(), "doc-keys"), BROADCAST_DOCS)
+    keys = broadcast_if_small(stored(hits.select("k1", "k2").distinct(), "doc-keys"))
     whole = docs.select(text_of(text).alias("text"))
     whole = whole.select(*document_key(F.col("text")), "text").join(keys, ["k1", "k2"], "left_semi")
     whole = whole.dropDuplicates(["k1", "k2"]).select("k1", "k2", words(F.col("text")).alias("all"))
@@ -135,7 +133,7 @@ def proximity_matches(docs: DataFrame, found: DataFrame, slop: int = 5, text: st
 
     def shifted(rank: int) -> DataFrame:
         these = anchors.where(F.col("rank") == rank).select("term", "window", "offset")
-        out = index.join(broadcast_if_small(these, BROADCAST_WINDOWS), "term")
+        out = index.join(broadcast_if_small(these), "term")
         return out.select("k1", "k2", "window", (F.col("place") - F.col("offset")).alias("start"), "place")
 
     near = [F.floor((F.col("start") + d) / width) for d in (-slop, slop)]
@@ -172,7 +170,7 @@ def contamination(
     spots = exact.select("k1", "k2", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("place"))
     n_hit = spots.distinct().groupBy("k1", "k2").agg(F.count("*").alias("n_hit"))
     of = items.select("window", F.col("item_id").cast("string").alias("item")).where("item is not null").distinct()
-    which = exact.select("k1", "k2", "window").distinct().join(broadcast_if_small(of, BROADCAST_WINDOWS), "window")
+    which = exact.select("k1", "k2", "window").distinct().join(broadcast_if_small(of), "window")
     which = which.select("k1", "k2", "item").distinct().groupBy("k1", "k2").agg(F.sort_array(F.collect_set("item")).alias("items"))
     hits = stored(n_hit.join(which, ["k1", "k2"], "left"), "doc-hits")
     whole = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
@@ -189,11 +187,16 @@ def contamination(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs, with their columns, in whose text no window occurs."""
+    """The rows of docs, with their columns, in whose text no window occurs.
+
+    A null text has no words and stays.  Columns of docs may have any name.  An
+    empty table gives no rows; with an empty benchmark all rows stay.
+    """
     items = _items(benchmark, "text", "item_id", WINDOW)
     found = stored(items.groupBy("window").agg(F.first("words").alias("words")).withColumn("n", F.size("words")), "windows")
-    keys = occurrences(docs, found, text).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
-    keys = broadcast_if_small(stored(keys, "contaminated"), BROADCAST_DOCS)
+    d1, d2, g1, g2 = (free_name(docs, x) for x in ("d1", "d2", "g1", "g2"))
+    keys = occurrences(docs, found, text).select(F.col("k1").alias(g1), F.col("k2").alias(g2)).distinct()
+    keys = broadcast_if_small(stored(keys, "contaminated"))
     k1, k2 = document_key(text_of(F.col(f"`{text}`")))
-    marked = docs.withColumn("_d1", k1).withColumn("_d2", k2)
-    return marked.join(keys, (F.col("_d1") == F.col("_k1")) & (F.col("_d2") == F.col("_k2")), "left_anti").drop("_d1", "_d2")
+    marked = docs.withColumn(d1, k1).withColumn(d2, k2)
+    return marked.join(keys, (F.col(d1) == F.col(g1)) & (F.col(d2) == F.col(g2)), "left_anti").drop(d1, d2)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from snagline.llm.common import LOWER_BYTES, add_text_columns, broadcast_if_small, stored
+from snagline.llm.common import LOWER_BYTES, add_text_columns, broadcast_if_small, free_name, stored
 
 
 @dataclass
@@ -121,10 +121,6 @@ def repeated_fingerprints(fingerprints: DataFrame) -> DataFrame:
     return filters.groupBy("slice").applyInPandas(_repeated, "fp long, n long")
 
 
-#: Up to so many repeated fingerprints (8 bytes each) are broadcast.
-BROADCAST_FINGERPRINTS = 1_000_000
-
-
 def _keys(with_text: bool):
     def maker():
         def keys(text: str) -> tuple:
@@ -142,7 +138,7 @@ def _groups(docs: DataFrame, rows: DataFrame, text: str, doc_id: str) -> DataFra
     """(fp, text_sha256, keep_id, group_size) of the texts that occur more than once."""
     repeated = stored(repeated_fingerprints(rows).select("fp"), "repeated")
     whole = add_text_columns(docs, text, [doc_id], "fp long, text_sha256 string, norm string", _keys(True))
-    some = whole.join(broadcast_if_small(repeated, BROADCAST_FINGERPRINTS), "fp", "left_semi")
+    some = whole.join(broadcast_if_small(repeated), "fp", "left_semi")
     # whole texts are the key: equal bytes, not equal fingerprints, make a group
     groups = some.groupBy("fp", "text_sha256", "norm").agg(
         F.max(F.col(doc_id)).alias("keep_id"), F.count("*").alias("group_size")
@@ -177,14 +173,18 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 
 
 def drop_exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs, with their columns, that exact_duplicates keeps."""
+    """The rows of docs, with their columns, that exact_duplicates keeps.
+
+    Columns of docs may have any name.  An empty table gives no rows.
+    """
+    own, gone_id, gone_sha, keep_id, fp = (free_name(docs, x) for x in ("own_sha", "gone_id", "gone_sha", "keep_id", "fp"))
     gone = stored(exact_duplicates(docs, text, doc_id).where("not kept"), "gone")
-    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha"), F.col("keep_id").alias("_keep_id"))
-    marked = add_text_columns(docs, text, docs.columns, "_fp long, _own_sha string", _keys(False)).drop("_fp")
-    last = F.col("_gone_id").eqNullSafe(F.col("_keep_id"))
+    gone = gone.select(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_sha), F.col("keep_id").alias(keep_id))
+    marked = add_text_columns(docs, text, docs.columns, f"`{fp}` long, `{own}` string", _keys(False)).drop(fp)
+    last = F.col(gone_id).eqNullSafe(F.col(keep_id))
     # rows below the group's largest doc_id go here; repeats of the largest itself below
-    same = (marked["_own_sha"] == gone["_gone_sha"]) & marked[doc_id].eqNullSafe(gone["_gone_id"])
+    same = (F.col(own) == F.col(gone_sha)) & F.col(f"`{doc_id}`").eqNullSafe(F.col(gone_id))
     left = marked.join(gone.where(~last).distinct(), same, "left_anti")
     if not gone.where(last).isEmpty():
-        left = left.dropDuplicates([doc_id, "_own_sha"])
-    return left.drop("_own_sha")
+        left = left.dropDuplicates([doc_id, own])
+    return left.drop(own)

@@ -8,20 +8,21 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snagline.llm.common import add_text_columns, broadcast_if_small, distinct, stored
-from snagline.llm.setlink import band_keys, mixed, similar_components
+from snagline.llm.common import add_text_columns, distinct, stored, texts_of
+from snagline.llm.setlink import band_keys, id_filter, mixed, passes, similar_components
 from snagline.llm.simhash import signed
 
 #: Characters of a shingle; bands and rows of a signature.
-CHARS, BANDS, ROWS = 5, 14, 5
+CHARS, BANDS, ROWS = 5, 14, 6
 SIMILAR = 0.8
 #: Characters whose shingles are hashed at a time.
 BLOCK_CHARS = 300_000
-#: Up to so many line ids are broadcast when their texts are fetched.
-BROADCAST_IDS = 2_000_000
+#: Lines that a task remembers as seen.
+SEEN = 1_000_000
 _WHITE = " \t\n\r\x0b\x0c"
 
 
@@ -29,9 +30,12 @@ def stripped_lines(text: str) -> list[str]:
     return [line.strip(_WHITE) for line in text.split("\n")]
 
 
-def line_id(line: str) -> int:
-    """Signed 64 bits; 0 for a blank line, which is never a duplicate."""
-    return signed(xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 1)) if line else 0
+def line_id(line: str) -> tuple[int, int]:
+    """128 bits, as two signed numbers; zeros for a blank line, which is never a duplicate."""
+    if not line:
+        return 0, 0
+    whole = xxhash.xxh3_128_intdigest(line.encode("utf-8", "surrogatepass"))
+    return signed(whole >> 64), signed(whole & 0xFFFFFFFFFFFFFFFF)
 
 
 def shingles(lines: list[str], chars: int = CHARS) -> tuple[np.ndarray, np.ndarray]:
@@ -53,7 +57,7 @@ def shingles(lines: list[str], chars: int = CHARS) -> tuple[np.ndarray, np.ndarr
 
 
 def _ids():
-    return lambda text: ([line_id(line) for line in stripped_lines(text)],)
+    return lambda text: tuple(zip(*[line_id(line) for line in stripped_lines(text)]))
 
 
 def _signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,10 +75,10 @@ def _signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     size = 0
     for batch in batches:
-        for text in batch.column(0).to_pylist():
+        for text in texts_of(batch.column(0)):
             for line in stripped_lines(text or ""):
-                if line and (i := line_id(line)) not in seen:
-                    if len(seen) > 1_000_000:
+                if line and (i := line_id(line)[0]) not in seen:
+                    if len(seen) > SEEN:
                         seen.clear()
                     seen.add(i)
                     new[i] = line
@@ -86,17 +90,24 @@ def _signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows()
 
 
-def _sets():
-    seen: set[int] = set()
+def _sets(wanted: Broadcast):
+    def maker():
+        seen: set[int] = set()
+
+        def sets(text: str) -> tuple:
+            if len(seen) > SEEN:
+                seen.clear()
+            new: dict[int, tuple] = {}
+            for line in stripped_lines(text):
+                i, i2 = line_id(line)
+                if line and passes(wanted.value, i) and i not in seen:
+                    new[i] = (i2, line.encode("utf-8", "surrogatepass"))
+            seen.update(new)
+            return list(new), [i2 for i2, _ in new.values()], [line for _, line in new.values()]
 
-    def sets(text: str) -> tuple:
-        if len(seen) > 1_000_000:
-            seen.clear()
-        new = {i: line for line in stripped_lines(text) if line and (i := line_id(line)) not in seen}
-        seen.update(new)
-        return (list(new), list(new.values()))
+        return sets
 
-    return sets
+    return maker
 
 
 def line_sets(items: pd.Series) -> list[np.ndarray]:
@@ -121,27 +132,24 @@ def duplicate_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     Returns doc_id, n_lines (not blank), n_dropped, dropped (places of dropped
     lines, from 0), row.
     """
-    found = add_text_columns(docs, text, [doc_id], "ids array<long>", _ids)
+    found = add_text_columns(docs, text, [doc_id], "ids array<long>, ids2 array<long>", _ids)
     rows = stored(found.withColumn("row", F.monotonically_increasing_id()), "lines")
-    pairs = docs.select(F.col(text)).mapInArrow(_signatures, "id long, keys array<long>")
-
     def sets_of(ids: DataFrame) -> DataFrame:
-        lines = add_text_columns(docs, text, [], "ids array<long>, lines array<string>", _sets)
-        lines = lines.select(F.explode(F.arrays_zip("ids", "lines")).alias("x")).select(
-            F.col("x.ids").alias("id"), F.col("x.lines").alias("line")
-        )
-        some = lines.join(broadcast_if_small(ids, BROADCAST_IDS), "id", "left_semi").dropDuplicates(["id"])
-        # whole lines travel, which are smaller than their sets
-        return some.select("id", F.encode("line", "UTF-8").alias("items"), F.lit(0).cast("long").alias("fp"))
-
-    roots = similar_components(pairs, sets_of, similar, sets_from=line_sets)
-    places = rows.select(F.col(doc_id).alias("doc_id"), "row", F.posexplode("ids").alias("place", "id")).where("id <> 0")
-    labelled = places.join(roots, places["id"] == roots["node"], "left").select(
-        "doc_id", "row", "place", F.coalesce("root", "id").alias("label")
+        """Whole lines travel, which are smaller than their sets."""
+        lines = add_text_columns(docs, text, [], "id array<long>, id2 array<long>, items array<binary>", _sets(id_filter(ids)))
+        each = lines.select(F.inline(F.arrays_zip("id", "id2", "items"))).dropDuplicates(["id"])
+        return each.select("id", "id2", "items", F.lit(0).cast("long").alias("fp"))
+
+    roots = similar_components(docs.select(F.col(f"`{text}`")), sets_of, similar, sets_from=line_sets, signatures=_signatures)
+    each = F.arrays_zip(F.col("ids").alias("id"), F.col("ids2").alias("id2"))
+    places = rows.select(F.col(doc_id).alias("doc_id"), "row", F.posexplode(each).alias("place", "id")).where("id.id <> 0 or id.id2 <> 0")
+    labelled = stored(
+        places.join(roots, places["id"] == roots["node"], "left").select("doc_id", "row", "place", F.coalesce("root", "id").alias("label")), "labels"
     )
     at = F.struct("doc_id", "row", "place")
     first = labelled.groupBy("label").agg(F.count("*").alias("n"), F.min(at).alias("first")).where("n > 1")
-    first = first.select("label", F.col("first.row").alias("first_row"), F.col("first.place").alias("first_place"))
+    # written, so that the join below reads both sides from a shuffle, and a label with very many lines can be split
+    first = stored(first.select("label", F.col("first.row").alias("first_row"), F.col("first.place").alias("first_place")), "first")
     gone = labelled.join(first, "label").where("row <> first_row or place <> first_place")
     gone = gone.groupBy("row").agg(F.sort_array(F.collect_list("place")).alias("dropped"))
     return rows.join(gone, "row", "left").select(

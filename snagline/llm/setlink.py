@@ -1,9 +1,11 @@
 """Exact Jaccard links between sets that share a MinHash band.
 
-Signatures are one-permutation MinHash; bands of it are bucket keys.  Buckets
-with the same members are examined once.  Within a bucket, pairs that are not
-yet connected are compared on their whole sets, so what comes out is a set of
-edges that joins all sets which are similar enough and meet in a bucket.
+Signatures are one-permutation MinHash; bands of it are bucket keys.  Keys and
+ids travel once, packed by shards of the buckets, and only buckets with two
+members or more come out.  Buckets with the same members are examined once.
+Within a bucket, pairs that are not yet connected are compared on their whole
+sets, so what comes out is a set of edges that joins all sets which are similar
+enough and meet in a bucket.
 """
 
 from __future__ import annotations
@@ -12,19 +14,24 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snagline.llm.common import broadcast_if_small, shuffle_partitions, stored
+from snagline.llm.common import shuffle_partitions, stored
 from snagline.llm.components import connected_components
 from snagline.llm.simhash import Forest, GrayIndex, grouped_rows
 
 #: Members compared in one task at a time.
 CHUNK = 2048
-#: Up to so many shared buckets (8 bytes each) are broadcast.
-BROADCAST_BUCKETS = 1_000_000
+#: Keys that a task packs at a time (16 bytes each), and shards that share a hot bucket.
+PACKED_KEYS, HOT_SHARDS = 4_000_000, 64
+#: Bits of the broadcast filter of ids: 16 MB, whatever the number of ids.
+FILTER_BITS = 1 << 27
 #: Values looked up at a time, and bytes of items whose groups are compared together.
 PAIR_VALUES, BLOCK_BYTES = 2_000_000, 4_000_000
+Signatures = Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Times that a small set is hashed anew for its empty bins.
 REHASHED = 12
@@ -197,18 +204,32 @@ def grouped_blocks(batches: Iterable[pd.DataFrame], key: str) -> Iterator[pd.Dat
         yield pd.concat(held)
 
 
+def _numbered(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each distinct pair (a, b), and the number of the pair at each place."""
+    order = np.lexsort((b, a))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    return order[fresh], number
+
+
 def _linked(least: float, radius: int | None, sets_from: Callable[[pd.Series], list[np.ndarray]]):
+    def named(rows: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+        own, other = rows["id"].to_numpy(), rows["id2"].to_numpy()
+        return pd.DataFrame({"a": own[i], "a2": other[i], "b": own[j], "b2": other[j]})
+
     def linked(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if radius is None:
             for rows in grouped_blocks(batches, "key"):
-                rows = rows.drop_duplicates(["key", "id"])
-                ids, first, number = np.unique(rows["id"].to_numpy(), return_index=True, return_inverse=True)
+                rows = rows.drop_duplicates(["key", "id", "id2"])
+                first, number = _numbered(rows["id"].to_numpy(), rows["id2"].to_numpy())
                 cells = _Cells(sets_from(rows["items"].iloc[first]))
-                edges = ids[number[linked_pairs(rows["key"].to_numpy(), number, cells, least)]]
-                yield pd.DataFrame({"a": edges[:, 0], "b": edges[:, 1]})
+                edges = number[linked_pairs(rows["key"].to_numpy(), number, cells, least)]
+                yield named(rows, first[edges[:, 0]], first[edges[:, 1]])
             return
         for rows in grouped_rows(batches, "key"):
-            rows = rows.drop_duplicates("id")
+            rows = rows.drop_duplicates(["id", "id2"])
             sets = sets_from(rows["items"])
             edges, forest, n = [], Forest(len(sets)), len(sets)
             if n > 1:
@@ -219,70 +240,169 @@ def _linked(least: float, radius: int | None, sets_from: Callable[[pd.Series], l
                     later = j < q + at
                     _compare(sets, zip((q[later] + at).tolist(), j[later].tolist()), least, edges, forest)
                 _compare_rest(sets, least, edges, forest)
-            ids = rows["id"].to_numpy()
             i = np.array(edges, np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"a": ids[i[:, 0]], "b": ids[i[:, 1]]})
+            yield named(rows, i[:, 0], i[:, 1])
 
     return linked
 
 
-def _edges(tasks: DataFrame, sets: DataFrame, least: float, radius: int | None, sets_from) -> DataFrame:
-    """Edges within each key of tasks (key, id)."""
-    full = tasks.join(sets, "id").select("key", "id", "items", "fp")
+def _edges(tasks: DataFrame, sets_of, least: float, radius: int | None, sets_from) -> DataFrame:
+    """Edges (a, b) between ids of 128 bits within each key of tasks (key, id)."""
+    full = tasks.join(sets_of(tasks.select("id").distinct()), "id").select("key", "id", "id2", "items", "fp")
     dealt = full.repartition(shuffle_partitions(tasks.sparkSession), "key").sortWithinPartitions("key", "id")
-    return stored(dealt.mapInPandas(_linked(least, radius, sets_from), "a long, b long").distinct(), "links")
+    found = dealt.mapInPandas(_linked(least, radius, sets_from), "a long, a2 long, b long, b2 long").distinct()
+    node = lambda x: F.struct(F.col(x).alias("id"), F.col(f"{x}2").alias("id2"))
+    return stored(found.select(node("a").alias("a"), node("b").alias("b")), "links")
+
+
+def _packed(shards: int, hot: int):
+    """Rows (shard, buckets, ids, split) of the keys of a task, each pair once.
+
+    A bucket that has hot members or more in one task is dealt to several
+    shards by its members, and named in `split` there and at its own shard.
+    """
+
+    def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def rows() -> pa.RecordBatch:
+            bucket, id = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((id, bucket))
+            bucket, id = bucket[order], id[order]
+            fresh = np.ones(len(bucket), bool)
+            fresh[1:] = (bucket[1:] != bucket[:-1]) | (id[1:] != id[:-1])
+            bucket, id = bucket[fresh], id[fresh]
+            first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            n = np.diff(np.append(first, len(bucket)))
+            many = np.repeat(n >= hot, n)
+            shard = bucket % np.uint64(shards)
+            apart = np.flatnonzero(many)
+            part = mixed(bucket[apart] + np.uint64(1) + mixed(id[apart]) % np.uint64(HOT_SHARDS))
+            shard[apart] = part % np.uint64(shards)
+            own = bucket[first[n >= hot]]
+            marks = np.concatenate((own, bucket[apart])), np.concatenate((own % np.uint64(shards), shard[apart]))
+            order = np.argsort(shard, kind="stable")
+            bucket, id, shard = bucket[order], id[order], shard[order]
+            names = np.unique(np.concatenate((shard, marks[1])))
+            cuts = np.searchsorted(shard, names), np.searchsorted(shard, names, "right")
+            parts = [(int(s), bucket[a:b].tobytes(), id[a:b].tobytes(), np.unique(marks[0][marks[1] == s]).tobytes() if len(own) else b"") for s, a, b in zip(names, *cuts)]
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*parts), kinds)], ["shard", "buckets", "ids", "split"])
+
+        for batch in batches:
+            keys = batch.column(1)
+            lengths = np.diff(keys.offsets.to_numpy())
+            flat = keys.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            if len(flat):
+                held.append((flat, np.repeat(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), lengths)))
+                size += len(flat)
+            if size >= PACKED_KEYS:
+                yield rows()
+                held, size = [], 0
+        if held:
+            yield rows()
+
+    return packed
+
+
+def _shared(chunk: int):
+    """Rows (bucket, split, ids) for the buckets of a shard that have two members, or are split."""
+
+    def shared(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        whole = lambda c: np.frombuffer(b"".join(rows[c]), np.uint64)
+        bucket, id, split = whole("buckets"), whole("ids"), np.unique(whole("split"))
+        order = np.lexsort((id, bucket))
+        bucket, id = bucket[order], id[order]
+        fresh = np.ones(len(bucket), bool)
+        fresh[1:] = (bucket[1:] != bucket[:-1]) | (id[1:] != id[:-1])
+        bucket, id = bucket[fresh], id[fresh]
+        first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+        n = np.diff(np.append(first, len(bucket)))
+        of = np.isin(bucket[first], split)
+        out = []
+        for at, size, apart in zip(first[(n > 1) | of].tolist(), n[(n > 1) | of].tolist(), of[(n > 1) | of].tolist()):
+            members = id[at : at + size].view(np.int64)
+            name = int(bucket[at : at + 1].view(np.int64)[0])
+            for part in np.array_split(members, -(-size // chunk)):
+                out.append((name, apart or size > chunk, part))
+        return pd.DataFrame(out, columns=["bucket", "split", "ids"])
+
+    return shared
+
+
+def bucket_members(keys: DataFrame, chunk: int = CHUNK, signatures: Signatures | None = None) -> DataFrame:
+    """(bucket, split, ids): the members of every bucket of two or more, in rows of chunk at most.
+
+    keys has (id long, keys array<long>), repeats of an id allowed, or what
+    signatures makes that of.  Shards follow the partitions of the input, so
+    that one holds about as many keys as a task packs; a bucket that is hot in a
+    task is divided over many shards.
+    """
+    shards = max(shuffle_partitions(keys.sparkSession), keys.rdd.getNumPartitions())
+    pack = _packed(shards, chunk)
+    run = pack if signatures is None else lambda batches: pack(signatures(batches))
+    packed = keys.mapInArrow(run, "shard long, buckets binary, ids binary, split binary")
+    return packed.groupBy("shard").applyInPandas(_shared(chunk), "bucket long, split boolean, ids array<long>")
+
+
+def id_filter(ids: DataFrame, bits: int = FILTER_BITS) -> Broadcast:
+    """A broadcast bitmap with the lowest bits of every id set; its size does not depend on the ids."""
+    low = F.col("id").bitwiseAND(F.lit(bits - 1))
+    part = ids.select(F.shiftright(low, 15).alias("part"), low.bitwiseAND(F.lit(32767)).alias("bit"))
+    rows = part.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bitmap")).collect()  # bits / 32768 rows at most
+    whole = np.zeros(max(bits // 8, 4096), np.uint8)
+    for r in rows:
+        whole[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bitmap"], np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(whole)
+
+
+def passes(bitmap: np.ndarray, id: int) -> bool:
+    low = id & (len(bitmap) * 8 - 1)
+    return bool(bitmap[low >> 3] >> (low & 7) & 1)
 
 
 def similar_components(
-    keys: DataFrame, sets_of, least: float, radius: int | None = None, chunk: int = CHUNK, sets_from=packed_sets
+    keys: DataFrame, sets_of, least: float, radius: int | None = None, chunk: int = CHUNK, sets_from=packed_sets, *, signatures: Signatures | None = None
 ) -> DataFrame:
-    """(node, root) for every set that is linked to a smaller one.
+    """(node, root) for every set that is linked to a smaller one; both are structs (id, id2).
 
-    keys has (id, keys array<long>), repeats of an id allowed.  sets_of(ids)
-    gives (id, items, fp) for the ids of a DataFrame: items are bytes of which
-    sets_from makes the sorted distinct values of each set, fp a SimHash.  With a radius
-    the Gray-order index proposes the pairs of a bucket that are compared first;
-    then, or without one, all pairs that are not connected yet are compared.
+    keys has (id, keys array<long>), repeats of an id allowed, or what
+    signatures makes that of, batch by batch.  sets_of(ids) gives (id, id2, items, fp) for the ids of a DataFrame, and perhaps for
+    others, once each: id and id2 are 128 bits of the set, items are bytes of
+    which sets_from makes its sorted distinct values, fp a SimHash.  With a
+    radius the Gray-order index proposes the pairs of a bucket that are compared
+    first; then, or without one, all pairs that are not connected yet are
+    compared.
 
-    Buckets of more than chunk members are dealt into chunks.  If the members
+    Buckets of more than chunk members are divided into chunks.  If the members
     of such a bucket are not all connected after that, those outside its
     largest component are compared with every chunk.
     """
-    keys = stored(keys, "keys")
-    each = keys.select("id", F.explode("keys").alias("bucket"))
-    shared = each.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    shared = broadcast_if_small(stored(shared.select("bucket"), "shared"), BROADCAST_BUCKETS)
-    members = stored(each.join(shared, "bucket", "left_semi").distinct(), "members")
-    sizes = members.groupBy("bucket").agg(
-        F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("mark"), F.sum(F.xxhash64("id") % 1_000_003).alias("sum")
-    )
-    small = sizes.where(F.col("n") <= chunk).groupBy("n", "mark", "sum").agg(F.min("bucket").alias("bucket"))
-    chunks = F.ceil(F.col("n") / float(chunk))
-    kept = stored(
-        small.select("bucket", F.lit(1).cast("long").alias("chunks")).unionAll(
-            sizes.where(F.col("n") > chunk).select("bucket", chunks.alias("chunks"))
-        ),
-        "kept",
-    )
-    dealt = members.join(kept, "bucket").withColumn("chunk", F.pmod(F.xxhash64("bucket", "id"), F.col("chunks")))
-    dealt = stored(dealt, "dealt")
-    sets = stored(sets_of(dealt.select("id").distinct()), "sets")
-    edges = _edges(dealt.select(F.xxhash64("bucket", "chunk").alias("key"), "id"), sets, least, radius, sets_from)
+    groups = stored(bucket_members(keys, chunk, signatures), "buckets")
+    once = groups.where("not split").groupBy("ids").agg(F.min("bucket").alias("key"))
+    parts = groups.where("split").select("ids", F.xxhash64("bucket", F.element_at("ids", 1)).alias("key"), "bucket")
+    tasks = once.select("key", F.explode("ids").alias("id")).unionAll(parts.select("key", F.explode("ids").alias("id")))
+    tasks = stored(tasks, "tasks")
+    edges = _edges(tasks, sets_of, least, radius, sets_from)
     roots = connected_components(edges)
-    large = dealt.where("chunks > 1")
-    if large.isEmpty():
+    if parts.isEmpty():
         return roots
-    label = large.join(roots, large["id"] == roots["node"], "left").select(
-        "bucket", "chunk", "chunks", "id", F.coalesce("root", "id").alias("root")
+    members = parts.select("bucket", F.col("key").alias("chunk"), F.explode("ids").alias("id"))
+    label = members.join(roots.select(F.col("node.id").alias("id"), "root"), "id", "left").select(
+        "bucket", "chunk", "id", F.coalesce("root", F.struct("id", F.lit(None).cast("long").alias("id2"))).alias("root")
     )
     counts = label.groupBy("bucket", "root").count()
-    main = counts.groupBy("bucket").agg(F.max_by("root", "count").alias("main"))
-    rest = label.join(main, "bucket").where("root <> main")
-    rest = stored(rest.select("bucket", "chunks", "id", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("part")), "rest")
+    main = counts.groupBy("bucket").agg(F.max_by("root", "count").alias("main"), F.sum("count").alias("all"))
+    rest = label.join(main, "bucket").where("not root <=> main")
+    pieces = F.ceil(F.col("all") / float(chunk))
+    rest = stored(rest.select("bucket", "id", F.pmod(F.xxhash64("id"), pieces).alias("part")).distinct(), "rest")
     if rest.isEmpty():
         return roots
-    every = rest.select("bucket", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "id")
-    against = label.select("bucket", "chunk", "id").join(rest.select("bucket", "part").distinct(), "bucket")
-    tasks = every.select("bucket", "part", "chunk", "id").unionAll(against.select("bucket", "part", "chunk", "id"))
-    more = _edges(tasks.select(F.xxhash64("bucket", "part", "chunk").alias("key"), "id"), sets, least, radius, sets_from)
+    every = rest.join(parts.select("bucket", F.col("key").alias("chunk")).distinct(), "bucket")
+    against = members.join(rest.select("bucket", "part").distinct(), "bucket")
+    columns = ["bucket", "part", "chunk", "id"]
+    tasks = every.select(columns).unionAll(against.select(columns))
+    tasks = stored(tasks.select(F.xxhash64("bucket", "part", "chunk").alias("key"), "id"), "rest-tasks")
+    more = _edges(tasks, sets_of, least, radius, sets_from)
     return connected_components(edges.unionAll(more))

@@ -229,7 +229,7 @@ def simhash_components(
     """
     rows = stored(fingerprints(docs, text, [doc_id], words), "fingerprints")
     distinct = stored(rows.groupBy("fp").agg(F.min(doc_id).alias("least")), "distinct")
-    roots = connected_components(near_links(distinct, radius))
+    roots = connected_components(near_links(distinct, radius, SPLIT_AT))
     marked = distinct.join(roots, distinct["fp"] == roots["node"], "left")
     marked = marked.select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = marked.groupBy("root").agg(F.min("least").alias("component_id"))
