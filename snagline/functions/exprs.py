@@ -163,6 +163,7 @@ INTERVENTIONS = (
         r"|please (?:check|look|try))\b",
     ),
 )
+#: What makes a turn a question, and an ordinary request.
 QUESTION = r"\b(?:why|what|how|where|when|can you|could you)\b"
 ORDINARY = r"^(?:new (?:task|request)|next (?:task|project)|build |create |implement |write )"
 

@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snagline.functions.exprs import hashed_key, in_window, iso_week, key_of, present, stamp
+from snagline.functions.words import stems, tokens
 
 KINDS = ("cluster", "session", "week", "weekly")
+CATALOGUE_ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -157,23 +159,23 @@ def _rediscovered() -> Column:
     return (F.col("sessions") >= 2) & ((F.col("family") == "command") | (F.col("days") >= 2))
 
 
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-
-
 def phrase_matches(docs: DataFrame, phrases: DataFrame, doc: str = "path", text: str = "text", phrase: str = "phrase") -> DataFrame:
-    """(doc, phrase) where the phrase's tokens stand consecutively in the document.
+    """(doc, phrase) where the phrase's words stand consecutively in the document, by their stems.
 
-    Documents and phrases meet on the first token of the phrase, an equi-join;
-    the containment of the whole phrase is its residual condition.
+    Words of documents are kept with their place; those that begin like a word
+    of a phrase are stemmed and meet the phrases on the stem.  A place less the
+    word's offset in the phrase is where the phrase would begin; where all its
+    words agree on that, it stands.  No text is shuffled.
     """
-    asked = phrases.select(phrase).distinct().withColumn("_p", tokens(F.col(phrase))).where(F.size("_p") > 0)
-    asked = asked.select(phrase, F.element_at("_p", 1).alias("_t"), F.concat(F.lit(" "), F.array_join("_p", " "), F.lit(" ")).alias("_want"))
-    words = docs.select(doc, tokens(F.col(text)).alias("_w"))
-    firsts = words.select(doc, F.explode(F.array_distinct("_w")).alias("_t")).join(asked, "_t")
-    joined = words.select(F.col(doc).alias("_doc"), F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")).alias("_line"))
-    found = firsts.join(joined, F.col(doc) == F.col("_doc")).where(F.contains("_line", F.col("_want")))
-    return found.select(doc, phrase).distinct()
+    asked = phrases.select(F.col(phrase).alias("phrase")).distinct().withColumn("w", tokens(F.col("phrase"))).where(F.size("w") > 0)
+    asked = asked.select("phrase", F.size("w").alias("n"), F.posexplode("w").alias("offset", "word")).select("phrase", "n", "offset", stems("word").alias("stem"))
+    # stems keep the first letter; there are no more heads than characters
+    heads = F.broadcast(asked.select(F.substring("stem", 1, 1).alias("head")).distinct())
+    words = docs.select(F.col(doc).alias("doc"), F.posexplode(tokens(F.col(text))).alias("place", "word"))
+    words = words.join(heads, F.substring("word", 1, 1) == F.col("head"), "left_semi")
+    found = words.select("doc", "place", stems("word").alias("stem")).join(asked, "stem")
+    spots = found.groupBy("doc", "phrase", "n", (F.col("place") - F.col("offset")).alias("at")).agg(F.count_distinct("offset").alias("words"))
+    return spots.where("words = n").select(F.col("doc").alias(doc), F.col("phrase").alias(phrase)).distinct()
 
 
 def _live(rule_doc: DataFrame) -> DataFrame:
@@ -225,9 +227,12 @@ def unread_rules(span: Span, observation: DataFrame, rule_doc: DataFrame) -> Dat
 def gate_gaps(observation: DataFrame, catalog: DataFrame) -> DataFrame:
     """(obs_id, pack, id): commands that a deny rule matches and no allow rule of its pack does.
 
-    The catalogue is configuration, tens to hundreds of patterns, and is
-    matched as the small side of the join.
+    The catalogue is configuration, tens to hundreds of patterns; a join by a
+    pattern has no key, so it is the broadcast side, and a catalogue above
+    CATALOGUE_ROWS is refused.
     """
+    if catalog.limit(CATALOGUE_ROWS + 1).count() > CATALOGUE_ROWS:
+        raise ValueError(f"a gate catalogue has {CATALOGUE_ROWS} patterns at most")
     ran = observation.where(F.col("kind").isin("run_succeeded", "run_failed") & present("command"))
     # patterns see each distinct command once
     commands = ran.select(F.trim("command").alias("command")).distinct()
@@ -244,21 +249,29 @@ def _gate_gap(span: Span, observation: DataFrame, catalog: DataFrame) -> DataFra
 
 
 def cross_host(span: Span, bucket: DataFrame, report: DataFrame, weekly: bool = False) -> DataFrame:
-    """Signatures on two or more hosts; a bucket counts by whole days, both ends included."""
-    rows = bucket.join(report.select("host").distinct(), "host", "left_semi").where("events > 0")
+    """Signatures on two or more hosts; a bucket counts by whole days.
+
+    bucket and report have a host and a signature scheme, and only buckets of a
+    host's reported scheme count.  Clusters take the last day in; weeks end
+    before it, unless the end has a time of day.
+    """
+    accepted = report.select("host", "scheme").distinct()
+    rows = bucket.join(accepted, ["host", "scheme"], "left_semi").where("events > 0")
     first = F.to_date(F.lit(span.start))
-    last = F.date_add(first, span.days)
-    rows = rows.where((F.col("day") >= first) & (F.col("day") <= last))
     key = key_of("cross-host-signature", "sig_hash")
     if not weekly:
-        found = rows.groupBy("sig_hash").agg(
+        rows = rows.where((F.col("day") >= first) & (F.col("day") <= F.date_add(first, span.days)))
+        found = rows.groupBy("scheme", "sig_hash").agg(
             F.count_distinct("host").alias("sessions"), F.sum("events").alias("events"), F.min("first_seen").alias("first"), F.max("last_seen").alias("last")
         )
         return found.where("sessions >= 2").select(
             key.alias("key"), "sessions", "events", stamp("first").alias("first_seen"), stamp("last").alias("last_seen")
         )
-    good = rows.groupBy("sig_hash").agg(F.count_distinct("host").alias("hosts")).where("hosts >= 2")
-    rows = rows.join(good.select("sig_hash"), "sig_hash", "left_semi")
+    end = F.lit(span.end).cast("timestamp")
+    inside = (F.col("day") < F.to_date(end)) | ((F.col("day") == F.to_date(end)) & (F.date_trunc("day", end) != end))
+    rows = rows.where((F.col("day") >= first) & (inside if span.end else F.lit(True)))
+    good = rows.groupBy("scheme", "sig_hash").agg(F.count_distinct("host").alias("hosts")).where("hosts >= 2")
+    rows = rows.join(good.select("scheme", "sig_hash"), ["scheme", "sig_hash"], "left_semi")
     return rows.groupBy(key.alias("key"), iso_week(F.col("day").cast("timestamp")).alias("week")).agg(
         F.count_distinct("host").alias("sessions"), F.sum("events").alias("events")
     )
@@ -280,6 +293,82 @@ def _autonomy(span: Span, assessment: DataFrame, adjudication: DataFrame, episod
     )
 
 
+def session_hits(observation: DataFrame, spans: list[Span]) -> DataFrame:
+    """Hits of D-01, D-02, D-03, D-05 and D-07 in several windows, from one pass over the sessions.
+
+    Rows are dealt by session once: the next row, the windows a row lies in and
+    the last success of a command in each are all found there.  What D-07 leaves
+    out for edited files is a join with the edited paths.
+
+    Returns span (place in spans), detector_id, key, part (what groups besides
+    the key), session_id, ts_utc.
+    """
+    after = F.lead(F.struct("kind", "excerpt", "ts_utc")).over(Window.partitionBy("session_id").orderBy("obs_id"))
+    within = [F.when(in_window("ts_utc", s.start, s.end), F.lit(i)) for i, s in enumerate(spans)]
+    rows = observation.withColumn("after", after).withColumn("span", F.explode(F.array_compact(F.array(*within))))
+    kind, at = F.col("kind"), F.struct("ts_utc", "obs_id")
+    rows = rows.withColumn("thing", F.trim("command"))
+    group = Window.partitionBy("session_id", "span", "thing")
+    success = F.max(F.when(kind == "run_succeeded", at)).over(group)
+    failed = (kind == "run_failed") & present("command")
+    rows = rows.withColumn("success", success).withColumn("still", failed & (F.col("success").isNull() | (at > F.col("success"))))
+    rows = rows.withColumn("n", F.sum(F.col("still").cast("int")).over(group))
+    signed = present("signature") & F.col("sig_hash").isNotNull()
+    missing = (kind == "run_failed") & present("program") & signed & F.lower("signature").like("%command not found%")
+    next_inside = F.lit(False)
+    for i, s in enumerate(spans):
+        next_inside = next_inside | ((F.col("span") == i) & in_window("after.ts_utc", s.start, s.end))
+    corrected = (F.col("after.kind") == "user_turn_after_correction") & present(F.col("after.excerpt")) & next_inside
+    family = F.when(kind.isin("run", "run_succeeded", "run_failed") & present("command"), "command").when((kind == "file_read") & present("path"), "file")
+    named = F.when(family == "file", F.trim("path")).otherwise(F.col("thing"))
+    hit = lambda on, name, key, part=F.lit(""): F.when(on, F.struct(F.lit(name).alias("detector_id"), key.alias("key"), part.alias("part")))
+    hits = [
+        hit(missing, "D-01", key_of("command-not-found", "program")),
+        hit(kind.isin("run_failed", "tool_error") & signed, "D-02", F.substring("signature", 1, 240), F.col("sig_hash")),
+        hit(F.col("still") & (F.col("n") >= 3), "D-03", F.substring("thing", 1, 240)),
+        hit((kind == "tool_rejected") & corrected & present("tool"), "D-05", key_of("tool-rejected", F.trim("tool"), F.trim("after.excerpt"))),
+        hit(family.isNotNull(), "D-07", hashed_key(F.concat_ws(":", F.lit("rediscovery"), family, named)), family),
+    ]
+    each = rows.select("span", "session_id", "ts_utc", F.trim("path").alias("thing"), F.explode(F.array_compact(F.array(*hits))).alias("hit"))
+    each = each.select("span", "hit.*", "session_id", "ts_utc", F.when(F.col("hit.part") == "file", F.col("thing")).alias("file"))
+    edits = observation.where(present("path") & kind.isin("file_edit", "file_write", "file_changed"))
+    edits = edits.select(F.trim("path").alias("file"), F.explode(F.array_compact(F.array(*within))).alias("span")).distinct()
+    return each.join(edits, ["file", "span"], "left_anti").drop("file")
+
+
+#: Of the detectors that session_hits finds: which groups count.
+def _counts() -> Column:
+    twice = F.col("sessions") >= 2
+    seven = twice & ((F.col("part") == "command") | (F.col("days") >= 2))
+    return F.when(F.col("detector_id").isin("D-01", "D-02"), twice).when(F.col("detector_id") == "D-07", seven).otherwise(True)
+
+
+def daily_cells(hits: DataFrame) -> DataFrame:
+    """Hits of session_hits counted by span, detector, key, session and day."""
+    by = hits.groupBy("span", "detector_id", "key", "part", "session_id", F.to_date("ts_utc").alias("day"))
+    return by.agg(F.count("*").alias("n"), F.min("ts_utc").alias("first"), F.max("ts_utc").alias("last"))
+
+
+def clusters_of(cells: DataFrame) -> DataFrame:
+    """Clusters (with span, detector_id and part) of daily cells."""
+    found = cells.groupBy("span", "detector_id", "key", "part").agg(
+        F.count_distinct("session_id").alias("sessions"),
+        F.count_distinct("day").alias("days"),
+        F.sum("n").alias("events"),
+        F.min("first").alias("first"),
+        F.max("last").alias("last"),
+    )
+    found = found.where(_counts())
+    columns = ("sessions", "events", stamp("first").alias("first_seen"), stamp("last").alias("last_seen"))
+    return found.select("span", "detector_id", "key", "part", *columns)
+
+
+def counted_cells(cells: DataFrame) -> DataFrame:
+    """Daily cells of the groups that qualify over their whole window; cells may be a stored table."""
+    good = clusters_of(cells).select("span", "detector_id", "key", "part")
+    return cells.join(good, ["span", "detector_id", "key", "part"], "left_semi")
+
+
 DETECTORS = {
     d.id: d
     for d in (

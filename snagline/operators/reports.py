@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from snagline.functions.exprs import known_amount, priority
+from snagline.functions.exprs import iso_week, known_amount, priority
 
 
 def ranked(clusters: DataFrame, now: str, days: int, limit: int | None = None) -> DataFrame:
@@ -29,8 +29,8 @@ def equal_split_waste(hits: DataFrame, usage: DataFrame) -> DataFrame:
     hits has (detector_id, key, session_id), one row each.  An unknown amount
     of any session makes the cluster's amount unknown, never zero.
     """
-    shares = hits.groupBy("session_id").agg(F.count("*").alias("hits"))
-    rows = hits.join(shares, "session_id").join(usage, "session_id", "left")
+    shared = hits.withColumn("hits", F.count("*").over(Window.partitionBy("session_id")))
+    rows = shared.join(usage, "session_id", "left")
 
     def split(column: str):
         amount = known_amount(column)
@@ -41,21 +41,63 @@ def equal_split_waste(hits: DataFrame, usage: DataFrame) -> DataFrame:
     )
 
 
-def weekly_waste(cells: DataFrame, usage: DataFrame) -> DataFrame:
-    """The same per (detector_id, key, week); a session's shares count within its week."""
-    shares = cells.groupBy("session_id", "week").agg(F.count("*").alias("hits"))
-    rows = cells.join(shares, ["session_id", "week"]).join(usage, "session_id", "left")
+def weekly_waste(hits: DataFrame, cells: DataFrame, usage: DataFrame) -> DataFrame:
+    """Cost of sessions, split equally among the weekly cells they are in, of all detectors and weeks.
+
+    hits has (detector_id, key, week, session_id), cells the (detector_id, key,
+    week) that are kept; hits of other cells do not count.  The shares of a
+    session never add up to more than its cost.  A cell without hits, or with a
+    session of unknown cost, has an unknown amount.
+    """
+    cell = ["detector_id", "key", "week"]
+    own = hits.select(*cell, "session_id").distinct().join(cells.select(*cell).distinct(), cell, "left_semi")
+    own = own.withColumn("hits", F.count("*").over(Window.partitionBy("session_id")))
+    rows = own.join(usage, "session_id", "left")
     amount = known_amount("cost_usd")
     waste = F.when(F.count(amount) == F.count("*"), F.round(F.sum(amount / F.col("hits")), 6))
-    return rows.groupBy("detector_id", "key", "week").agg(F.count("*").alias("sessions"), waste.alias("est_waste_usd"))
+    found = rows.groupBy(*cell).agg(F.count("*").alias("sessions"), waste.alias("est_waste_usd"))
+    kept = cells.select(*cell).distinct().join(found, cell, "left")
+    return kept.select(*cell, F.coalesce("sessions", F.lit(0)).cast("long").alias("sessions"), "est_waste_usd")
+
+
+def monday_of(week: str | Column) -> Column:
+    """The first day of YYYY-Www: the week of 4 January is the first."""
+    week = F.col(week) if isinstance(week, str) else week
+    first = F.trunc(F.to_date(F.concat(F.substring(week, 1, 4), F.lit("-01-04"))), "week")
+    return F.date_add(first, (F.substring(week, 7, 2).cast("int") - 1) * 7)
+
+
+def _calendars(cells: DataFrame, weeks: int) -> DataFrame:
+    """(detector_id, labels, history): the trailing weeks up to a detector's last one, and how many of them it has."""
+    seen = cells.groupBy("detector_id").agg(F.collect_set("week").alias("seen"))
+    last = monday_of(F.array_max("seen"))
+    label = lambda back: iso_week(F.date_add(last, -7 * back).cast("timestamp"))
+    labels = F.transform(F.sequence(F.lit(weeks - 1), F.lit(0)), label)
+    out = seen.select("detector_id", "seen", labels.alias("labels"))
+    return out.select("detector_id", "labels", F.size(F.array_intersect("labels", "seen")).alias("history"))
+
+
+def _series(cells: DataFrame, weeks: int) -> DataFrame:
+    """(detector_id, key, points, history, quiet): a point for each week of the detector's calendar, zero where a cell lacks.
+
+    quiet says that the cluster has no cell in any week but the last of the calendar.
+    """
+    own = F.map_from_entries(F.collect_list(F.struct("week", F.struct("sessions", "events"))))
+    by = cells.groupBy("detector_id", "key").agg(own.alias("own"))
+    rows = by.join(_calendars(cells, weeks), "detector_id")
+    zero = F.struct(F.lit(0).cast("long").alias("sessions"), F.lit(0).cast("long").alias("events"))
+
+    def point(week: Column) -> Column:
+        cell = F.coalesce(F.try_element_at(F.col("own"), week), zero)
+        return F.struct(week.alias("week"), cell["sessions"].alias("sessions"), cell["events"].alias("events"))
+
+    active = F.map_filter("own", lambda week, x: (week != F.element_at("labels", -1)) & ((x["sessions"] > 0) | (x["events"] > 0)))
+    return rows.select("detector_id", "key", "history", F.transform("labels", point).alias("points"), (F.size(F.map_keys(active)) == 0).alias("quiet"))
 
 
-def zero_filled(cells: DataFrame, weeks: DataFrame) -> DataFrame:
-    """cells (detector_id, key, week, sessions, events) with a row for each of the weeks (a small calendar)."""
-    keys = cells.select("detector_id", "key").distinct()
-    grid = keys.join(F.broadcast(weeks.select("week").distinct()))
-    full = grid.join(cells, ["detector_id", "key", "week"], "left")
-    return full.select("detector_id", "key", "week", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("sessions", "events")])
+def zero_filled(cells: DataFrame, weeks: int = 12) -> DataFrame:
+    """cells (detector_id, key, week, sessions, events; one row a week) over the trailing weeks of each detector."""
+    return _series(cells, weeks).select("detector_id", "key", F.inline("points"))
 
 
 def _ewma(values, alpha: float):
@@ -70,26 +112,26 @@ def _deviation(values):
     return F.sqrt(square / F.size(values))
 
 
-def trends(cells: DataFrame, weeks: DataFrame, minimum: int = 3, alpha: float = 0.3, sigmas: float = 2.0) -> DataFrame:
+def trends(cells: DataFrame, weeks: int = 12, minimum: int = 6, alpha: float = 0.3, sigmas: float = 2.0) -> DataFrame:
     """New and accelerating clusters: the last week against a band over the weeks before it.
 
-    The level is an exponential average seeded by the first week, the band
-    `sigmas` population deviations of the same weeks above it.  Fewer weeks
-    than the minimum give insufficient_history; quiet clusters give no row.
+    Each detector has its own calendar of the trailing weeks up to the last one
+    it has; weeks without a cell count zero.  The level is an exponential average
+    seeded by the first week, the band `sigmas` population deviations of the same
+    weeks above it.  A detector that has fewer weeks than the minimum gives
+    insufficient_history; quiet clusters give no row.
     """
-    full = zero_filled(cells, weeks)
-    series = full.groupBy("detector_id", "key").agg(F.array_sort(F.collect_list(F.struct("week", "sessions", "events"))).alias("all"))
-    n = F.size("all")
-    series = series.withColumn("last", F.element_at("all", -1)).withColumn("prior", F.slice("all", 1, n - 1))
+    n = F.size("points")
+    series = _series(cells, weeks).withColumn("last", F.element_at("points", -1)).withColumn("prior", F.slice("points", F.lit(1), n - 1))
     for c in ("sessions", "events"):
         values = F.transform(f"prior.{c}", lambda x: x.cast("double"))
         series = series.withColumn(f"{c}_band", _ewma(values, alpha) + sigmas * _deviation(values))
         series = series.withColumn(f"{c}_excess", F.col(f"last.{c}") - F.col(f"{c}_band"))
-    seen = F.exists("prior", lambda x: (x["sessions"] > 0) | (x["events"] > 0))
     active = (F.col("last.sessions") > 0) | (F.col("last.events") > 0)
+    armed = F.col("history") >= minimum
     status = (
-        F.when(n < minimum, "insufficient_history")
-        .when(~seen & active, "new")
+        F.when(~armed, "insufficient_history")
+        .when(F.col("quiet") & active, "new")
         .when((F.col("sessions_excess") > 0) | (F.col("events_excess") > 0), "accelerating")
     )
     metric = F.when(F.col("events_excess") >= F.col("sessions_excess"), "events").otherwise("sessions")
@@ -101,8 +143,8 @@ def trends(cells: DataFrame, weeks: DataFrame, minimum: int = 3, alpha: float =
         F.col("last.week").alias("week"),
         F.col("last.sessions").alias("sessions"),
         F.col("last.events").alias("events"),
-        metric.alias("metric"),
-        F.round(F.greatest("events_excess", "sessions_excess"), 6).alias("excess"),
+        F.when(armed, metric).alias("metric"),
+        F.when(armed, F.round(F.greatest("events_excess", "sessions_excess"), 6)).alias("excess"),
     )
 
 
@@ -196,7 +238,8 @@ def shape_drift(counts: DataFrame, newest: int = 2, history: int = 8, armed: int
     """Record types whose recent count left the lower median of the runs before.
 
     counts has (source, run, record_type, n).  The newest runs of a source are
-    pooled; types that a run lacks count zero there.
+    pooled; types that a run lacks count zero there.  A type appeared when no
+    run of the history has it at all.
     """
     runs = counts.select("source", "run").distinct()
     place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("run")))
@@ -210,12 +253,13 @@ def shape_drift(counts: DataFrame, newest: int = 2, history: int = 8, armed: int
         F.expr(f"percentile_disc(0.5) within group (order by case when place > {newest} then coalesce(n, 0) end)")
         .cast("long")
         .alias("median"),
+        F.max(F.when(old, n)).alias("most"),
         F.count(F.when(old, 1)).alias("runs"),
     )
     verdict = (
         F.when(F.col("runs") < armed, "unarmed")
         .when((F.col("median") > 0) & (F.col("recent") == 0), "vanished")
-        .when((F.col("median") == 0) & (F.col("recent") > 0), "appeared")
+        .when((F.col("most") == 0) & (F.col("recent") > 0), "appeared")
         .otherwise("steady")
     )
     return out.select("source", "record_type", "recent", "median", verdict.alias("verdict"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -234,22 +233,24 @@ def d09(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _BUCKETS = f"""{OBS}, bucket AS (SELECT host, CAST(ts_utc AS DATE) AS day, substr(sha256(signature), 1, 12) AS sig_hash, count(*) AS events,
   min(ts_utc) AS a, max(ts_utc) AS b FROM obs WHERE kind = 'run_failed' GROUP BY ALL),
-  rows AS (SELECT * FROM bucket WHERE host <> 'host5' AND day >= DATE '2024-01-15' AND day <= DATE '2024-01-31')"""
+  rows AS (SELECT * FROM bucket WHERE host <> 'host5' AND day >= DATE '2024-01-15' AND day {{last}} DATE '2024-01-31')"""
 
 
 @query(
     "d11_cluster",
-    f"""WITH {_BUCKETS} SELECT 'cross-host-signature:' || sig_hash AS key, count(DISTINCT host) AS sessions, CAST(sum(events) AS BIGINT) AS events,
+    f"""WITH {_BUCKETS.replace('{last}', '<=')} SELECT 'cross-host-signature:' || sig_hash AS key, count(DISTINCT host) AS sessions, CAST(sum(events) AS BIGINT) AS events,
       {_stamp('min(a)')} AS first_seen, {_stamp('max(b)')} AS last_seen FROM rows GROUP BY sig_hash HAVING count(DISTINCT host) >= 2""",
 )
 def d11(spark: SparkSession, sf_dir: str, weekly: bool = False) -> DataFrame:
-    bucket = A.host_buckets(A.observations(spark, sf_dir))
-    return D.cross_host(LATE, bucket, bucket.select("host").where("host <> 'host5'"), weekly)
+    bucket = A.host_buckets(A.observations(spark, sf_dir)).withColumn("scheme", F.lit("v1"))
+    # host5 reports another scheme, so its buckets do not count
+    report = bucket.select("host", F.when(F.col("host") == "host5", "v0").otherwise("v1").alias("scheme"))
+    return D.cross_host(LATE, bucket, report, weekly)
 
 
 @query(
     "d11_weekly",
-    f"""WITH {_BUCKETS} SELECT 'cross-host-signature:' || sig_hash AS key, strftime(day, '%G-W%V') AS week, count(DISTINCT host) AS sessions,
+    f"""WITH {_BUCKETS.replace('{last}', '<')} SELECT 'cross-host-signature:' || sig_hash AS key, strftime(day, '%G-W%V') AS week, count(DISTINCT host) AS sessions,
       CAST(sum(events) AS BIGINT) AS events FROM rows WHERE sig_hash IN (SELECT sig_hash FROM rows GROUP BY 1 HAVING count(DISTINCT host) >= 2)
       GROUP BY ALL""",
 )
@@ -259,7 +260,7 @@ def d11_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "cross_host_contributors",
-    f"""WITH {_BUCKETS}, per AS (SELECT sig_hash, host, sum(events) AS events, string_agg(strftime(day, '%Y-%m-%d'), ';' ORDER BY day) AS days
+    f"""WITH {_BUCKETS.replace('{last}', '<=')}, per AS (SELECT sig_hash, host, sum(events) AS events, string_agg(strftime(day, '%Y-%m-%d'), ';' ORDER BY day) AS days
       FROM bucket GROUP BY ALL) SELECT sig_hash, count(*) AS hosts, CAST(sum(events) AS BIGINT) AS events,
       string_agg(host || '=' || days, '|' ORDER BY host || '=' || days) AS contributors FROM per GROUP BY sig_hash""",
 )
@@ -272,19 +273,28 @@ def cross_host_contributors(spark: SparkSession, sf_dir: str) -> DataFrame:
 SEVERAL = ("D-01", "D-02", "D-03", "D-05", "D-07")
 
 
+def cells(spark: SparkSession, sf_dir: str, *spans: D.Span) -> DataFrame:
+    """Daily cells of the five detectors in all windows, from one pass over the observations."""
+    return D.daily_cells(D.session_hits(A.observations(spark, sf_dir), list(spans)))
+
+
 def clusters(spark: SparkSession, sf_dir: str, span: D.Span = SPAN) -> DataFrame:
-    each = [run_detector(spark, sf_dir, d, "cluster", span).withColumn("detector_id", F.lit(d)) for d in SEVERAL]
-    return reduce(DataFrame.unionByName, each)
+    return D.clusters_of(cells(spark, sf_dir, span)).drop("span", "part")
 
 
 def cluster_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = [run_detector(spark, sf_dir, d, "session", SPAN).withColumn("detector_id", F.lit(d)) for d in SEVERAL]
-    return reduce(DataFrame.unionByName, each)
+    return D.counted_cells(cells(spark, sf_dir, SPAN)).select("detector_id", "key", "session_id").distinct()
 
 
 def cluster_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = [run_detector(spark, sf_dir, d, "weekly", SPAN).withColumn("detector_id", F.lit(d)) for d in SEVERAL]
-    return reduce(DataFrame.unionByName, each)
+    by = D.counted_cells(cells(spark, sf_dir, SPAN)).groupBy("detector_id", "key", E.iso_week(F.col("day").cast("timestamp")).alias("week"))
+    return by.agg(F.count_distinct("session_id").alias("sessions"), F.sum("n").alias("events"))
+
+
+def two_windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Clusters of the later and of the earlier window, out of one pass."""
+    both = D.clusters_of(cells(spark, sf_dir, LATE, FIRST_HALF))
+    return tuple(both.where(F.col("span") == i).drop("span", "part") for i in (0, 1))
 
 
 def _several(kind: str, span: D.Span = SPAN) -> str:
@@ -323,38 +333,42 @@ def waste_equal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cells_sql() -> str:
     parts = []
-    for d in ("D-01", "D-02"):
+    for d in SEVERAL:
         views, hits, groups, having = _hits_sql(SPAN)[d]
         parts.append(
             f"""SELECT '{d}' AS detector_id, * FROM (WITH {views}, {hits}, good AS (SELECT {groups} FROM hits GROUP BY {groups} HAVING {having})
-            SELECT DISTINCT key, session_id, strftime(ts_utc, '%G-W%V') AS week FROM hits JOIN good USING ({groups}))"""
+            SELECT key, session_id, strftime(ts_utc, '%G-W%V') AS week, count(*) AS n FROM hits JOIN good USING ({groups}) GROUP BY ALL)"""
         )
     return " UNION ALL ".join(parts)
 
 
 @query(
     "weekly_waste",
-    f"""WITH {USAGE}, cells AS ({_cells_sql()}), shares AS (SELECT session_id, week, count(*) AS hits FROM cells GROUP BY 1, 2)
+    f"""WITH {USAGE}, cells AS ({_cells_sql()}), kept AS (SELECT detector_id, key, week FROM cells GROUP BY ALL HAVING sum(n) >= 2),
+      own AS (SELECT cells.* FROM cells JOIN kept USING (detector_id, key, week)),
+      shares AS (SELECT session_id, count(*) AS hits FROM own GROUP BY 1)
       SELECT detector_id, key, week, count(*) AS sessions, {_split('cost_usd')} AS est_waste_usd
-      FROM cells JOIN shares USING (session_id, week) LEFT JOIN usage USING (session_id) GROUP BY ALL""",
+      FROM own JOIN shares USING (session_id) LEFT JOIN usage USING (session_id) GROUP BY ALL""",
 )
 def weekly_waste(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = []
-    for d in ("D-01", "D-02"):
-        one = D.DETECTORS[d]
-        hits = D._qualified(one.hits(SPAN, **detector_inputs(spark, sf_dir, d)), one.groups, one.qualifies)
-        cells.append(hits.select(F.lit(d).alias("detector_id"), "key", "session_id", E.iso_week("ts_utc").alias("week")).distinct())
-    return R.weekly_waste(cells[0].unionByName(cells[1]), A.usage(spark, sf_dir))
+    week = E.iso_week(F.col("day").cast("timestamp")).alias("week")
+    hits = D.counted_cells(cells(spark, sf_dir, SPAN)).select("detector_id", "key", week, "session_id", "n")
+    kept = hits.groupBy("detector_id", "key", "week").agg(F.sum("n").alias("n")).where("n >= 2")
+    return R.weekly_waste(hits, kept, A.usage(spark, sf_dir))
 
 
-_GRID = f"""cw AS ({_several('weekly')}), grid AS (SELECT detector_id, key, week, coalesce(sessions, 0) AS sessions, coalesce(events, 0) AS events
-  FROM (SELECT DISTINCT detector_id, key FROM cw) CROSS JOIN (SELECT DISTINCT week FROM cw) LEFT JOIN cw USING (detector_id, key, week))"""
+_GRID = f"""cw AS ({_several('weekly')}), cal AS (SELECT CAST(d AS DATE) AS d, strftime(d, '%G-W%V') AS week
+    FROM (SELECT unnest(range(TIMESTAMP '2023-01-02', TIMESTAMP '2025-12-29', INTERVAL 7 DAY)) AS d)),
+  ends AS (SELECT detector_id, max(d) AS last FROM cw JOIN cal USING (week) GROUP BY 1),
+  labels AS (SELECT detector_id, week, d = last AS newest FROM ends JOIN cal ON d > last - 84 AND d <= last),
+  hist AS (SELECT detector_id, count(DISTINCT week) AS history FROM labels JOIN cw USING (detector_id, week) GROUP BY 1),
+  grid AS (SELECT detector_id, key, week, newest, coalesce(sessions, 0) AS sessions, coalesce(events, 0) AS events
+    FROM (SELECT DISTINCT detector_id, key FROM cw) JOIN labels USING (detector_id) LEFT JOIN cw USING (detector_id, key, week))"""
 
 
 @query("weekly_zero_filled", f"WITH {_GRID} SELECT detector_id, key, week, sessions, events FROM grid")
 def weekly_zero_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = cluster_weeks(spark, sf_dir)
-    return R.zero_filled(cells, cells.select("week"))
+    return R.zero_filled(cluster_weeks(spark, sf_dir))
 
 
 def _band_sql(c: str) -> str:
@@ -362,20 +376,27 @@ def _band_sql(c: str) -> str:
     return f"({level} + 2 * list_aggregate([CAST(x.{c} AS DOUBLE) FOR x IN prior], 'stddev_pop'))"
 
 
-@query(
-    "trend_ewma",
-    f"""WITH {_GRID}, series AS (SELECT detector_id, key, list(struct_pack(week := week, sessions := sessions, events := events) ORDER BY week) AS a
-      FROM grid GROUP BY ALL), parts AS (SELECT *, a[-1] AS l, a[1:len(a) - 1] AS prior FROM series),
+def _trend_sql(minimum: int) -> str:
+    return f"""WITH {_GRID}, series AS (SELECT detector_id, key, list(struct_pack(week := week, sessions := sessions, events := events) ORDER BY week) AS a
+      FROM grid GROUP BY ALL), parts AS (SELECT *, a[-1] AS l, a[1:len(a) - 1] AS prior FROM series JOIN hist USING (detector_id)),
+      before AS (SELECT DISTINCT detector_id, key FROM cw LEFT JOIN labels USING (detector_id, week) WHERE NOT coalesce(newest, false) AND (sessions > 0 OR events > 0)),
       ex AS (SELECT *, l.events - {_band_sql('events')} AS ee, l.sessions - {_band_sql('sessions')} AS se FROM parts),
-      st AS (SELECT *, CASE WHEN len(a) < 3 THEN 'insufficient_history'
-        WHEN len([x FOR x IN prior IF x.sessions > 0 OR x.events > 0]) = 0 AND (l.sessions > 0 OR l.events > 0) THEN 'new'
-        WHEN ee > 0 OR se > 0 THEN 'accelerating' END AS status FROM ex)
+      st AS (SELECT ex.*, CASE WHEN history < {minimum} THEN 'insufficient_history'
+        WHEN before.key IS NULL AND (l.sessions > 0 OR l.events > 0) THEN 'new'
+        WHEN ee > 0 OR se > 0 THEN 'accelerating' END AS status FROM ex LEFT JOIN before ON before.detector_id = ex.detector_id AND before.key = ex.key)
       SELECT detector_id, key, status, l.week AS week, l.sessions AS sessions, l.events AS events,
-        CASE WHEN ee >= se THEN 'events' ELSE 'sessions' END AS metric, round(greatest(ee, se), 6) AS excess FROM st WHERE status IS NOT NULL""",
-)
+        CASE WHEN history < {minimum} THEN NULL WHEN ee >= se THEN 'events' ELSE 'sessions' END AS metric,
+        CASE WHEN history >= {minimum} THEN round(greatest(ee, se), 6) END AS excess FROM st WHERE status IS NOT NULL"""
+
+
+@query("trend_ewma", _trend_sql(3))
 def trend_ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = cluster_weeks(spark, sf_dir)
-    return R.trends(cells, cells.select("week"))
+    return R.trends(cluster_weeks(spark, sf_dir), 12, 3)
+
+
+@query("trend_insufficient", _trend_sql(6))
+def trend_insufficient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.trends(cluster_weeks(spark, sf_dir))
 
 
 @query(
@@ -409,7 +430,7 @@ def recurrence_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def digest_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = spark.createDataFrame([("D-03", "cmd1")], "detector_id string, key string")
-    return R.digest(clusters(spark, sf_dir, LATE), clusters(spark, sf_dir, FIRST_HALF), gone)
+    return R.digest(*two_windows(spark, sf_dir), gone)
 
 
 @query(
@@ -420,8 +441,9 @@ def digest_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM o FULL JOIN n ON o.detector_id = n.detector_id AND o.key = n.key WHERE n.key IS NOT NULL OR o.state <> 'open'""",
 )
 def cluster_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = clusters(spark, sf_dir, FIRST_HALF).withColumn("state", F.when(F.col("sessions") % 3 == 0, "dismissed").otherwise("open"))
-    return R.refreshed_clusters(old, clusters(spark, sf_dir, LATE))
+    new, old = two_windows(spark, sf_dir)
+    old = old.withColumn("state", F.when(F.col("sessions") % 3 == 0, "dismissed").otherwise("open"))
+    return R.refreshed_clusters(old, new)
 
 
 @query(
@@ -599,9 +621,9 @@ def record_type_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
       g AS (SELECT r.source, t.record_type, place, coalesce(n, 0) AS n FROM r JOIN (SELECT DISTINCT source, record_type FROM c) t USING (source)
         LEFT JOIN c ON c.source = r.source AND c.run = r.run AND c.record_type = t.record_type WHERE place <= 10),
       x AS (SELECT source, record_type, CAST(sum(CASE WHEN place <= 2 THEN n END) AS BIGINT) AS recent,
-        CAST(quantile_disc(CASE WHEN place > 2 THEN n END, 0.5) AS BIGINT) AS median, count(CASE WHEN place > 2 THEN 1 END) AS runs FROM g GROUP BY ALL)
+        CAST(quantile_disc(CASE WHEN place > 2 THEN n END, 0.5) AS BIGINT) AS median, max(CASE WHEN place > 2 THEN n END) AS most, count(CASE WHEN place > 2 THEN 1 END) AS runs FROM g GROUP BY ALL)
       SELECT source, record_type, recent, median, CASE WHEN runs < 3 THEN 'unarmed' WHEN median > 0 AND recent = 0 THEN 'vanished'
-        WHEN median = 0 AND recent > 0 THEN 'appeared' ELSE 'steady' END AS verdict FROM x""",
+        WHEN most = 0 AND recent > 0 THEN 'appeared' ELSE 'steady' END AS verdict FROM x""",
 )
 def parse_shape_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.shape_drift(_shapes(spark, sf_dir))
@@ -671,8 +693,8 @@ def fair_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.fair_order(rows, "c_nationkey", [F.desc("c_acctbal"), F.asc("c_custkey")]).select("c_custkey", "c_nationkey", "round")
 
 
-_CALLS = """calls AS (SELECT 'u' || user_id AS session_id, event_id // 7 AS tool_use_id, event_id AS at,
-    CASE WHEN event_id % 3 <> 0 THEN 'cmd' END AS command FROM events WHERE event_id % 7 = 0),
+_CALLS = """calls AS (SELECT 'u' || user_id AS session_id, event_id AS tool_use_id, event_id AS at,
+    CASE WHEN event_id % 3 <> 0 THEN 'cmd' END AS command FROM events),
   results AS (SELECT c.session_id, c.tool_use_id, d AS at, c.at % 4 = 0 AS is_error, c.at % 5 = 0 AS rejected,
     CASE WHEN c.at % 2 = 0 THEN 'Exit code ' || (c.at % 3 + d) || chr(10) || 'boom' ELSE 'fine' END AS text
     FROM calls c, (VALUES (0), (1)) AS t(d) WHERE c.at % 6 <> 0)"""
@@ -688,10 +710,10 @@ _CALLS = """calls AS (SELECT 'u' || user_id AS session_id, event_id // 7 AS tool
         WHEN command IS NOT NULL THEN 'run' WHEN coalesce(is_error, false) THEN 'tool_error' ELSE 'tool' END AS kind FROM x""",
 )
 def paired_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = A.table(spark, sf_dir, "events").where("event_id % 7 = 0")
+    e = A.table(spark, sf_dir, "events")
     i = F.col("event_id")
     calls = e.select(
-        F.concat(F.lit("u"), "user_id").alias("session_id"), F.floor(i / 7).alias("tool_use_id"), i.alias("at"), F.when(i % 3 != 0, "cmd").alias("command")
+        F.concat(F.lit("u"), "user_id").alias("session_id"), i.alias("tool_use_id"), i.alias("at"), F.when(i % 3 != 0, "cmd").alias("command")
     )
     at = F.col("at")
     text = F.when(at % 2 == 0, F.concat(F.lit("Exit code "), at % 3 + F.col("d"), F.lit("\nboom"))).otherwise("fine")
@@ -749,32 +771,47 @@ def funnel_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.funnel(rows, ["signup", "view", "purchase"])
 
 
-@query("episodes")
-def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.episodes(_requests(spark, sf_dir))
-
-
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interactions in which every third request asks for an action."""
-    action = F.concat(F.lit("please fix item "), F.col("session_key") % 5, F.lit("-"), F.floor(F.col("ordinal") / 4))
-    asks = (F.col("origin") == "human_request") & ((F.col("session_key") + F.col("ordinal")) % 3 == 0)
-    return A.interactions(spark, sf_dir).withColumn("text", F.when(asks, action).otherwise(F.col("text")))
+    """Interactions whose requests ask for actions and for how things stand, cancel, and report work done."""
+    n = (F.col("session_key") * 7 + F.col("ordinal") * 5) % 11
+    action = F.concat(F.lit("Please fix item "), F.col("session_key") % 5, F.lit("-"), F.floor(F.col("ordinal") / 4), F.lit("."))
+    said = F.when(n < 4, action).when(n < 6, "status?").when(n == 6, "cancel that").when(n == 7, "This is done.").when(n == 8, "continue")
+    said = said.otherwise(F.concat(F.lit("look at "), n))
+    return A.interactions(spark, sf_dir).withColumn("text", F.when(F.col("origin") == "human_request", said).otherwise(F.col("text")))
+
+
+#: Every human row of these requests opens an episode, ends one or is part of the open one.
+_EPISODES = """r AS (SELECT conv_id, turn, role, (conv_id * 7 + turn * 5) % 11 AS n FROM conversations),
+  k AS (SELECT *, CASE WHEN role <> 'user' THEN NULL WHEN n IN (4, 5) THEN 'status' WHEN n = 6 THEN 'cancelled' WHEN n = 7 THEN 'completed' WHEN n = 8 THEN 'on' ELSE 'open' END AS what FROM r),
+  a AS (SELECT *, lag(CASE WHEN what IN ('open', 'on', 'cancelled', 'completed') THEN what END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS prior FROM k),
+  b AS (SELECT *, sum(CASE WHEN what IN ('cancelled', 'completed') THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stops FROM a),
+  o AS (SELECT *, what = 'open' OR (what = 'on' AND count(*) FILTER (what IN ('open', 'on')) OVER (PARTITION BY conv_id, coalesce(stops, 0) ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 0) AS starts FROM b),
+  e AS (SELECT conv_id, turn, n, what, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS episode FROM o WHERE starts),
+  c AS (SELECT e.conv_id, e.turn, min(x.turn) AS stop FROM e JOIN o x ON x.conv_id = e.conv_id AND x.turn > e.turn AND (x.starts OR x.what IN ('cancelled', 'completed')) GROUP BY 1, 2),
+  s AS (SELECT e.*, c.stop, (SELECT CASE WHEN o.starts THEN 'superseded' ELSE o.what END FROM o WHERE o.conv_id = e.conv_id AND o.turn = c.stop) AS ended,
+    CASE WHEN e.n < 4 THEN 'fix:item ' || (e.conv_id % 5) || '-' || (e.turn // 4) END AS action_key FROM e LEFT JOIN c USING (conv_id, turn)),
+  ep AS (SELECT s.conv_id AS session_key, CAST(s.episode AS BIGINT) AS episode, s.action_key, s.turn AS start_ordinal,
+    coalesce(s.stop, (SELECT max(turn) FROM r WHERE r.conv_id = s.conv_id AND r.role IN ('user', 'assistant'))) AS end_ordinal,
+    coalesce(s.ended, 'active') AS lifecycle, CASE WHEN s.ended = 'cancelled' THEN 'revoked' WHEN s.n < 4 THEN 'authorized' ELSE 'unknown' END AS authority,
+    CASE WHEN s.n < 4 THEN 'known' ELSE 'unknown' END AS context FROM s)"""
+
+
+@query("episodes", f"WITH {_EPISODES} SELECT * FROM ep")
+def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.episodes(_requests(spark, sf_dir))
+    return rows.select("session_key", F.col("episode").cast("long").alias("episode"), "action_key", "start_ordinal", "end_ordinal", "lifecycle", "authority", "context")
 
 
 @query(
     "episode_spans",
-    """WITH r AS (SELECT conv_id, turn, role, role = 'user' AND (conv_id + turn) % 3 = 0 AS asks, 'fix:item ' || (conv_id % 5) || '-' || (turn // 4) AS act FROM conversations),
-      h AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n,
-        lag(CASE WHEN asks THEN act END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM r WHERE role = 'user'),
-      s AS (SELECT conv_id, turn, CASE WHEN n = 1 OR (asks AND act IS DISTINCT FROM before) THEN 1 ELSE 0 END AS starts, CASE WHEN asks THEN act END AS key FROM h),
-      x AS (SELECT r.conv_id, r.turn, s.starts, s.key, sum(coalesce(starts, 0)) OVER (PARTITION BY r.conv_id ORDER BY r.turn) AS e
-        FROM r LEFT JOIN s ON s.conv_id = r.conv_id AND s.turn = r.turn)
-      SELECT conv_id AS session_key, CAST(e - 1 AS BIGINT) AS episode, max(CASE WHEN starts = 1 THEN key END) AS action_key, min(turn) AS start_ordinal,
-        max(turn) AS end_ordinal, count(*) AS n_rows FROM x WHERE e > 0 GROUP BY conv_id, e""",
+    f"""WITH {_EPISODES} SELECT ep.session_key, ep.episode, ep.action_key, c.turn AS ordinal, c.role FROM ep
+      JOIN conversations c ON c.conv_id = ep.session_key AND c.turn BETWEEN ep.start_ordinal AND ep.end_ordinal""",
 )
 def episode_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = S.episodes(_requests(spark, sf_dir))
-    return rows.select("session_key", F.col("episode").cast("long").alias("episode"), "action_key", "start_ordinal", "end_ordinal", "n_rows")
+    asked = _requests(spark, sf_dir)
+    rows = S.spans_of(S.episodes(asked), asked)
+    role = F.when(F.col("origin") == "human_request", "user").when(F.col("origin") == "assistant_text", "assistant").otherwise("system")
+    return rows.select("session_key", F.col("episode").cast("long").alias("episode"), "action_key", "ordinal", role.alias("role"))
 
 
 # --- text ---------------------------------------------------------------------------------------

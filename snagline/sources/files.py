@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+PREFIX_BYTES = 4096
+
+
 def listed(spark: SparkSession, *paths: str, pattern: str = "*.jsonl") -> DataFrame:
-    """(path, size, modified, prefix_sha): files below the paths with the digest of their first 4 KiB."""
+    """(path, size, modified, prefix): distinct files below the paths, with their first 4 KiB, newest first."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(list(paths))
-    return files.select(
-        "path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2(F.substring("content", 1, 4096), 256).alias("prefix_sha")
-    )
+    columns = "path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.substring("content", 1, PREFIX_BYTES).alias("prefix")
+    return files.select(*columns).dropDuplicates(["path"]).orderBy(F.desc("modified"), "path")
+
+
+def prefix_sha(prefix: Column, size: Column) -> Column:
+    """Digest of the first 4 KiB of a file, or of a first part of so many bytes."""
+    return F.sha2(F.substring(prefix, F.lit(1), F.least(F.lit(PREFIX_BYTES), size).cast("int")), 256)
 
 
 def settled(files: DataFrame, now: str, seconds: int) -> DataFrame:
@@ -20,26 +27,66 @@ def settled(files: DataFrame, now: str, seconds: int) -> DataFrame:
 
 
 def ingest_plan(cursor: DataFrame, files: DataFrame) -> DataFrame:
-    """What to do with each file: parse, resume, reparse, skip; or missing, for a cursor without file."""
+    """What to do with each file: parse, resume, reparse, skip; or missing, for a cursor without file.
+
+    cursor has (path, size, offset, prefix_sha, modified, parse_errors,
+    error_runs).  A file that is shorter than what was read is read again; so is
+    one whose first bytes, over the span that the stored digest covered, have
+    changed.  One of the same size and time is skipped.  error_runs counts the
+    passes in a row that left errors, a skipped one among them.
+
+    Returns path, action, reason, offset, error_runs.
+    """
     c, f = cursor.alias("c"), files.alias("f")
     both = c.join(f, F.col("c.path") == F.col("f.path"), "full")
+    changed = prefix_sha(F.col("f.prefix"), F.col("c.size")) != F.col("c.prefix_sha")
+    same = (F.col("f.size") == F.col("c.size")) & (F.col("f.modified") == F.col("c.modified"))
+    reason = F.when(F.col("f.size") < F.col("c.offset"), "shrank").when(changed, "identity_changed")
     action = (
         F.when(F.col("f.path").isNull(), "missing")
         .when(F.col("c.path").isNull(), "parse")
-        .when(F.col("f.size") < F.col("c.size"), "reparse")
-        .when(F.col("f.prefix_sha") != F.col("c.prefix_sha"), "reparse")
-        .when(F.col("f.size") == F.col("c.size"), "skip")
+        .when(reason.isNotNull(), "reparse")
+        .when(same, "skip")
         .otherwise("resume")
     )
-    return both.select(F.coalesce("f.path", "c.path").alias("path"), action.alias("action"))
+    rows = both.select(F.coalesce("f.path", "c.path").alias("found"), action.alias("action"), F.when(action == "reparse", reason).alias("reason"), "c.*")
+    offset = F.when(F.col("action").isin("resume", "skip"), F.col("offset")).when(F.col("action").isin("parse", "reparse"), F.lit(0))
+    streak = F.when(F.col("action") == "skip", error_streak(F.col("error_runs"), F.col("parse_errors")))
+    return rows.select(F.col("found").alias("path"), "action", "reason", offset.cast("long").alias("offset"), F.coalesce(streak, "error_runs").alias("error_runs"))
+
+
+def error_streak(before: Column, errors: Column) -> Column:
+    """Passes in a row that left parse errors, after one more with so many."""
+    return F.when(errors > 0, F.coalesce(before, F.lit(0)) + 1).otherwise(0)
+
 
+def complete_lines(spark: SparkSession, *paths: str, offsets: DataFrame | None = None) -> DataFrame:
+    """(path, line, begin, text) of the lines that end in a line feed, with the byte at which each begins.
 
-def complete_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """(path, line, text) of the lines that end in a line feed; a torn tail is left out."""
+    A torn tail is left out; pending_tails has it.  With offsets (path, offset,
+    line) only what stands behind the offset is read of a file, and its lines
+    are numbered on.
+    """
     whole = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    start, number = F.lit(0), F.lit(0)
+    if offsets is not None:
+        whole = whole.join(offsets.select("path", F.col("offset").alias("_at"), F.col("line").alias("_line")), "path", "left")
+        start, number = F.coalesce("_at", F.lit(0)), F.coalesce("_line", F.lit(0))
+        behind = F.decode(F.substring(F.encode("value", "UTF-8"), start + 1, F.octet_length("value")), "UTF-8")
+        whole = whole.withColumn("value", F.when(start > 0, behind).otherwise(F.col("value")))
     lines = F.split("value", "\n", -1)
-    done = F.slice(lines, 1, F.size(lines) - 1)
-    return whole.select("path", F.posexplode(done).alias("line", "text"))
+    done = F.slice(lines, F.lit(1), F.size(lines) - 1)
+    rows = whole.select("path", start.alias("_start"), number.alias("_number"), F.posexplode(done).alias("_i", "text"))
+    before = Window.partitionBy("path").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.col("_start") + F.coalesce(F.sum(F.octet_length("text") + 1).over(before), F.lit(0))
+    return rows.select("path", (F.col("_number") + F.col("_i")).cast("int").alias("line"), begin.cast("long").alias("begin"), "text")
+
+
+def pending_tails(spark: SparkSession, *paths: str) -> DataFrame:
+    """(path, offset, tail): what stands behind the last line feed of a file, and where; an empty tail when nothing does."""
+    whole = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    tail = F.substring_index("value", "\n", -1)
+    return whole.select("path", (F.octet_length("value") - F.octet_length(tail)).cast("long").alias("offset"), tail.alias("tail"))
 
 
 def transcript_records(lines: DataFrame) -> DataFrame:

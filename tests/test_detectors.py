@@ -1,8 +1,9 @@
 """Detectors over literal rows with known counts."""
 
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from snagline.operators import detectors as D
 
@@ -146,3 +147,45 @@ def test_contract_and_registry(spark):
         D.register(D.DETECTORS["D-01"])
     with pytest.raises(ValueError):
         D.DETECTORS["D-01"].run("daily", SPAN, observation=rows)
+
+
+def test_one_pass_gives_what_each_detector_gives(spark):
+    rows = obs(
+        spark, missing("a"), missing("b"), missing("a", "lyra"), *[{"kind": "run_failed", "command": " make", "session_id": "c", "signature": "x", "sig_hash": "y"}] * 3,
+        {"kind": "tool_rejected", "tool": "Edit", "session_id": "d"}, {"kind": "user_turn_after_correction", "excerpt": "no", "session_id": "d"},
+        {"kind": "file_read", "path": "/r", "ts_utc": at(1)}, {"kind": "file_read", "path": "/r", "ts_utc": at(2), "session_id": "b"},
+        {"kind": "file_read", "path": "/w", "ts_utc": at(1)}, {"kind": "file_read", "path": "/w", "ts_utc": at(2), "session_id": "b"}, {"kind": "file_edit", "path": " /w"},
+        {"kind": "run", "command": "ls", "ts_utc": at(20)}, {"kind": "run", "command": "ls", "session_id": "e", "ts_utc": at(20)},
+    )
+    spans = [SPAN, D.Span("2026-10-15 00:00:00", "2026-10-31 00:00:00", 16)]
+    both = D.clusters_of(D.daily_cells(D.session_hits(rows, spans)))
+    for i, span in enumerate(spans):
+        for name in ("D-01", "D-02", "D-03", "D-05", "D-07"):
+            want = found(D.DETECTORS[name].run("cluster", span, observation=rows))
+            assert found(both.where((F.col("span") == i) & (F.col("detector_id") == name))) == want, (name, i)
+
+
+def test_phrases_match_by_stems_and_without_marks(spark):
+    docs = spark.createDataFrame([("a", "Ask the builders first"), ("b", "un café noir"), ("c", "run the test suites now"), ("d", "suites of the test"), ("e", None)], "path string, text string")
+    phrases = spark.createDataFrame([("builder",), ("cafe",), ("test suite",), ("--",), ("the the",)], "phrase string")
+    got = {tuple(r) for r in D.phrase_matches(docs, phrases).collect()}
+    assert got == {("a", "builder"), ("b", "cafe"), ("c", "test suite")}
+
+
+def test_weeks_across_hosts_end_before_the_last_day(spark):
+    bucket = spark.createDataFrame(
+        [("h1", "v1", date(2026, 10, 5), "x", 2), ("h2", "v1", date(2026, 10, 31), "x", 1), ("h3", "v0", date(2026, 10, 5), "x", 9)],
+        "host string, scheme string, day date, sig_hash string, events long",
+    ).selectExpr("*", "cast(day as timestamp) as first_seen", "cast(day as timestamp) as last_seen")
+    report = spark.createDataFrame([("h1", "v1"), ("h2", "v1"), ("h3", "v1")], "host string, scheme string")
+    assert found(D.cross_host(SPAN, bucket, report)) == {"cross-host-signature:x": (2, 3)}
+    assert D.cross_host(SPAN, bucket, report, True).count() == 0
+    later = D.Span("2026-10-01 00:00:00", "2026-10-31 10:00:00", 30)
+    assert D.cross_host(later, bucket, report, True).count() == 2
+
+
+def test_large_catalogues_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(D, "CATALOGUE_ROWS", 1)
+    catalog = spark.createDataFrame([("never", "p", "a", "x"), ("never", "p", "b", "y")], "verdict string, pack string, id string, pattern string")
+    with pytest.raises(ValueError):
+        D.gate_gaps(obs(spark, {"kind": "run"}), catalog)

@@ -23,9 +23,41 @@ def cells(spark, key, *events):
 def test_trend_statuses(spark):
     rows = cells(spark, "flat", 2, 2, 2, 2) + cells(spark, "spike", 1, 1, 1, 9) + cells(spark, "new", 0, 0, 0, 2)
     df = spark.createDataFrame(rows, "detector_id string, key string, week string, sessions long, events long")
-    got = {r["key"]: r["status"] for r in R.trends(df, df.select("week"), 3).collect()}
+    got = {r["key"]: r["status"] for r in R.trends(df, 4, 3).collect()}
     assert got == {"spike": "accelerating", "new": "new"}
-    assert {r["status"] for r in R.trends(df, df.select("week"), 5).collect()} == {"insufficient_history"}
+    assert {r["status"] for r in R.trends(df, 12, 5).collect()} == {"insufficient_history"}
+
+
+def test_each_detector_has_its_own_calendar(spark):
+    rows = [("d", "k", "2026-W01", 1, 1), ("d", "k", "2026-W03", 1, 2), ("e", "k", "2026-W10", 1, 5)]
+    df = spark.createDataFrame(rows, "detector_id string, key string, week string, sessions long, events long")
+    full = {(r["detector_id"], r["week"]): r["events"] for r in R.zero_filled(df, 3).collect()}
+    assert full == {("d", "2026-W01"): 1, ("d", "2026-W02"): 0, ("d", "2026-W03"): 2, ("e", "2026-W08"): 0, ("e", "2026-W09"): 0, ("e", "2026-W10"): 5}
+    # a cluster seen before the calendar is not new
+    old = spark.createDataFrame([("d", "k", "2025-W40", 1, 1), ("d", "k", "2026-W03", 9, 9), ("d", "x", "2026-W02", 1, 1), ("d", "x", "2026-W01", 1, 1)], df.schema)
+    got = {r["key"]: r["status"] for r in R.trends(old, 3, 2).collect()}
+    assert got == {"k": "accelerating"}
+
+
+def test_mondays_of_all_weeks(spark):
+    days = spark.range(900).select(F.date_add(F.lit("2019-12-30").cast("date"), (F.col("id") * 7).cast("int")).alias("d"))
+    assert days.where(R.monday_of(E.iso_week("d")) != F.col("d")).count() == 0
+
+
+def test_weekly_waste_never_exceeds_the_cost(spark):
+    """A session of cost 4 in two weeks gives each of them 2; a third cell that is not kept takes nothing."""
+    hits = spark.createDataFrame([("d", "k", "2026-W01", "a"), ("d", "k", "2026-W02", "a"), ("e", "k", "2026-W01", "a"), ("d", "k", "2026-W02", "b")], "detector_id string, key string, week string, session_id string")
+    cells = spark.createDataFrame([("d", "k", "2026-W01"), ("d", "k", "2026-W02"), ("d", "z", "2026-W02")], "detector_id string, key string, week string")
+    usage = spark.createDataFrame([("a", 4.0), ("b", None)], "session_id string, cost_usd double")
+    got = {(r["key"], r["week"]): (r["sessions"], r["est_waste_usd"]) for r in R.weekly_waste(hits, cells, usage).collect()}
+    assert got == {("k", "2026-W01"): (1, 2.0), ("k", "2026-W02"): (2, None), ("z", "2026-W02"): (0, None)}
+
+
+def test_a_type_seen_in_the_history_is_not_new(spark):
+    runs = [("s", i, "a", 5) for i in range(6)] + [("s", 0, "rare", 1), ("s", 5, "rare", 2), ("s", 5, "fresh", 1)]
+    df = spark.createDataFrame(runs, "source string, run int, record_type string, n long")
+    got = {r["record_type"]: r["verdict"] for r in R.shape_drift(df).collect()}
+    assert got == {"a": "steady", "rare": "steady", "fresh": "appeared"}
 
 
 def test_recurrence_needs_adjacent_weeks(spark):
@@ -110,13 +142,43 @@ def test_pairing_folds_and_episodes(spark):
             (5, "human_request", "write docs"), (6, "human_request", "cancel that")]
     df = spark.createDataFrame([(9, *t) for t in talk], "session_key long, ordinal long, origin string, text string")
     got = S.episodes(df).orderBy("episode").collect()
-    assert [(r["action_key"], r["start_ordinal"], r["end_ordinal"], r["lifecycle"], r["asked_status"]) for r in got] == [
-        ("fix:the build", 1, 4, "completed", 1),
-        ("write:docs", 5, 6, "cancelled", 0),
+    assert [(r["action_key"], r["start_ordinal"], r["end_ordinal"], r["lifecycle"], r["authority"]) for r in got] == [
+        ("fix:the build", 1, 4, "completed", "authorized"),
+        ("write:docs", 5, 6, "cancelled", "revoked"),
     ]
     assert S.spans_of(S.episodes(df), df).count() == 6
 
 
+def told(spark, *talk, summary=None):
+    """Episodes of a session; a turn is (origin, text) and may have more fields."""
+    rows = [(1, i, t[0], t[1], *(t[2:] or (None,))) for i, t in enumerate(talk)]
+    df = spark.createDataFrame(rows, "session_key long, ordinal long, origin string, text string, question_ordinal long")
+    return S.episodes(df, summary).orderBy("episode").collect()
+
+
+def test_every_request_opens_an_episode(spark):
+    human = "human_request"
+    got = told(spark, (human, "fix the build"), (human, "cancel"), (human, "fix the build"), (human, "explain the logs"), ("assistant_text", "ok"))
+    assert [(r["action_key"], r["lifecycle"], r["start_ordinal"], r["end_ordinal"]) for r in got] == [
+        ("fix:the build", "cancelled", 0, 1), ("fix:the build", "superseded", 2, 3), (None, "active", 3, 4),
+    ]
+    assert got[2]["advice_only"] and got[2]["authority"] == "unknown"
+
+
+def test_authority_of_episodes(spark):
+    human = "human_request"
+    got = told(spark, (human, "deploy the app"), (human, "do not proceed until approval"), (human, "approved: deploy the app"), (human, "stop everything"))
+    assert [(r["authority"], r["lifecycle"]) for r in got] == [("authorized", "superseded"), ("unknown", "active")]
+    kinds = [a["kind"] for a in got[0]["assertions"]]
+    assert {"permission_hold", "scope_restriction", "external_wait", "explicit_approval", "new_request_boundary", "terminality"} <= set(kinds)
+    asked = told(spark, (human, "deploy the app"), ("question", "May I deploy the app?"), ("human_answer", "no", 1))
+    assert asked[0]["authority"] == "withheld" and asked[0]["end_ordinal"] == 2
+    both = told(spark, (human, "fix a and write b"), (human, "resume fix a"), (human, "switch to: review c"))
+    assert [(r["action_key"], r["lifecycle"], r["authority"]) for r in both] == [("fix:a | write:b", "superseded", "revoked"), ("review:c", "active", "authorized")]
+    lost = told(spark, (human, "fix a"), ("human_answer", "yes", 9), summary=spark.createDataFrame([(1, 3, 0)], "session_key long, omitted long, truncated long"))
+    assert lost[0]["context"] == "unknown" and "omitted_interactions" in [a["kind"] for a in lost[0]["assertions"]]
+
+
 def test_transcript_sources(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"type":"user","sessionId":"s","message":{"content":"hi"}}\n{"type":"assistant","sessionId":"s","message":{"content":[{"type":"tool_use","id":"t1","name":"Bash","input":{"command":"ls"}}]}}\nnot json\n{"torn')
     lines = S_FILES.complete_lines(spark, str(tmp_path))
@@ -125,8 +187,25 @@ def test_transcript_sources(spark, tmp_path):
     blocks = {r["line"]: (r["block_type"], r["text"], r["command"]) for r in S_FILES.content_blocks(records).collect()}
     assert blocks[0] == ("text", "hi", None) and blocks[1] == ("tool_use", None, "ls")
     files = S_FILES.listed(spark, str(tmp_path))
-    known = files.selectExpr("path", "size - 3 as size", "prefix_sha").unionAll(spark.createDataFrame([("gone", 1, "x")], "path string, size long, prefix_sha string"))
-    assert sorted(r["action"] for r in S_FILES.ingest_plan(known, files).collect()) == ["missing", "resume"]
+    tail = S_FILES.pending_tails(spark, str(tmp_path)).first()
+    assert tail["tail"] == '{"torn' and lines.agg(F.max(F.col("begin") + F.octet_length("text") + 1)).first()[0] == tail["offset"]
+    with (tmp_path / "a.jsonl").open("a") as f:
+        f.write('"}\nlast\n')
+    more = S_FILES.complete_lines(spark, str(tmp_path), offsets=spark.createDataFrame([(tail["path"], tail["offset"], 3)], "path string, offset long, line int"))
+    assert [(r["line"], r["text"]) for r in more.orderBy("line").collect()] == [(3, '{"torn"}'), (4, "last")]
+    files = S_FILES.listed(spark, str(tmp_path))
+    seen = lambda size, sha: files.select("path", size.alias("size"), F.lit(9).alias("offset"), sha.alias("prefix_sha"), "modified", F.lit(1).alias("parse_errors"), F.lit(2).alias("error_runs"))
+    part = F.col("size") - 3
+    # the digest stored for a shorter file covers its own span, so a file that grew is no other file
+    known = seen(part, S_FILES.prefix_sha(F.col("prefix"), part))
+    gone = spark.createDataFrame([("gone", 1, 0, "x", None, 0, 0)], known.schema)
+    plan = {r["path"][-7:]: r for r in S_FILES.ingest_plan(known.unionAll(gone), files).collect()}
+    assert {k: r["action"] for k, r in plan.items()} == {"gone": "missing", "a.jsonl": "resume"} and plan["a.jsonl"]["offset"] == 9
+    changed = S_FILES.ingest_plan(seen(part, F.lit("other")), files).first()
+    assert (changed["action"], changed["reason"], changed["offset"]) == ("reparse", "identity_changed", 0)
+    idle = S_FILES.ingest_plan(seen(F.col("size"), S_FILES.prefix_sha(F.col("prefix"), F.col("size"))), files).first()
+    assert (idle["action"], idle["error_runs"]) == ("skip", 3)
+    assert S_FILES.ingest_plan(seen(F.lit(4096), F.lit("x")).withColumn("offset", F.lit(5000)), files).first()["reason"] == "shrank"
     assert S_FILES.settled(files, "2001-01-01", 60).count() == 0 and S_FILES.settled(files, str(datetime(2100, 1, 1)), 60).count() == 1
     (tmp_path / "d.log").write_text('{"ts":"2026-10-01T00:00:00Z","rule_id":"r","tool":"t","cwd":"/","session_id":"s","fragment":"f"}\n{"ts":"x"}\n{"to')
     assert S_FILES.denials(spark, str(tmp_path / "d.log")).count() == 1
