@@ -7,7 +7,8 @@ is read again and the container on its host's winning path is its article.
 
 Elements named like a side part are left out, unless they hold most of the
 unlinked text in the page's article and main elements or, where there is none,
-of the page.
+of the page.  A header in an article or main element, or one named as that of an
+article, holds its title and stays.
 """
 
 from __future__ import annotations
@@ -18,15 +19,15 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snagline.llm.common import broadcast_if_small, stored
 
-_PIECE = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attr>(?:[^>"']|"[^"]*"|'[^']*')*)>|(?P<text>[^<]+|<)""",
-    re.S,
-)
+_TAG = re.compile(r"</?[a-zA-Z]")
+_TAG_NAME = re.compile(r"[^\s/>]+")
+_STOPS = re.compile(r"""[>"']""")
 _NAMED = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "svg", "iframe")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,131 +56,216 @@ _TELLING = frozenset("has have hide is no not show with without".split())
 _CLOSES = {"p": _BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
            "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]),
            "option": frozenset(["option"])}
+#: A header with one of them before its last part is an article's own.
+_OF_ARTICLE = frozenset("article content entry post story".split())
 _WORDS = re.compile(r"[a-z]+")
-BROADCAST_HOSTS = 100_000
+#: A path of more characters goes on as a digest of itself; a container counts for a block while its share is so large.
+LONGEST_PATH, LEAST_SHARE = 2_000, 1e-6
+
+
+def pieces(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, tag, rest) in one pass: text, cdata, open (rest: attributes) and close.
+
+    A tag ends at the first > outside quotes; a quote that is never closed is
+    a character like others.  A tag, comment or declaration that is not closed
+    takes the rest of the page, as in browsers.  Of elements whose content is no
+    markup, such as script, nothing comes out.
+    """
+    at, end = 0, len(page)
+    unclosed = {'"': end + 1, "'": end + 1}  # from here on the quote does not occur again
+
+    def tag_end(i: int) -> int:
+        while m := _STOPS.search(page, i):
+            i = m.end()
+            quote = m[0]
+            if quote == ">":
+                return i
+            if i < unclosed[quote]:
+                close = page.find(quote, i)
+                if close < 0:
+                    unclosed[quote] = i
+                else:
+                    i = close + 1
+        return -1
+
+    while at < end:
+        less = page.find("<", at)
+        if less < 0:
+            yield "text", "", page[at:]
+            return
+        if less > at:
+            yield "text", "", page[at:less]
+        at = less
+        if page.startswith("<!--", at):
+            close = page.find("-->", at + 4)
+            at = close + 3 if close >= 0 else end
+        elif page.startswith("<![CDATA[", at):
+            close = page.find("]]>", at + 9)
+            yield "cdata", "", page[at + 9 : close if close >= 0 else end]
+            at = close + 3 if close >= 0 else end
+        elif page.startswith(("<!", "<?"), at):
+            close = page.find(">", at)
+            at = close + 1 if close >= 0 else end
+        elif _TAG.match(page, at):
+            closes = page[at + 1] == "/"
+            name = _TAG_NAME.match(page, at + 1 + closes)
+            at = tag_end(name.end())
+            if at < 0:
+                return
+            tag, attributes = name[0].lower(), page[name.end() : at - 1]
+            if closes:
+                yield "close", tag, ""
+                continue
+            if tag in _RAW and not attributes.endswith("/"):
+                m = _RAW[tag].search(page, at)
+                at = m.end() if m else end
+                continue
+            yield "open", tag, attributes
+        else:
+            yield "text", "", "<"
+            at += 1
 
 
 class _Node:
-    __slots__ = ("tag", "path", "off", "linked", "score", "blocks", "parent", "never", "dropped", "main")
+    """An open element; `owner` is the innermost element around its text that a name or tag may leave out."""
 
-    def __init__(self, tag: str, path: str, off: bool, linked: bool, parent: _Node | None):
-        self.tag, self.path, self.off, self.linked, self.parent = tag, path, off, linked, parent
-        self.score = 0.0
-        self.blocks: list[int] = []
-        self.never = self.main = False  # its text is never an article's; it stands in an article or main element
-        self.dropped: tuple[int, ...] = ()  # places of the elements around it that its names leave out
+    __slots__ = ("tag", "path", "out", "linked", "never", "main", "owner", "container", "begin", "end", "score")
 
+    def __init__(self, tag: str, path: str, up: _Node | None):
+        self.tag, self.path, self.score, self.begin, self.end = tag, path, 0.0, 0, 0
+        self.out = self.linked = self.never = self.main = False
+        self.owner, self.container = -1, None  # the next container around it
+        if up is not None:
+            self.out, self.linked, self.never, self.main, self.owner = up.out, up.linked, up.never, up.main, up.owner
+            self.container = up if up.tag in _CONTAINER else up.container
 
-def _named_aside(names: dict[str, str]) -> tuple[bool, bool]:
+
+def _named_aside(names: dict[str, str], in_main: bool) -> tuple[bool, bool]:
     """Whether class, id or role name a side part, and whether one that is never an article."""
     tokens = f"{names.get('class', '')} {names.get('id', '')} {names.get('role', '')}".split()
     aside = never = False
     for token in tokens:
         parts = _WORDS.findall(token)
-        if parts and parts[-1] in _NAMES and not (len(parts) > 1 and parts[-2] in _TELLING):
-            aside = True
-            never |= len(parts) == 1 and parts[0] in _NEVER
+        if not parts or parts[-1] not in _NAMES or len(parts) > 1 and parts[-2] in _TELLING:
+            continue
+        if parts[-1] == "header" and (in_main or len(parts) > 1 and parts[-2] in _OF_ARTICLE):
+            continue
+        aside = True
+        never |= len(parts) == 1 and parts[0] in _NEVER
     return aside, never
 
 
 def read_page(page: str) -> tuple[list[str], list[_Node]]:
-    """The text blocks of a page in order, and its containers with their blocks and scores."""
-    blocks, containers, wrappers = _read(page, frozenset())
-    return _read(page, wrappers)[:2] if wrappers else (blocks, containers)
-
+    """The text blocks of a page in order, and its containers with their blocks (begin to end) and scores.
 
-def _read(page: str, kept: frozenset[int] | None) -> tuple[list[str], list[_Node], frozenset[int]]:
-    """Blocks, containers, and the places of left-out elements that hold most of the text.
-
-    The elements at the places in kept are not left out; None keeps all but
-    those whose tag or hidden attribute leaves them out.
+    A page that has no text but that of elements left out by name or tag gives
+    theirs.  Time and memory are linear in the page, however its tags nest.
     """
-    whole, in_main, sizes, mains = 0, 0, Counter(), Counter()
-    top = _Node("", "", False, False, None)
-    stack, blocks, containers = [top], [], []
-    held: list[str] = []
-    linked = 0
+    top = _Node("", "", None)
+    stack, open_tags, containers = [top], Counter(), []
+    raw: list[tuple[list[tuple[str, bool, int]], _Node]] = []  # of each block: (text, linked, owner) and where it stands
+    held: list[tuple[str, bool, int]] = []
+    around, sizes, mains = [], [], []  # of each element that may be left out: the one around it, its unlinked text, of that in main
+    whole = in_main = 0
 
     def flush() -> None:
-        nonlocal linked
-        block = " ".join(entities.unescape("".join(held)).split())
-        held.clear()
-        if block:
-            weight = max(0, len(block) - 2 * linked)
-            share = 1.0
-            for node in reversed(stack):
-                if node.tag in _CONTAINER:
-                    node.blocks.append(len(blocks))
-                    node.score += share * weight
-                    share /= 2
-            blocks.append(block)
-        linked = 0
-
-    at = 0
-    while at < len(page):
-        m = _PIECE.match(page, at)
-        if m is None:  # a tag that is not closed to the end of the page
-            at += 1
-            continue
-        at = m.end()
-        if m["text"] or m["cdata"]:
-            inner = stack[-1]
-            if not inner.off:
-                text = m["text"] or m["cdata"].replace("&", "&amp;")
-                held.append(text)
-                linked += len(text) * inner.linked
+        if held:
+            raw.append((held.copy(), stack[-1]))
+            held.clear()
+
+    def close(depth: int) -> None:
+        for node in stack[depth:]:
+            open_tags[node.tag] -= 1
+            node.end = len(raw)
+        del stack[depth:]
+
+    for kind, tag, rest in pieces(page):
+        inner = stack[-1]
+        if kind in ("text", "cdata"):
+            if not inner.out:
+                held.append((rest if kind == "text" else rest.replace("&", "&amp;"), inner.linked, inner.owner))
             if not inner.never and not inner.linked:
-                size = len((m["text"] or m["cdata"]).strip())
+                size = len(rest.strip())
                 whole += size
                 in_main += size * inner.main
-                for place in inner.dropped:
-                    sizes[place] += size
-                    mains[place] += size * inner.main
-            continue
-        if not m["tag"]:
+                if inner.owner >= 0:
+                    sizes[inner.owner] += size
+                    mains[inner.owner] += size * inner.main
             continue
-        tag = m["tag"].lower()
-        if m["close"]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if depth:
+        if kind == "close":
+            if open_tags[tag] > 0:
+                depth = next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag)
                 if tag in _BLOCK or any(n.tag in _BLOCK for n in stack[depth:]):
                     flush()
-                del stack[depth:]
-            continue
-        if tag in _RAW and not m["attr"].endswith("/"):
-            end = _RAW[tag].search(page, at)
-            at = end.end() if end else len(page)
+                close(depth)
             continue
         if tag in _BLOCK:
             flush()
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, max(0, len(stack) - 64), -1):
                 if tag in _CLOSES.get(stack[i].tag, ()):
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in ("table", "ul", "ol", "dl") or stack[i].tag in _CONTAINER:
                     break
         elif tag == "br":
-            held.append(" ")
-        if tag in _VOID or m["attr"].endswith("/"):
+            held.append((" ", False, -1))
+        if tag in _VOID or rest.endswith("/"):
             continue
-        names = {k.lower(): (a or b or c or "").lower() for k, a, b, c in _NAMED.findall(m["attr"])} if m["attr"] else {}
+        names = {k.lower(): (a or b or c or "").lower() for k, a, b, c in _NAMED.findall(rest)} if rest else {}
         up = stack[-1]
-        out = tag in _ASIDE or "hidden" in names
-        aside, never = _named_aside(names) if names and tag not in ("html", "body") else (False, False)
-        aside = (aside or tag in _OFTEN_ASIDE) and kept is not None and m.start() not in kept
-        off = up.off or out or aside
         step = ".".join([tag, *sorted(set(_WORDS.findall(names.get("class", ""))))])
         path = up.path if tag in ("html", "body") else f"{up.path}>{step}"  # either may be left out
-        node = _Node(tag, path, off, up.linked or tag == "a", up)
-        node.never, node.main = up.never or out or never, up.main or tag in ("article", "main")
-        node.dropped = (*up.dropped, m.start()) if aside else up.dropped
+        node = _Node(tag, path if len(path) <= LONGEST_PATH else f"#{xxhash.xxh64_hexdigest(path.encode('utf-8', 'surrogatepass'))}", up)
+        out = tag in _ASIDE or "hidden" in names
+        aside, never = _named_aside(names, up.main) if names and tag not in ("html", "body") else (False, False)
+        node.out, node.never = up.out or out, up.never or out or never
+        node.main, node.linked = up.main or tag in ("article", "main"), up.linked or tag == "a"
+        if aside or tag in _OFTEN_ASIDE and not (tag == "header" and up.main):
+            node.owner = len(around)
+            around.append(up.owner)
+            sizes.append(0)
+            mains.append(0)
         stack.append(node)
-        if tag in _CONTAINER and not off:
+        open_tags[tag] += 1
+        if tag in _CONTAINER and not node.out:
+            node.begin = len(raw)
             containers.append(node)
     flush()
+    close(1)
+
+    for i in range(len(around) - 1, -1, -1):
+        if around[i] >= 0:
+            sizes[around[i]] += sizes[i]
+            mains[around[i]] += mains[i]
     held_by, of = (mains, in_main) if in_main else (sizes, whole)
-    most = frozenset(p for p, n in held_by.items() if 2 * n > of)
-    return blocks, containers, most
+    off: list[bool] = []
+    for i, up in enumerate(around):
+        off.append(2 * held_by[i] <= of or up >= 0 and off[up])
+    blocks = _blocks(raw, containers, off)
+    if not blocks:
+        off = [False] * len(off)
+        blocks = _blocks(raw, containers, off)
+    return blocks, [n for n in containers if n.owner < 0 or not off[n.owner]]
+
+
+def _blocks(raw: list, containers: list[_Node], off: list[bool]) -> list[str]:
+    """Texts of the blocks without what is left out; sets the blocks and scores of the containers."""
+    blocks, upto = [], [0]
+    for parts, node in raw:
+        kept = [(text, linked) for text, linked, owner in parts if owner < 0 or not off[owner]]
+        block = " ".join(entities.unescape("".join(text for text, _ in kept)).split())
+        if block:
+            weight, share = max(0, len(block) - 2 * sum(len(text) for text, linked in kept if linked)), 1.0
+            at = node if node.tag in _CONTAINER else node.container
+            while at is not None and share > LEAST_SHARE:
+                at.score += share * weight
+                share /= 2
+                at = at.container
+            blocks.append(block)
+        upto.append(len(blocks))
+    for node in containers:
+        node.begin, node.end = upto[node.begin], upto[node.end]
+    return blocks
 
 
 def best_path(page: str) -> tuple[str, float] | None:
@@ -190,17 +276,12 @@ def best_path(page: str) -> tuple[str, float] | None:
 
 
 def article(page: str, path: str | None) -> str:
-    """Text on the path; a page that has nothing there gives its own best container's.
-
-    A page without other text gives that of the elements left out by name.
-    """
+    """Text on the path; a page that has nothing there gives its own best container's."""
     blocks, containers = read_page(page)
-    if not blocks:
-        blocks, containers, _ = _read(page, None)
-    chosen = sorted({b for n in containers if n.path == path for b in n.blocks})
+    chosen = sorted({b for n in containers if n.path == path for b in range(n.begin, n.end)})
     if not chosen:
         best = max(containers, key=lambda n: n.score, default=None)
-        chosen = best.blocks if best is not None and best.blocks else range(len(blocks))
+        chosen = range(best.begin, best.end) if best is not None and best.begin < best.end else range(len(blocks))
     return "\n\n".join(blocks[b] for b in chosen)
 
 
@@ -249,7 +330,7 @@ def extract_pages(pages: DataFrame, html: str = "html", url: str = "url", page_i
     rows = pages.select(
         F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("_html")
     ).withColumn("_own", host_of(F.col("url")))
-    found = rows.join(broadcast_if_small(paths, BROADCAST_HOSTS), F.col("_own") == F.col("_host"), "left")
+    found = rows.join(broadcast_if_small(paths), F.col("_own") == F.col("_host"), "left")
     found = found.select("page_id", "url", "_html", "_path")
     kind = rows.schema["page_id"].dataType.simpleString()
     return found.mapInPandas(_extract, f"page_id {kind}, url string, text string, n_chars long")
