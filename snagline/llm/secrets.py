@@ -8,6 +8,8 @@ join over (text, block of places) finds.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from snagline.llm.common import stored, text_of
 
 #: Characters around an identifier that belong to its scope.
 REACH = 200
+#: Matches of a text whose places are added up together: arrays that grow stay this short.
+BLOCK = 256
 
 
 def _either_case(word: str) -> str:
@@ -41,6 +45,11 @@ KINDS = [k for k, *_ in STRONG + WEAK]
 _SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once, however often a lambda in use refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _spans(text: Column, kind: str, expression: str, group: int, least: int) -> Column:
     """Spans of the matches: the gaps between them and their own lengths add up to their places."""
     gaps = F.split(text, expression, -1)
@@ -51,17 +60,31 @@ def _spans(text: Column, kind: str, expression: str, group: int, least: int) ->
         F.arrays_zip(matches.alias("m"), counted.alias("c")),
         lambda gap, x: F.struct(F.length(gap).alias("gap"), F.length(x["m"]).alias("own"), F.length(x["c"]).alias("counts")),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-
-    def add(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        span = F.struct(
-            begin.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), (begin + x["own"]).alias("end")
-        )
-        out = F.when(x["counts"] >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct((begin + x["own"]).alias("at"), out.alias("out"))
-
-    found = F.aggregate(steps, start, add, lambda acc: acc["out"])
+    def spans(block: Column, at: Column) -> Column:
+        start = F.struct(at.alias("at"), F.array().cast(_SPAN).alias("out"))
+
+        def add(acc: Column, x: Column) -> Column:
+            begin = acc["at"] + x["gap"]
+            span = F.struct(
+                begin.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), (begin + x["own"]).alias("end")
+            )
+            out = F.when(x["counts"] >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
+            return F.struct((begin + x["own"]).alias("at"), out.alias("out"))
+
+        return F.aggregate(block, start, add, lambda acc: acc["out"])
+
+    def placed(all_steps: Column) -> Column:
+        n = F.floor((F.size(all_steps) - 1) / BLOCK).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), n), lambda i: F.slice(all_steps, i * BLOCK + 1, F.lit(BLOCK)))
+        return _once(blocks, joined)
+
+    def joined(blocks: Column) -> Column:
+        lengths = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + x["gap"] + x["own"]))
+        # where each block begins; one number a block, so this array stays short as well
+        begins = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        return F.flatten(F.zip_with(blocks, F.slice(begins, F.lit(1), F.size(blocks)), spans))
+
+    found = _once(steps, placed)
     return F.when(text.rlike(expression), found).otherwise(F.array().cast(_SPAN))
 
 
@@ -72,6 +95,13 @@ def _joined(spans: Column) -> Column:
 
 def _linked(parts: DataFrame, reach: int) -> DataFrame:
     """(k1, k2, spans) of the weak parts that have their complement in scope."""
+    covered = F.sequence(F.floor(F.col("start") / reach), F.floor((F.col("end") - 1) / reach))
+    bare, within = parts.where("kind = 'key'").alias("p"), parts.where("kind = 'assign'").withColumn("block", F.explode(covered)).alias("a")
+    spot = [F.col(f"p.{c}") == F.col(f"a.{c}") for c in ("k1", "k2", "block")]
+    crossing = (F.col("a.start") < F.col("p.end")) & (F.col("p.start") < F.col("a.end"))
+    # a key inside an assignment is that assignment's value
+    taken = bare.withColumn("block", F.explode(covered)).alias("p").join(within, spot[0] & spot[1] & spot[2] & crossing, "left_semi")
+    parts = parts.join(taken.select("k1", "k2", "kind", "start").distinct(), ["k1", "k2", "kind", "start"], "left_anti")
     parts = parts.withColumn("block", F.floor(F.col("start") / reach))
     ids = parts.where(F.col("kind").isin("access", "id"))
     blocks = F.sequence(F.floor((F.col("start") - reach) / reach), F.floor((F.col("end") + reach) / reach))
@@ -111,9 +141,8 @@ def scan_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", re
     arrays = [_spans(F.col("text"), *kind).alias(kind[0]) for kind in STRONG + WEAK]
     key = [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), F.col("text")).alias("k2")]
     rows = stored(whole.select("doc_id", *key, *arrays), "spans")
-    free = F.filter("key", lambda w: ~F.exists("assign", lambda a: (a["start"] < w["end"]) & (w["start"] < a["end"])))
     weak = rows.where(F.size("id") + F.size("key") + F.size("endpoint") > 0)
-    parts = weak.select("k1", "k2", F.explode(F.concat("assign", "access", "id", free, "endpoint")).alias("x"))
+    parts = weak.select("k1", "k2", F.explode(F.concat("assign", "access", "id", "key", "endpoint")).alias("x"))
     parts = stored(parts.select("k1", "k2", "x.*").distinct(), "parts")
     linked = stored(_linked(parts, reach), "linked")
     base = F.array_sort(F.concat("assign", "access", "hex"))
