@@ -5,6 +5,10 @@ language.  Any other word falls back to its character n-grams, the longest
 first: the first length of which an n-gram is known decides.  Runs of letters
 are read whole; an unknown one counts as a word for every RUN_LETTERS of its
 letters, and once at least.
+
+A model is a few arrays: sorted 64-bit hashes of the tokens, and for each token
+only the languages that have it, with how far its log frequency there lies above
+the floor that is the same in all languages.
 """
 
 from __future__ import annotations
@@ -16,13 +20,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snagline.llm.common import add_text_columns, stored
+from snagline.llm.common import add_text_columns, free_name
+from snagline.llm.simhash import signed
 
-#: Bounds of the model: labelled training rows per language, words and n-grams kept.
-SAMPLE_ROWS, MAX_WORDS, MAX_GRAMS = 500, 200_000, 100_000
+#: Bound of the model: labelled training rows of a language.
+SAMPLE_ROWS = 500
 LONGEST_GRAM = 4
 #: Letters of an unknown run that weigh as much as one word.
 RUN_LETTERS = 10
@@ -30,7 +36,8 @@ RUN_LETTERS = 10
 ALPHA = 0.5
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
-_CACHE = 200_000
+#: Bytes of the vectors, and letters of the words, that a task remembers.
+CACHE_BYTES, CACHE_LETTERS = 8 << 20, 1_000_000
 
 
 def is_held_out(doc_id: str | Column) -> Column:
@@ -42,6 +49,11 @@ def grams(word: str, n: int) -> Iterator[str]:
     return (edged[i : i + n] for i in range(len(edged) - n + 1))
 
 
+def token_hash(n: int, token: str) -> int:
+    """Of a word (n = 0) or an n-gram."""
+    return xxhash.xxh64_intdigest(f"{n}{token}".encode("utf-8", "surrogatepass"))
+
+
 def _counts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Partial counts of words (n = 0) and n-grams by language."""
     for batch in batches:
@@ -52,113 +64,155 @@ def _counts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lang, counts in words.items():
             parts: Counter = Counter()
             for word, c in counts.items():
+                parts[0, word] += c
                 for n in range(1, LONGEST_GRAM + 1):
                     for g in grams(word, n):
                         parts[n, g] += c
-            rows += [(lang, 0, w, c) for w, c in counts.items()]
-            rows += [(lang, n, g, c) for (n, g), c in parts.items()]
+            rows += [(lang, n, signed(token_hash(n, g)), c) for (n, g), c in parts.items()]
         yield pd.DataFrame(rows, columns=["lang", "n", "token", "c"])
 
 
 @dataclass
 class LanguageModel:
-    """Log frequencies by language: a row of `logs` for each token; rows[0] has the words, rows[n] the n-grams."""
+    """Sorted token hashes; the languages and weights of token i are those at starts[i] to starts[i + 1]."""
 
     langs: list[str]
-    rows: list[dict[str, int]]
-    logs: np.ndarray
+    tokens: np.ndarray
+    starts: np.ndarray
+    lang: np.ndarray
+    weight: np.ndarray
+
+    @classmethod
+    def of(cls, langs: list[str], lang: np.ndarray, n: np.ndarray, token: np.ndarray, c: np.ndarray) -> LanguageModel:
+        """From counts c of tokens (hashes) of kind n in languages (places in langs); words seen once are left out."""
+        order = np.lexsort((lang, token))
+        lang, n, token, c = lang[order], n[order], token[order], c[order].astype(float)
+        sums = np.zeros((LONGEST_GRAM + 1, len(langs)))
+        np.add.at(sums, (n, lang), c)
+        first = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(first, len(token)))
+        kept = np.repeat((n[first] > 0) | (np.add.reduceat(c, first) > 1), sizes) if len(first) else np.zeros(0, bool)
+        lang, n, token, c = lang[kept], n[kept], token[kept], c[kept]
+        first = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
+        sums += ALPHA * np.bincount(n[first], minlength=LONGEST_GRAM + 1)[:, None]
+        # a token that a language has not seen has the same frequency in all languages, however much was sampled of each
+        floor = ALPHA / np.maximum(sums.max(axis=1, initial=0.0), ALPHA)
+        weight = np.log((c + ALPHA) / sums[n, lang]) - np.log(floor[n]) if len(c) else c
+        return cls(langs, token[first], np.append(first, len(token)).astype(np.int64), lang.astype(np.int32), weight.astype(np.float32))
+
+    def find(self, hashes: list[int]) -> np.ndarray:
+        """Places of the tokens, -1 for unknown ones."""
+        wanted = np.array(hashes, np.uint64)
+        if not len(self.tokens):
+            return np.full(len(wanted), -1)
+        at = np.minimum(np.searchsorted(self.tokens, wanted), len(self.tokens) - 1)
+        return np.where(self.tokens[at] == wanted, at, -1)
+
+    def vectors(self, places: np.ndarray) -> np.ndarray:
+        """A row of weights by language for each token."""
+        sizes = self.starts[places + 1] - self.starts[places]
+        row = np.repeat(np.arange(len(places)), sizes)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + self.starts[places][row]
+        out = np.zeros((len(places), len(self.langs)), np.float32)
+        out[row, self.lang[at]] = self.weight[at]
+        return out
+
+    def backed_off(self, word: str) -> np.ndarray | float:
+        """What the longest known n-grams of an unknown word say, on average."""
+        for n in range(LONGEST_GRAM, 0, -1):
+            several = Counter(grams(word, n))
+            places = self.find([token_hash(n, g) for g in several])
+            times = np.fromiter(several.values(), float, len(several))[places >= 0]
+            if len(times):
+                return times @ self.vectors(places[places >= 0]) * (max(1.0, len(word) / RUN_LETTERS) / times.sum())
+        return 0.0
 
     def scorer(self) -> Callable[[str], tuple[str, float]]:
         """A function from a whole text to (language, share of the likelihood)."""
-        words_of, width = self.rows[0] if self.rows else {}, len(self.langs)
-        # rows of words met so far: those of the model, then one for each word scored by its n-grams
-        met: dict[str, int] = {}
-        table = np.concatenate((self.logs, np.zeros((_CACHE, width))))
-        known_rows, letters = len(self.logs), [0]
-
-        def vector(word: str) -> np.ndarray | float:
-            for n in range(LONGEST_GRAM, 0, -1):
-                of = self.rows[n]
-                known = Counter(r for g in grams(word, n) if (r := of.get(g)) is not None)
-                if known:
-                    times = np.fromiter(known.values(), float, len(known))
-                    return times @ self.logs[list(known)] * (max(1.0, len(word) / RUN_LETTERS) / times.sum())
-            return 0.0
-
-        def row_of(word: str) -> int:
-            row = words_of.get(word)
-            if row is None:
-                row = met.get(word)
-                if row is None:
-                    row = met[word] = known_rows + len(met)
-                    table[row] = vector(word)
-                    letters[0] += len(word)
-            return row
+        width = len(self.langs)
+        room = max(1, CACHE_BYTES // (4 * max(1, width)))
+        table, met, letters = np.zeros((room, width), np.float32), {}, [0]
+
+        def rows_of(words: list[str]) -> list[int]:
+            new = [w for w in words if w not in met]
+            if len(met) + len(new) > room or letters[0] > CACHE_LETTERS:
+                met.clear()  # words are scored anew when they come again
+                letters[0], new = 0, words
+            if new:
+                places = self.find([token_hash(0, w) for w in new])
+                at = len(met) + np.arange(len(new))
+                met.update(zip(new, at.tolist()))
+                letters[0] += sum(map(len, new))
+                table[at[places >= 0]] = self.vectors(places[places >= 0])
+                for i in np.flatnonzero(places < 0).tolist():
+                    table[at[i]] = self.backed_off(new[i])
+            return [met[w] for w in words]
 
         def score(text: str) -> tuple[str, float]:
             words = Counter(_LETTERS.findall(text.lower()))
             if not words or not self.langs:
                 return UNKNOWN, 0.0
-            total = np.zeros(width)
-            several = list(words.items())
-            for at in range(0, len(several), _CACHE // 2):
-                part = several[at : at + _CACHE // 2]
-                if len(met) + len(part) > _CACHE or letters[0] > 20 * _CACHE:
-                    met.clear()  # a memory of words that are scored anew when they come again
-                    letters[0] = 0
-                rows = [row_of(w) for w, _ in part]
-                total += np.array([c for _, c in part], float) @ table[rows]
+            total, several = np.zeros(width), list(words)
+            counts = np.fromiter(words.values(), float, len(words))
+            for at in range(0, len(several), room):
+                rows = rows_of(several[at : at + room])
+                total += counts[at : at + room] @ table[rows]
             best = int(total.argmax())
             return self.langs[best], float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum())
 
         return score
 
 
-def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> LanguageModel:
+def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     """A model of the columns text and lang of rows.
 
     At most about sample_rows rows with letters of a language are used, chosen
     by a hash of text and row number, so that copies are sampled like other
-    rows; words and n-grams are counted in Spark, and the most frequent ones, in
-    a number bounded by max_words and max_grams, come to the driver.  A token
-    that a language has not seen has the same frequency in all languages,
-    however much was sampled of each.
+    rows.  All their words and n-grams are counted in Spark, and what is known
+    of each, some bytes, comes to the driver: its size follows the sample.
     """
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    none = np.zeros(0, np.int64)
     if not sizes:
-        return LanguageModel([], [], np.zeros((0, 0)))
+        return LanguageModel.of([], none, none, none.astype(np.uint64), none)
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample_rows / n))])
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
     place = F.pmod(F.xxhash64("text", "row"), F.lit(1_000_000))
     chosen = numbered.where(place < F.element_at(share, F.col("lang")) * 1_000_000).drop("row")
-    counts = chosen.mapInPandas(_counts, "lang string, n int, token string, c long")
-    counts = stored(counts.groupBy("lang", "n", "token").agg(F.sum("c").alias("c")), "counts")
-    totals = counts.groupBy("lang", "n").agg(F.sum("c").alias("total"))
-    by = F.map_from_entries(F.collect_list(F.struct("lang", "c")))
-    tokens = counts.groupBy("n", "token").agg(F.sum("c").alias("all"), by.alias("by")).where("n > 0 or all > 1")
-    kind = F.when(F.col("n") == 0, 0).otherwise(1)
-    place = F.row_number().over(Window.partitionBy(kind).orderBy(F.desc("all"), "n", "token"))
-    kept = tokens.withColumn("place", place).where(F.col("place") <= F.when(kind == 0, max_words).otherwise(max_grams))
-    total = {(r["lang"], r["n"]): r["total"] for r in totals.collect()}
-    langs = sorted({lang for lang, _ in total})
-    each = kept.select("n", "token", *[F.col("by")[lang].alias(f"c{j}") for j, lang in enumerate(langs)]).toPandas()
-    counts_of = each[[f"c{j}" for j in range(len(langs))]].fillna(0).to_numpy(float)
-    kinds = each["n"].to_numpy(int)
-    shared = ALPHA * np.bincount(kinds, minlength=LONGEST_GRAM + 1)[:, None]
-    sums = np.array([[total.get((lang, n), 0) for lang in langs] for n in range(LONGEST_GRAM + 1)], float).reshape(-1, len(langs)) + shared
-    floor = ALPHA / np.maximum(sums.max(axis=1, initial=0.0, keepdims=True), ALPHA)
-    frequency = np.where(counts_of > 0, (counts_of + ALPHA) / np.maximum(sums, ALPHA)[kinds], floor[kinds])
-    rows_of: list[dict[str, int]] = [{} for _ in range(LONGEST_GRAM + 1)]
-    for i, (n, token) in enumerate(zip(each["n"], each["token"])):
-        rows_of[n][token] = i
-    return LanguageModel(langs, rows_of, np.log(frequency))
-
-
-def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns in keep, then _lang and _score of each whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the parameters of train
-    return add_text_columns(docs, text, keep, "_lang string, _score double", lambda: shared.value.scorer())
+    counts = chosen.mapInPandas(_counts, "lang string, n int, token long, c long")
+    each = counts.groupBy("lang", "n", "token").agg(F.sum("c").alias("c")).toPandas()
+    langs = sorted(each["lang"].unique())
+    lang = each["lang"].map({x: j for j, x in enumerate(langs)}).to_numpy(np.int64)
+    token = each["token"].to_numpy(np.int64).view(np.uint64)
+    return LanguageModel.of(langs, lang, each["n"].to_numpy(np.int64), token, each["c"].to_numpy(np.int64))
+
+
+def identify(
+    docs: DataFrame, model: LanguageModel, keep: list[str], text: str = "text", lang: str = "_lang", score: str = "_score"
+) -> DataFrame:
+    """The columns in keep, then the language and its score of each whole text.
+
+    A null text, one without letters, or a model without languages gives `und`
+    and 0.  Rows and repeats stay; an empty table gives no rows.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample of train
+    return add_text_columns(docs, text, keep, f"`{lang}` string, `{score}` double", lambda: shared.value.scorer())
+
+
+def drop_unknown(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of docs, with their columns, less those for which no language is predicted.
+
+    That is a null or empty text, or one without letters.  Where no language was
+    learned, nothing can be rejected, and every row stays.  Columns of docs may
+    have any name.
+    """
+    held = F.coalesce(is_held_out(F.col(f"`{doc_id}`").cast("string")), F.lit(False))
+    model = train(docs.where(~held).select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")))
+    if not model.langs:
+        return docs
+    found, score = free_name(docs, "lang"), free_name(docs, "score")
+    return identify(docs, model, docs.columns, text, found, score).where(F.col(found) != UNKNOWN).drop(found, score)
 
 
 def predict_languages(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
