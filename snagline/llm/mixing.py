@@ -14,10 +14,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snagline.llm.common import TOKEN, shuffle_partitions, stored, text_of
+from snagline.llm.common import TOKEN, broadcast_if_small, shuffle_partitions, stored, text_of
 
 #: By code point of the source's name, repeating.
 WEIGHTS = (5, 2, 1)
@@ -26,43 +26,56 @@ SHARE = 1.5
 #: No source is repeated more often than this.
 MOST_COPIES = 2
 #: Documents in a block, and residuals that meet in one node of the tree.
-BLOCK_ROWS, FAN_IN = 20_000, 64
+BLOCK_ROWS, FAN_IN = 1_000, 64
+
+
+def numbered_sources(by: DataFrame) -> DataFrame:
+    """Adds place: the number of each source by code point, from 0, null last.
+
+    Sources are sorted over many tasks; what a task begins with is the number
+    of sources in those before it, a sum over one row per task.
+    """
+    spread = by.repartitionByRange(shuffle_partitions(by.sparkSession), F.col("source").asc_nulls_last())
+    sorted_ = spread.sortWithinPartitions(F.col("source").asc_nulls_last()).withColumn("_n", F.monotonically_increasing_id())
+    rows = stored(sorted_, "sources")
+    part = F.shiftright("_n", 33)
+    tasks = rows.groupBy(part.alias("task")).agg(F.count("*").alias("n")).collect()  # a row per task
+    begin, at = {}, 0
+    for r in sorted(tasks):
+        begin[r["task"]], at = at, at + r["n"]
+    starts = by.sparkSession.createDataFrame(list(begin.items()) or [(0, 0)], "_task long, _begin long")
+    placed = rows.join(F.broadcast(starts), part == F.col("_task"))
+    return placed.withColumn("place", F.col("_begin") + F.col("_n").bitwiseAND(F.lit((1 << 33) - 1))).drop("_n", "_task", "_begin")
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_COPIES) -> DataFrame:
     """(source, source_size, n_docs, target) by weighted filling with a ceiling.
 
-    Targets are level * weight, stopped at most * source_size; the level is
-    where they sum to share times all words.  Sources in order of the level at
-    which they are full give that level in one pass of running sums.  The
-    windows run over one row per source, not over documents.
+    Targets are level * weight, stopped at most * source_size; what is above
+    goes to the other sources by weight, a sum over all sources a step, until no
+    further source is full.
     """
     by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (place % len(weights) + 1).cast("int"))
-    by = by.withColumn("w", w).withColumn("cap", F.col("source_size") * float(most))
-    everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    order = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    by = (
-        by.withColumn("total", F.sum("source_size").over(everything) * float(share))
-        .withColumn("cap_before", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("w_left", F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-        .withColumn("level", (F.col("total") - F.col("cap_before")) / F.col("w_left"))
-        # the first source whose own level stays under its ceiling sets the level for all after it
-        .withColumn("open", F.col("level") * F.col("w") < F.col("cap"))
-    )
-    level = F.first(F.when(F.col("open"), F.col("level")), ignorenulls=True).over(
-        order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    )
-    target = F.when(level.isNull(), F.col("cap")).otherwise(F.least("cap", level * F.col("w")))
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    by = stored(numbered_sources(by).withColumn("w", w).drop("place"), "weights")
+    level, full = 0.0, F.lit(False)
+    while True:
+        sums = by.agg(F.sum("source_size"), F.sum(F.when(full, F.col("source_size"))), F.sum(F.when(~full, F.col("w")))).first()
+        if not sums[2]:  # every source is full, or there is none
+            full = F.lit(True)
+            break
+        before, level = level, (share * sums[0] - most * (sums[1] or 0)) / sums[2]
+        full = F.lit(level) * F.col("w") > F.col("source_size") * float(most)
+        if level <= before:
+            break
+    target = F.when(full, F.col("source_size") * float(most)).otherwise(F.lit(level) * F.col("w"))
     return by.select("source", "source_size", "n_docs", target.alias("target"))
 
 
 def _pivot(a: tuple, b: tuple, rng: np.random.Generator) -> tuple[tuple, tuple]:
     """Moves words between two fractional units; the first returned is integral.
 
-    A unit is (row, size, p) with 0 < p < 1.  size * p summed over both stays,
+    A unit is (name, size, p) with 0 < p < 1.  size * p summed over both stays,
     and each p keeps its mean.
     """
     (ra, sa, pa), (rb, sb, pb) = a, b
@@ -81,40 +94,42 @@ def _is_integral(p: float) -> bool:
 
 def _round_sorted(seed: int, level: int):
     """Over rows sorted by (source, node): streams them with one unit in hand."""
-    columns = ["source", "node", "row", "size", "p"]
+    columns = ["source", "node", "h", "h2", "row", "size", "p"]
 
     def rounds(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, held, rng = None, None, None
+        flat = lambda unit, open_: (*now, *unit[0], *unit[1:], open_)
         for batch in batches:
             out = []
-            for source, node, row, size, p in batch[columns].itertuples(index=False, name=None):
+            for source, node, h, h2, row, size, p in batch[columns].itertuples(index=False, name=None):
                 key = (source if isinstance(source, str) else None, node)
                 if key != now:
                     if held:
-                        out.append((*now, *held, True))
+                        out.append(flat(held, True))
                     now, held = key, None
-                    rng = np.random.default_rng([seed, level, node, *(key[0] or "\0null").encode()])
-                unit = (row, size, p)
+                    rng = np.random.default_rng([seed, level, node, *(key[0] or "\0null").encode("utf-8", "surrogatepass")])
+                unit = ((h, h2, row), size, p)
                 if held:
                     done, held = _pivot(held, unit, rng)
-                    out.append((*now, *done, False))
+                    out.append(flat(done, False))
                     if _is_integral(held[2]):
-                        out.append((*now, held[0], held[1], float(round(held[2])), False))
+                        out.append(flat((held[0], held[1], float(round(held[2]))), False))
                         held = None
                 else:
                     held = unit
             yield pd.DataFrame(out, columns=[*columns, "open"])
         if held:
-            yield pd.DataFrame([(*now, *held, True)], columns=[*columns, "open"])
+            yield pd.DataFrame([flat(held, True)], columns=[*columns, "open"])
 
     return rounds
 
 
-_UNITS = "source string, node long, row long, size long, p double, open boolean"
+_UNITS = "source string, node long, h long, h2 long, row long, size long, p double, open boolean"
 
 
 def _round(units: DataFrame, partitions: int, seed: int, level: int) -> DataFrame:
-    dealt = units.repartition(partitions, "source", "node").sortWithinPartitions("source", "node", "row", "size")
+    """Units are met in the order of their content, so that the layout of the input decides nothing."""
+    dealt = units.repartition(partitions, "source", "node").sortWithinPartitions("source", "node", "h", "h2", "size", "row")
     return stored(dealt.mapInPandas(_round_sorted(seed, level), _UNITS), "units")
 
 
@@ -128,6 +143,7 @@ def mix(
     fan_in: int = FAN_IN,
     weights=WEIGHTS,
     share: float = SHARE,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """What the mix takes of each document.
 
@@ -136,28 +152,29 @@ def mix(
     its target by a word at most.  A null source is a source of its own and
     comes last; a null text has size 0 and takes nothing; so does every
     document when no text has a word.  Rows that repeat a doc_id are units of
-    their own.  Reruns over the same rows in the same order give the same mix.
-    An empty table gives no rows.
+    their own.  Chance and order follow (source, doc_id, text), so reruns give
+    the same mix however the rows are split; of rows that agree in all three it
+    does not matter which is taken.  Other columns are not read, but those in
+    carry come out whole in the struct `carried`.  An empty table gives no rows.
 
-    Returns doc_id, source, size, source_size, target, taken and the row number
-    used to tell repeated rows apart.
+    Returns doc_id, source, size, source_size, target, taken, and carried.
     """
-    n = F.regexp_count(text_of(text), F.lit(TOKEN)).cast("long")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n.alias("size"))
+    n = F.regexp_count(text_of(F.col(f"`{text}`")), F.lit(TOKEN)).cast("long")
+    own, of = F.col(f"`{doc_id}`"), F.col(f"`{source}`").cast("string")
+    content = (own, of, F.col(f"`{text}`"))
+    carried = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []
+    rows = docs.select(
+        own.alias("doc_id"), of.alias("source"), n.alias("size"), F.xxhash64(*content).alias("h"), F.xxhash64(F.lit(seed), *content).alias("h2"), *carried
+    )
     # written once, so the numbers given to rows hold for every later read
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "sizes")
-    targets = stored(source_targets(rows, weights, share), "targets")
+    targets = stored(source_targets(rows.select("source", "size"), weights, share), "targets").withColumnRenamed("source", "_source")
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    on = rows["source"].eqNullSafe(targets["source"])
-    each = rows.join(targets, on).select(
-        "doc_id", rows["source"], "row", "size", "source_size", "n_docs", "target", copies.alias("copies")
-    )
+    each = rows.join(broadcast_if_small(targets), F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("copies", copies)
     whole = F.floor(F.col("copies") + 1e-12)
     each = each.withColumn("whole", whole).withColumn("p", F.greatest(F.col("copies") - whole, F.lit(0.0)))
     blocks = F.ceil(F.col("n_docs") / float(block_rows))
-    open_units = each.where("p > 1e-12 and size > 0").select(
-        "source", F.pmod(F.xxhash64("row", F.lit(seed)), blocks).alias("node"), "row", "size", "p"
-    )
+    open_units = each.where("p > 1e-12 and size > 0").select("source", F.pmod(F.col("h"), blocks).alias("node"), "h", "h2", "row", "size", "p")
     parts, level = shuffle_partitions(docs.sparkSession), 0
     done = _round(open_units, parts, seed, level)
     settled = done.where("not open")
@@ -177,5 +194,18 @@ def mix(
         "source_size",
         "target",
         F.least(taken, F.col("size") * MOST_COPIES).cast("long").alias("taken"),
-        "row",
+        *(["carried"] if carry else []),
     )
+
+
+def drop_untaken(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of docs that the mix takes words of, with their columns and size, source_size, target, taken.
+
+    Columns of docs with these four names give way to those of the mix; others
+    may have any name.  Rows without words, null texts among them, are not
+    taken.  An empty table gives no rows.
+    """
+    names = ["size", "source_size", "target", "taken"]
+    taken = mix(docs, text, source, doc_id, carry=docs.columns).where("taken > 0")
+    kept = [F.col(f"carried.`{c}`").alias(c) for c in docs.columns if c.lower() not in names]
+    return taken.select(*kept, *names)
