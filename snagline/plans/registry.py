@@ -924,3 +924,6 @@ def target_brief(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_distinct("session_id").alias("sessions"), F.count("*").alias("events"), E.stamp(F.min("ts_utc")).alias("first_seen"),
         E.stamp(F.max("ts_utc")).alias("last_seen"), F.array_join(F.array_sort(F.collect_set("tool")), ",").alias("tools"),
     )
+
+
+from snagline.plans import review_queries  # noqa: E402, F401  registers its queries here
