@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snagline.llm.common import add_text_columns, free_name
-from snagline.llm.simhash import signed
+from snagline.llm.setlink import mixed
 
 #: Bound of the model: labelled training rows of a language.
 SAMPLE_ROWS = 500
@@ -38,20 +38,34 @@ UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Bytes of the vectors, and letters of the words, that a task remembers.
 CACHE_BYTES, CACHE_LETTERS = 8 << 20, 1_000_000
+#: Unknown words that are scored together.
+GROUPS = 4_096
 
 
 def is_held_out(doc_id: str | Column) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id) % 4 == 2
 
 
-def grams(word: str, n: int) -> Iterator[str]:
-    edged = f"<{word}>"
-    return (edged[i : i + n] for i in range(len(edged) - n + 1))
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def gram_hashes(codes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n-grams that begin at each place of a run of code points."""
+    count = max(0, len(codes) - n + 1)
+    rolling = np.full(count, n, np.uint64)
+    for k in range(n):
+        rolling = rolling * np.uint64(0x100000001B3) + codes[k : k + count]
+    return mixed(rolling)
+
+
+def word_hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
 def token_hash(n: int, token: str) -> int:
     """Of a word (n = 0) or an n-gram."""
-    return xxhash.xxh64_intdigest(f"{n}{token}".encode("utf-8", "surrogatepass"))
+    return int(gram_hashes(code_points(token), n)[0]) if n else word_hash(token)
 
 
 def _counts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -60,16 +74,27 @@ def _counts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: dict[str, Counter] = {}
         for lang, text in zip(batch["lang"], batch["text"]):
             words.setdefault(lang, Counter()).update(_LETTERS.findall(text.lower()))
-        rows = []
+        made = []
         for lang, counts in words.items():
-            parts: Counter = Counter()
-            for word, c in counts.items():
-                parts[0, word] += c
-                for n in range(1, LONGEST_GRAM + 1):
-                    for g in grams(word, n):
-                        parts[n, g] += c
-            rows += [(lang, n, signed(token_hash(n, g)), c) for (n, g), c in parts.items()]
-        yield pd.DataFrame(rows, columns=["lang", "n", "token", "c"])
+            hashes = np.fromiter(map(word_hash, counts), np.uint64, len(counts))
+            times = np.fromiter(counts.values(), np.int64, len(counts))
+            made.append(pd.DataFrame({"lang": lang, "n": 0, "token": hashes.view(np.int64), "c": times}))
+            codes, owner, left = _edged(list(counts))
+            for n in range(1, LONGEST_GRAM + 1):
+                at = np.flatnonzero(left >= n)
+                token, place = np.unique(gram_hashes(codes, n)[at], return_inverse=True)
+                c = np.bincount(place, weights=times[owner[at]]).astype(np.int64)
+                made.append(pd.DataFrame({"lang": lang, "n": n, "token": token.view(np.int64), "c": c}))
+        if made:
+            yield pd.concat(made)
+
+
+def _edged(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all words between marks, the word of each, and how many stand from there to its end."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    ends = np.cumsum(lengths)
+    owner = np.repeat(np.arange(len(words)), lengths)
+    return code_points("".join(f"<{w}>" for w in words)), owner, ends[owner] - np.arange(len(owner))
 
 
 @dataclass
@@ -100,7 +125,7 @@ class LanguageModel:
         weight = np.log((c + ALPHA) / sums[n, lang]) - np.log(floor[n]) if len(c) else c
         return cls(langs, token[first], np.append(first, len(token)).astype(np.int64), lang.astype(np.int32), weight.astype(np.float32))
 
-    def find(self, hashes: list[int]) -> np.ndarray:
+    def find(self, hashes: list[int] | np.ndarray) -> np.ndarray:
         """Places of the tokens, -1 for unknown ones."""
         wanted = np.array(hashes, np.uint64)
         if not len(self.tokens):
@@ -117,15 +142,29 @@ class LanguageModel:
         out[row, self.lang[at]] = self.weight[at]
         return out
 
-    def backed_off(self, word: str) -> np.ndarray | float:
-        """What the longest known n-grams of an unknown word say, on average."""
+    def backed_off(self, words: list[str]) -> np.ndarray:
+        """For each unknown word what its longest known n-grams say, on average; zeros where none is known."""
+        out = np.zeros((len(words), len(self.langs)), np.float32)
+        codes, owner, left = _edged(words)
+        open_ = np.ones(len(words), bool)
         for n in range(LONGEST_GRAM, 0, -1):
-            several = Counter(grams(word, n))
-            places = self.find([token_hash(n, g) for g in several])
-            times = np.fromiter(several.values(), float, len(several))[places >= 0]
-            if len(times):
-                return times @ self.vectors(places[places >= 0]) * (max(1.0, len(word) / RUN_LETTERS) / times.sum())
-        return 0.0
+            hashes = gram_hashes(codes, n)
+            at = np.flatnonzero((left >= n) & open_[owner])
+            places = self.find(hashes[at])
+            at, places = at[places >= 0], places[places >= 0]
+            if not len(at):
+                continue
+            of = owner[at]
+            first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            times = np.diff(np.append(first, len(of)))
+            letters = left[np.searchsorted(owner, of[first])] - 2
+            weight = np.maximum(1.0, letters / RUN_LETTERS) / times
+            for j in range(0, len(first), GROUPS):  # some words at a time
+                a, b = first[j], first[j + GROUPS] if j + GROUPS < len(first) else len(of)
+                sums = np.add.reduceat(self.vectors(places[a:b]), first[j : j + GROUPS] - a, axis=0)
+                out[of[first[j : j + GROUPS]]] = sums * weight[j : j + GROUPS, None]
+            open_[of[first]] = False
+        return out
 
     def scorer(self) -> Callable[[str], tuple[str, float]]:
         """A function from a whole text to (language, share of the likelihood)."""
@@ -139,13 +178,15 @@ class LanguageModel:
                 met.clear()  # words are scored anew when they come again
                 letters[0], new = 0, words
             if new:
-                places = self.find([token_hash(0, w) for w in new])
+                places = self.find([word_hash(w) for w in new])
                 at = len(met) + np.arange(len(new))
                 met.update(zip(new, at.tolist()))
                 letters[0] += sum(map(len, new))
                 table[at[places >= 0]] = self.vectors(places[places >= 0])
-                for i in np.flatnonzero(places < 0).tolist():
-                    table[at[i]] = self.backed_off(new[i])
+                unknown = np.flatnonzero(places < 0)
+                for i in range(0, len(unknown), GROUPS):
+                    some = unknown[i : i + GROUPS]
+                    table[at[some]] = self.backed_off([new[j] for j in some.tolist()])
             return [met[w] for w in words]
 
         def score(text: str) -> tuple[str, float]:
