@@ -41,7 +41,11 @@ def document_key(text: Column) -> list[Column]:
 
 
 def windows(benchmark: DataFrame, text: str = "text", item_id: str = "item_id", width: int = WINDOW) -> DataFrame:
-    """(window, words, n) of the distinct windows; an item with fewer words is one window."""
+    """(window, words, n) of the distinct windows; an item with fewer words is one window.
+
+    A null text or one without words has none, repeated items count once, and
+    an empty table gives no rows.
+    """
     items = _items(benchmark, text, item_id, width)
     return items.select("window", "words").groupBy("window").agg(F.first("words").alias("words")).withColumn(
         "n", F.size("words")
@@ -124,7 +128,11 @@ def proximity_matches(docs: DataFrame, found: DataFrame, slop: int = 5, text: st
     words of the distance they have in it.
 
     Postings are joined by window, document and a block of places, so that a
-    term that is frequent in one document is not paired with all its places.
+    term that is frequent in one document is not paired with all its places.  Of
+    terms as rare as each other the first in order counts, of its places in the
+    window the first.  A window of one distinct term, or with a term that the
+    documents lack, matches nowhere; nor do null texts.  Equal texts share a
+    key.  Other columns are not read.  Empty tables give no rows.
     """
     terms = found.select(F.explode("words").alias("term")).distinct()
     index = build_index(docs, terms, text)

@@ -306,8 +306,31 @@ def test_contamination(spark, hard):
     left = decontaminate.drop_contaminated(docs(spark, rows), bench)
     assert left.columns == docs(spark, rows).columns
     assert left.count() == sum(not w[-1] for w in want)
-    close = decontaminate.proximity_matches(docs(spark, rows), decontaminate.windows(bench))
-    assert close.count() > 0
+
+
+def test_proximity_against_all_places(spark):
+    """Windows whose two rarest terms stand about as far apart as in the item, by comparing all places."""
+    slop, rng = 3, np.random.default_rng(5)
+    items = [(1, prose(41, 14, 60)), (2, prose(42, 10, 60)), (3, "lone"), (4, None)]
+    words = prose(41, 14, 60).split()
+    rows = [(i, prose(100 + i, 80, 60)) for i in range(20)] + [(50, " ".join(words)), (51, " ".join(x for w in words for x in (w, *["gap"] * int(rng.integers(0, 2))))), (52, None)]
+    df = docs(spark, rows)
+    found = decontaminate.windows(spark.createDataFrame(items, "item_id long, text string"))
+    texts = [WORD.findall(lower(x)) for _, x in rows]
+    count = Counter(w for own in texts for w in own)
+    want = set()
+    for r in found.collect():
+        terms = sorted(set(r["words"]), key=lambda w: (count[w], w))
+        if len(terms) < 2 or not count[terms[0]]:
+            continue
+        a, b = terms[:2]
+        apart = r["words"].index(a) - r["words"].index(b)
+        for (i, _), own in zip(rows, texts):
+            other = [q for q, w in enumerate(own) if w == b]
+            want |= {(i, r["window"], p) for p, w in enumerate(own) if w == a and any(abs(p - q - apart) <= slop for q in other)}
+    keys = {(r["k1"], r["k2"]): r["doc_id"] for r in df.select("doc_id", *decontaminate.document_key(F.coalesce("text", F.lit("")))).collect()}
+    got = {(keys[r["k1"], r["k2"]], r["window"], r["place"]) for r in decontaminate.proximity_matches(df, found, slop).collect()}
+    assert got == want and any(i == 51 for i, *_ in got)
 
 
 # --- 6: secrets ---------------------------------------------------------------------------------
