@@ -236,3 +236,14 @@ def test_budgets_and_caps(spark):
     assert sorted((r["g"], r["o"]) for r in R.packed(df, ["g"], ["o"], "t", 4).collect()) == [("g", 1), ("g", 2), ("h", 1)]
     cap = R.omitted_after(df.withColumnRenamed("o", "ordinal"), ["g"], ["ordinal"], 2).collect()
     assert sorted(tuple(r) for r in cap) == [("g", 2, 1, 3, 3), ("h", 1, 0, None, None)]
+
+
+def test_work_cycles(spark):
+    go, claim, ask, admit = "please complete the workflow", "I implemented it", "what of the lessons?", "My earlier claim was premature"
+    whole = [("user", go), ("assistant", claim), ("assistant", "hm"), ("user", ask), ("assistant", admit), ("user", go)]
+    stopped = whole[:4] + [("user", "stop"), ("assistant", admit), ("user", go)]
+    anew = [("user", go), *whole]
+    long = [("user", go), *[("assistant", "hm")] * 30, *whole[1:]]
+    rows = [(name, i, role, text) for name, talk in (("whole", whole), ("stopped", stopped), ("anew", anew), ("long", long)) for i, (role, text) in enumerate(talk)]
+    got = {r["session_key"]: (r["first"], r["last"], r["ordinals"]) for r in S.work_cycles(spark.createDataFrame(rows, "session_key string, ordinal int, role string, text string")).collect()}
+    assert got == {"whole": (0, 5, [0, 1, 2, 3, 4, 5]), "anew": (1, 6, [1, 2, 3, 4, 5, 6])}
