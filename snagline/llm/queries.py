@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from snagline.llm import (
     decontaminate,
@@ -13,6 +15,9 @@ from snagline.llm import (
     licenses,
     lines,
     mixing,
+    packed,
+    repair,
+    runs,
     secrets,
     simhash,
 )
@@ -59,6 +64,18 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hpylm.score_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op11_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(read_table(spark, sf_dir, "conversations")), there=F.col("there"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(runs.periodic_runs(runs.with_planted_runs(read_table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -72,6 +89,9 @@ QUERIES = {
         op8_simhash,
         op9_mixing,
         op10_lm_scoring,
+        op11_token_packing,
+        op12_conversation_repair,
+        op13_periodic_runs,
     )
 }
 
