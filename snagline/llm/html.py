@@ -5,8 +5,8 @@ and votes for the tag and class path of the best one, with digits taken out so
 that pages of one layout agree.  Spark adds the votes by host; then each page
 is read again and the container on its host's winning path is its article.
 
-Elements named like a side part are left out, unless they hold most of the
-unlinked text in the page's article and main elements or, where there is none,
+Elements that are hidden or named like a side part are left out, unless they hold
+most of the unlinked text in the page's article and main elements or, where there is none,
 of the page.  A header in an article or main element, or one named as that of an
 article, holds its title and stays.
 """
@@ -28,7 +28,9 @@ from snagline.llm.common import broadcast_if_small, stored
 _TAG = re.compile(r"</?[a-zA-Z]")
 _TAG_NAME = re.compile(r"[^\s/>]+")
 _STOPS = re.compile(r"""[>"']""")
-_NAMED = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b")
+_SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/$""")
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "svg", "iframe")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
@@ -50,17 +52,27 @@ _NEVER = frozenset(
     "ad ads advert adverts advertisement comment comments consent cookie cookies disqus popup promo promoted replies"
     " respond sponsor sponsored".split()
 )
+#: Behind one of the words above they say what kind of box the side part is in; a widget or form is too general for that.
+_BOXES = frozenset(
+    "area bar block bottom box button buttons container inner item items left link links list outer panel posts right section"
+    " thread top wrap wrapper".split()
+)
+_BOXED = _NAMES - {"form", "widget"}
 #: Before the last part of a name they say that the page has such a part or not, not that this is one.
 _TELLING = frozenset("has have hide is no not show with without".split())
 #: An open one is closed by the next of its kind, or by what cannot stand in it.
 _CLOSES = {"p": _BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
            "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]),
            "option": frozenset(["option"])}
+_ENDS_SEARCH = frozenset(["table", "ul", "ol", "dl", *_CONTAINER])
 #: A header with one of them before its last part is an article's own.
 _OF_ARTICLE = frozenset("article content entry post story".split())
+#: Names of what leads into an article and may stand beside its container, as its h1 may.
+_LEADS = frozenset("dek headline intro introduction lead lede standfirst subtitle summary teaser title".split())
 _WORDS = re.compile(r"[a-z]+")
-#: A path of more characters goes on as a digest of itself; a container counts for a block while its share is so large.
-LONGEST_PATH, LEAST_SHARE = 2_000, 1e-6
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+#: A path of more characters goes on as a digest of itself.
+LONGEST_PATH = 2_000
 
 
 def pieces(page: str) -> Iterator[tuple[str, str, str]]:
@@ -116,7 +128,7 @@ def pieces(page: str) -> Iterator[tuple[str, str, str]]:
             if closes:
                 yield "close", tag, ""
                 continue
-            if tag in _RAW and not attributes.endswith("/"):
+            if tag in _RAW and not (tag == "svg" and _SELF_CLOSED.search(attributes)):
                 m = _RAW[tag].search(page, at)
                 at = m.end() if m else end
                 continue
@@ -129,10 +141,13 @@ def pieces(page: str) -> Iterator[tuple[str, str, str]]:
 class _Node:
     """An open element; `owner` is the innermost element around its text that a name or tag may leave out."""
 
-    __slots__ = ("tag", "path", "out", "linked", "never", "main", "owner", "container", "begin", "end", "score")
+    __slots__ = ("tag", "path", "out", "linked", "never", "main", "lead", "owner", "container", "depth", "up", "stop", "begin", "end", "score")
 
-    def __init__(self, tag: str, path: str, up: _Node | None):
-        self.tag, self.path, self.score, self.begin, self.end = tag, path, 0.0, 0, 0
+    def __init__(self, tag: str, path: str, up: _Node | None, depth: int = 0):
+        self.tag, self.path, self.depth, self.up, self.score, self.begin, self.end = tag, path, depth, up, 0.0, 0, 0
+        self.lead = False
+        # the innermost element, itself included, that another can close or that ends the search for one
+        self.stop = self if tag in _CLOSES or tag in _ENDS_SEARCH or up is None else up.stop
         self.out = self.linked = self.never = self.main = False
         self.owner, self.container = -1, None  # the next container around it
         if up is not None:
@@ -140,13 +155,31 @@ class _Node:
             self.container = up if up.tag in _CONTAINER else up.container
 
 
+def _attributes(rest: str) -> dict[str, str]:
+    """Attributes of a tag by their names in lower case; the first of a name counts."""
+    found: dict[str, str] = {}
+    for name, a, b, c in _ATTRIBUTE.findall(rest):
+        found.setdefault(name.lower(), a or b or c)
+    return found
+
+
+def _parts(token: str) -> list[str]:
+    """Words of a class, id or role: cut at capitals, hyphens, digits and the like."""
+    return _WORDS.findall(_CAMEL.sub("-", token).lower())
+
+
 def _named_aside(names: dict[str, str], in_main: bool) -> tuple[bool, bool]:
     """Whether class, id or role name a side part, and whether one that is never an article."""
     tokens = f"{names.get('class', '')} {names.get('id', '')} {names.get('role', '')}".split()
     aside = never = False
     for token in tokens:
-        parts = _WORDS.findall(token)
-        if not parts or parts[-1] not in _NAMES or len(parts) > 1 and parts[-2] in _TELLING:
+        parts = _parts(token)
+        bare = len(parts)
+        while bare and parts[bare - 1] in _BOXES:
+            bare -= 1
+        boxed = 0 < bare < len(parts)
+        parts = parts[:bare]
+        if not parts or parts[-1] not in (_BOXED if boxed else _NAMES) or len(parts) > 1 and parts[-2] in _TELLING:
             continue
         if parts[-1] == "header" and (in_main or len(parts) > 1 and parts[-2] in _OF_ARTICLE):
             continue
@@ -155,8 +188,8 @@ def _named_aside(names: dict[str, str], in_main: bool) -> tuple[bool, bool]:
     return aside, never
 
 
-def read_page(page: str) -> tuple[list[str], list[_Node]]:
-    """The text blocks of a page in order, and its containers with their blocks (begin to end) and scores.
+def read_page(page: str) -> tuple[list[str], list[_Node], list[_Node]]:
+    """The text blocks of a page in order, its containers with their blocks (begin to end) and scores, and where each block stands.
 
     A page that has no text but that of elements left out by name or tag gives
     theirs.  Time and memory are linear in the page, however its tags nest.
@@ -201,23 +234,27 @@ def read_page(page: str) -> tuple[list[str], list[_Node]]:
             continue
         if tag in _BLOCK:
             flush()
-            for i in range(len(stack) - 1, max(0, len(stack) - 64), -1):
-                if tag in _CLOSES.get(stack[i].tag, ()):
-                    close(i)
+            at = stack[-1].stop  # there are few between two that end the search
+            while at.up is not None:
+                if tag in _CLOSES.get(at.tag, ()):
+                    close(at.depth)
                     break
-                if stack[i].tag in ("table", "ul", "ol", "dl") or stack[i].tag in _CONTAINER:
+                if at.tag in _ENDS_SEARCH:
                     break
+                at = at.up.stop
         elif tag == "br":
             held.append((" ", False, -1))
-        if tag in _VOID or rest.endswith("/"):
+        if tag in _VOID:
             continue
-        names = {k.lower(): (a or b or c or "").lower() for k, a, b, c in _NAMED.findall(rest)} if rest else {}
+        names = _attributes(rest) if rest else {}
         up = stack[-1]
-        step = ".".join([tag, *sorted(set(_WORDS.findall(names.get("class", ""))))])
+        step = ".".join([tag, *sorted(set(_WORDS.findall(names.get("class", "").lower())))])
         path = up.path if tag in ("html", "body") else f"{up.path}>{step}"  # either may be left out
-        node = _Node(tag, path if len(path) <= LONGEST_PATH else f"#{xxhash.xxh64_hexdigest(path.encode('utf-8', 'surrogatepass'))}", up)
-        out = tag in _ASIDE or "hidden" in names
+        node = _Node(tag, path if len(path) <= LONGEST_PATH else f"#{xxhash.xxh64_hexdigest(path.encode('utf-8', 'surrogatepass'))}", up, len(stack))
+        out = tag in _ASIDE
         aside, never = _named_aside(names, up.main) if names and tag not in ("html", "body") else (False, False)
+        aside |= "hidden" in names or bool(_UNSEEN.search(names.get("style", "").lower()))
+        node.lead = tag == "h1" or up.lead or bool(names) and any(w in _LEADS for x in ("class", "id") for w in _parts(names.get(x, "")))
         node.out, node.never = up.out or out, up.never or out or never
         node.main, node.linked = up.main or tag in ("article", "main"), up.linked or tag == "a"
         if aside or tag in _OFTEN_ASIDE and not (tag == "header" and up.main):
@@ -241,48 +278,63 @@ def read_page(page: str) -> tuple[list[str], list[_Node]]:
     off: list[bool] = []
     for i, up in enumerate(around):
         off.append(2 * held_by[i] <= of or up >= 0 and off[up])
-    blocks = _blocks(raw, containers, off)
+    blocks, places = _blocks(raw, containers, off)
     if not blocks:
         off = [False] * len(off)
-        blocks = _blocks(raw, containers, off)
-    return blocks, [n for n in containers if n.owner < 0 or not off[n.owner]]
+        blocks, places = _blocks(raw, containers, off)
+    return blocks, [n for n in containers if n.owner < 0 or not off[n.owner]], places
+
 
+def _blocks(raw: list, containers: list[_Node], off: list[bool]) -> tuple[list[str], list[_Node]]:
+    """Texts of the blocks without what is left out, and their elements; sets the blocks and scores of the containers.
 
-def _blocks(raw: list, containers: list[_Node], off: list[bool]) -> list[str]:
-    """Texts of the blocks without what is left out; sets the blocks and scores of the containers."""
-    blocks, upto = [], [0]
+    A container's score is the weight of its own blocks and half the score of each container in it.
+    """
+    blocks, places, upto = [], [], [0]
     for parts, node in raw:
         kept = [(text, linked) for text, linked, owner in parts if owner < 0 or not off[owner]]
         block = " ".join(entities.unescape("".join(text for text, _ in kept)).split())
         if block:
-            weight, share = max(0, len(block) - 2 * sum(len(text) for text, linked in kept if linked)), 1.0
             at = node if node.tag in _CONTAINER else node.container
-            while at is not None and share > LEAST_SHARE:
-                at.score += share * weight
-                share /= 2
-                at = at.container
+            if at is not None:
+                at.score += max(0, len(block) - 2 * sum(len(text) for text, linked in kept if linked))
             blocks.append(block)
+            places.append(node)
         upto.append(len(blocks))
+    for node in reversed(containers):  # those inside come first
+        if node.container is not None:
+            node.container.score += node.score / 2
     for node in containers:
         node.begin, node.end = upto[node.begin], upto[node.end]
-    return blocks
+    return blocks, places
 
 
 def best_path(page: str) -> tuple[str, float] | None:
     """The generalised path and the score of the page's best container."""
-    blocks, containers = read_page(page)
+    _, containers, _ = read_page(page)
     best = max(containers, key=lambda n: n.score, default=None)
     return (best.path, best.score) if best is not None and best.score > 0 else None
 
 
+def _lead(node: _Node, places: list[_Node]) -> Iterator[int]:
+    """Blocks before a container, within the one around it, that are headed or named as an article's lead."""
+    if node.container is not None:
+        for b in range(node.container.begin, node.begin):
+            if places[b].lead:
+                yield b
+
+
 def article(page: str, path: str | None) -> str:
-    """Text on the path; a page that has nothing there gives its own best container's."""
-    blocks, containers = read_page(page)
-    chosen = sorted({b for n in containers if n.path == path for b in range(n.begin, n.end)})
-    if not chosen:
-        best = max(containers, key=lambda n: n.score, default=None)
-        chosen = range(best.begin, best.end) if best is not None and best.begin < best.end else range(len(blocks))
-    return "\n\n".join(blocks[b] for b in chosen)
+    """Text on the path; a page that has nothing there gives its own best container's.
+
+    A title (h1) or lead that stands before the container, within the one around it, belongs to the text.
+    """
+    blocks, containers, places = read_page(page)
+    own = [n for n in containers if n.path == path and n.begin < n.end]
+    if not own:
+        own = [n for n in (max(containers, key=lambda n: n.score, default=None),) if n is not None and n.begin < n.end]
+    chosen = sorted({b for n in own for b in (*_lead(n, places), *range(n.begin, n.end))})
+    return "\n\n".join(blocks[b] for b in chosen or range(len(blocks)))
 
 
 def _votes(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -4,10 +4,13 @@ A notice of n characters that may have k errors is cut into k + 1 pieces; one
 of them must stand in the text unchanged (pigeonhole).  An automaton finds all
 pieces at once; each gives a place where the notice could be, and there the
 regex library matches the notice with at most k errors and reports the span.
+Every place is looked at by itself, in a window of the notice's length and its
+errors; of matches that overlap the one with fewer errors stays, then the first.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable
 
 import ahocorasick
@@ -30,15 +33,25 @@ NOTICES = (
     ("licensed under the apache license, version 2.0", "apache-2"),
     ("licensed under cc by-nc 4.0", "cc-by-nc"),
     ("creative commons attribution-noncommercial", "cc-by-nc"),
+    ("creative commons attribution 4.0 international", "cc-by"),
+    ("creative commons attribution-noderivatives", "cc-by-nd"),
+    ("creative commons zero v1.0 universal", "cc0"),
     ("creative commons attribution-sharealike", "cc-by-sa"),
     ("redistribution and use in source and binary forms, with or without modification", "bsd"),
     ("this program is free software: you can redistribute it and/or modify", "gpl"),
+    ("licensed under the gnu general public license", "gpl"),
     ("gnu lesser general public license", "lgpl"),
+    ("gnu affero general public license", "agpl"),
+    ("eclipse public license", "epl"),
+    ("boost software license, version 1.0", "bsl-1"),
+    ("sil open font license", "ofl"),
     ("mozilla public license, version 2.0", "mpl-2"),
     ("permission to use, copy, modify, and/or distribute this software for any purpose", "isc"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
     ("all rights reserved", "all-rights-reserved"),
 )
+#: Windows whose match a task keeps.
+KNOWN_WINDOWS = 1 << 16
 #: One error for so many characters of a notice.
 CHARS_PER_ERROR = 10
 _TO_LOWER = str.maketrans(UPPER, LOWER)
@@ -68,34 +81,48 @@ def notice_finder() -> Callable[[str], list[tuple[int, int, str, int]]]:
         automaton.add_word(piece, uses)
     automaton.make_automaton()
 
+    known: dict[tuple[int, str], tuple[int, int, int] | None] = {}
+
+    def best(k: int, window: str) -> tuple[int, int, int] | None:
+        """(start, end, errors) of the best match within a window; windows that come again are looked up."""
+        if (k, window) not in known:
+            if len(known) >= KNOWN_WINDOWS:
+                known.clear()
+            m = patterns[k][0].search(window)
+            known[k, window] = m and (m.start(), m.end(), sum(m.fuzzy_counts))
+        return known[k, window]
+
     def find(text: str) -> list[tuple[int, int, str, int]]:
-        areas: dict[int, list[list[int]]] = {}
+        windows: dict[int, set[int]] = {}
         for end, uses in automaton.iter(text):
             for k, offset, length in uses:
-                _, n, e, _ = patterns[k]
-                begin = end + 1 - length - offset
-                areas.setdefault(k, []).append([max(0, begin - e), min(len(text), begin + n + e)])
+                windows.setdefault(k, set()).add(end + 1 - length - offset)
         out = []
-        for k, spans in areas.items():
-            pattern, n, e, label = patterns[k]
-            shortest = n - e
-            spans.sort()
-            joined = [spans[0]]
-            for a, b in spans[1:]:
-                if a <= joined[-1][1]:
-                    joined[-1][1] = max(joined[-1][1], b)
-                else:
-                    joined.append([a, b])
-            while joined:  # the best match of an area, then the areas on both sides of it
-                a, b = joined.pop()
-                if b - a >= shortest and (m := pattern.search(text, a, b)):
-                    out.append((m.start(), m.end(), label, sum(m.fuzzy_counts)))
-                    joined += [[a, m.start()], [m.end(), b]]
+        for k, begins in windows.items():
+            _, n, e, label = patterns[k]
+            found = set()
+            for begin in begins:
+                a = max(0, begin - e)
+                if m := best(k, text[a : max(0, begin + n + e)]):
+                    found.add((m[2], a + m[0], a + m[1]))
+            out += [(a, b, label, errors) for errors, a, b in apart(sorted(found))]
         return sorted(out)
 
     return find
 
 
+def apart(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(errors, start, end) in the given order, without those that overlap one before them."""
+    taken: list[tuple[int, int]] = []
+    kept = []
+    for errors, a, b in spans:
+        i = bisect_left(taken, (a, b))
+        if (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or b <= taken[i][0]):
+            taken.insert(i, (a, b))
+            kept.append((errors, a, b))
+    return kept
+
+
 _FIELDS = (
     "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double,"
     " spans array<struct<start:int,end:int,label:string,errors:int>>"
@@ -112,11 +139,12 @@ def _scan():
         if any(all(w in lower for w in phrase.split()) for phrase, _ in PHRASES):
             line = f" {' '.join(words)} "
             for phrase, label in PHRASES:
-                spot = line.find(f" {phrase} ")
+                spot, at, number = line.find(f" {phrase} "), 0, 0
                 while spot >= 0:
-                    starts.append(line.count(" ", 0, spot))
+                    number += line.count(" ", at, spot)
+                    starts.append(number)
                     labels.add(label)
-                    spot = line.find(f" {phrase} ", spot + 1)
+                    at, spot = spot, line.find(f" {phrase} ", spot + 1)
         spans = find(lower)
         nearest = max((1 - e / max(1, b - a) for a, b, _, e in spans), default=0.0)
         return (
