@@ -13,6 +13,7 @@ doc_ids (i64); then TRAILER.  All numbers are little-endian.
 from __future__ import annotations
 
 import itertools
+import re
 import struct
 import uuid
 import zlib
@@ -44,8 +45,14 @@ def bits_of(vocabulary: int) -> int:
     return max(1, (vocabulary - 1).bit_length())
 
 
+#: Widths that are whole numbers.
+_WHOLE = {8: "<u1", 16: "<u2", 32: "<u4"}
+
+
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """ids in bits each, lowest bits first; the last byte is filled up with zeros."""
+    if bits in _WHOLE:
+        return ids.astype(_WHOLE[bits]).tobytes()
     groups = np.zeros((-(-len(ids) // 8), 8), np.uint64)
     groups.reshape(-1)[: len(ids)] = ids
     out = np.zeros((len(groups), bits + 1), np.uint8)
@@ -59,6 +66,8 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
 
 def unpack(data: bytes, count: int, bits: int) -> np.ndarray:
     """The ids (uint32) that pack made bytes of."""
+    if bits in _WHOLE:
+        return np.frombuffer(data, _WHOLE[bits], count).astype(np.uint32)
     groups = -(-count // 8)
     raw = np.zeros((groups, bits + 1), np.uint8)
     whole = np.zeros(groups * bits, np.uint8)
@@ -177,9 +186,11 @@ class PackedReader:
 _PIECES = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-_SPACED = regex.compile(r" \p{L}+")
+#: The same with the classes of `re`, which is faster, for texts of the characters below, on which both agree.
+_FAST_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_COMMON = re.compile("[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u052f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u3001-\u3003\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*")
 #: Pieces whose ids a Python worker keeps, characters of the longest one that it keeps, pieces taken at a time.
-KNOWN_PIECES, KNOWN_CHARS, TAKEN = 1 << 19, 64, 1 << 16
+KNOWN_PIECES, KNOWN_CHARS, TAKEN = 1 << 20, 64, 1 << 16
 
 
 class Encoder:
@@ -196,34 +207,38 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: set[str]) -> None:
-        if len(self.known) + len(pieces) > KNOWN_PIECES:
-            self.known.clear()
-        spaced = [p for p in pieces if _SPACED.fullmatch(p)]
+        spaced = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
         for k in range(0, len(spaced), 64):  # a space and letters end where the next space begins, so many go as one text
             part = spaced[k : k + 64]
             e = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            ids = np.array(e.ids, "<u4")
-            cuts = np.searchsorted(np.array(e.word_ids), np.arange(len(part) + 1))
-            self.known.update((p, ids[a:b].tobytes()) for p, a, b in zip(part, cuts, cuts[1:]))
+            ids = np.array(e.ids, "<u4").tobytes()
+            cuts = (4 * np.searchsorted(np.array(e.word_ids), np.arange(len(part) + 1))).tolist()
+            self.known.update((p, ids[a:b]) for p, a, b in zip(part, cuts, cuts[1:]))
         rest = list(pieces.difference(spaced))
         self.known.update(zip(rest, self._plain(rest)))
 
     def _taken(self, pieces: list[str]) -> bytes:
-        new = {p for p in set(pieces).difference(self.known) if len(p) <= KNOWN_CHARS}
-        if len(self.known) + len(new) > KNOWN_PIECES:  # what these pieces need is learnt again
-            new = {p for p in set(pieces) if len(p) <= KNOWN_CHARS}
+        known = self.known
+        new = {p for p in pieces if p not in known}
         if new:
+            if len(known) + len(new) > KNOWN_PIECES:
+                known.clear()
+                new = set(pieces)
             self._learn(new)
-        get = self.known.get
-        return b"".join([get(p) or self._plain([p])[0] for p in pieces])
+        out = b"".join(map(known.__getitem__, pieces))
+        for p in new:
+            if len(p) > KNOWN_CHARS:
+                del known[p]
+        return out
 
     def __call__(self, text: str) -> np.ndarray:
         """Ids (uint32) of a whole text."""
         if not self.by_piece:
             return np.frombuffer(self._plain([text])[0], "<u4")
+        pattern = _FAST_PIECES if _COMMON.fullmatch(text) else _PIECES
         if len(text) <= TAKEN:
-            return np.frombuffer(self._taken(_PIECES.findall(text)), "<u4")
-        found, parts = (m[0] for m in _PIECES.finditer(text)), []
+            return np.frombuffer(self._taken(pattern.findall(text)), "<u4")
+        found, parts = (m[0] for m in pattern.finditer(text)), []
         while some := list(itertools.islice(found, TAKEN)):
             parts.append(self._taken(some))
         return np.frombuffer(b"".join(parts), "<u4")
