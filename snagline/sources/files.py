@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-PREFIX_BYTES = 4096
+from snagline.sources import ranges
+from snagline.sources.ranges import PREFIX_BYTES
 
 
 def listed(spark: SparkSession, *paths: str, pattern: str = "*.jsonl") -> DataFrame:
-    """(path, size, modified, prefix): distinct files below the paths, with their first 4 KiB, newest first."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(list(paths))
-    columns = "path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.substring("content", 1, PREFIX_BYTES).alias("prefix")
-    return files.select(*columns).dropDuplicates(["path"]).orderBy(F.desc("modified"), "path")
+    """(path, size, modified, prefix): distinct files below the paths, with their first 4 KiB, newest first; no more is read of them."""
+    return ranges.read(spark, paths, "files", pattern).orderBy(F.desc("modified"), "path")
 
 
 def prefix_sha(prefix: Column, size: Column) -> Column:
@@ -60,33 +58,28 @@ def error_streak(before: Column, errors: Column) -> Column:
     return F.when(errors > 0, F.coalesce(before, F.lit(0)) + 1).otherwise(0)
 
 
-def complete_lines(spark: SparkSession, *paths: str, offsets: DataFrame | None = None) -> DataFrame:
+def complete_lines(spark: SparkSession, *paths: str, offsets: DataFrame | None = None, pattern: str = "*", range_bytes: int = ranges.RANGE_BYTES) -> DataFrame:
     """(path, line, begin, text) of the lines that end in a line feed, with the byte at which each begins.
 
-    A torn tail is left out; pending_tails has it.  With offsets (path, offset,
-    line) only what stands behind the offset is read of a file, and its lines
-    are numbered on.
+    A torn tail is left out; pending_tails has it.  Files are read by byte
+    ranges, each by a task of its own; how many lines the ranges before have
+    gives a line its number.  With offsets (path, offset, line; a row for each
+    file) only what stands behind the offset is read of a file, and its lines are
+    numbered on.
     """
-    whole = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    start, number = F.lit(0), F.lit(0)
-    if offsets is not None:
-        whole = whole.join(offsets.select("path", F.col("offset").alias("_at"), F.col("line").alias("_line")), "path", "left")
-        start, number = F.coalesce("_at", F.lit(0)), F.coalesce("_line", F.lit(0))
-        behind = F.decode(F.substring(F.encode("value", "UTF-8"), start + 1, F.octet_length("value")), "UTF-8")
-        whole = whole.withColumn("value", F.when(start > 0, behind).otherwise(F.col("value")))
-    lines = F.split("value", "\n", -1)
-    done = F.slice(lines, F.lit(1), F.size(lines) - 1)
-    rows = whole.select("path", start.alias("_start"), number.alias("_number"), F.posexplode(done).alias("_i", "text"))
-    before = Window.partitionBy("path").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
-    begin = F.col("_start") + F.coalesce(F.sum(F.octet_length("text") + 1).over(before), F.lit(0))
-    return rows.select("path", (F.col("_number") + F.col("_i")).cast("int").alias("line"), begin.cast("long").alias("begin"), "text")
-
-
-def pending_tails(spark: SparkSession, *paths: str) -> DataFrame:
+    known = {r["path"]: (r["offset"], r["line"]) for r in offsets.collect()} if offsets is not None else {}
+    scan = lambda rows: ranges.read(spark, paths, rows, pattern, range_bytes, {p: o for p, (o, _) in known.items()})
+    first = spark.createDataFrame([(p, n) for p, (_, n) in known.items()], "path string, first long")
+    before = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counted = scan("counts").join(first, "path", "left")
+    base = counted.select("path", "part", (F.coalesce("first", F.lit(0)) + F.coalesce(F.sum("feeds").over(before), F.lit(0))).alias("base"))
+    rows = scan("lines").join(base, ["path", "part"])
+    return rows.select("path", (F.col("base") + F.col("local")).cast("int").alias("line"), "begin", "text")
+
+
+def pending_tails(spark: SparkSession, *paths: str, pattern: str = "*") -> DataFrame:
     """(path, offset, tail): what stands behind the last line feed of a file, and where; an empty tail when nothing does."""
-    whole = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    tail = F.substring_index("value", "\n", -1)
-    return whole.select("path", (F.octet_length("value") - F.octet_length(tail)).cast("long").alias("offset"), tail.alias("tail"))
+    return ranges.read(spark, paths, "tails", pattern)
 
 
 def transcript_records(lines: DataFrame) -> DataFrame:
