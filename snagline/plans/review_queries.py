@@ -64,7 +64,11 @@ def _lines(spark: SparkSession, sf_dir: str, shape: str) -> DataFrame:
         words = F.array(F.struct(F.lit("input_text").alias("type"), F.concat(F.lit("do it "), "event_id").alias("text")))
         said = item(F.lit("message").alias("type"), F.lit("user").alias("role"), words.alias("content"))
         other = item(F.lit("reasoning").alias("type"))
+        # the second shape reports a stopped turn itself
+        stopped = F.to_json(F.struct(F.lit("event_msg").alias("type"), F.struct(F.lit("turn_aborted").alias("type"), F.lit("stop").alias("reason")).alias("payload")))
     pair = F.array(F.when(human, F.to_json(said)).otherwise(F.to_json(call)), F.when(human, F.to_json(other)).otherwise(F.to_json(answer)))
+    if shape == "b":
+        pair = F.when(kind == "signup", F.array(stopped, F.to_json(other))).otherwise(pair)
     path = F.concat(F.lit("/u"), "user_id")
     rows = e.select(path.alias("path"), F.col("event_id"), F.posexplode(pair).alias("k", "text"))
     lines = rows.select("path", (2 * F.col("event_id") + F.col("k")).alias("line"), "text")
@@ -75,7 +79,8 @@ def _lines(spark: SparkSession, sf_dir: str, shape: str) -> DataFrame:
     return lines
 
 
-_KINDS = """SELECT 'u' || user_id AS session_id, 2 * event_id AS line, CASE event_type WHEN 'error' THEN 'run_failed' WHEN 'purchase' THEN 'run_succeeded'
+#: A rejection stands where it was reported, one line behind its call; the second shape has an interrupt there.
+_KINDS = """SELECT 'u' || user_id AS session_id, 2 * event_id + CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END AS line, CASE event_type WHEN 'error' THEN 'run_failed' WHEN 'purchase' THEN 'run_succeeded'
     WHEN 'view' THEN 'file_read' WHEN 'signup' THEN 'tool_rejected' ELSE CASE WHEN before = 'signup' THEN 'user_turn_after_correction' ELSE 'turn' END END AS kind,
     CASE event_type WHEN 'error' THEN 3 WHEN 'purchase' THEN 0 END AS exit_code, CASE WHEN event_type = 'view' THEN '/f/' || (event_id % 9) END AS file_path
   FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)"""
@@ -87,7 +92,7 @@ def transcript_events_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("session_id", "line", "kind", "exit_code", "file_path")
 
 
-@query("transcript_events_b", _KINDS)
+@query("transcript_events_b", _KINDS.replace("CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END", "0").replace("'tool_rejected'", "'interrupt'"))
 def transcript_events_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = transcripts.events_of(transcripts.blocks_b(_lines(spark, sf_dir, "b")))
     return rows.select("session_id", "line", "kind", "exit_code", "file_path")
@@ -99,7 +104,7 @@ def transcript_events_b(spark: SparkSession, sf_dir: str) -> DataFrame:
         WHEN k = 0 THEN 'tool_call' ELSE 'tool_result' END AS origin FROM events, (VALUES (0), (1)) AS t(k)
         WHERE k = 0 OR event_type IN ('error', 'purchase', 'view', 'signup')),
       y AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY line) - 1 AS ordinal,
-        sum(CASE WHEN origin = 'human_request' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY line) AS turn_id FROM x)
+        nullif(sum(CASE WHEN origin = 'human_request' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY line), 0) AS turn_id FROM x)
       SELECT 'u' || user_id AS session_key, ordinal, line, origin, CAST(turn_id AS BIGINT) AS turn_id FROM y WHERE ordinal < 1000""",
 )
 def transcript_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +112,34 @@ def transcript_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("session_key", "ordinal", "line", "origin", "turn_id")
 
 
+@query(
+    "transcript_threads",
+    """WITH t AS (SELECT user_id, event_id, event_type AS k, event_id % 4 = 0 AS sidechain FROM events),
+      b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS ordinal, lag(CASE WHEN k IN ('error', 'view', 'signup') THEN k END IGNORE NULLS) OVER w AS before,
+        lag(CASE WHEN k = 'error' THEN event_id END IGNORE NULLS) OVER w AS question FROM t WINDOW w AS (PARTITION BY user_id, sidechain ORDER BY event_id)),
+      o AS (SELECT *, CASE WHEN k = 'error' THEN 'question' WHEN k = 'purchase' THEN 'assistant_text' WHEN k = 'view' AND before = 'error' THEN 'human_answer' WHEN k = 'view' THEN 'human_request' ELSE 'harness' END AS origin FROM b),
+      e AS (SELECT *, sum(CASE WHEN origin = 'human_request' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, sidechain ORDER BY event_id) AS turn,
+        lead(CASE WHEN k = 'signup' THEN 'interrupted' WHEN origin = 'human_request' THEN 'unknown' WHEN k = 'purchase' THEN 'none' END IGNORE NULLS) OVER (PARTITION BY user_id, sidechain ORDER BY event_id) AS ended FROM o)
+      SELECT 'u' || e.user_id AS session_key, e.ordinal, e.origin, e.sidechain, CAST(nullif(e.turn, 0) AS BIGINT) AS turn_id, CASE WHEN e.origin = 'human_answer' THEN q.ordinal END AS question_ordinal,
+        CASE WHEN e.k = 'purchase' THEN coalesce(ended, 'unknown') WHEN e.k = 'signup' THEN 'interrupted' ELSE 'none' END AS terminal_state
+      FROM e LEFT JOIN b q ON q.event_id = e.question AND q.user_id = e.user_id WHERE e.ordinal < 500""",
+)
+def transcript_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions, replies, words of humans, interrupts and harness records of a main and a delegated thread."""
+    kind, i = F.col("event_type"), F.col("event_id")
+    asks = F.array(F.struct(F.lit("tool_use").alias("type"), i.cast("string").alias("id"), F.lit("AskUserQuestion").alias("name"), F.struct(F.lit("Which?").alias("question")).alias("input")))
+    record = lambda role, content: F.to_json(F.struct(
+        F.lit(role).alias("type"), F.concat(F.lit("u"), "user_id").alias("sessionId"), (i % 4 == 0).alias("isSidechain"), (~kind.isin("error", "purchase", "view", "signup")).alias("isMeta"),
+        F.struct(F.concat(F.lit("m"), i).alias("id"), content.alias("content")).alias("message"),
+    ))
+    words = F.array(F.struct(F.lit("text").alias("type"), F.lit("Done.").alias("text")))
+    text = F.when(kind == "error", record("assistant", asks)).when(kind == "purchase", record("assistant", words)).when(kind == "signup", record("user", F.lit(transcripts.INTERRUPT)))
+    text = text.otherwise(record("user", F.concat(F.lit("do it "), i)))
+    lines = A.table(spark, sf_dir, "events").select(F.concat(F.lit("/u"), "user_id").alias("path"), i.alias("line"), text.alias("text"))
+    rows = transcripts.interactions_of(transcripts.blocks_a(lines), 500)
+    return rows.select("session_key", "ordinal", "origin", "sidechain", "turn_id", "question_ordinal", "terminal_state")
+
+
 @query(
     "transcript_usage",
     """WITH m AS (SELECT user_id, event_id // 4 AS m, max(event_id % 90) AS i, max(event_id % 7) AS o, arg_max('m' || (event_id % 3), event_id) AS model, max(event_id) AS l FROM events GROUP BY ALL)

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from snagline.operators.sessions import corrections, paired_runs, sticky
-from snagline.sources.files import content_blocks, transcript_records
+from snagline.functions.exprs import exit_code
+from snagline.operators.sessions import sticky
+from snagline.sources.files import transcript_records
 
 #: What stands for an interrupt (alone), and for a rejected call (anywhere).
 INTERRUPT = "[Request interrupted by user]"
@@ -31,7 +32,20 @@ REJECTIONS = (
     "rejected by user",
 )
 READ_TOOLS = ("Read", "read_file", "view")
-_BLOCK = "path, line, place, session_id, ts, cwd, role, block_type, text, tool_use_id, tool, command, file_path, is_error".split(", ")
+#: Tools that ask the human, how history that is quoted begins, and what a harness adds to a goal.
+QUESTION_TOOLS = ("AskUserQuestion", "ask_user_question", "ask_user", "request_user_input", "user_input")
+QUOTED = (
+    "<user_instructions>", "<environment_context>", "<turn_context>", "<app_context>", "<command-name>", "<command-message>", "<command-args>",
+    "<local-command-stdout>", "<local-command-stderr>", "Caveat:",
+)
+GOAL = r"(?i)^\s*<codex_internal_context\s+source\s*=\s*(['\"])goal\1\s*>"
+#: Events of the second shape that end a turn, and that report a rejected call.
+DONE = ("task_complete", "turn_complete", "task_finished")
+REJECTED = ("tool_call_rejected", "tool_rejected", "approval_rejected")
+_BLOCK = (
+    "shape string, path string, line long, place int, session_id string, ts string, cwd string, role string, block_type string, text string, tool_use_id string,"
+    " tool string, command string, file_path string, is_error boolean, sidechain boolean, meta boolean, message_id string"
+)
 
 
 def is_interrupt(text: Column) -> Column:
@@ -82,86 +96,259 @@ def text_within(record: pd.Series) -> pd.Series:
     return record.map(texts)
 
 
+def _shaped(rows: DataFrame, shape: str) -> DataFrame:
+    """Blocks with every column in its type, null where rows have none."""
+    rows = rows.withColumn("shape", F.lit(shape))
+    fields = [x.split() for x in _BLOCK.split(", ")]
+    return rows.select(*[(F.col(n) if n in rows.columns else F.lit(None)).cast(t).alias(n) for n, t in fields])
+
+
+def _sticky_context(records: DataFrame) -> DataFrame:
+    """Session and folder carried forward over all records of a file; a file that names no session is one."""
+    so_far = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    carried = {c: F.last(F.nullif(F.col(c), F.lit("")), ignorenulls=True).over(so_far) for c in ("session_id", "cwd")}
+    return records.withColumns(carried).withColumn("session_id", F.coalesce("session_id", "path"))
+
+
+def _get(of: str):
+    return lambda p, t="string": F.try_variant_get(of, p, t)
+
+
+def _joined(items: Column, field: str, by: str) -> Column:
+    """A field of each object in a list that has it as a string."""
+    return F.array_join(F.array_compact(F.transform(items, lambda x: F.try_variant_get(x, f"$.{field}", "string"))), by)
+
+
+def _queued(records: DataFrame) -> DataFrame:
+    """Words of a human that were delivered while a turn ran, once each: by its source and by its delivery."""
+    get = _get("record")
+    said = records.where((F.col("record_type") == "attachment") & (get("$.attachment.type") == "queued_command")).select(
+        "path", "line", "session_id", "ts", "cwd", "sidechain", get("$.attachment.prompt").alias("text"), get("$.attachment.source_uuid").alias("source"),
+        get("$.attachment.delivery_id").alias("delivery"), get("$.attachment.humanTurn", "boolean").alias("human"), get("$.attachment.origin.kind").alias("kind"),
+        F.coalesce(get("$.attachment.commandMode"), F.lit("prompt")).alias("mode"), "meta",
+    ).where("human and kind = 'human' and mode = 'prompt' and not meta and trim(text) <> '' and source <> '' and delivery <> ''")
+    seen = {c: F.row_number().over(Window.partitionBy("session_id", c).orderBy("line")) for c in ("source", "delivery")}
+    return said.withColumns({f"n_{c}": n for c, n in seen.items()}).where("n_source = 1 and n_delivery = 1").select(
+        "*", F.lit(0).alias("place"), F.lit("user").alias("role"), F.lit("text").alias("block_type"), F.col("source").alias("message_id")
+    )
+
+
 def blocks_a(lines: DataFrame) -> DataFrame:
-    """Blocks of records with a message of blocks; session and folder are carried forward in a file."""
-    records = transcript_records(lines)
-    get = lambda p: F.try_variant_get("record", p, "string")
-    about = records.select("path", "line", get("$.timestamp").alias("ts"), get("$.cwd").alias("cwd"), F.coalesce(get("$.message.role"), "record_type").alias("role"))
-    rows = content_blocks(records.where(F.col("record_type").isin("user", "assistant"))).join(about, ["path", "line"])
-    place = F.row_number().over(Window.partitionBy("path", "line").orderBy("at")) - 1
-    return _carried(rows.withColumn("at", F.monotonically_increasing_id()).withColumn("place", place))
+    """Blocks of records with a message of blocks, and words that were queued.
+
+    Session and folder are carried forward over all records of a file.  Records
+    of the harness (meta) and of delegated work (sidechain) are marked.
+    """
+    get = _get("record")
+    records = transcript_records(lines).select(
+        "path", "line", "record_type", "record", F.coalesce(get("$.sessionId"), get("$.session_id")).alias("session_id"), get("$.cwd").alias("cwd"),
+        F.coalesce(get("$.timestamp"), get("$.message.timestamp")).alias("ts"), F.coalesce(get("$.isSidechain", "boolean"), F.lit(False)).alias("sidechain"),
+        F.coalesce(get("$.isMeta", "boolean"), F.lit(False)).alias("meta"),
+    )
+    records = _sticky_context(records)
+    content = get("$.message.content", "array<variant>")
+    # a list would be cast to its JSON
+    plain = F.when(content.isNull() & (F.col("record_type") == "user"), get("$.message.content"))
+    rows = records.where(F.col("record_type").isin("user", "assistant")).select(
+        "path", "line", "session_id", "ts", "cwd", "sidechain", "meta", F.col("record_type").alias("role"), plain.alias("plain"),
+        F.coalesce(get("$.message.id"), get("$.uuid")).alias("message_id"), F.posexplode_outer(content).alias("place", "block"),
+    )
+    block = _get("block")
+    kind = F.coalesce(block("$.type"), F.when(F.col("plain").isNotNull(), "text"))
+    questions = F.nullif(_joined(block("$.input.questions", "array<variant>"), "question", "\n"), F.lit(""))
+    asked = F.coalesce(questions, *[block(f"$.input.{k}") for k in ("question", "query", "prompt", "message")])
+    answer = block("$.content", "array<variant>")
+    result = F.when(answer.isNotNull(), _joined(F.filter(answer, lambda x: F.try_variant_get(x, "$.type", "string") == "text"), "text", "\n")).otherwise(block("$.content"))
+    rows = rows.select(
+        "path", "line", F.coalesce("place", F.lit(0)).alias("place"), "session_id", "ts", "cwd", "role", kind.alias("block_type"), "sidechain", "meta",
+        F.when(F.col("role") == "assistant", F.col("message_id")).alias("message_id"),
+        F.when(kind == "tool_result", result).when(kind == "tool_use", asked).otherwise(F.coalesce(block("$.text"), F.col("plain"))).alias("text"),
+        F.coalesce(block("$.id"), block("$.tool_use_id")).alias("tool_use_id"), block("$.name").alias("tool"), block("$.input.command").alias("command"),
+        block("$.input.file_path").alias("file_path"), block("$.is_error", "boolean").alias("is_error"),
+    )
+    return _shaped(rows.where("block_type is not null"), "a").unionByName(_shaped(_queued(records), "a"))
 
 
 def blocks_b(lines: DataFrame) -> DataFrame:
-    """Blocks of records whose payload is a message, a call or its output."""
-    records = transcript_records(lines)
-    get = lambda p, t="string": F.try_variant_get("record", f"$.payload.{p}", t)
-    inner = F.coalesce(get("type"), F.lit(""))
-    message = F.array_join(F.transform(get("content", "array<variant>"), lambda x: F.coalesce(F.try_variant_get(x, "$.text", "string"), F.lit(""))), "")
-    arguments = F.try_parse_json(F.coalesce(get("arguments"), get("input")))
+    """Blocks of records whose payload is a message, a call, its output, or an event that ends a turn."""
+    get, at = _get("record"), lambda p, t="string": F.try_variant_get("record", f"$.payload.{p}", t)
+    side = F.lit(False)
+    for flag in (get("$.isSidechain", "boolean"), get("$.sidechain", "boolean"), at("is_sidechain", "boolean"), at("sidechain", "boolean")):
+        side = side | F.coalesce(flag, F.lit(False))
+    named = F.when(F.col("record_type") == "session_meta", at("id"))
+    records = transcript_records(lines).select(
+        "path", "line", "record_type", "record", F.coalesce(get("$.sessionId"), get("$.session_id"), at("session_id"), named).alias("session_id"),
+        F.coalesce(get("$.cwd"), at("cwd")).alias("cwd"), F.coalesce(get("$.timestamp"), at("timestamp")).alias("ts"), side.alias("sidechain"),
+    )
+    inner = F.coalesce(at("type"), F.lit(""))
+    arguments = F.try_parse_json(F.coalesce(at("arguments"), at("input")))
     asked = lambda p: F.coalesce(F.try_variant_get(arguments, p, "string"), F.try_variant_get("record", f"$.payload.arguments{p[1:]}", "string"))
-    block = F.when(inner == "message", "text").when(inner.isin("function_call", "custom_tool_call"), "tool_use").when(inner.isin("function_call_output", "custom_tool_call_output"), "tool_result")
-    rows = records.where(F.col("record_type").isin("session_meta", "response_item")).select(
-        "path", "line", "record_type", F.lit(0).alias("place"), F.when(F.col("record_type") == "session_meta", F.coalesce(get("session_id"), get("id"))).alias("session_id"),
-        F.coalesce(F.try_variant_get("record", "$.timestamp", "string"), get("timestamp")).alias("ts"), get("cwd").alias("cwd"), get("role").alias("role"), block.alias("block_type"),
-        F.coalesce(message, get("output")).alias("text"), get("call_id").alias("tool_use_id"), get("name").alias("tool"),
-        F.when(block == "tool_use", asked("$.command")).alias("command"), F.when(block == "tool_use", asked("$.file_path")).alias("file_path"), F.lit(None).cast("boolean").alias("is_error"),
+    said = F.coalesce(at("message"), at("reason"), at("text"), at("output"))
+    event = F.when(inner == "turn_aborted", "aborted").when(inner.isin(*DONE), "done").when(inner.isin(*REJECTED), "rejected").when(
+        (inner == "user_message") & is_interrupt(F.trim(said)), "interrupted"
+    )
+    item = F.when(inner == "message", "text").when(inner.isin("function_call", "custom_tool_call"), "tool_use").when(inner.isin("function_call_output", "custom_tool_call_output"), "tool_result")
+    block = F.when(F.col("record_type") == "response_item", item).when(F.col("record_type") == "event_msg", event)
+    tool = F.substring_index(at("name"), ".", -1)
+    texts = F.transform(at("content", "array<variant>"), lambda x: F.try_variant_get(x, "$.text", "string"))
+    own = F.when(inner == "message", F.coalesce(texts, F.array(at("content")))).when(item == "tool_use", F.array(F.coalesce(asked("$.question"), at("input"), at("arguments"))))
+    own = F.coalesce(own.otherwise(F.array(F.coalesce(at("output"), said))), F.array(F.lit(None).cast("string")))
+    rows = _sticky_context(records).withColumn("block_type", block).where("block_type is not null")
+    rows = rows.select(
+        "path", "line", "session_id", "ts", "cwd", "sidechain", "block_type", F.when(F.col("block_type") == "text", at("role")).alias("role"), F.posexplode(own).alias("place", "text"),
+        F.coalesce(at("call_id"), F.when(item.isin("tool_use", "tool_result"), at("id"))).alias("tool_use_id"), F.when(item == "tool_use", tool).alias("tool"),
+        F.when(item == "tool_use", asked("$.command")).alias("command"), F.when(item == "tool_use", asked("$.file_path")).alias("file_path"),
+        F.when(inner == "message", F.coalesce(at("id"), at("message_id"), at("response_id"))).alias("message_id"),
     )
-    return _carried(rows).where("block_type is not null")
+    goal = (F.col("role") == "user") & F.col("text").rlike(GOAL)
+    return _shaped(rows.withColumn("meta", F.coalesce(goal, F.lit(False))), "b")
+
+
+def _at() -> Column:
+    return F.struct("line", "place")
+
+
+def _said(blocks: DataFrame) -> Column:
+    """A human's words that are neither blank nor a sentinel nor the harness's."""
+    return (F.col("block_type") == "text") & (F.col("role") == "user") & (F.trim("text") != "") & ~F.col("meta") & ~_stopped() & ~_refused()
+
 
+def _stopped() -> Column:
+    own = (F.col("block_type") == "text") & (F.col("role") == "user") & is_interrupt(F.trim("text"))
+    return F.coalesce(own, F.lit(False)) | F.col("block_type").isin("aborted", "interrupted")
 
-def _carried(rows: DataFrame) -> DataFrame:
-    so_far = Window.partitionBy("path").orderBy("line", "place").rowsBetween(Window.unboundedPreceding, 0)
-    for c in ("session_id", "cwd"):
-        rows = rows.withColumn(c, F.last(c, ignorenulls=True).over(so_far))
-    return rows.withColumn("session_id", F.coalesce("session_id", "path")).select(*_BLOCK)
+
+def _refused() -> Column:
+    """Words or results that say a call was rejected."""
+    sentinel = is_rejection(F.coalesce("text", F.lit("")))
+    words = (F.col("block_type") == "text") & (F.col("role") == "user") & (F.col("shape") == "a")
+    return F.coalesce((words | (F.col("block_type") == "tool_result")) & sentinel, F.lit(False)) | (F.col("block_type") == "rejected")
 
 
 def events_of(blocks: DataFrame) -> DataFrame:
-    """Events of a session: runs with their exit code, tool errors, rejections, interrupts, reads, corrections.
+    """Events of a session: runs with their exit code, tool errors, rejections, interrupts, reads, corrections and other turns.
 
-    A call takes its first result; one without a result is a run whose exit code
-    is unknown.  A human's first words after a rejection or interrupt are a
-    correction unless the agent acted in between.
+    A run stands where it was called and takes the first result behind it; one
+    without a result has no exit code.  Rejections and errors stand where they
+    were reported, with or without their call.  A human's first words after an
+    interrupt (in the first shape also after a rejection) are a correction unless
+    the agent acted in between: read a file, ended a run, failed; in the second
+    shape called or said anything.
 
-    Returns path, session_id, line, place, ts, cwd, kind, tool, command, exit_code, file_path, text.
+    Returns path, session_id, line, place, ts, cwd, sidechain, kind, tool, command, exit_code, file_path, text.
     """
-    text = F.coalesce("text", F.lit(""))
-    at = F.struct("line", "place")
-    calls = blocks.where("block_type = 'tool_use'").select("session_id", "tool_use_id", at.alias("at"), "tool", "command", "file_path", "path", "ts", "cwd")
-    results = blocks.where("block_type = 'tool_result'").select(
-        "session_id", "tool_use_id", at.alias("at"), F.coalesce("is_error", F.lit(False)).alias("is_error"), is_rejection(text).alias("rejected"), "text"
-    )
-    runs = paired_runs(calls, results)
-    read = F.col("tool").isin(*READ_TOOLS) & F.col("file_path").isNotNull() & ~F.col("kind").isin("tool_error", "tool_rejected")
-    runs = runs.withColumn("kind", F.when(read, "file_read").otherwise(F.col("kind")))
-    said = blocks.where((F.col("block_type") == "text") & (F.col("role") == "user") & (F.trim(text) != ""))
-    columns = ["path", "session_id", "at", "ts", "cwd", "kind", "tool", "command", "exit_code", "file_path", "text"]
-    none = lambda c, t="string": F.lit(None).cast(t).alias(c)
-    kind = F.when(is_interrupt(F.col("text")), "interrupt").when(is_rejection(F.col("text")), "tool_rejected").otherwise("turn")
-    said = said.select("path", "session_id", at.alias("at"), "ts", "cwd", kind.alias("kind"), none("tool"), none("command"), none("exit_code", "int"), none("file_path"), "text")
-    rows = runs.select(*columns).unionByName(said)
-    marked = F.when(F.col("kind").isin("tool_rejected", "interrupt"), "marker").when(F.col("kind") == "turn", "turn").otherwise("action")
-    flags = corrections(rows.select("*", F.col("kind").alias("event")).withColumn("kind", marked).withColumn("obs_id", F.col("at")))
-    event = F.when(F.col("is_correction"), "user_turn_after_correction").otherwise(F.col("event"))
-    return flags.select("path", "session_id", "at.line", "at.place", "ts", "cwd", event.alias("kind"), "tool", "command", "exit_code", "file_path", "text")
+    by_call = Window.partitionBy("session_id", "tool_use_id").orderBy(_at())
+    call, result = F.col("block_type") == "tool_use", F.col("block_type") == "tool_result"
+    known = F.col("tool_use_id").isNotNull()
+    own = F.struct("path", "line", "place", "ts", "cwd", "sidechain", "tool", "command", "file_path")
+    rows = blocks.withColumn("refused", _refused()).withColumn("stopped", _stopped()).withColumn("said", _said(blocks))
+    earlier = by_call.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("asked", F.when(known & result, F.last(F.when(call, own), ignorenulls=True).over(earlier)))
+    # a call is taken by the result behind it; a later one of the same id has none
+    latest = F.last(F.when(call | result, F.col("block_type")), ignorenulls=True).over(earlier)
+    following = F.last(F.when(call | result, F.col("block_type")), ignorenulls=True).over(Window.partitionBy("session_id", "tool_use_id").orderBy(F.desc("line"), F.desc("place")).rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("asked", F.when(latest == "tool_use", F.col("asked"))).withColumn("answered", known & (following == "tool_result"))
+    ran = F.col("asked.command").isNotNull()
+    code = exit_code(F.col("text"))
+    run = lambda c: F.when(c == 0, "run_succeeded").when(c.isNotNull(), "run_failed").otherwise("run")
+    failed = F.coalesce("is_error", F.lit(False))
+    here = lambda kind, **more: F.struct(
+        *[F.col(c) for c in ("path", "line", "place", "ts", "cwd", "sidechain")], kind.alias("kind"),
+        *[more.get(c, F.lit(None).cast(t)).alias(c) for c, t in (("tool", "string"), ("command", "string"), ("exit_code", "int"), ("file_path", "string"))], F.col("text").alias("text"),
+    )
+    there = F.struct(
+        *[F.col(f"asked.{c}") for c in ("path", "line", "place", "ts", "cwd", "sidechain")], run(code).alias("kind"), F.col("asked.tool").alias("tool"),
+        F.col("asked.command").alias("command"), code.alias("exit_code"), F.col("asked.file_path").alias("file_path"), F.col("text").alias("text"),
+    )
+    reads = call & F.col("tool").isin(*READ_TOOLS) & F.col("file_path").isNotNull()
+    pending = call & F.col("command").isNotNull() & ~F.coalesce("answered", F.lit(False))
+    marker = F.col("stopped") | (F.col("refused") & (F.col("shape") == "a"))
+    acted_a = reads | (result & ~F.col("refused") & (ran | failed)) | (pending & ~known)
+    acted = F.when(F.col("shape") == "a", F.coalesce(acted_a, F.lit(False))).otherwise(call | ((F.col("block_type") == "text") & F.coalesce(F.col("role") == "assistant", F.lit(False))))
+    step = F.when(marker, "marker").when(acted, "action").when(F.col("said"), "turn")
+    before = F.last(step, ignorenulls=True).over(Window.partitionBy("session_id").orderBy(_at()).rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("corrects", F.col("said") & F.coalesce(before == "marker", F.lit(False)))
+    tool = F.coalesce("asked.tool", "tool")
+    found = F.array_compact(F.array(
+        F.when(F.col("stopped"), here(F.lit("interrupt"))), F.when(F.col("refused"), here(F.lit("tool_rejected"), tool=tool)),
+        F.when(F.col("said"), here(F.when(F.col("corrects"), "user_turn_after_correction").otherwise("turn"))),
+        F.when(reads, here(F.lit("file_read"), tool=F.col("tool"), file_path=F.col("file_path"))),
+        F.when(pending, here(F.lit("run"), tool=F.col("tool"), command=F.col("command"))),
+        F.when(result & ~F.col("refused") & ran, there), F.when(result & ~F.col("refused") & ~ran & failed, here(F.lit("tool_error"), tool=tool)),
+    ))
+    each = rows.select("session_id", F.explode(found).alias("e"))
+    return each.select("e.path", "session_id", "e.line", "e.place", "e.ts", "e.cwd", "e.sidechain", "e.kind", "e.tool", "e.command", "e.exit_code", "e.file_path", "e.text")
 
 
 def interactions_of(blocks: DataFrame, cap: int = 1_000) -> DataFrame:
-    """Interactions in order, numbered, up to a cap for each session; human requests number the turns."""
+    """Interactions in order, numbered, up to a cap for each session.
+
+    A message that is streamed again, in a later record or word for word in the
+    same one, counts once.  Human requests number the turns of their thread;
+    delegated work (sidechain) is a thread of its own.  A question is answered by
+    its result, or by the next words of the human in its thread.  The last reply
+    of the agent in a turn has how the turn ended: interrupted, completed where
+    the source says so, else unknown.
+
+    Returns session_key, ordinal, line, ts, origin, sidechain, turn_id, tool_use_id, message_id, question_ordinal,
+    call_ordinal, terminal_state, text.
+    """
+    kind, words = F.col("block_type"), F.coalesce("text", F.lit(""))
+    session, thread = Window.partitionBy("session_id"), Window.partitionBy("session_id", "sidechain")
+    human = (kind == "text") & (F.col("role") == "user")
+    asks = F.coalesce(F.col("tool").isin(*QUESTION_TOOLS), F.lit(False))
+    quoted = F.lit(False)
+    for head in QUOTED:
+        quoted = quoted | F.startswith(F.ltrim(words), F.lit(head))
+    rows = blocks.withColumn("stopped", _stopped() & (kind != "interrupted")).withColumn("refused", _refused() & human)
     origin = (
-        F.when(F.col("block_type") == "tool_use", "tool_call")
-        .when(F.col("block_type") == "tool_result", "tool_result")
-        .when(F.col("role") == "assistant", "assistant_text")
-        .when(F.col("role") == "user", "human_request")
-        .otherwise("harness")
+        F.when((kind == "text") & (F.trim(words) == ""), None)
+        .when(kind == "aborted", "harness")
+        .when((kind == "tool_use") & asks, "question")
+        .when(kind == "tool_use", "tool_call")
+        .when(kind == "tool_result", "tool_result")
+        .when((kind == "text") & (F.col("role") == "assistant"), "assistant_text")
+        .when(human & (F.col("meta") | F.col("stopped") | F.col("refused")), "harness")
+        .when(human & quoted, "quoted_history")
+        .when(human, "human")
+        .when(kind == "text", "harness")
+    )
+    first = F.min("line").over(Window.partitionBy("session_id", "message_id"))
+    again = F.row_number().over(Window.partitionBy("session_id", "line", "origin", "tool_use_id", "text").orderBy("place"))
+    rows = rows.withColumn("origin", origin).withColumn("first", first).withColumn("again", again)
+    once = F.col("message_id").isNull() | (F.col("role") == "user") | (F.col("first") == F.col("line"))
+    rows = rows.where((once & (F.col("again") == 1) & F.col("origin").isNotNull()) | (kind == "done"))
+    so_far = session.orderBy(_at()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("ordinal", F.sum(F.col("origin").isNotNull().cast("long")).over(so_far) - 1)
+    # calls and results meet on their id, a question is answered by its first result
+    by_call = Window.partitionBy("session_id", "tool_use_id")
+    calls, result = F.col("origin").isin("question", "tool_call"), F.col("origin") == "tool_result"
+    before = by_call.orderBy(_at()).rowsBetween(Window.unboundedPreceding, -1)
+    asked = F.last(F.when(calls, F.struct("ordinal", "origin")), ignorenulls=True).over(before)
+    earlier = F.coalesce(F.last(F.when(result | calls, F.col("origin")), ignorenulls=True).over(before) == "tool_result", F.lit(False))
+    answered = F.min(F.when(result, _at())).over(by_call)
+    known = F.col("tool_use_id").isNotNull()
+    rows = rows.withColumn("call", F.when(known & result & ~earlier, asked)).withColumn("answered", F.when(known & (F.col("origin") == "question"), answered))
+    past = thread.orderBy(_at()).rowsBetween(Window.unboundedPreceding, -1)
+    pending = F.last(F.when(F.col("origin") == "question", F.struct("ordinal", _at().alias("at"), "answered")), ignorenulls=True).over(past)
+    settled = F.max(F.when((F.col("origin") == "human") | F.col("stopped"), _at())).over(past)
+    rows = rows.withColumn("pending", pending).withColumn("settled", settled)
+    waits = F.col("pending").isNotNull() & (F.col("settled").isNull() | (F.col("settled") < F.col("pending.at"))) & (F.col("pending.answered").isNull() | (F.col("pending.answered") > _at()))
+    by_result = result & (F.col("call.origin") == "question")
+    question = F.when((F.col("origin") == "human") & waits, F.col("pending.ordinal")).when(by_result, F.col("call.ordinal"))
+    rows = rows.withColumn("question_ordinal", question)
+    origin = F.when(F.col("question_ordinal").isNotNull(), "human_answer").when(F.col("origin") == "human", "human_request").otherwise(F.col("origin"))
+    rows = rows.withColumn("call_ordinal", F.when(result & ~F.coalesce(by_result, F.lit(False)), F.col("call.ordinal"))).withColumn("origin", origin)
+    request = F.col("origin") == "human_request"
+    turn = F.sum(F.coalesce(request, F.lit(False)).cast("long")).over(thread.orderBy(_at()).rowsBetween(Window.unboundedPreceding, 0))
+    ends = F.when(F.col("stopped"), "interrupted").when(request, "unknown").when(kind == "done", "completed").when(F.col("origin") == "assistant_text", "none")
+    next_end = F.last(ends, ignorenulls=True).over(thread.orderBy(F.desc("line"), F.desc("place")).rowsBetween(Window.unboundedPreceding, -1))
+    state = F.when(F.col("origin") == "assistant_text", F.coalesce(next_end, F.lit("unknown"))).when(F.col("stopped"), "interrupted").otherwise("none")
+    rows = rows.withColumn("turn_id", F.nullif(turn, F.lit(0))).withColumn("terminal_state", state).where(F.col("origin").isNotNull() & (F.col("ordinal") < cap))
+    text = F.when(F.col("origin") == "tool_call", F.coalesce("command", "file_path", "text", F.lit(""))).otherwise(F.coalesce("text", F.lit("")))
+    return rows.select(
+        F.col("session_id").alias("session_key"), "ordinal", "line", "ts", "origin", "sidechain", "turn_id", "tool_use_id", "message_id", "question_ordinal", "call_ordinal", "terminal_state", text.alias("text")
     )
-    # a streamed block that comes again, word for word, is the same
-    once = blocks.withColumn("origin", origin).withColumn("again", F.row_number().over(Window.partitionBy("session_id", "line", "origin", "tool_use_id", "text").orderBy("place")))
-    rows = once.where("again = 1").withColumn("ordinal", F.row_number().over(Window.partitionBy("session_id").orderBy("line", "place")) - 1)
-    so_far = Window.partitionBy("session_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("turn_id", F.sum((F.col("origin") == "human_request").cast("long")).over(so_far))
-    return rows.where(F.col("ordinal") < cap).select(F.col("session_id").alias("session_key"), F.col("ordinal").cast("long").alias("ordinal"), "line", "ts", "origin", "turn_id", "tool_use_id", "text")
 
 
 def completed_from_history(interactions: DataFrame, completed: DataFrame) -> DataFrame:
