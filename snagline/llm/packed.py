@@ -110,6 +110,13 @@ class PackedWriter:
         if self.n_held >= CHUNK_IDS + self.block:
             self._flush(self.n_held // self.block * self.block)
 
+    def extend(self, ids: np.ndarray) -> None:
+        """More ids of the last document."""
+        self.n_ids += len(ids)
+        self.starts[-1] = self.n_ids
+        self.held.append(ids)
+        self.n_held += len(ids)
+
     def _flush(self, count: int) -> None:
         ids = np.concatenate(self.held) if self.held else np.empty(0, np.uint32)
         self.held, self.n_held = [ids[count:]], len(ids) - count
@@ -189,8 +196,9 @@ _PIECES = regex.compile(
 #: The same with the classes of `re`, which is faster, for texts of the characters below, on which both agree.
 _FAST_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _COMMON = re.compile("[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u052f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u3001-\u3003\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*")
-#: Pieces whose ids a Python worker keeps, characters of the longest one that it keeps, pieces taken at a time.
-KNOWN_PIECES, KNOWN_CHARS, TAKEN = 1 << 20, 64, 1 << 16
+#: Pieces whose ids a Python worker keeps, characters of the longest one that it keeps, characters of texts, or pieces of
+#: a longer one, taken at a time.
+KNOWN_PIECES, KNOWN_CHARS, TAKEN = 1 << 20, 64, 1 << 17
 
 
 class Encoder:
@@ -202,46 +210,61 @@ class Encoder:
         kind = str(self.tokenizer.pre_tokenizer)
         self.by_piece = kind.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in kind and self.tokenizer.normalizer is None
         self.known: dict[str, bytes] = {}
+        if self.by_piece:
+            space = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0]  # as the vocabulary writes it
+            names = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
+            self.begins = np.array([bool(n) and n.startswith(space) for n in names])
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: set[str]) -> None:
         spaced = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
-        for k in range(0, len(spaced), 64):  # a space and letters end where the next space begins, so many go as one text
-            part = spaced[k : k + 64]
-            e = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            ids = np.array(e.ids, "<u4").tobytes()
-            cuts = (4 * np.searchsorted(np.array(e.word_ids), np.arange(len(part) + 1))).tolist()
-            self.known.update((p, ids[a:b]) for p, a, b in zip(part, cuts, cuts[1:]))
+        groups = [spaced[k : k + 64] for k in range(0, len(spaced), 64)]
+        # a space and letters end where the next space begins, so many go as one text, whose pieces begin with a space's token
+        for part, e in zip(groups, self.tokenizer.encode_batch_fast(list(map("".join, groups)), add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            cuts = [*(4 * np.flatnonzero(self.begins[ids])).tolist(), 4 * len(ids)]
+            data = ids.tobytes()
+            self.known.update((p, data[a:b]) for p, a, b in zip(part, cuts[:-1], cuts[1:], strict=True))
         rest = list(pieces.difference(spaced))
         self.known.update(zip(rest, self._plain(rest)))
 
-    def _taken(self, pieces: list[str]) -> bytes:
+    def _joined(self, several: list[list[str]]) -> list[bytes]:
+        """Ids of each of some lists of pieces; what is not known is learnt for all at once."""
         known = self.known
-        new = {p for p in pieces if p not in known}
-        if new:
-            if len(known) + len(new) > KNOWN_PIECES:
-                known.clear()
-                new = set(pieces)
-            self._learn(new)
-        out = b"".join(map(known.__getitem__, pieces))
+        new = set(itertools.filterfalse(known.__contains__, itertools.chain.from_iterable(several)))
+        if len(known) + len(new) > KNOWN_PIECES:
+            known.clear()
+            new = set(itertools.chain.from_iterable(several))
+        self._learn(new)
+        out = [b"".join(map(known.__getitem__, pieces)) for pieces in several]
         for p in new:
             if len(p) > KNOWN_CHARS:
                 del known[p]
         return out
 
-    def __call__(self, text: str) -> np.ndarray:
-        """Ids (uint32) of a whole text."""
+    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids (uint32) of whole texts."""
         if not self.by_piece:
-            return np.frombuffer(self._plain([text])[0], "<u4")
-        pattern = _FAST_PIECES if _COMMON.fullmatch(text) else _PIECES
-        if len(text) <= TAKEN:
-            return np.frombuffer(self._taken(pattern.findall(text)), "<u4")
-        found, parts = (m[0] for m in pattern.finditer(text)), []
-        while some := list(itertools.islice(found, TAKEN)):
-            parts.append(self._taken(some))
-        return np.frombuffer(b"".join(parts), "<u4")
+            yield from (np.frombuffer(x, "<u4") for x in self._plain(texts))
+            return
+        held: list[list[str]] = []
+        size = 0
+        for text in texts:
+            pattern = _FAST_PIECES if _COMMON.fullmatch(text) else _PIECES
+            if len(text) <= TAKEN:
+                held.append(pattern.findall(text))
+                size += len(text)
+            if held and (size > TAKEN or len(text) > TAKEN):
+                yield from (np.frombuffer(x, "<u4") for x in self._joined(held))
+                held, size = [], 0
+            if len(text) > TAKEN:
+                found, parts = (m[0] for m in pattern.finditer(text)), []
+                while some := list(itertools.islice(found, TAKEN)):
+                    parts += self._joined([some])
+                yield np.frombuffer(b"".join(parts), "<u4")
+        yield from (np.frombuffer(x, "<u4") for x in self._joined(held))
 
 
 @lru_cache(2)
@@ -294,8 +317,9 @@ def write_packed(
         path = f"{base}/ids-{shard:08d}-{uuid.uuid4().hex}.bin"
         writer = PackedWriter(files.open_output_stream(path), bits, block_ids)
         for batch in slices(batches):
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                writer.add(i, np.concatenate([encode(t), end]))
+            for i, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
+                writer.add(i, ids)
+                writer.extend(end)
         writer.close()
         made = ([shard], [f"{folder}/{path.rsplit('/', 1)[1]}"], [len(writer.doc_ids)], [writer.n_ids])
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], ["shard", "path", "n_docs", "n_ids"])

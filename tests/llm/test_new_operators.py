@@ -88,9 +88,10 @@ def test_encoder_gives_the_library_s_ids(name, monkeypatch):
     assert encode.by_piece == (name == "byte_bpe_50k.json")
     rng = random.Random(4)
     letters = "ab cdé 漢🎉'st re9 1.,!\n\t\x85 ſİǅⅧ²́"
-    texts = [t or "" for t in TEXTS] + ["".join(rng.choice(letters) for _ in range(rng.randrange(300))) for _ in range(300)]
-    for t in texts:
-        assert encode(t).tolist() == plain.encode(t, add_special_tokens=False).ids
+    texts = [t or "" for t in TEXTS] + [" lead", "trail ", " a b, c\nd! 's x's", "x\n y", "x \ny", "a  b", "\x85 x"] + ["".join(rng.choice(letters) for _ in range(rng.randrange(300))) for _ in range(300)]
+    for t, ids in zip(texts, encode(texts), strict=True):
+        assert ids.tolist() == plain.encode(t, add_special_tokens=False).ids
+    assert list(encode([])) == []
 
 
 def test_documents_come_back_in_order(spark):
