@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from snagline.functions.exprs import iso_week, known_amount, priority
+from snagline.operators.asof import as_of as as_of_lookup
 
 
-def ranked(clusters: DataFrame, now: str, days: int, limit: int | None = None) -> DataFrame:
-    """Clusters with their score and place.
-
-    With a limit the first rows are found without sorting all, and only those
-    are numbered.
-    """
+def ranked(clusters: DataFrame, now: str, days: int, limit: int) -> DataFrame:
+    """The first clusters by score, with their place; only those are numbered, and no sort takes all."""
     scored = clusters.withColumn("last", F.col("last_seen").cast("timestamp"))
     scored = scored.withColumn("score", priority("sessions", "events", "last", now, days))
     order = [F.desc("score"), F.desc("sessions"), F.desc("events"), F.desc("last_seen"), F.asc("detector_id"), F.asc("key")]
-    if limit is not None:
-        scored = scored.orderBy(*order).limit(limit)
+    scored = scored.orderBy(*order).limit(limit)
     place = F.row_number().over(Window.orderBy(*order)).cast("long")
     return scored.select("detector_id", "key", "sessions", "events", F.round("score", 6).alias("score"), place.alias("place"))
 
@@ -219,19 +219,49 @@ def covering_rule(matches: DataFrame, rule_doc: DataFrame) -> DataFrame:
     return out.select("phrase", F.col("r.path").alias("path"), F.col("r.stale").alias("stale"), "n_rules")
 
 
-def rule_report(rule_doc: DataFrame, covered: DataFrame, reads: DataFrame, now: str, retire_days: int = 90) -> DataFrame:
-    """Per rule document: clusters it covers, age of its last read by content, and whether it may be retired.
+def last_reads(rule_doc: DataFrame, reads: DataFrame) -> DataFrame:
+    """(sha, last_read): the last read of a content, as marked with any of its documents or seen at any of their paths."""
+    marked = rule_doc.select("sha", F.col("last_read").alias("at"))
+    seen = rule_doc.select("path", "sha").join(reads.select(F.trim("path").alias("path"), F.col("ts_utc").alias("at")).groupBy("path").agg(F.max("at").alias("at")), "path")
+    return marked.unionByName(seen.select("sha", "at")).groupBy("sha").agg(F.max("at").alias("last_read"))
+
+
+def rule_report(rule_doc: DataFrame, clusters: DataFrame, reads: DataFrame, now: str, days: int = 90, zero_days: int = 90, retire_days: int = 90) -> DataFrame:
+    """Live rule documents with what they cover, when their content was read last, and what follows from it.
 
-    covered has (path, phrase), reads (path, ts_utc).  A content that was never read is as old as its index.
+    clusters has (covered_by, last_seen) and may have direction, reads (path,
+    ts_utc).  A content that was never read is as old as its index.  A document
+    is a candidate for deletion when it is unread, old enough and covers
+    nothing; it may be retired when it has been unread for so long and whatever
+    it covers has been quiet for so long, where a time that cannot be read
+    counts as recent.
+
+    Returns path, layer, sha, covers, up, last_read, unread_since, unread_days,
+    unread, deletion_candidate, last_occurrence, retire.
     """
-    read = rule_doc.select("path", "sha").join(reads, "path").groupBy("sha").agg(F.max("ts_utc").alias("read_at"))
-    counts = covered.groupBy("path").agg(F.count("*").alias("covers"))
-    rows = rule_doc.join(read, "sha", "left").join(counts, "path", "left")
-    last = F.coalesce("read_at", "indexed_at")
-    age = F.date_diff(F.lit(now).cast("timestamp"), last)
-    covers = F.coalesce("covers", F.lit(0)).cast("long")
-    retire = (F.col("stale") == 0) & (covers == 0) & (age >= retire_days)
-    return rows.select("path", covers.alias("covers"), age.cast("long").alias("unread_days"), retire.alias("retire"))
+    as_of = F.lit(now).cast("timestamp")
+    own = clusters.where(F.col("covered_by").isNotNull()).withColumn("seen", F.try_to_timestamp(F.col("last_seen").cast("string")))
+    rises = F.col("direction") == "up" if "direction" in clusters.columns else F.lit(False)
+    by = own.groupBy(F.col("covered_by").alias("path")).agg(
+        F.count("*").alias("covers"), F.count("seen").alias("dated"), F.max("seen").alias("last_occurrence"), F.count(F.when(rises, 1)).alias("up")
+    )
+    rows = rule_doc.where("stale = 0").select("path", "layer", "sha", "indexed_at").join(last_reads(rule_doc, reads), "sha", "left").join(by, "path", "left")
+    since = F.coalesce("last_read", "indexed_at")
+    age = F.greatest(F.lit(0.0), (F.unix_micros(as_of) - F.unix_micros(since)) / 86_400_000_000)
+    old = since <= as_of - F.make_dt_interval(F.lit(days))
+    unread = F.col("last_read").isNull() | (since < as_of - F.make_dt_interval(F.lit(days)))
+    covers, dated = F.coalesce("covers", F.lit(0)), F.coalesce("dated", F.lit(0))
+    quiet = (covers == 0) | ((dated == covers) & (F.col("last_occurrence") <= as_of - F.make_dt_interval(F.lit(zero_days))))
+    return rows.select(
+        "path", "layer", "sha", covers.cast("long").alias("covers"), F.coalesce("up", F.lit(0)).cast("long").alias("up"), "last_read", since.alias("unread_since"),
+        F.floor(age).cast("long").alias("unread_days"), unread.alias("unread"), (unread & F.coalesce(old, F.lit(False)) & (covers == 0)).alias("deletion_candidate"),
+        F.when(dated == covers, F.col("last_occurrence")).alias("last_occurrence"), (unread & F.coalesce(age >= retire_days, F.lit(False)) & F.coalesce(quiet, F.lit(False))).alias("retire"),
+    )
+
+
+def stale_rules(rule_doc: DataFrame) -> DataFrame:
+    """Rule documents that are gone; the report has them apart."""
+    return rule_doc.where("stale <> 0").select("path", "layer", "sha", "indexed_at", "last_read")
 
 
 def shape_drift(counts: DataFrame, newest: int = 2, history: int = 8, armed: int = 3) -> DataFrame:
@@ -288,29 +318,76 @@ def latest_per_day(measurements: DataFrame) -> DataFrame:
     return measurements.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
 
 
-def escalations(daily: DataFrame, applied: DataFrame, days: int = 21) -> DataFrame:
-    """Lessons whose counts did not halve: last day up to applied_at against the first from `days` later.
+#: Where a lesson can be applied, the strongest first.
+LAYERS = ("environment", "hook", "wrapper", "skill", "agents_md", "memory", "retrieval_only")
 
-    Two as-of lookups as grouped extremes; a lesson needs both.
-    """
-    rows = daily.join(applied, "lesson_id")
-    value = F.struct("sessions", "events")
-    base = F.max_by(F.when(F.col("day") <= F.col("applied_at"), value), F.when(F.col("day") <= F.col("applied_at"), F.col("day")))
-    late = F.col("day") >= F.date_add("applied_at", days)
-    after = F.min_by(F.when(late, value), F.when(late, F.col("day")))
-    out = rows.groupBy("lesson_id").agg(base.alias("b"), after.alias("a")).where("b is not null and a is not null")
-    halved = (2 * F.col("a.sessions") <= F.col("b.sessions")) & (2 * F.col("a.events") <= F.col("b.events"))
-    return out.select(
-        "lesson_id",
-        *[F.col(f"{x}.{c}").alias(f"{c}_{n}") for x, n in (("b", "before"), ("a", "after")) for c in ("sessions", "events")],
-        (~halved).alias("escalate"),
-    )
+
+def stronger_layer(layer: Column) -> Column:
+    """The next stronger layer; none above the strongest, nor for a layer that is not known."""
+    order = F.array(*[F.lit(x) for x in LAYERS])
+    place = F.array_position(order, layer)
+    return F.when(place > 1, F.get(order, (place - 2).cast("int")))
 
 
-def packed(rows: DataFrame, group: list[str], order: list, text: str, budget: int) -> DataFrame:
-    """Rows of each group, in order, as long as their bytes together fit the budget."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("bytes", F.sum(F.octet_length(text)).over(w)).where(F.col("bytes") <= budget)
+def escalations(lessons: DataFrame, measurements: DataFrame, as_of: str, days: int = 21) -> DataFrame:
+    """Applied lessons that are due and whose counts have not halved, with the layer they should move to.
+
+    lessons has (lesson_id, state, applied_at, sessions, events), the counts
+    being those of the evidence it was drawn from; measurements (lesson_id,
+    measured_at, sessions, events).  The last measurement up to the application,
+    else the evidence, is set against the first from `days` later; both are
+    carried along one order of measurements and lessons.
+
+    Returns lesson_id, layer, next_layer, applied_at, base_at, sessions_before, events_before, measured_at, sessions, events.
+    """
+    cutoff = F.lit(as_of).cast("timestamp")
+    layer = F.regexp_extract("state", "^applied:(.*)$", 1)
+    due = lessons.withColumn("layer", layer).withColumn("next_layer", stronger_layer(F.col("layer"))).where(F.col("next_layer").isNotNull() & F.col("applied_at").isNotNull())
+    due = due.select("lesson_id", "layer", "next_layer", "applied_at", F.col("sessions").alias("own_sessions"), F.col("events").alias("own_events"), F.col("applied_at").alias("measured_at"))
+    due = due.where(F.col("applied_at") + F.make_dt_interval(F.lit(days)) <= cutoff)
+    points = measurements.where(F.col("measured_at") <= cutoff).select("lesson_id", "measured_at", "sessions", "events")
+    rows = as_of_lookup(due, points, ["lesson_id"], "measured_at", "base")
+    rows = as_of_lookup(rows.withColumn("measured_at", F.col("applied_at") + F.make_dt_interval(F.lit(days))), points, ["lesson_id"], "measured_at", "after", forward=True)
+    before = {c: F.coalesce(f"base.{c}", f"own_{c}") for c in ("sessions", "events")}
+    halved = (2 * F.col("after.sessions") <= before["sessions"]) & (2 * F.col("after.events") <= before["events"])
+    return rows.where(F.col("after").isNotNull() & ~halved).select(
+        "lesson_id", "layer", "next_layer", "applied_at", F.col("base.measured_at").alias("base_at"), *[c.alias(f"{n}_before") for n, c in before.items()],
+        F.col("after.measured_at").alias("measured_at"), F.col("after.sessions").alias("sessions"), F.col("after.events").alias("events"),
+    )
+
+
+def packed(rows: DataFrame, prompt: str, cluster: str, position: str, bytes_: str, cluster_budget: int, total_budget: int) -> DataFrame:
+    """Rows that fit into prompts under two budgets.
+
+    A prompt has clusters in order, and of each its rows in order of position; the
+    row at position 0 is the cluster's own text, without which none of its rows
+    counts.  Own texts are taken first, then further rows in turns, one of each
+    cluster; a row that would exceed the budget of its cluster or of the prompt is
+    left out and the next one tried.  The caller limits the rows of a cluster
+    (first_rows) and the clusters of a prompt; prompts are dealt by key, sorted
+    and folded one after another.
+
+    Returns the columns named, for the rows that are taken, and taken (their place in the prompt).
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = rows.select(F.col(prompt).alias("prompt"), F.col(cluster).alias("cluster"), F.col(position).cast("long").alias("position"), F.col(bytes_).cast("long").alias("bytes"))
+    schema = T.StructType([*named.schema.fields, T.StructField("taken", T.LongType())])
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, total, used, taken = None, 0, {}, 0
+        for batch in batches:
+            places = []
+            for key, name, at, size in zip(batch["prompt"], batch["cluster"], batch["position"], batch["bytes"]):
+                if key != now:
+                    now, total, used, taken = key, 0, {}, 0
+                fits = (at == 0 or name in used) and used.get(name, 0) + size <= cluster_budget and total + size <= total_budget
+                if fits:
+                    total, used[name], taken = total + size, used.get(name, 0) + size, taken + 1
+                places.append(taken if fits else 0)
+            yield batch.assign(taken=places)[lambda b: b["taken"] > 0]
+
+    dealt = named.repartition(parts, "prompt").sortWithinPartitions("prompt", "position", "cluster")
+    return dealt.mapInPandas(fold, schema).withColumnsRenamed({"prompt": prompt, "cluster": cluster, "position": position, "bytes": bytes_})
 
 
 def first_rows(rows: DataFrame, group: list[str], order: list, n: int) -> DataFrame:

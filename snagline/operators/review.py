@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snagline.functions.exprs import VERBS, action_key, in_window
+from snagline.operators.reports import ranked
 
 #: Detectors whose findings count from two sessions on, and those that no lesson follows from.
 AUTONOMY = ("D-12", "D-13", "D-14", "D-15", "D-16")
@@ -100,11 +101,12 @@ def numbered(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:
     return rows.orderBy(*order).limit(limit).withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
-def brief(ranked: DataFrame, hits: DataFrame, scope: DataFrame, limit: int) -> DataFrame:
-    """The first ranked clusters that have a session in scope, with how many of them."""
+def brief(clusters: DataFrame, hits: DataFrame, scope: DataFrame, now: str, days: int, limit: int) -> DataFrame:
+    """Of the clusters that have a session in scope the first by score, with how many of them."""
     inside = hits.join(scope.select("session_id").distinct(), "session_id", "left_semi")
     matched = inside.groupBy("detector_id", "key").agg(F.count_distinct("session_id").alias("matched"))
-    return ranked.join(matched, ["detector_id", "key"]).orderBy("place").limit(limit)
+    found = ranked(clusters.join(matched.select("detector_id", "key"), ["detector_id", "key"], "left_semi"), now, days, limit)
+    return found.join(matched, ["detector_id", "key"])
 
 
 # --- hosts and places ---------------------------------------------------------------------------
@@ -180,28 +182,76 @@ def source_coverage(session: DataFrame, summary: DataFrame, interaction: DataFra
     )
 
 
-def follow_up(lesson: DataFrame, episode: DataFrame, covered: DataFrame) -> DataFrame:
+_COUNTS = ("eligible", "unknown_opportunities", "completed", "interrupted")
+
+
+def in_scope(lesson: DataFrame, folder: DataFrame) -> DataFrame:
+    """(lesson_id, session_key): sessions all of whose folders lie below the lesson's; lessons without folders have none.
+
+    lesson has (lesson_id, folders), folder (session_key, folder).  A folder
+    meets the lessons on its ancestors, which are equal to a lesson's folder or not.
+    """
+    parts = F.split(F.regexp_replace("folder", "/+$", ""), "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.when(n == 1, F.lit("/")).otherwise(F.array_join(F.slice(parts, F.lit(1), n), "/")))
+    own = folder.select("session_key", "folder").distinct()
+    size = own.groupBy("session_key").agg(F.count("*").alias("all"), F.count(F.nullif(F.col("folder"), F.lit(""))).alias("known")).where(F.col("all") == F.col("known"))
+    roots = lesson.select("lesson_id", F.explode("folders").alias("root")).select("lesson_id", F.when(F.col("root") == "/", "/").otherwise(F.regexp_replace("root", "/+$", "")).alias("root"))
+    met = own.select("session_key", "folder", F.explode(above).alias("root")).join(roots, "root").select("lesson_id", "session_key", "folder").distinct()
+    return met.groupBy("lesson_id", "session_key").agg(F.count("*").alias("inside")).join(size, "session_key").where(F.col("inside") == F.col("all")).select("lesson_id", "session_key")
+
+
+def follow_up(lesson: DataFrame, episode: DataFrame, covered: DataFrame, folder: DataFrame | None = None) -> DataFrame:
     """Per lesson: what became of the episodes that began after it was applied.
 
     episode has (session_key, started_at, authority, context, advice_only,
     terminal), covered the session_keys without gaps.  Advice and what was
     withheld or revoked is no opportunity; what is not plainly authorised and
-    known is an unknown one.
+    known is an unknown one.  lesson has (lesson_id, applied_at, until) and may
+    have folders: those of a lesson with folders (not null) are the sessions in
+    scope of folder (see in_scope), met by session.  For the others episodes are
+    counted by day and by the day their session had its episode before; a lesson
+    meets the days of its window, and single episodes only on its first and last
+    day, so that no lesson is compared with every episode.
     """
-    rows = lesson.select("lesson_id", "applied_at", "until").join(episode, (F.col("started_at") >= F.col("applied_at")) & (F.col("started_at") < F.col("until")))
-    rows = rows.join(covered.select("session_key", F.lit(True).alias("whole")).distinct(), "session_key", "left")
+    rows = episode.join(covered.select("session_key", F.lit(True).alias("whole")).distinct(), "session_key", "left")
     out = F.col("advice_only") | F.col("authority").isin("withheld", "revoked")
     plain = (F.col("authority") == "authorized") & (F.col("context") == "known")
     eligible, whole = ~out & plain, F.coalesce("whole", F.lit(False))
-    done = eligible & whole & (F.col("terminal") == "completed")
-    stopped = eligible & whole & (F.col("terminal") == "interrupted")
-    n = lambda on: F.count(F.when(on, 1))
-    found = rows.groupBy("lesson_id").agg(
-        F.count_distinct("session_key").alias("sessions"), n(eligible).alias("eligible"), n(~out & ~plain).alias("unknown_opportunities"),
-        n(done).alias("completed"), n(stopped).alias("interrupted"), (n(eligible) - n(done) - n(stopped)).alias("unknown"),
-    )
-    counts = found.columns[1:]
-    return lesson.select("lesson_id").join(found, "lesson_id", "left").select("lesson_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts])
+    flags = {
+        "eligible": eligible, "unknown_opportunities": ~out & ~plain, "completed": eligible & whole & (F.col("terminal") == "completed"),
+        "interrupted": eligible & whole & (F.col("terminal") == "interrupted"),
+    }
+    before = F.lag("started_at").over(Window.partitionBy("session_key").orderBy("started_at"))
+    rows = rows.where("started_at is not null").withColumn("before", before).select(
+        "session_key", "started_at", "before", F.to_date("started_at").alias("day"), F.to_date("before").alias("day_before"), *[F.coalesce(v, F.lit(False)).cast("long").alias(k) for k, v in flags.items()]
+    )
+    scoped = "folders" in lesson.columns
+    if scoped and folder is None:
+        raise ValueError("lessons with folders need the folders of sessions")
+    every = lesson.where("folders is null") if scoped else lesson
+    windows = every.where(F.col("until") > F.col("applied_at")).select("lesson_id", "applied_at", "until", F.to_date("applied_at").alias("a"), F.to_date("until").alias("b"))
+    sums = [F.sum(c).alias(c) for c in _COUNTS]
+    # whole days: counts by day, and how many of them are a session's first since some day
+    cells = rows.groupBy("day", "day_before").agg(F.count("*").alias("n"), *sums)
+    inner = windows.where(F.date_diff("b", "a") > 1).select("lesson_id", "a", F.explode(F.sequence(F.date_add("a", 1), F.date_sub("b", 1))).alias("day"))
+    first = F.col("day_before").isNull() | (F.col("day_before") < F.col("a"))
+    days = inner.join(cells, "day").groupBy("lesson_id").agg(F.sum(F.when(first, F.col("n")).otherwise(0)).alias("sessions"), *sums)
+    new = (F.col("before").isNull() | (F.col("before") < F.col("applied_at"))).cast("long")
+    inside = (F.col("started_at") >= F.col("applied_at")) & (F.col("started_at") < F.col("until"))
+    ends = windows.select("lesson_id", "applied_at", "until", F.explode(F.array_distinct(F.array("a", "b"))).alias("day"))
+    edges = ends.join(rows, "day").where(inside).groupBy("lesson_id").agg(F.sum(new).alias("sessions"), *sums)
+    # episodes of whole days whose session had one on the first day: before the lesson or after
+    late = windows.join(rows, F.col("a") == F.col("day_before")).where((F.col("day") > F.col("a")) & (F.col("day") < F.col("b")))
+    late = late.groupBy("lesson_id").agg(F.sum(new).alias("sessions"), *[F.lit(0).cast("long").alias(c) for c in _COUNTS])
+    found = days.unionByName(edges).unionByName(late)
+    if scoped:
+        own = in_scope(lesson.where("folders is not null").select("lesson_id", "folders"), folder).join(lesson.select("lesson_id", "applied_at", "until"), "lesson_id")
+        own = own.join(rows, "session_key").where(inside).groupBy("lesson_id").agg(F.sum(new).alias("sessions"), *sums)
+        found = found.unionByName(own)
+    found = found.groupBy("lesson_id").agg(F.sum("sessions").alias("sessions"), *sums)
+    rest = F.col("eligible") - F.col("completed") - F.col("interrupted")
+    counts = ["sessions", *_COUNTS, "unknown"]
+    return lesson.select("lesson_id").join(found.withColumn("unknown", rest), "lesson_id", "left").select("lesson_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts])
 
 
 def recurrences(lesson: DataFrame, observation: DataFrame) -> DataFrame:
@@ -282,7 +332,7 @@ def shortlist(episode: DataFrame, interaction: DataFrame) -> DataFrame:
     interaction (session_key, ordinal, origin, text).  The span join is on the
     session, with the ordinals as its residual.
 
-    Returns session_key, episode, family, action, ordinal.
+    Returns session_key, episode, family, action, ordinal, text (of the reply).
     """
     said = lambda pattern: action_key(F.nullif(F.regexp_extract("text", pattern, 1), F.lit("")))
     text = F.col("text")
@@ -293,50 +343,93 @@ def shortlist(episode: DataFrame, interaction: DataFrame) -> DataFrame:
         family(offered.isNotNull() & text.rlike(DEFECT) & (said(IMPEDES) == offered), "D-14", offered),
         family(said(ABANDON).isNotNull(), "D-15", said(ABANDON)), family(said(BLOCKED).isNotNull(), "D-16", said(BLOCKED)),
     ))
-    rows = rows.select("session_key", "ordinal", F.explode(found).alias("c")).select("session_key", "ordinal", "c.family", "c.action")
+    rows = rows.select("session_key", "ordinal", "text", F.explode(found).alias("c")).select("session_key", "ordinal", "text", "c.family", "c.action")
     e, i = episode.alias("e"), rows.alias("i")
     inside = (F.col("e.session_key") == F.col("i.session_key")) & F.col("i.ordinal").between(F.col("e.start_ordinal"), F.col("e.end_ordinal"))
     pending = e.join(i, inside).where(F.array_contains(F.split("e.action_key", r" \| "), F.col("i.action")))
-    first = pending.groupBy("e.session_key", "e.episode", "i.family").agg(F.min_by("i.action", "i.ordinal").alias("action"), F.min("i.ordinal").alias("ordinal"))
-    return first.select("session_key", "episode", "family", "action", "ordinal")
+    first = pending.groupBy("e.session_key", "e.episode", "i.family").agg(F.min_by("i.action", "i.ordinal").alias("action"), F.min("i.ordinal").alias("ordinal"), F.min_by("i.text", "i.ordinal").alias("text"))
+    return first.select("session_key", "episode", "family", "action", "ordinal", "text")
 
 
 #: Facts of an episode that speak against a finding.
 ADVERSE = ("permission_hold", "approval_withheld", "external_wait", "external_wait_evidence", "revocation", "observed_completion", "scope_change")
-#: References kept of an assessment.
+#: What a turn says of completion, of changed conditions, of what is outside, and of a capability that was checked.
+CAPABLE = r"(?i)\bcapability check:\s*([^.;]+?)\s+available under current access\b"
+SUCCESS = r"(?i)\b(?:exit code|process exited with code)\s*:?\s*0\b"
+COMPLETED = (
+    r"(?i)\b(?:completed|finished|I (?:built|fixed|wrote|created|updated|deployed|tested|reviewed|published)"
+    r"|already (?:built|fixed|wrote|created|updated|deployed|tested|reviewed|published))\b"
+)
+CHANGED = r"(?i)\b(?:new credentials|changed access|new approval|different permissions|after approval)\b"
+EXTERNAL = r"(?i)\b(?:purchase|payment|physical intervention|onsite access|external approval)\b"
+#: References kept of an assessment, and of each kind of evidence in an episode.
 MOST_REFS = 24
 
 
-def assessed(candidate: DataFrame, episode: DataFrame) -> DataFrame:
+def span_evidence(episode: DataFrame, interaction: DataFrame) -> DataFrame:
+    """(session_key, episode, evidence): what the turns of an episode say, as (kind, ordinal, action), the first of each kind and action."""
+    origin, text = F.col("origin"), F.coalesce("text", F.lit(""))
+    none = F.lit(None).cast("string")
+    capable = action_key(F.nullif(F.regexp_extract(text, CAPABLE, 1), F.lit("")))
+    one = lambda on, kind, action=none: F.when(on, F.struct(F.lit(kind).alias("kind"), action.alias("action")))
+    found = F.array_compact(F.array(
+        one(origin.isin("human_request", "tool_result", "assistant_text") & text.rlike(COMPLETED), "completion_or_check"), one(text.rlike(CHANGED), "changed_conditions"),
+        one(origin.isin("human_request", "tool_result") & text.rlike(EXTERNAL), "external_approval"),
+        one((origin == "tool_result") & capable.isNotNull() & text.rlike(SUCCESS), "capability_check", capable),
+    ))
+    said = interaction.select("session_key", "ordinal", F.explode(found).alias("f")).select("session_key", "ordinal", "f.kind", "f.action")
+    e, i = episode.alias("e"), said.alias("i")
+    inside = (F.col("e.session_key") == F.col("i.session_key")) & F.col("i.ordinal").between(F.col("e.start_ordinal"), F.col("e.end_ordinal"))
+    rows = e.join(i, inside).select("e.session_key", "e.episode", "i.kind", "i.ordinal", "i.action")
+    place = F.row_number().over(Window.partitionBy("session_key", "episode", "kind", "action").orderBy("ordinal"))
+    rows = rows.withColumn("place", place).where(F.col("place") <= MOST_REFS)
+    return rows.groupBy("session_key", "episode").agg(F.array_sort(F.collect_list(F.struct("kind", "ordinal", "action"))).alias("evidence"))
+
+
+def assessed(candidate: DataFrame, episode: DataFrame, interaction: DataFrame) -> DataFrame:
     """Candidates with what supports, contradicts and misses, and a disposition.
 
-    episode has the columns of sessions.episodes.  Any contradiction dismisses;
+    candidate is that of shortlist, episode has the columns of
+    sessions.episodes, interaction (session_key, ordinal, origin, text).  Any
+    contradiction dismisses, among them a turn of the episode that tells of
+    completion, of changed conditions or of something outside that is needed;
     anything missing needs review; the rest is supported.
 
     Returns session_key, episode, family, action, cluster_key, disposition,
     supporting, disconfirming (arrays of kind and ordinal), missing.
     """
-    rows = candidate.alias("c").join(episode.alias("e"), ["session_key", "episode"])
-    facts, action = F.col("e.assertions"), F.col("c.action")
-    ref = lambda a: F.struct(a["kind"].alias("kind"), a["ordinal"].alias("ordinal"))
+    own_rows = episode.join(candidate.select("session_key", "episode").distinct(), ["session_key", "episode"], "left_semi")
+    said = span_evidence(own_rows, interaction)
+    rows = candidate.alias("c").join(episode.alias("e"), ["session_key", "episode"]).join(said.alias("s"), ["session_key", "episode"], "left")
+    facts, action, at, text = F.col("e.assertions"), F.col("c.action"), F.col("c.ordinal"), F.coalesce("c.text", F.lit(""))
+    evidence = F.coalesce("s.evidence", F.array().cast("array<struct<kind:string,ordinal:bigint,action:string>>"))
+    ref = lambda a: F.struct(a["kind"].alias("kind"), a["ordinal"].cast("long").alias("ordinal"))
     of = lambda kinds, strength=None: F.transform(
         F.filter(facts, lambda a: a["kind"].isin(*kinds) & (a["strength"] == strength if strength else F.lit(True))), ref
     )
-    own = lambda kinds: F.exists(facts, lambda a: a["kind"].isin(*kinds) & (a["value"] == action) & (a["strength"] == "known"))
-    earlier = lambda kind, value=None: F.exists(
-        facts, lambda a: (a["kind"] == kind) & (a["strength"] == "known") & (a["ordinal"] < F.col("c.ordinal")) & (a["value"] == action if value else F.lit(True))
-    )
-    against = F.concat(of(ADVERSE), F.when(F.col("e.advice_only"), of(("advice_only",))).otherwise(F.array().cast("array<struct<kind:string,ordinal:bigint>>")))
-    closed = F.exists(facts, lambda a: (a["kind"] == "terminal_reply") & (a["strength"] == "known") & (a["ordinal"] == F.col("c.ordinal")))
+    turns = lambda *kinds: F.transform(F.filter(evidence, lambda a: a["kind"].isin(*kinds)), ref)
+    known = lambda kinds, more: F.exists(facts, lambda a: a["kind"].isin(*kinds) & (a["strength"] == "known") & more(a))
+    earlier = lambda a: a["ordinal"] < at
+    none = F.array().cast("array<struct<kind:string,ordinal:bigint>>")
+    outside = turns("external_approval")
+    against = F.concat(of(ADVERSE), F.when(F.col("e.advice_only"), of(("advice_only",))).otherwise(none), turns("completion_or_check", "changed_conditions"), outside)
+    checks = F.transform(F.filter(evidence, lambda a: (a["kind"] == "capability_check") & (a["action"] == action)), ref)
     family = F.col("c.family")
+    pending = known(("pending_action",), lambda a: a["value"] == action)
+    closed = known(("terminal_reply",), lambda a: a["ordinal"] == at)
+    impeded = action_key(F.nullif(F.regexp_extract(text, IMPEDES, 1), F.lit("")))
     missing = F.array_compact(F.array(
-        F.when(~own(("pending_action",)), "pending action"),
-        F.when((F.col("e.authority") != "authorized") | ~own(("pending_action", "explicit_approval")), "authority"),
+        F.when(~pending, "pending action"), F.when((F.col("e.authority") != "authorized") | ~known(("pending_action", "explicit_approval"), lambda a: a["value"] == action), "authority"),
         F.when(F.col("e.context") != "known", "context"), F.when(F.size(of(("scope_restriction",))) > 0, "restriction applicability"),
-        F.when(F.col("e.lifecycle") != "active", "active objective"), F.when(family.isin("D-12", "D-13", "D-14") & ~closed, "completed reply"),
-        F.when((family == "D-13") & ~earlier("explicit_approval", True), "settled approval"), F.when((family == "D-15") & ~earlier("status_exchange"), "status exchange"),
+        F.when(F.col("e.lifecycle") != "active", "active objective"), F.when(F.size(outside) > 0, "outside approval"),
+        F.when(family.isin("D-12", "D-13", "D-14") & ~closed, "completed reply"),
+        F.when((family == "D-13") & ~known(("explicit_approval",), lambda a: (a["value"] == action) & earlier(a)), "settled approval"),
+        F.when((family == "D-14") & ~F.coalesce(text.rlike(DEFECT) & (impeded == action), F.lit(False)), "defect in the way"),
+        F.when((family == "D-15") & ~known(("status_exchange",), earlier), "status exchange"), F.when((family == "D-15") & ~text.rlike(APPROVAL_OFFER), "repeated approval"),
+        F.when((family == "D-16") & text.rlike(OFFER), "blocked without an offer"), F.when((family == "D-16") & (F.size(checks) == 0), "capability check"),
     ))
-    for_it = F.concat(F.array(F.struct(F.lit("candidate").alias("kind"), F.col("c.ordinal").alias("ordinal"))), of(("pending_action", "explicit_approval", "question_answer", "same_outcome_resume", "status_exchange"), "known"))
+    own = F.array(F.struct(F.lit("candidate").alias("kind"), at.cast("long").alias("ordinal")))
+    for_it = F.concat(own, of(("pending_action", "explicit_approval", "question_answer", "same_outcome_resume", "status_exchange"), "known"), F.when(family == "D-16", checks).otherwise(none))
     disposition = F.when(F.size(against) > 0, "dismissed").when(F.size(missing) > 0, "needs_review").otherwise("supported")
     return rows.select(
         "session_key", "episode", "family", "action", autonomy_key(F.col("family"), F.col("action")).alias("cluster_key"), disposition.alias("disposition"),

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from snagline.functions import exprs as E
+from snagline.functions.fences import fenced
 from snagline.operators import detectors as D
 from snagline.operators import reports as R
 from snagline.operators import sessions as S
+from snagline.operators.sql_detectors import SqlDetector
 from snagline.sources import adapters as A
+from snagline.sources.files import enforced
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -161,12 +165,20 @@ def _projection_sql(detector: str, kind: str, span: D.Span) -> str:
 
 # --- inputs of the detectors --------------------------------------------------------------------
 
+#: Rules of a gate catalogue; those that are off, do not block or look at something else are not enforced on commands.
 CATALOG = [
-    ("never", "shell", "odd", "^cmd[13]$"),
-    ("never", "shell", "four", "cmd4"),
-    ("never", "git", "all", "^cmd"),
-    ("always", "git", "low", "^cmd[0-2]"),
+    ("never", "shell", "odd", "^cmd[13]$", True, "deny", "command_regex"),
+    ("never", "shell", "four", "cmd4", True, "deny", "command_regex"),
+    ("never", "shell", "off", "^cmd", False, "deny", "command_regex"),
+    ("never", "shell", "unsaid", "^cmd", None, "deny", "command_regex"),
+    ("never", "shell", "hint", "^cmd", True, "additional_context", "command_regex"),
+    ("never", "shell", "content", "^cmd", True, "deny", "content_regex"),
+    ("never", "git", "all", "^cmd", True, "deny", "command_regex"),
+    ("always", "git", "low", "^cmd[0-2]", None, None, "command_regex"),
+    ("never", "opaque", "all", "^cmd", True, "deny", "command_regex"),
+    ("always", "opaque", "engine", None, None, None, "predicate"),
 ]
+_RULE = "verdict string, pack string, id string, pattern string, enabled boolean, action string, check string"
 
 
 def _assessments(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -194,7 +206,7 @@ def detector_inputs(spark: SparkSession, sf_dir: str, detector: str) -> dict[str
     if detector == "D-08":
         return {"observation": obs, "rule_doc": A.rule_docs(spark, sf_dir)}
     if detector == "D-10":
-        return {"observation": obs, "catalog": spark.createDataFrame(CATALOG, "verdict string, pack string, id string, pattern string")}
+        return {"observation": obs, "catalog": enforced(spark.createDataFrame(CATALOG, _RULE))}
     if detector == "D-12":
         return _assessments(spark, sf_dir)
     return {"observation": obs}
@@ -475,18 +487,35 @@ def coverage_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.covering_rule(D.phrase_matches(docs, names), docs)
 
 
+_REPORT_AT = "2024-04-05"
+_MONDAYS = f"""p AS (SELECT program AS phrase, date_trunc('week', ts_utc) AS monday, count(*) AS events, count(DISTINCT session_id) AS sessions FROM obs WHERE CAST(substr(program, 4) AS INTEGER) % 3 <> 0 OR ts_utc < TIMESTAMP '2024-01-03' GROUP BY ALL),
+  w AS (SELECT *, lag(monday) OVER s AS m0, lag(events) OVER s AS e0, lag(sessions) OVER s AS s0, row_number() OVER (PARTITION BY phrase ORDER BY monday DESC) AS n FROM p WINDOW s AS (PARTITION BY phrase ORDER BY monday)),
+  up AS (SELECT phrase, date_diff('day', m0, monday) = 7 AND (events > e0 OR (events = e0 AND sessions > s0)) AS up FROM w WHERE n = 1)"""
+
+
 @query(
     "rule_report",
-    f"""WITH {_COVER}, rd AS (SELECT sha, max(ts_utc) AS read_at FROM rules JOIN obs ON obs.path = rules.path AND kind = 'file_read' GROUP BY 1),
-      cv AS (SELECT path, count(*) AS covers FROM m GROUP BY 1) SELECT r.path, coalesce(covers, 0) AS covers,
-      date_diff('day', CAST(coalesce(read_at, indexed_at) AS DATE), DATE '2024-04-15') AS unread_days,
-      r.stale = 0 AND coalesce(covers, 0) = 0 AND date_diff('day', CAST(coalesce(read_at, indexed_at) AS DATE), DATE '2024-04-15') >= 90 AS retire
-      FROM rules r LEFT JOIN rd USING (sha) LEFT JOIN cv ON cv.path = r.path""",
+    f"""WITH {_COVER}, {_MONDAYS}, best AS (SELECT phrase, path FROM (SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY stale, path) AS n FROM m) WHERE n = 1),
+      seen AS (SELECT program AS phrase, max(ts_utc) AS last_seen FROM obs WHERE CAST(substr(program, 4) AS INTEGER) % 3 <> 0 OR ts_utc < TIMESTAMP '2024-01-03' GROUP BY 1),
+      cv AS (SELECT path, count(*) AS covers, max(last_seen) AS last_seen, count(*) FILTER (up) AS up FROM best JOIN seen USING (phrase) JOIN up USING (phrase) GROUP BY 1),
+      rd AS (SELECT sha, max(read_at) AS last_read FROM (SELECT sha, last_read AS read_at FROM rules UNION ALL SELECT sha, ts_utc FROM rules JOIN obs ON obs.path = rules.path AND kind = 'file_read') GROUP BY 1),
+      x AS (SELECT r.path, coalesce(covers, 0) AS covers, coalesce(up, 0) AS up, rd.last_read IS NULL AS never, coalesce(rd.last_read, indexed_at) AS since, cv.last_seen,
+        (epoch_us(TIMESTAMP '{_REPORT_AT}') - epoch_us(coalesce(rd.last_read, indexed_at))) / 86400000000.0 AS age FROM rules r LEFT JOIN rd USING (sha) LEFT JOIN cv ON cv.path = r.path WHERE r.stale = 0)
+      SELECT path, covers, up, {_stamp('since')} AS unread_since, CAST(floor(greatest(0, age)) AS BIGINT) AS unread_days, never OR age > 70 AS unread, (never OR age > 70) AND age >= 70 AND covers = 0 AS deletion_candidate,
+        (never OR age > 70) AND age >= 80 AND (covers = 0 OR last_seen <= TIMESTAMP '{_REPORT_AT}' - INTERVAL 80 DAY) AS retire FROM x""",
 )
 def rule_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live rules, the programs they cover, a third of which was only seen in the first days, and what may go."""
     docs, obs = A.rule_docs(spark, sf_dir), A.observations(spark, sf_dir)
-    matches = D.phrase_matches(docs, obs.select(F.col("program").alias("phrase")))
-    return R.rule_report(docs, matches, obs.where("kind = 'file_read'").select("path", "ts_utc"), "2024-04-15")
+    reads = obs.where("kind = 'file_read'").select("path", "ts_utc")
+    early = F.col("ts_utc") < F.lit("2024-01-03").cast("timestamp")
+    seen = obs.where((F.substring("program", 4, 9).cast("int") % 3 != 0) | early)
+    best = R.covering_rule(D.phrase_matches(docs, obs.select(F.col("program").alias("phrase")).distinct()), docs).select(F.col("phrase").alias("key"), F.col("path").alias("covered_by"))
+    cells = seen.groupBy(F.lit("D-04").alias("detector_id"), F.col("program").alias("key"), F.to_date(F.date_trunc("week", "ts_utc")).alias("monday"))
+    weekly = R.recurrence(cells.agg(F.count("*").alias("events"), F.count_distinct("session_id").alias("sessions"))).select("key", "direction")
+    clusters = seen.groupBy(F.col("program").alias("key")).agg(F.max("ts_utc").alias("last_seen")).join(best, "key").join(weekly, "key")
+    rows = R.rule_report(docs, clusters, reads, _REPORT_AT, 70, 80, 80)
+    return rows.select("path", "covers", "up", E.stamp("unread_since").alias("unread_since"), "unread_days", "unread", "deletion_candidate", "retire")
 
 
 _KNOWN = """k AS (SELECT path, layer, sha, stale FROM rules WHERE CAST(substr(path, 4) AS BIGINT) % 9 <> 0),
@@ -571,19 +600,30 @@ def resolution_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.resolution_streaks(_daily(spark, sf_dir), 2)
 
 
+_LESSONS = f"""ls AS (SELECT lesson_id, ['environment', 'hook', 'wrapper', 'skill', 'agents_md', 'memory', 'retrieval_only'][k % 7 + 1] AS layer, CASE WHEN k % 7 > 0 THEN ['environment', 'hook', 'wrapper', 'skill', 'agents_md', 'memory'][k % 7] END AS next_layer,
+    CASE WHEN k % 4 = 0 THEN TIMESTAMP '2023-12-20' ELSE TIMESTAMP '2024-01-03' + CAST(k % 6 AS INTEGER) * INTERVAL 1 DAY + INTERVAL 2 HOUR END AS t, k % 9 AS s0, k % 11 * 3 AS e0
+    FROM (SELECT DISTINCT lesson_id, CAST(substr(lesson_id, 4) AS BIGINT) AS k FROM daily) WHERE k % 5 <> 4),
+  pt AS (SELECT lesson_id, CAST(day AS TIMESTAMP) + CAST(CAST(substr(lesson_id, 4) AS BIGINT) % 4 AS INTEGER) * INTERVAL 1 HOUR AS tm, sessions, events FROM daily)"""
+
+
 @query(
-    "escalation_asof",
-    f"""WITH {_DAILY}, ap AS (SELECT DISTINCT lesson_id, DATE '2024-01-03' + CAST(substr(lesson_id, 4) AS INTEGER) % 5 AS t FROM daily),
-      x AS (SELECT lesson_id, arg_max(struct_pack(s := sessions, e := events), day) FILTER (day <= t) AS b,
-        arg_min(struct_pack(s := sessions, e := events), day) FILTER (day >= t + 21) AS a FROM daily JOIN ap USING (lesson_id) GROUP BY 1)
-      SELECT lesson_id, b.s AS sessions_before, b.e AS events_before, a.s AS sessions_after, a.e AS events_after,
-        NOT (2 * a.s <= b.s AND 2 * a.e <= b.e) AS escalate FROM x WHERE a IS NOT NULL AND b IS NOT NULL""",
+    "escalation_ladder",
+    f"""WITH {_DAILY}, {_LESSONS}, x AS (SELECT ls.*, b.tm AS base_at, coalesce(b.sessions, s0) AS sb, coalesce(b.events, e0) AS eb, a.tm AS after_at, a.sessions AS sa, a.events AS ea
+        FROM ls ASOF LEFT JOIN pt b ON b.lesson_id = ls.lesson_id AND b.tm <= ls.t ASOF LEFT JOIN pt a ON a.lesson_id = ls.lesson_id AND a.tm >= ls.t + INTERVAL 21 DAY)
+      SELECT lesson_id, layer, next_layer, {_stamp('base_at')} AS base_at, sb AS sessions_before, eb AS events_before, {_stamp('after_at')} AS measured_at, sa AS sessions, ea AS events
+      FROM x WHERE next_layer IS NOT NULL AND t + INTERVAL 21 DAY <= TIMESTAMP '2024-01-29' AND after_at <= TIMESTAMP '2024-01-29' AND NOT (2 * sa <= sb AND 2 * ea <= eb)""",
 )
-def escalation_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+def escalation_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lessons applied before and within the measured days, some at the strongest layer, some not applied at all."""
+    k = F.substring("lesson_id", 4, 9).cast("long")
     daily = _daily(spark, sf_dir)
-    offset = (F.substring("lesson_id", 4, 9).cast("int") % 5).cast("int")
-    applied = daily.select("lesson_id").distinct().withColumn("applied_at", F.date_add(F.lit("2024-01-03").cast("date"), offset))
-    return R.escalations(daily, applied)
+    points = daily.select("lesson_id", (F.col("day").cast("timestamp") + F.make_dt_interval(hours=(k % 4).cast("int"))).alias("measured_at"), "sessions", "events")
+    layers = F.array(*[F.lit(x) for x in R.LAYERS])
+    applied = F.when(k % 4 == 0, F.lit("2023-12-20").cast("timestamp")).otherwise(F.lit("2024-01-03 02:00:00").cast("timestamp") + F.make_dt_interval(days=(k % 6).cast("int")))
+    state = F.when(k % 5 == 4, "accepted").otherwise(F.concat(F.lit("applied:"), F.get(layers, (k % 7).cast("int"))))
+    lessons = daily.select("lesson_id").distinct().select("lesson_id", state.alias("state"), applied.alias("applied_at"), (k % 9).alias("sessions"), (k % 11 * 3).alias("events"))
+    rows = R.escalations(lessons, points, "2024-01-29")
+    return rows.select("lesson_id", "layer", "next_layer", E.stamp("base_at").alias("base_at"), "sessions_before", "events_before", E.stamp("measured_at").alias("measured_at"), "sessions", "events")
 
 
 @query(
@@ -656,11 +696,20 @@ def evidence_first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "prompt_budget",
-    """SELECT conv_id, turn, CAST(b AS BIGINT) AS bytes FROM (SELECT conv_id, turn, sum(octet_length(encode(text))) OVER (PARTITION BY conv_id ORDER BY turn
-      ROWS UNBOUNDED PRECEDING) AS b FROM conversations) WHERE b <= 1500""",
+    """WITH RECURSIVE own AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+      r AS (SELECT conv_id // 5 AS prompt, conv_id, turn, octet_length(encode(coalesce(text, ''))) AS b, conv_id % 5 + 1 AS c, row_number() OVER (PARTITION BY conv_id // 5 ORDER BY turn, conv_id) AS n FROM own WHERE k <= 16),
+      f AS (SELECT DISTINCT prompt, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS conv_id, CAST(0 AS BIGINT) AS turn, CAST(0 AS BIGINT) AS b, false AS fits, CAST(0 AS BIGINT) AS total, CAST(0 AS BIGINT) AS taken, CAST([-1, -1, -1, -1, -1] AS BIGINT[]) AS used FROM r
+        UNION ALL SELECT prompt, n, conv_id, turn, b, fits, CASE WHEN fits THEN total + b ELSE total END, CASE WHEN fits THEN taken + 1 ELSE taken END,
+          CASE WHEN fits THEN CAST([CASE WHEN c = i THEN greatest(used[i], 0) + b ELSE used[i] END FOR i IN [1, 2, 3, 4, 5]] AS BIGINT[]) ELSE used END
+        FROM (SELECT r.prompt, r.n, r.conv_id, r.turn, r.b, r.c, f.total, f.taken, f.used, (r.turn = 0 OR f.used[r.c] >= 0) AND greatest(f.used[r.c], 0) + r.b <= 900 AND f.total + r.b <= 3000 AS fits
+          FROM f JOIN r ON r.prompt = f.prompt AND r.n = f.n + 1))
+      SELECT conv_id, turn, b AS bytes, taken FROM f WHERE fits""",
 )
 def prompt_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.packed(A.table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], "text", 1500).select("conv_id", "turn", "bytes")
+    """Prompts of five conversations, the first turn of each being its own text, under 900 and 3,000 bytes."""
+    first = R.first_rows(A.table(spark, sf_dir, "conversations"), ["conv_id"], [F.asc("turn")], 16)
+    rows = first.select(F.floor(F.col("conv_id") / 5).alias("prompt"), "conv_id", "turn", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"))
+    return R.packed(rows, "prompt", "conv_id", "turn", "bytes", 900, 3000).select("conv_id", "turn", "bytes", "taken")
 
 
 @query(
@@ -867,6 +916,52 @@ def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.length(clean).cast("long").alias("n_chars"), F.regexp_count(clean, F.lit("<redacted:")).cast("long").alias("n_redacted"))
 
 
+#: Names that must not leave; some begin like others.
+FENCES = ("the", "the ing", "Tion", "ueber", "der ", "ß", "de la", "que", "ÉE", "entre", ".*", "a|b")
+
+
+def _fence_sql() -> str:
+    names = "|".join(re.escape(f) for f in sorted(FENCES, key=len, reverse=True))
+    return f"regexp_replace(coalesce(text, ''), '{names}', '<redacted:content-fence>', 'gi')"
+
+
+@query("fenced_documents", f"SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(t) AS text_sha256 FROM (SELECT doc_id, {_fence_sql()} AS t FROM documents)")
+def fenced_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = fenced(FENCES)(F.coalesce("text", F.lit("")))
+    rows = A.table(spark, sf_dir, "documents").select("doc_id", text.alias("t"))
+    return rows.select("doc_id", F.length("t").cast("long").alias("n_chars"), F.sha2("t", 256).alias("text_sha256"))
+
+
+#: A detector as a user would give it: slow programs, whose failures come in three sessions or more.
+SLOW = SqlDetector(
+    "D-90", 1, "programs that fail in several sessions",
+    """WITH failed AS (SELECT * FROM observation WHERE kind = 'run_failed' AND ts_utc >= CAST(:start AS TIMESTAMP) AND ts_utc < CAST(:end AS TIMESTAMP))
+      SELECT 'slow:' || program AS key, count(DISTINCT session_id) AS sessions, count(*) AS events, min(ts_utc) AS first_seen, max(ts_utc) AS last_seen
+      FROM failed GROUP BY program HAVING count(DISTINCT session_id) >= 3;""",
+    session="SELECT DISTINCT 'slow:' || program AS key, session_id FROM observation WHERE kind = 'run_failed' AND ts_utc >= CAST(:start AS TIMESTAMP) AND ts_utc < CAST(:end AS TIMESTAMP)",
+    weekly="""SELECT 'slow:' || program AS key, concat(extract(YEAROFWEEK FROM ts_utc), '-W', lpad(weekofyear(ts_utc), 2, '0')) AS week, count(DISTINCT session_id) AS sessions, count(*) AS events
+      FROM observation WHERE kind = 'run_failed' AND ts_utc >= CAST(:start AS TIMESTAMP) AND ts_utc < CAST(:end AS TIMESTAMP) GROUP BY ALL""",
+)
+_SLOW = f"FROM obs WHERE kind = 'run_failed' AND {_in(SPAN)}"
+_SLOW_SQL = {
+    "cluster": f"SELECT 'slow:' || program AS key, count(DISTINCT session_id) AS sessions, count(*) AS events, {_stamp('min(ts_utc)')} AS first_seen, {_stamp('max(ts_utc)')} AS last_seen {_SLOW} GROUP BY program HAVING count(DISTINCT session_id) >= 3",
+    "session": f"SELECT DISTINCT 'slow:' || program AS key, session_id {_SLOW}",
+    "weekly": f"SELECT 'slow:' || program AS key, strftime(ts_utc, '%G-W%V') AS week, count(DISTINCT session_id) AS sessions, count(*) AS events {_SLOW} GROUP BY ALL",
+}
+
+
+def _add_sql_detector() -> None:
+    for kind, sql in _SLOW_SQL.items():
+
+        def run(spark: SparkSession, sf_dir: str, kind=kind) -> DataFrame:
+            return SLOW.run(kind, SPAN, observation=A.observations(spark, sf_dir))
+
+        query(f"d90_sql_{kind}", f"WITH {OBS} {sql}")(run)
+
+
+_add_sql_detector()
+
+
 @query(
     "impact_groups",
     """SELECT c_mktsegment AS source, 'n' || (c_nationkey % 4) AS family, count(*) AS n, count(*) FILTER (x = 0) AS completed, count(*) FILTER (x = 1) AS interrupted,

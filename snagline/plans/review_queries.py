@@ -11,7 +11,10 @@ from snagline.operators import review as V
 from snagline.operators import sessions as S
 from snagline.plans.registry import (
     _EPISODES,
+    _ORDER,
+    _SCORE,
     LATE,
+    NOW,
     OBS,
     ORACLES,
     RULES,
@@ -24,7 +27,6 @@ from snagline.plans.registry import (
     clusters,
     intervention_classes,
     query,
-    rank_top10,
     trend_ewma,
     waste_equal_split,
 )
@@ -162,9 +164,9 @@ def transcript_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.source_kinds(rows.join(first, "path").withColumn("line", F.col("line") - F.col("first")))
 
 
-@query("generic_texts", "SELECT doc_id, text || chr(10) || lang || chr(10) || source AS found FROM documents WHERE text <> '' AND lang <> '' AND source <> ''")
+@query("generic_texts", "SELECT doc_id, nullif(concat_ws(chr(10), text, lang, source), '') AS found FROM documents")
 def generic_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = A.table(spark, sf_dir, "documents").where("text <> '' and lang <> '' and source <> ''")
+    docs = A.table(spark, sf_dir, "documents")
     inner = F.struct(F.col("lang").alias("text"), F.array(F.col("source")).alias("content"), F.lit("no").alias("other"))
     record = F.to_json(F.struct(F.lit("x").alias("type"), F.col("text"), inner.alias("message")))
     return docs.select("doc_id", transcripts.text_within(record).alias("found"))
@@ -219,12 +221,14 @@ def replaced_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "additive_upsert",
-    """SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, CAST(count(*) AS BIGINT) AS n FROM events WHERE event_id % 3 <> 0 GROUP BY ALL""",
+    """SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL""",
 )
 def additive_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = A.table(spark, sf_dir, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    part = lambda k: e.where(F.col("event_id") % 3 == k).groupBy("event_type", "day").agg(F.count("*").alias("n"))
-    return sinks.added_counts(part(1), part(2), ["event_type", "day"])
+    # what two runs took in, which share most of their days
+    run = F.when(F.col("event_id") % 3 == 1, "old").otherwise("new")
+    part = lambda k: e.where(run == k).groupBy("event_type", "day").agg(F.count("*").alias("n"))
+    return sinks.added_counts(part("old"), part("new"), ["event_type", "day"])
 
 
 # --- coverage, lanes, measurement ---------------------------------------------------------------
@@ -322,13 +326,14 @@ def trend_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "brief_top5",
-    f"""WITH {OBS}, r AS ({ORACLES['rank_top10']}), s AS (SELECT DISTINCT session_id FROM obs WHERE path = '/f/7'), h AS ({_several('session')})
-      SELECT detector_id, key, place, count(DISTINCT session_id) AS matched FROM r JOIN h USING (detector_id, key) JOIN s USING (session_id) GROUP BY ALL ORDER BY place LIMIT 5""",
+    f"""WITH {OBS}, c AS ({_several('cluster')}), s AS (SELECT DISTINCT session_id FROM obs WHERE path = '/f/7'), h AS ({_several('session')}),
+      m AS (SELECT detector_id, key, count(DISTINCT session_id) AS matched FROM h JOIN s USING (session_id) GROUP BY ALL)
+      SELECT detector_id, key, matched, row_number() OVER (ORDER BY {_ORDER}) AS place FROM (SELECT *, {_SCORE} AS s FROM c JOIN m USING (detector_id, key)) ORDER BY place LIMIT 5""",
 )
 def brief_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     scope = A.observations(spark, sf_dir).where("path = '/f/7'").select("session_id")
-    found = V.brief(rank_top10(spark, sf_dir), cluster_sessions(spark, sf_dir), scope, 5)
-    return found.select("detector_id", "key", "place", "matched")
+    found = V.brief(clusters(spark, sf_dir), cluster_sessions(spark, sf_dir), scope, NOW, 30, 5)
+    return found.select("detector_id", "key", "matched", "place")
 
 
 # --- places, sources, follow-up -----------------------------------------------------------------
@@ -506,37 +511,43 @@ def autonomy_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The requests of the episodes, with assistants that offer, abandon and block what may be pending."""
-    n = (F.col("session_key") + F.col("ordinal")) % 4
-    action = F.concat(F.lit("fix item "), F.col("session_key") % 5, F.lit("-"), F.floor(F.col("ordinal") / 4))
-    said = F.when(n == 0, F.concat(F.lit("I can "), action, F.lit(" if you approve."))).when(n == 1, F.concat(F.lit("I am abandoning "), action, F.lit("."))).when(
-        n == 2, F.concat(F.lit("I cannot "), action, F.lit(" under current access."))
-    )
-    return _requests(spark, sf_dir).withColumn("text", F.when(F.col("origin") == "assistant_text", F.coalesce(said, F.lit("fine"))).otherwise(F.col("text")))
+    """The requests of the episodes, with replies that offer, abandon and block what may be pending, and tools that check and tell.
+
+    Of three conversations one has a tool where the agent would offer, which checks that the agent can, or tells that it has finished.
+    """
+    conv, n = F.col("session_key"), (F.col("session_key") + F.col("ordinal")) % 4
+    action = F.concat(F.lit("fix item "), conv % 5, F.lit("-"), F.floor(F.col("ordinal") / 4))
+    checks = F.when(conv % 2 == 0, F.concat(F.lit("Capability check: "), action, F.lit(" available under current access. Exit code: 0"))).otherwise("The run has finished.")
+    said = F.when((n == 0) & (conv % 3 == 0), checks).when(n == 0, F.concat(F.lit("I can "), action, F.lit(" if you approve.")))
+    said = said.when(n == 1, F.concat(F.lit("I am abandoning "), action, F.when(conv % 2 == 0, ", approve it again.").otherwise(".")))
+    said = said.when(n == 2, F.concat(F.lit("I cannot "), action, F.lit(" under current access."))).otherwise("fine")
+    reply = F.col("origin") == "assistant_text"
+    origin = F.when(reply & (n == 0) & (conv % 3 == 0), "tool_result").otherwise(F.col("origin"))
+    return _requests(spark, sf_dir).withColumn("text", F.when(reply, said).otherwise(F.col("text"))).withColumn("origin", origin)
 
 
 _SHORT = f"""{_EPISODES}, sa AS (SELECT conv_id, turn, (conv_id + turn) % 4 AS m, 'fix:item ' || (conv_id % 5) || '-' || (turn // 4) AS action FROM conversations WHERE role = 'assistant'),
-  fam AS (SELECT conv_id, turn, action, unnest(CASE m WHEN 0 THEN ['D-12', 'D-13'] WHEN 1 THEN ['D-15'] WHEN 2 THEN ['D-16'] ELSE [] END) AS family FROM sa),
+  fam AS (SELECT conv_id, turn, action, unnest(CASE WHEN m = 0 AND conv_id % 3 = 0 THEN [] WHEN m = 0 THEN ['D-12', 'D-13'] WHEN m = 1 AND conv_id % 2 = 0 THEN [] WHEN m = 1 THEN ['D-15'] WHEN m = 2 THEN ['D-16'] ELSE [] END) AS family FROM sa),
   cand AS (SELECT session_key, episode, family, arg_min(action, turn) AS action, min(turn) AS ordinal FROM ep JOIN fam ON conv_id = session_key AND turn BETWEEN start_ordinal AND end_ordinal AND action = action_key GROUP BY ALL)"""
 
 
 @query("autonomy_shortlist", f"WITH {_SHORT} SELECT * FROM cand")
 def autonomy_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _replies(spark, sf_dir)
-    return V.shortlist(S.episodes(rows), rows).withColumn("episode", F.col("episode").cast("long"))
+    return V.shortlist(S.episodes(rows), rows).withColumn("episode", F.col("episode").cast("long")).drop("text")
 
 
 @query(
     "autonomy_assessment",
-    f"""WITH {_SHORT}, x AS (SELECT cand.*, ep.lifecycle, ep.authority, ep.context, ep.start_ordinal, ep.end_ordinal, EXISTS (SELECT 1 FROM k WHERE k.conv_id = session_key AND k.what = 'status'
-        AND k.turn > start_ordinal AND k.turn < cand.ordinal AND k.turn <= end_ordinal) AS asked FROM cand JOIN ep USING (session_key, episode))
-      SELECT session_key, episode, family, 'autonomy:' || family || ':fix:item' AS cluster_key, CASE WHEN lifecycle IN ('cancelled', 'completed') THEN 'dismissed'
-        WHEN authority <> 'authorized' OR lifecycle <> 'active' OR family IN ('D-12', 'D-13') OR (family = 'D-15' AND NOT asked) THEN 'needs_review' ELSE 'supported' END AS disposition FROM x""",
+    f"""WITH {_SHORT}, x AS (SELECT cand.*, ep.lifecycle, ep.authority, ep.context, EXISTS (SELECT 1 FROM sa WHERE sa.conv_id = session_key AND m = 0 AND sa.conv_id % 6 = 3 AND sa.turn BETWEEN start_ordinal AND end_ordinal) AS told,
+        EXISTS (SELECT 1 FROM sa WHERE sa.conv_id = session_key AND m = 0 AND sa.conv_id % 6 = 0 AND sa.turn BETWEEN start_ordinal AND end_ordinal AND sa.action = cand.action) AS checked FROM cand JOIN ep USING (session_key, episode))
+      SELECT session_key, episode, family, 'autonomy:' || family || ':fix:item' AS cluster_key, CASE WHEN lifecycle IN ('cancelled', 'completed') OR told THEN 'dismissed'
+        WHEN authority <> 'authorized' OR lifecycle <> 'active' OR family <> 'D-16' OR NOT checked THEN 'needs_review' ELSE 'supported' END AS disposition FROM x""",
 )
 def autonomy_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _replies(spark, sf_dir)
     found = S.episodes(rows)
-    got = V.assessed(V.shortlist(found, rows), found)
+    got = V.assessed(V.shortlist(found, rows), found, rows)
     return got.select("session_key", F.col("episode").cast("long").alias("episode"), "family", "cluster_key", "disposition")
 
 

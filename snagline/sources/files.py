@@ -126,12 +126,26 @@ def denials(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """(verdict, pack, id, pattern) of a gate catalogue file."""
-    rule = "array<struct<id:string,pack:string,match:struct<regex:string>>>"
+    """(verdict, pack, id, pattern, enabled, action, check) of a gate catalogue file; enabled is null where it is not said."""
+    rule = "array<struct<id:string,pack:string,enabled:boolean,action:string,check:string,match:struct<regex:string>>>"
     whole = spark.read.schema(f"never {rule}, always {rule}").option("multiLine", "true").json(path)
     parts = [whole.select(F.lit(v).alias("verdict"), F.explode(v).alias("r")) for v in ("never", "always")]
     rows = parts[0].unionByName(parts[1])
-    return rows.select("verdict", "r.pack", "r.id", F.col("r.match.regex").alias("pattern"))
+    return rows.select("verdict", "r.pack", "r.id", F.col("r.match.regex").alias("pattern"), "r.enabled", "r.action", "r.check")
+
+
+def enforced(rules: DataFrame) -> DataFrame:
+    """(verdict, pack, id, pattern) of the rules that can be held against what ran.
+
+    A denial counts when it is enabled, blocks (action deny) and looks at the
+    command by an expression.  A pack with an exception that looks at something
+    else is left out whole: its denials may have been allowed.
+    """
+    by_command = F.coalesce(F.col("check") == "command_regex", F.lit(False))
+    opaque = rules.where((F.col("verdict") == "always") & ~by_command).select("pack").distinct()
+    denies = (F.col("verdict") == "never") & F.coalesce(F.col("enabled"), F.lit(False)) & F.coalesce(F.col("action") == "deny", F.lit(False))
+    kept = rules.where(by_command & (denies | (F.col("verdict") == "always"))).join(opaque, "pack", "left_anti")
+    return kept.select("verdict", "pack", "id", "pattern")
 
 
 def rule_files(spark: SparkSession, layer: str, *paths: str, limit: int = 4 << 20) -> DataFrame:
