@@ -35,6 +35,14 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(folded(text), r"[^\p{L}\p{N}\p{Co}]+"), lambda w: w != "")
 
 
+def raw_words(text: Column) -> Column:
+    """Runs of letters and digits as they are written, with their marks; the first or last may be empty.
+
+    folded_stems makes of each what tokens and stems make of it.
+    """
+    return F.split(text, r"(?:[^\p{L}\p{N}\p{Co}\p{Mn}]\p{Mn}*)+")
+
+
 #: Fixed values of Porter's published algorithm: suffixes and what they become.
 _SECOND = {
     "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e",
@@ -108,3 +116,15 @@ def stem(word: str) -> str:
 def stems(words: pd.Series) -> pd.Series:
     known = {w: stem(w) for w in words.unique()}
     return words.map(known)
+
+
+@pandas_udf(StringType())
+def folded_stems(words: pd.Series) -> pd.Series:
+    """Stems of words as they are written: in lower case, without marks."""
+    plain = str.maketrans(*_plain_letters())
+
+    def form(word: str) -> str:
+        return stem("".join(x for x in word.lower().translate(plain) if unicodedata.category(x) != "Mn"))
+
+    known = {w: form(w) for w in words.unique()}
+    return words.map(known)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snagline.functions.exprs import hashed_key, in_window, iso_week, key_of, present, stamp
-from snagline.functions.words import stems, tokens
+from snagline.functions.words import folded, folded_stems, raw_words, stems, tokens
 
 KINDS = ("cluster", "session", "week", "weekly")
 CATALOGUE_ROWS = 10_000
@@ -159,21 +159,40 @@ def _rediscovered() -> Column:
     return (F.col("sessions") >= 2) & ((F.col("family") == "command") | (F.col("days") >= 2))
 
 
+#: Forms of words, as documents have them, that are looked up in memory; more of them are joined.
+MOST_FORMS = 100_000
+
+
+def _may_stem(asked: DataFrame) -> Column:
+    """Whether a word begins like a stem that is asked for: stemming changes no letter but the last ones."""
+    head = F.substring("stem", F.lit(1), F.least(F.lit(3), F.greatest(F.lit(1), F.length("stem") - 1)))
+    heads = [r["head"] for r in asked.select(head.alias("head")).distinct().limit(MOST_FORMS + 1).collect()]
+    if len(heads) > MOST_FORMS:
+        return F.lit(True)
+    word, may = folded(F.substring("word", 1, 9)), F.lit(False)
+    for n in sorted({len(h) for h in heads}):
+        may = may | F.substring(word, 1, n).isin([h for h in heads if len(h) == n])
+    return may
+
+
 def phrase_matches(docs: DataFrame, phrases: DataFrame, doc: str = "path", text: str = "text", phrase: str = "phrase") -> DataFrame:
     """(doc, phrase) where the phrase's words stand consecutively in the document, by their stems.
 
-    Words of documents are kept with their place; those that begin like a word
-    of a phrase are stemmed and meet the phrases on the stem.  A place less the
-    word's offset in the phrase is where the phrase would begin; where all its
-    words agree on that, it stands.  No text is shuffled.
+    Every distinct word of the documents, as it is written, is folded and stemmed once, and those whose stem a
+    phrase has are the forms to look for: up to MOST_FORMS of them are looked up
+    while documents are split, so that only words of phrases leave the scan.  A
+    place less the word's offset in the phrase is where the phrase would begin;
+    where all its words agree on that, it stands.  No text is shuffled.
     """
     asked = phrases.select(F.col(phrase).alias("phrase")).distinct().withColumn("w", tokens(F.col("phrase"))).where(F.size("w") > 0)
     asked = asked.select("phrase", F.size("w").alias("n"), F.posexplode("w").alias("offset", "word")).select("phrase", "n", "offset", stems("word").alias("stem"))
-    # stems keep the first letter; there are no more heads than characters
-    heads = F.broadcast(asked.select(F.substring("stem", 1, 1).alias("head")).distinct())
-    words = docs.select(F.col(doc).alias("doc"), F.posexplode(tokens(F.col(text))).alias("place", "word"))
-    words = words.join(heads, F.substring("word", 1, 1) == F.col("head"), "left_semi")
-    found = words.select("doc", "place", stems("word").alias("stem")).join(asked, "stem")
+    words = docs.select(F.col(doc).alias("doc"), F.posexplode(raw_words(F.col(text))).alias("place", "word")).where("word <> ''")
+    known = words.select("word").distinct().where(_may_stem(asked)).select("word", folded_stems("word").alias("stem"))
+    forms = known.join(asked.select("stem").distinct(), "stem", "left_semi")
+    few = forms.limit(MOST_FORMS + 1).collect()
+    if len(few) <= MOST_FORMS:
+        forms = F.broadcast(docs.sparkSession.createDataFrame([(r["stem"], r["word"]) for r in few], "stem string, word string"))
+    found = words.join(forms, "word").select("doc", "place", "stem").join(asked, "stem")
     spots = found.groupBy("doc", "phrase", "n", (F.col("place") - F.col("offset")).alias("at")).agg(F.count_distinct("offset").alias("words"))
     return spots.where("words = n").select(F.col("doc").alias(doc), F.col("phrase").alias(phrase)).distinct()
 
