@@ -119,38 +119,44 @@ def _joined(items: Column, field: str, by: str) -> Column:
     return F.array_join(F.array_compact(F.transform(items, lambda x: F.try_variant_get(x, f"$.{field}", "string"))), by)
 
 
-def _queued(records: DataFrame) -> DataFrame:
-    """Words of a human that were delivered while a turn ran, once each: by its source and by its delivery."""
+def queued_words(records: DataFrame) -> DataFrame:
+    """Records with `queued`: (text, source, delivery) of words that a human had delivered while a turn ran, null for others."""
     get = _get("record")
-    said = records.where((F.col("record_type") == "attachment") & (get("$.attachment.type") == "queued_command")).select(
-        "path", "line", "session_id", "ts", "cwd", "sidechain", get("$.attachment.prompt").alias("text"), get("$.attachment.source_uuid").alias("source"),
-        get("$.attachment.delivery_id").alias("delivery"), get("$.attachment.humanTurn", "boolean").alias("human"), get("$.attachment.origin.kind").alias("kind"),
-        F.coalesce(get("$.attachment.commandMode"), F.lit("prompt")).alias("mode"), "meta",
-    ).where("human and kind = 'human' and mode = 'prompt' and not meta and trim(text) <> '' and source <> '' and delivery <> ''")
+    at = lambda p, t="string": get(f"$.attachment.{p}", t)
+    on = (F.col("record_type") == "attachment") & (at("type") == "queued_command") & at("humanTurn", "boolean") & (at("origin.kind") == "human") & ~F.col("meta")
+    on = on & (F.coalesce(at("commandMode"), F.lit("prompt")) == "prompt") & (F.trim(at("prompt")) != "") & (at("source_uuid") != "") & (at("delivery_id") != "")
+    words = F.struct(at("prompt").alias("text"), at("source_uuid").alias("source"), at("delivery_id").alias("delivery"))
+    return records.withColumn("queued", F.when(F.coalesce(on, F.lit(False)), words))
+
+
+def _queued(records: DataFrame) -> DataFrame:
+    """Queued words as blocks, once each: by their source and by their delivery."""
+    said = queued_words(records).where("queued is not null").select("path", "line", "session_id", "ts", "cwd", "sidechain", "meta", "queued.*")
     seen = {c: F.row_number().over(Window.partitionBy("session_id", c).orderBy("line")) for c in ("source", "delivery")}
     return said.withColumns({f"n_{c}": n for c, n in seen.items()}).where("n_source = 1 and n_delivery = 1").select(
         "*", F.lit(0).alias("place"), F.lit("user").alias("role"), F.lit("text").alias("block_type"), F.col("source").alias("message_id")
     )
 
 
-def blocks_a(lines: DataFrame) -> DataFrame:
-    """Blocks of records with a message of blocks, and words that were queued.
-
-    Session and folder are carried forward over all records of a file.  Records
-    of the harness (meta) and of delegated work (sidechain) are marked.
-    """
+def records_a(lines: DataFrame) -> DataFrame:
+    """Records of the first shape with what they say of themselves."""
     get = _get("record")
-    records = transcript_records(lines).select(
+    return transcript_records(lines).select(
         "path", "line", "record_type", "record", F.coalesce(get("$.sessionId"), get("$.session_id")).alias("session_id"), get("$.cwd").alias("cwd"),
         F.coalesce(get("$.timestamp"), get("$.message.timestamp")).alias("ts"), F.coalesce(get("$.isSidechain", "boolean"), F.lit(False)).alias("sidechain"),
         F.coalesce(get("$.isMeta", "boolean"), F.lit(False)).alias("meta"),
     )
-    records = _sticky_context(records)
-    content = get("$.message.content", "array<variant>")
+
+
+def message_blocks(records: DataFrame, *more: str) -> DataFrame:
+    """A row for each block of a record's message, one of no type for a record without; more names further columns that stay."""
+    get = _get("record")
+    said = F.col("record_type").isin("user", "assistant")
+    content = F.when(said, get("$.message.content", "array<variant>"))
     # a list would be cast to its JSON
     plain = F.when(content.isNull() & (F.col("record_type") == "user"), get("$.message.content"))
-    rows = records.where(F.col("record_type").isin("user", "assistant")).select(
-        "path", "line", "session_id", "ts", "cwd", "sidechain", "meta", F.col("record_type").alias("role"), plain.alias("plain"),
+    rows = records.select(
+        "path", "line", "session_id", "ts", "cwd", "sidechain", "meta", F.col("record_type").alias("role"), plain.alias("plain"), *more,
         F.coalesce(get("$.message.id"), get("$.uuid")).alias("message_id"), F.posexplode_outer(content).alias("place", "block"),
     )
     block = _get("block")
@@ -159,14 +165,23 @@ def blocks_a(lines: DataFrame) -> DataFrame:
     asked = F.coalesce(questions, *[block(f"$.input.{k}") for k in ("question", "query", "prompt", "message")])
     answer = block("$.content", "array<variant>")
     result = F.when(answer.isNotNull(), _joined(F.filter(answer, lambda x: F.try_variant_get(x, "$.type", "string") == "text"), "text", "\n")).otherwise(block("$.content"))
-    rows = rows.select(
-        "path", "line", F.coalesce("place", F.lit(0)).alias("place"), "session_id", "ts", "cwd", "role", kind.alias("block_type"), "sidechain", "meta",
+    return rows.select(
+        "path", "line", F.coalesce("place", F.lit(0)).alias("place"), "session_id", "ts", "cwd", "role", kind.alias("block_type"), "sidechain", "meta", *more,
         F.when(F.col("role") == "assistant", F.col("message_id")).alias("message_id"),
         F.when(kind == "tool_result", result).when(kind == "tool_use", asked).otherwise(F.coalesce(block("$.text"), F.col("plain"))).alias("text"),
         F.coalesce(block("$.id"), block("$.tool_use_id")).alias("tool_use_id"), block("$.name").alias("tool"), block("$.input.command").alias("command"),
         block("$.input.file_path").alias("file_path"), block("$.is_error", "boolean").alias("is_error"),
     )
-    return _shaped(rows.where("block_type is not null"), "a").unionByName(_shaped(_queued(records), "a"))
+
+
+def blocks_a(lines: DataFrame) -> DataFrame:
+    """Blocks of records with a message of blocks, and words that were queued.
+
+    Session and folder are carried forward over all records of a file.  Records
+    of the harness (meta) and of delegated work (sidechain) are marked.
+    """
+    records = _sticky_context(records_a(lines))
+    return _shaped(message_blocks(records).where("block_type is not null"), "a").unionByName(_shaped(_queued(records), "a"))
 
 
 def blocks_b(lines: DataFrame) -> DataFrame:
@@ -208,17 +223,17 @@ def _at() -> Column:
     return F.struct("line", "place")
 
 
-def _said(blocks: DataFrame) -> Column:
+def said_by_human() -> Column:
     """A human's words that are neither blank nor a sentinel nor the harness's."""
-    return (F.col("block_type") == "text") & (F.col("role") == "user") & (F.trim("text") != "") & ~F.col("meta") & ~_stopped() & ~_refused()
+    return (F.col("block_type") == "text") & (F.col("role") == "user") & (F.trim("text") != "") & ~F.col("meta") & ~stopped() & ~refused()
 
 
-def _stopped() -> Column:
+def stopped() -> Column:
     own = (F.col("block_type") == "text") & (F.col("role") == "user") & is_interrupt(F.trim("text"))
     return F.coalesce(own, F.lit(False)) | F.col("block_type").isin("aborted", "interrupted")
 
 
-def _refused() -> Column:
+def refused() -> Column:
     """Words or results that say a call was rejected."""
     sentinel = is_rejection(F.coalesce("text", F.lit("")))
     words = (F.col("block_type") == "text") & (F.col("role") == "user") & (F.col("shape") == "a")
@@ -241,7 +256,7 @@ def events_of(blocks: DataFrame) -> DataFrame:
     call, result = F.col("block_type") == "tool_use", F.col("block_type") == "tool_result"
     known = F.col("tool_use_id").isNotNull()
     own = F.struct("path", "line", "place", "ts", "cwd", "sidechain", "tool", "command", "file_path")
-    rows = blocks.withColumn("refused", _refused()).withColumn("stopped", _stopped()).withColumn("said", _said(blocks))
+    rows = blocks.withColumn("refused", refused()).withColumn("stopped", stopped()).withColumn("said", said_by_human())
     earlier = by_call.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("asked", F.when(known & result, F.last(F.when(call, own), ignorenulls=True).over(earlier)))
     # a call is taken by the result behind it; a later one of the same id has none
@@ -300,7 +315,7 @@ def interactions_of(blocks: DataFrame, cap: int = 1_000) -> DataFrame:
     quoted = F.lit(False)
     for head in QUOTED:
         quoted = quoted | F.startswith(F.ltrim(words), F.lit(head))
-    rows = blocks.withColumn("stopped", _stopped() & (kind != "interrupted")).withColumn("refused", _refused() & human)
+    rows = blocks.withColumn("stopped", stopped() & (kind != "interrupted")).withColumn("refused", refused() & human)
     origin = (
         F.when((kind == "text") & (F.trim(words) == ""), None)
         .when(kind == "aborted", "harness")
