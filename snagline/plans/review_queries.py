@@ -494,6 +494,34 @@ def error_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "events").select("event_id", error_streak(F.when(i % 5 != 0, i % 4), i % 3).alias("runs"))
 
 
+#: What the turns of a conversation say, by their place in it; bits as in readings.cycle_code.
+_CYCLE_SQL = """t AS (SELECT conv_id, turn, role, turn % 4 AS p, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+  c AS (SELECT *, CASE WHEN role = 'user' AND p IN (0, 1) AND conv_id % 5 < 4 THEN 9 WHEN role = 'user' AND conv_id % 7 = 3 THEN 2 WHEN role = 'user' AND p IN (2, 3) THEN 8
+    WHEN role = 'assistant' AND p IN (1, 2) THEN 4 WHEN role = 'assistant' AND conv_id % 3 > 0 THEN 16 ELSE 0 END AS code FROM t)"""
+
+
+@query(
+    "work_cycles",
+    f"""WITH RECURSIVE {_CYCLE_SQL},
+      f AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS k, 0 AS stage, CAST([] AS BIGINT[]) AS turns, CAST(NULL AS BIGINT[]) AS found FROM c
+        UNION ALL SELECT conv_id, k, CASE does WHEN 'begin' THEN 1 WHEN 'on' THEN stage + 1 WHEN 'add' THEN stage ELSE 0 END, CASE WHEN does = 'begin' THEN [turn] WHEN does IN ('on', 'add') THEN turns || [turn] ELSE CAST([] AS BIGINT[]) END,
+          CASE WHEN does = 'end' THEN turns || [turn] END
+        FROM (SELECT c.conv_id, c.k, c.turn, f.stage, f.turns, CASE WHEN f.stage = 0 THEN CASE WHEN code & 1 > 0 THEN 'begin' ELSE 'drop' END WHEN code & 2 > 0 OR len(f.turns) >= 24 THEN 'drop' WHEN f.stage = 4 AND code & 1 > 0 THEN 'end'
+            WHEN (f.stage = 1 AND code & 4 > 0) OR (f.stage = 2 AND code & 8 > 0) OR (f.stage = 3 AND code & 16 > 0) THEN 'on' WHEN code & 1 > 0 AND f.stage <> 3 THEN 'begin' ELSE 'add' END AS does
+          FROM f JOIN c ON c.conv_id = f.conv_id AND c.k = f.k + 1))
+      SELECT CAST(conv_id AS VARCHAR) AS session_key, found[1] AS "first", found[-1] AS "last", array_to_string(found, ',') AS ordinals FROM f WHERE found IS NOT NULL""",
+)
+def work_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv, p, role = F.col("conv_id"), F.col("turn") % 4, F.col("role")
+    text = (
+        F.when((role == "user") & p.isin(0, 1) & (conv % 5 < 4), "Please complete the whole workflow").when((role == "user") & (conv % 7 == 3), "Stop now")
+        .when((role == "user") & p.isin(2, 3), "What are the lessons?").when((role == "assistant") & p.isin(1, 2), "It is implemented and deployed.")
+        .when((role == "assistant") & (conv % 3 > 0), "My earlier claim was\nfar too broad.").otherwise("hm")
+    )
+    turns = A.table(spark, sf_dir, "conversations").select(conv.alias("session_key"), F.col("turn").alias("ordinal"), "role", text.alias("text"))
+    return S.work_cycles(turns).withColumn("ordinals", F.array_join(F.transform("ordinals", lambda x: x.cast("string")), ","))
+
+
 # --- autonomy and interventions -----------------------------------------------------------------
 
 
