@@ -1021,4 +1021,4 @@ def target_brief(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-from snagline.plans import review_queries  # noqa: E402, F401  registers its queries here
+from snagline.plans import digest_queries, review_queries  # noqa: E402, F401  they register their queries here
