@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snagline.llm.common import add_text_columns, free_name
+from snagline.llm.common import add_text_columns, broadcast_if_small, free_name, stored
 from snagline.llm.setlink import mixed
 
 #: Bound of the model: labelled training rows of a language.
@@ -69,21 +69,21 @@ def token_hash(n: int, token: str) -> int:
 
 
 def _counts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partial counts of words (n = 0) and n-grams by language."""
+    """Partial counts of words (n = 0) and n-grams by language, times the weight of their rows."""
     for batch in batches:
-        words: dict[str, Counter] = {}
-        for lang, text in zip(batch["lang"], batch["text"]):
-            words.setdefault(lang, Counter()).update(_LETTERS.findall(text.lower()))
+        words: dict[tuple[str, float], Counter] = {}
+        for lang, text, weight in zip(batch["lang"], batch["text"], batch["weight"]):
+            words.setdefault((lang, weight), Counter()).update(_LETTERS.findall(text.lower()))
         made = []
-        for lang, counts in words.items():
+        for (lang, weight), counts in words.items():
             hashes = np.fromiter(map(word_hash, counts), np.uint64, len(counts))
-            times = np.fromiter(counts.values(), np.int64, len(counts))
+            times = np.fromiter(counts.values(), np.int64, len(counts)) * weight
             made.append(pd.DataFrame({"lang": lang, "n": 0, "token": hashes.view(np.int64), "c": times}))
             codes, owner, left = _edged(list(counts))
             for n in range(1, LONGEST_GRAM + 1):
                 at = np.flatnonzero(left >= n)
                 token, place = np.unique(gram_hashes(codes, n)[at], return_inverse=True)
-                c = np.bincount(place, weights=times[owner[at]]).astype(np.int64)
+                c = np.bincount(place, weights=times[owner[at]])
                 made.append(pd.DataFrame({"lang": lang, "n": n, "token": token.view(np.int64), "c": c}))
         if made:
             yield pd.concat(made)
@@ -204,25 +204,41 @@ class LanguageModel:
         return score
 
 
+def _sampled(rows: DataFrame, sample_rows: int) -> DataFrame:
+    """(lang, text, weight) of the training rows, about sample_rows of each language.
+
+    Of c rows that agree in every column, c * sample_rows / rows of the language
+    are chosen, rounded up or down by a hash of their content; each of them
+    comes with the chosen share of the c as its weight.  So the choice follows
+    the content of the table alone, however its rows are split.
+    """
+    content = [F.col(f"`{c}`") for c in rows.columns]
+    named = rows.select("lang", "text", F.xxhash64(*content).alias("h"), F.xxhash64(F.lit(1), *content).alias("h2"))
+    keys = stored(named.groupBy("lang", "h", "h2").agg(F.count("*").alias("n")), "languages")
+    sizes = keys.groupBy(F.col("lang").alias("of")).agg(F.sum("n").alias("all"))
+    place = F.pmod("h2", F.lit(1 << 30)) / float(1 << 30)
+    times = F.floor(F.col("n") * F.least(F.lit(1.0), F.lit(float(sample_rows)) / F.col("all")) + place)
+    weighed = keys.join(broadcast_if_small(sizes), F.col("lang") == F.col("of")).select("lang", "h", "h2", (times / F.col("n")).alias("weight"))
+    chosen = stored(weighed.where("weight > 0"), "sample")
+    return named.join(broadcast_if_small(chosen), ["lang", "h", "h2"]).select("lang", "text", "weight")
+
+
 def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     """A model of the columns text and lang of rows.
 
     At most about sample_rows rows with letters of a language are used, chosen
-    by a hash of text and row number, so that copies are sampled like other
-    rows.  All their words and n-grams are counted in Spark, and what is known
-    of each, some bytes, comes to the driver: its size follows the sample.
+    by a hash of all columns of rows, so that copies are sampled like other
+    rows and the layout decides nothing; a column such as doc_id tells rows of
+    equal text apart.  All their words and n-grams are counted in Spark, and
+    what is known of each, some bytes, comes to the driver: its size follows
+    the sample.  Without rows of a language the model has none.
     """
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    none = np.zeros(0, np.int64)
-    if not sizes:
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    counts = _sampled(rows, sample_rows).mapInPandas(_counts, "lang string, n int, token long, c double")
+    each = counts.groupBy("lang", "n", "token").agg(F.round(F.sum("c")).cast("long").alias("c")).toPandas()
+    if not len(each):
+        none = np.zeros(0, np.int64)
         return LanguageModel.of([], none, none, none.astype(np.uint64), none)
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample_rows / n))])
-    numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    place = F.pmod(F.xxhash64("text", "row"), F.lit(1_000_000))
-    chosen = numbered.where(place < F.element_at(share, F.col("lang")) * 1_000_000).drop("row")
-    counts = chosen.mapInPandas(_counts, "lang string, n int, token long, c long")
-    each = counts.groupBy("lang", "n", "token").agg(F.sum("c").alias("c")).toPandas()
     langs = sorted(each["lang"].unique())
     lang = each["lang"].map({x: j for j, x in enumerate(langs)}).to_numpy(np.int64)
     token = each["token"].to_numpy(np.int64).view(np.uint64)
@@ -241,6 +257,12 @@ def identify(
     return add_text_columns(docs, text, keep, f"`{lang}` string, `{score}` double", lambda: shared.value.scorer())
 
 
+def _learned_from(docs: DataFrame, held: Column, text: str, lang: str, doc_id: str) -> DataFrame:
+    """The rows to learn from; doc_id only tells rows apart when they are sampled."""
+    names = {"text": text, "lang": lang, "doc_id": doc_id}
+    return docs.where(~held).select(*[F.col(f"`{c}`").cast("string").alias(k) for k, c in names.items()])
+
+
 def drop_unknown(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
     """The rows of docs, with their columns, less those for which no language is predicted.
 
@@ -249,7 +271,7 @@ def drop_unknown(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id
     have any name.
     """
     held = F.coalesce(is_held_out(F.col(f"`{doc_id}`").cast("string")), F.lit(False))
-    model = train(docs.where(~held).select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")))
+    model = train(_learned_from(docs, held, text, lang, doc_id))
     if not model.langs:
         return docs
     found, score = free_name(docs, "lang"), free_name(docs, "score")
@@ -270,7 +292,7 @@ def predict_languages(docs: DataFrame, text: str = "text", lang: str = "lang", d
     Returns doc_id, held_out, lang_pred, score.
     """
     held = F.coalesce(is_held_out(doc_id), F.lit(False))
-    model = train(docs.where(~held).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")))
+    model = train(_learned_from(docs, held, text, lang, doc_id))
     rows = identify(docs, model, [doc_id], text)
     return rows.select(
         F.col(doc_id).alias("doc_id"), held.alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score")

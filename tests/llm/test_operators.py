@@ -650,6 +650,26 @@ def test_copies_are_sampled_evenly(spark):
         assert model.langs == ["en"] and known(model, "two") is not None
 
 
+def test_the_sample_of_languages_does_not_follow_the_layout(spark):
+    rng = np.random.default_rng(12)
+    text = lambda s: " ".join("".join(rng.choice(list(s), 4)) for _ in range(6))
+    rows = [(int(i), text("abcd" if i % 2 else "cdef"), "xy"[i % 2]) for i in range(300)]
+    rows += [(7, "dada baba", "x")] * 200 + [(None, "fefe cece", "y")] * 90 + [(8, None, "x"), (None, "", "y")]
+    models = []
+    for layout in (lambda d: d.coalesce(1), lambda d: d.repartition(7), lambda d: d.orderBy(F.desc("text")).repartition(3, "lang")):
+        models.append(langid.train(layout(docs(spark, rows)), sample_rows=60))
+    one = models[0]
+    for other in models[1:]:
+        assert other.langs == one.langs == ["x", "y"]
+        for name in ("tokens", "starts", "lang", "weight"):
+            assert np.array_equal(getattr(other, name), getattr(one, name)), name
+    # repeated rows weigh what their share of the language is, within one row
+    picked = langid._sampled(docs(spark, rows).where("text rlike '[a-z]' and lang is not null"), 60)
+    by = {r["text"]: r["w"] for r in picked.groupBy("text").agg(F.sum("weight").alias("w")).collect()}
+    assert abs(by["dada baba"] - 200 * 60 / 350) <= 1 and abs(by["fefe cece"] - 90 * 60 / 240) <= 1
+    assert 90 < sum(by.values()) < 150
+
+
 def test_runs_of_letters_are_read_whole(spark):
     rng = np.random.default_rng(5)
     run = lambda s, n: "".join(rng.choice(list(s), n))
