@@ -295,6 +295,10 @@ def shape_drift(counts: DataFrame, newest: int = 2, history: int = 8, armed: int
     return out.select("source", "record_type", "recent", "median", verdict.alias("verdict"))
 
 
+#: Families whose findings count from two sessions on, and whose points do not prove a lesson resolved.
+AUTONOMY = ("D-12", "D-13", "D-14", "D-15", "D-16")
+
+
 def resolution_streaks(daily: DataFrame, days: int) -> DataFrame:
     """Islands of consecutive zero days of a lesson, at least `days` long, and the day they were reached.
 
@@ -312,6 +316,32 @@ def resolution_streaks(daily: DataFrame, days: int) -> DataFrame:
     )
 
 
+def resolutions(lessons: DataFrame, points: DataFrame, as_of: str, days: int = 21, window_days: int = 7, without: tuple = AUTONOMY) -> DataFrame:
+    """Applied lessons whose measurements after the application were zero on so many days in a row, and when first.
+
+    lessons has (lesson_id, detector_id, state, applied_at), points
+    (lesson_id, measured_at, window_days, sessions, events).  The last point of
+    a day counts; a day without one breaks a run, as does one that is not zero.
+    Points up to the application, after as_of or of another window do not
+    count, nor lessons whose time of application is null or whose family, the
+    detector before its version, is in `without`.
+
+    Returns lesson_id, detector_id, applied_at, first_zero_at, resolved_at.
+    """
+    family = F.substring_index("detector_id", "@", 1)
+    applied = lessons.where(F.col("state").startswith("applied:") & ~family.isin(*without)).select("lesson_id", "detector_id", "applied_at")
+    ours = points.where((F.col("window_days") == window_days) & (F.col("measured_at") <= F.lit(as_of).cast("timestamp")))
+    after = ours.join(applied, "lesson_id").where(F.col("measured_at") > F.col("applied_at"))
+    keys = ["lesson_id", "detector_id", "applied_at"]
+    last = after.groupBy(*keys, F.to_date("measured_at").alias("day")).agg(F.max(F.struct("measured_at", "sessions", "events")).alias("p"))
+    zero = last.where("p.sessions = 0 and p.events = 0").select(*keys, "day", F.col("p.measured_at").alias("at"))
+    # the zero day so many rows before is as many days before only if none between is missing
+    begins = F.lag(F.struct("day", "at"), days - 1).over(Window.partitionBy("lesson_id").orderBy("day"))
+    runs = zero.withColumn("begin", begins).where(F.col("begin.day") == F.date_sub("day", days - 1))
+    first = runs.groupBy(*keys).agg(F.min(F.struct("at", F.col("begin.at").alias("since"))).alias("r"))
+    return first.select(*keys, F.col("r.since").alias("first_zero_at"), F.col("r.at").alias("resolved_at"))
+
+
 def latest_per_day(measurements: DataFrame) -> DataFrame:
     """The last measurement of each lesson and day; a mirror row overrides the database."""
     order = Window.partitionBy("lesson_id", "day").orderBy(F.desc("mirror"), F.desc("measured_at"))

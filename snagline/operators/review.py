@@ -6,10 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snagline.functions.exprs import VERBS, action_key, in_window
-from snagline.operators.reports import ranked
-
-#: Detectors whose findings count from two sessions on, and those that no lesson follows from.
-AUTONOMY = ("D-12", "D-13", "D-14", "D-15", "D-16")
+from snagline.operators.reports import AUTONOMY, ranked
 
 
 # --- coverage and lanes -------------------------------------------------------------------------

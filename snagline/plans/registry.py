@@ -606,14 +606,7 @@ _LESSONS = f"""ls AS (SELECT lesson_id, ['environment', 'hook', 'wrapper', 'skil
   pt AS (SELECT lesson_id, CAST(day AS TIMESTAMP) + CAST(CAST(substr(lesson_id, 4) AS BIGINT) % 4 AS INTEGER) * INTERVAL 1 HOUR AS tm, sessions, events FROM daily)"""
 
 
-@query(
-    "escalation_ladder",
-    f"""WITH {_DAILY}, {_LESSONS}, x AS (SELECT ls.*, b.tm AS base_at, coalesce(b.sessions, s0) AS sb, coalesce(b.events, e0) AS eb, a.tm AS after_at, a.sessions AS sa, a.events AS ea
-        FROM ls ASOF LEFT JOIN pt b ON b.lesson_id = ls.lesson_id AND b.tm <= ls.t ASOF LEFT JOIN pt a ON a.lesson_id = ls.lesson_id AND a.tm >= ls.t + INTERVAL 21 DAY)
-      SELECT lesson_id, layer, next_layer, {_stamp('base_at')} AS base_at, sb AS sessions_before, eb AS events_before, {_stamp('after_at')} AS measured_at, sa AS sessions, ea AS events
-      FROM x WHERE next_layer IS NOT NULL AND t + INTERVAL 21 DAY <= TIMESTAMP '2024-01-29' AND after_at <= TIMESTAMP '2024-01-29' AND NOT (2 * sa <= sb AND 2 * ea <= eb)""",
-)
-def escalation_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _measured_lessons(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Lessons applied before and within the measured days, some at the strongest layer, some not applied at all."""
     k = F.substring("lesson_id", 4, 9).cast("long")
     daily = _daily(spark, sf_dir)
@@ -622,10 +615,39 @@ def escalation_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     applied = F.when(k % 4 == 0, F.lit("2023-12-20").cast("timestamp")).otherwise(F.lit("2024-01-03 02:00:00").cast("timestamp") + F.make_dt_interval(days=(k % 6).cast("int")))
     state = F.when(k % 5 == 4, "accepted").otherwise(F.concat(F.lit("applied:"), F.get(layers, (k % 7).cast("int"))))
     lessons = daily.select("lesson_id").distinct().select("lesson_id", state.alias("state"), applied.alias("applied_at"), (k % 9).alias("sessions"), (k % 11 * 3).alias("events"))
+    return lessons, points
+
+
+@query(
+    "escalation_ladder",
+    f"""WITH {_DAILY}, {_LESSONS}, x AS (SELECT ls.*, b.tm AS base_at, coalesce(b.sessions, s0) AS sb, coalesce(b.events, e0) AS eb, a.tm AS after_at, a.sessions AS sa, a.events AS ea
+        FROM ls ASOF LEFT JOIN pt b ON b.lesson_id = ls.lesson_id AND b.tm <= ls.t ASOF LEFT JOIN pt a ON a.lesson_id = ls.lesson_id AND a.tm >= ls.t + INTERVAL 21 DAY)
+      SELECT lesson_id, layer, next_layer, {_stamp('base_at')} AS base_at, sb AS sessions_before, eb AS events_before, {_stamp('after_at')} AS measured_at, sa AS sessions, ea AS events
+      FROM x WHERE next_layer IS NOT NULL AND t + INTERVAL 21 DAY <= TIMESTAMP '2024-01-29' AND after_at <= TIMESTAMP '2024-01-29' AND NOT (2 * sa <= sb AND 2 * ea <= eb)""",
+)
+def escalation_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lessons, points = _measured_lessons(spark, sf_dir)
     rows = R.escalations(lessons, points, "2024-01-29")
     return rows.select("lesson_id", "layer", "next_layer", E.stamp("base_at").alias("base_at"), "sessions_before", "events_before", E.stamp("measured_at").alias("measured_at"), "sessions", "events")
 
 
+@query(
+    "lesson_resolutions",
+    f"""WITH {_DAILY}, {_LESSONS}, d AS (SELECT lesson_id, t, CAST(tm AS DATE) AS day, max(tm) AS tm, arg_max(events, tm) AS n FROM pt JOIN ls USING (lesson_id)
+        WHERE tm > t AND tm <= TIMESTAMP '2024-01-29' AND CAST(substr(lesson_id, 4) AS BIGINT) % 6 <> 5 GROUP BY ALL),
+      z AS (SELECT *, day - CAST(row_number() OVER (PARTITION BY lesson_id ORDER BY day) AS INTEGER) AS island FROM d WHERE n = 0),
+      r AS (SELECT *, row_number() OVER w AS place, first_value(tm) OVER w AS since FROM z WINDOW w AS (PARTITION BY lesson_id, island ORDER BY day))
+      SELECT lesson_id, {_stamp('min(t)')} AS applied_at, {_stamp('min(since)')} AS first_zero_at, {_stamp('min(tm)')} AS resolved_at FROM r WHERE place = 2 GROUP BY lesson_id""",
+)
+def lesson_resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lessons of the ladder, those of an autonomy family among them, whose failures were gone for two days."""
+    k = F.substring("lesson_id", 4, 9).cast("long")
+    lessons, points = _measured_lessons(spark, sf_dir)
+    family = F.when(k % 6 == 5, "D-14@2").otherwise("D-01@1")
+    rows = R.resolutions(lessons.withColumn("detector_id", family), points.withColumn("window_days", F.lit(7)), "2024-01-29", 2)
+    return rows.select("lesson_id", *[E.stamp(c).alias(c) for c in ("applied_at", "first_zero_at", "resolved_at")])
+
+
 @query(
     "measurement_latest_per_day",
     f"""WITH {OBS}, m AS (SELECT path AS lesson_id, CAST(ts_utc AS DATE) AS day, obs_id AS measured_at, obs_id % 3 = 0 AS mirror FROM obs)

@@ -87,6 +87,21 @@ def test_streaks_and_escalation(spark):
     assert R.escalations(lessons, points, "2026-02-01").collect() == []
 
 
+def test_resolutions_count_days_after_the_application(spark):
+    at = lambda d, h=0: datetime(2026, 1, 1 + d, h)
+    lessons = [("l", "D-01@1", "applied:hook", at(2, 12)), ("gap", "D-01@1", "applied:hook", at(0)), ("open", "D-01@1", "accepted", at(0)), ("auto", "D-16@3", "applied:hook", at(0)), ("never", "D-01@1", "applied:hook", None)]
+    points = [(x, at(d, 6), 7, 0, 0) for x in ("l", "open", "auto", "never") for d in range(27)]
+    points += [("l", at(4, 9), 7, 0, 1), ("l", at(4, 3), 7, 0, 0)]  # the last point of a day counts
+    points += [("l", at(15, 9), 30, 5, 5)]  # another window
+    points += [("gap", at(d, 6), 7, 0, 0) for d in range(1, 27) if d != 20]
+    lessons = spark.createDataFrame(lessons, "lesson_id string, detector_id string, state string, applied_at timestamp")
+    points = spark.createDataFrame(points, "lesson_id string, measured_at timestamp, window_days int, sessions long, events long")
+    got = R.resolutions(lessons, points, "2026-01-28").collect()
+    assert [(r["lesson_id"], r["first_zero_at"], r["resolved_at"]) for r in got] == [("l", at(5, 6), at(25, 6))]
+    assert R.resolutions(lessons, points, "2026-01-26 05:00:00").count() == 0
+    assert {r["lesson_id"]: r["resolved_at"] for r in R.resolutions(lessons, points, "2026-01-28", 6).collect()} == {"l": at(10, 6), "gap": at(6, 6)}
+
+
 def test_snapshots_keep_review_state(spark):
     old = spark.createDataFrame([("d", "a", 1, 1, "drafted"), ("d", "b", 1, 1, "open"), ("d", "c", 1, 1, "dismissed")], "detector_id string, key string, sessions long, events long, state string")
     new = spark.createDataFrame([("d", "a", 5, 5), ("d", "n", 1, 1)], "detector_id string, key string, sessions long, events long")
