@@ -15,3 +15,49 @@ def test_interventions_read_odd_texts_as_sql_does(spark, tmp_path):
         got = registry.QUERIES[name](spark, str(tmp_path))
         want = duck.sql(registry.ORACLES[name])
         assert sorted(map(tuple, got.collect()), key=repr) == sorted(want.fetchall(), key=repr)
+
+
+def test_phrases_stand_where_a_plain_search_finds_them(spark):
+    import itertools
+    import unicodedata
+
+    from snagline.functions.words import _plain_letters, stem
+    from snagline.operators import detectors as D
+
+    plain = str.maketrans(*_plain_letters())
+
+    def words(text):
+        text = "".join(x for x in text.lower().translate(plain) if unicodedata.category(x) != "Mn")
+        return [stem(w) for w in "".join(x if unicodedata.category(x)[0] in "LN" else " " for x in text).split()]
+
+    parts = ["bin1", "B\u00ceN1", "bin12", "xbin1", "\u0301bin1", "b\u0301in1", "bi\u0301n1\u0301", "host", "hosts", "\u212aey", "keys", "a", "x\u0301", "\u4e2d"]
+    texts = ["".join(t) for t in itertools.product(parts, ["", " ", "-\u0301", "_"], parts)] + ["", None]
+    phrases = ["bin1", "host", "key", "a", "bin1 host", "Keys, hosts", "\u4e2d", "--"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "path long, text string")
+    got = {tuple(r) for r in D.phrase_matches(docs, spark.createDataFrame([(p,) for p in phrases], "phrase string")).collect()}
+    want = set()
+    for (i, text), phrase in itertools.product(enumerate(texts), phrases):
+        t, p = words(text or ""), words(phrase)
+        if p and any(t[k : k + len(p)] == p for k in range(len(t))):
+            want.add((i, phrase))
+    assert got == want
+
+
+def test_hits_of_a_program_meet_its_rules_as_counts(spark):
+    from snagline.operators import detectors as D
+
+    at, long = "2024-01-02 00:00:00", "p" * 240
+    seen = [(i, f"s{i % 3}", "a" if i % 2 else "b") for i in range(9)] + [(i, f"s{i % 2}", "a:x") for i in range(9, 12)] + [(20, None, "a")]
+    obs = spark.createDataFrame(seen, "obs_id long, session_id string, program string").selectExpr(
+        "*", f"timestamp('{at}') + make_interval(0, 0, 0, cast(obs_id as int)) AS ts_utc", "'run_failed' AS kind", "program || ': command not found' AS signature", "'h' AS sig_hash", "'h0' AS host"
+    )
+    # keys cut to one, and a key that two programs give
+    rules = [(long + "1", "a"), (long + "2", "a"), ("x:1", "a"), ("1", "a x"), ("2", "b and a")]
+    docs = spark.createDataFrame(rules, "path string, text string").selectExpr("*", "0 AS stale", f"timestamp('{at}') AS indexed_at")
+    span = D.Span()
+    plain = D.Detector("D-08", 2, "plain", D._stale_rule, None, ("key",), D._silent_hosts)
+    for kind in D.KINDS:
+        got = D.DETECTORS["D-08"].run(kind, span, observation=obs, rule_doc=docs)
+        want = plain.run(kind, span, observation=obs, rule_doc=docs)
+        assert got.columns == want.columns
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
