@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StringType
 
 #: Fixed value: what stands for a fenced text.
 MARKER = "<redacted:content-fence>"
 #: Characters of all fences together; they go to every task.
 MOST_CHARS = 16 << 20
+#: Texts that are Python strings at a time.
+TEXTS = 64
 
 
 class _Folds(dict):
@@ -63,15 +65,19 @@ def without(text: str, automaton: ahocorasick.Automaton) -> str:
     return "".join([*parts, text[at:]])
 
 
+def replaced(texts: pa.Array, automaton: ahocorasick.Automaton) -> pa.Array:
+    return pa.array([t if t is None else without(t, automaton) for t in texts.to_pylist()], texts.type)
+
+
 def fenced(fences: Iterable[str]) -> Callable[[Column], Column]:
     """A column function that replaces fences; a task builds its automaton once, texts come in Arrow batches."""
     names = sorted({f for f in fences if f})
     automaton_of(names)  # refuses too many here, not in a task
 
-    @pandas_udf(StringType())
-    def replace(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @arrow_udf(StringType())
+    def replace(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = automaton_of(names)
         for texts in batches:
-            yield texts if automaton is None else texts.map(lambda t: t if t is None else without(t, automaton))
+            yield texts if automaton is None else pa.concat_arrays([replaced(texts.slice(at, TEXTS), automaton) for at in range(0, len(texts), TEXTS)] or [texts])
 
     return replace

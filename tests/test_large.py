@@ -61,3 +61,16 @@ def test_hits_of_a_program_meet_its_rules_as_counts(spark):
         want = plain.run(kind, span, observation=obs, rule_doc=docs)
         assert got.columns == want.columns
         assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_fences_hold_few_texts_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    from snagline.functions import fences
+
+    seen = []
+    own = fences.replaced
+    monkeypatch.setattr(fences, "replaced", lambda texts, automaton: seen.append(len(texts)) or own(texts, automaton))
+    made = list(fences.fenced(["the"]).func(iter([pa.array(["The x", None, ""] * 100), pa.array([], pa.string())])))
+    assert max(seen) <= fences.TEXTS and sum(seen) == 300
+    assert made[0].to_pylist() == [f"{fences.MARKER} x", None, ""] * 100 and len(made[1]) == 0
