@@ -74,3 +74,13 @@ def test_fences_hold_few_texts_at_a_time(spark, monkeypatch):
     made = list(fences.fenced(["the"]).func(iter([pa.array(["The x", None, ""] * 100), pa.array([], pa.string())])))
     assert max(seen) <= fences.TEXTS and sum(seen) == 300
     assert made[0].to_pylist() == [f"{fences.MARKER} x", None, ""] * 100 and len(made[1]) == 0
+
+
+def test_sessions_are_not_put_together_again(spark):
+    from snagline.sources import transcripts as T
+
+    a = '{"type":"user","message":{"id":"m","content":"go"}}'
+    b = '{"type":"response_item","payload":{"type":"message","role":"user","content":[{"type":"input_text","text":"go"}]}}'
+    lines = lambda said: spark.createDataFrame([(f"/{i}", 0, said) for i in range(9)], "path string, line long, text string")
+    for rows in (T.events_of(T.blocks_a(lines(a))), T.interactions_of(T.blocks_a(lines(a))), T.events_of(T.blocks_b(lines(b)))):
+        assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
