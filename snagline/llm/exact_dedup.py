@@ -184,7 +184,8 @@ def drop_exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "do
     last = F.col(gone_id).eqNullSafe(F.col(keep_id))
     # rows below the group's largest doc_id go here; repeats of the largest itself below
     same = (F.col(own) == F.col(gone_sha)) & F.col(f"`{doc_id}`").eqNullSafe(F.col(gone_id))
-    left = marked.join(gone.where(~last).distinct(), same, "left_anti")
+    # whole texts are dealt once and not sorted, however few rows go, so that disk grows as the input does
+    left = marked.join(gone.where(~last).distinct().hint("shuffle_hash"), same, "left_anti")
     if not gone.where(last).isEmpty():
         left = left.dropDuplicates([doc_id, own])
     return left.drop(own)

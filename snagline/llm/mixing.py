@@ -187,7 +187,8 @@ def mix(
     settled = settled.unionAll(left).select(F.col("row").alias("_row"), F.col("p").alias("_p"))
     p = F.coalesce("_p", "p")
     taken = F.col("whole") * F.col("size") + F.round(p * F.col("size"))
-    return each.join(settled, F.col("row") == F.col("_row"), "left").select(
+    # rows with what they carry are dealt once and not sorted, at every size, so that disk grows as the input does
+    return each.join(settled.hint("shuffle_hash"), F.col("row") == F.col("_row"), "left").select(
         "doc_id",
         "source",
         "size",
