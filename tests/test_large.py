@@ -84,3 +84,10 @@ def test_sessions_are_not_put_together_again(spark):
     lines = lambda said: spark.createDataFrame([(f"/{i}", 0, said) for i in range(9)], "path string, line long, text string")
     for rows in (T.events_of(T.blocks_a(lines(a))), T.interactions_of(T.blocks_a(lines(a))), T.events_of(T.blocks_b(lines(b)))):
         assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_tasks_of_sessions_follow_the_rows(spark):
+    from snagline.operators import detectors as D
+
+    rows = spark.range(90).selectExpr("id AS obs_id", "concat('s', id % 30) AS session_id")
+    assert D.dealt_by_session(rows, 9).rdd.getNumPartitions() == 10
