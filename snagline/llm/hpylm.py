@@ -1,8 +1,8 @@
 """Hierarchical Pitman-Yor language model, trained and applied in shards.
 
-Each word is a dish.  A context restaurant is chosen by the ending of the
-word before (its last two characters, hashed to a fixed number of classes);
-all context restaurants share one parent, whose base is uniform.  Customers sit
+Each word is a dish.  The word before, whole, is the context: each has a
+restaurant of its own, and so has the beginning of a text.  All context
+restaurants share one parent, whose base is uniform.  Customers sit
 at tables, and every table sends one customer to the parent.  Gibbs rounds seat
 all customers of every dish anew: the number of tables is drawn from its
 distribution given the rest, S(c, t) times the weights of t new tables, S being
@@ -13,18 +13,21 @@ round before.  Predictive probabilities are averaged over the last rounds.
 Documents are encoded in chunks with a dictionary of their own.  A chunk asks
 for each of its (context, word) pairs once; the pairs are dealt to shards by
 word, where they are counted over the whole corpus and seated; the answers go
-back to the chunk.  Neither the vocabulary nor the model is ever in one place.
-Between rounds only sums over all shards are gathered: tables by context, and a
-few numbers.  Chance follows word and context, and all sums are of integers, so
-neither the number of shards nor the layout of the input changes a result.
+back to the chunk.  A restaurant has dishes in many shards, so contexts have
+homes: between rounds each shard sends the tables of its contexts to their
+homes, which add them up and send the sums back.  Neither the vocabulary nor the
+model is ever in one place; the driver sees a few numbers.  Chance follows word
+and context, and all sums are of integers, so neither the number of shards nor
+the layout of the input changes a result.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -37,12 +40,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from snagline.llm.common import LOWER_BYTES, shuffle_partitions, slices, stored, text_of
+from snagline.llm.common import LOWER_BYTES, shared_dir, shuffle_partitions, slices, stored, text_of
 from snagline.llm.setlink import mixed
 
-#: Context restaurants; 0 is the one of the first word of a text.
+#: The context of the first word of a text.
+START = 0
+#: Stands for the parent, where chance follows the context.
 CONTEXTS = 1 << 14
-ENDING = 2
 #: A chunk is closed at so many tokens.
 CHUNK_TOKENS = 2_000_000
 STRENGTH, BASE_STRENGTH = 1.0, 1.0
@@ -56,31 +60,26 @@ _END = b""
 
 
 def context_of(word: bytes) -> int:
-    ending = word.decode("utf-8", "surrogatepass")[-ENDING:].encode("utf-8", "surrogatepass")
-    return 1 + xxhash.xxh64_intdigest(ending, 7) % (CONTEXTS - 1)
+    """The restaurant behind a word: the word by 64 bits of hash, as words are told apart."""
+    return max(START + 1, xxhash.xxh64_intdigest(word))
 
 
 def _pack(x: np.ndarray) -> bytes:
-    return zlib.compress(x.tobytes(), 1)
+    """The bytes of the numbers, first bytes first, which compresses what is mostly small."""
+    return zlib.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), 1)
 
 
 def _unpack(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), kind)
+    kind = np.dtype(kind)
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
 
 
-def _added(column: str):
-    """(i, x): the packed sums in a column, added up over all rows of a task, without the zeros."""
+def _pack_rising(x: np.ndarray) -> bytes:
+    return _pack(np.diff(x, prepend=0).astype(np.uint32))
 
-    def added(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(CONTEXTS + 5, np.int64)
-        for batch in batches:
-            for x in batch[column]:
-                own = _unpack(x, np.int64)
-                total[: len(own)] += own
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"i": at, "x": total[at]})
 
-    return added
+def _unpack_rising(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data, np.uint32), dtype=np.int64)
 
 
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,19 +106,19 @@ class _Chunk:
         self.docs.append((doc_id, held_out, len(tokens)))
         self.tokens += len(tokens)
 
-    def encoded(self, shards: int) -> tuple[list[tuple], list[tuple], np.ndarray]:
-        """Rows of documents, rows of pairs by shard, and training tokens by context."""
+    def encoded(self, shards: int) -> tuple[list[tuple], list[tuple]]:
+        """Rows of documents, and rows of pairs by shard."""
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.words), np.uint64, len(self.words))
-        context = np.fromiter((context_of(w) for w in self.words), np.int64, len(self.words))
+        context = np.fromiter((START, *(context_of(w) for w in self.words)), np.uint64, len(self.words) + 1)
         ids = np.concatenate(self.ids)
         sizes = np.array([n for *_, n in self.docs])
         ends = np.cumsum(sizes)
-        before = np.concatenate(([0], context[ids[:-1]]))
+        before = np.concatenate(([0], ids[:-1].astype(np.int64) + 1))
         before[ends - sizes] = 0
         pairs, spot = np.unique((before << 32) | ids, return_inverse=True)
         train = np.repeat(np.array([not held for _, held, _ in self.docs]), sizes)
         counts = np.bincount(spot[train], minlength=len(pairs))
-        word, ctx = hashes[pairs & 0xFFFFFFFF], (pairs >> 32).astype(np.uint16)
+        word, ctx = hashes[pairs & 0xFFFFFFFF], context[pairs >> 32]
         shard = (word % np.uint64(shards)).astype(np.int64)
         order = np.lexsort((ctx, word, shard))
         place = np.empty(len(order), np.int64)
@@ -129,13 +128,14 @@ class _Chunk:
         asked = []
         for name, a, b in zip(there.tolist(), *cuts):
             own, runs = _runs(word[order[a:b]])
-            asked.append((name, own.tobytes(), _pack(runs), _pack(ctx[order[a:b]]), _pack(counts[order[a:b]].astype(np.uint32))))
+            names, u = np.unique(ctx[order[a:b]], return_inverse=True)
+            packed = _pack(names), _pack(u.astype(np.uint32)), _pack(counts[order[a:b]].astype(np.uint32))
+            asked.append((name, own.tobytes(), _pack(runs), *packed))
         docs = []
         for (doc_id, held, n), part in zip(self.docs, np.split(place[spot], ends[:-1])):
             own, times = np.unique(part, return_counts=True)
-            steps = np.diff(own, prepend=0).astype(np.uint32)
-            docs.append((doc_id, held, n, _pack(steps), _pack(times.astype(np.uint32))))
-        return docs, asked, np.bincount(before[train], minlength=CONTEXTS)
+            docs.append((doc_id, held, n, _pack_rising(own), _pack(times.astype(np.uint32))))
+        return docs, asked
 
 
 def _encode(shards: int, out: T.StructType, chunk_tokens: int):
@@ -147,10 +147,9 @@ def _encode(shards: int, out: T.StructType, chunk_tokens: int):
 
         def rows() -> pa.RecordBatch:
             name = (part << 24) + number
-            docs, asked, totals = chunk.encoded(shards)
+            docs, asked = chunk.encoded(shards)
             made = [(name, *d, *[None] * 6) for d in docs]
-            made += [(name, *[None] * 5, *a, None) for a in asked]
-            made.append((name, *[None] * 10, _pack(totals.astype(np.int64))))
+            made += [(name, *[None] * 5, *a) for a in asked]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), kinds)], out.names)
 
         for batch in slices(batches):
@@ -254,23 +253,27 @@ def tables(c: np.ndarray, p: np.ndarray, others: np.ndarray, strength: float, d:
 
 @dataclass
 class Sums:
-    """What all shards add up to after a round: tables by context, customers and tables of the parent."""
+    """What all shards add up to after a round: tables of the contexts at hand, customers and tables of the parent."""
 
-    contexts: np.ndarray
+    contexts: np.ndarray | None
     customers: int
     tables: int
 
 
 @dataclass
 class Model:
-    """Discounts, types of the training tokens, their number by context, and the sums of each round so far."""
+    """Discounts, types of the training tokens, and for the contexts at hand their tokens, the sums of each round so far and their names.
+
+    A context without a name has its number as name.
+    """
 
     d: float
     d0: float
     types: int
-    totals: np.ndarray
+    totals: np.ndarray | None
     rounds: list[Sums]
     seed: int
+    names: np.ndarray | None = None
 
     def parent(self, served: np.ndarray, seated: np.ndarray, at: Sums) -> np.ndarray:
         """The parent's probability of words with so many customers and tables there."""
@@ -280,19 +283,20 @@ class Model:
     def seatings(self, word: np.ndarray, of: np.ndarray, u: np.ndarray, c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For the start and each further round: tables of the dishes, customers and tables of their words in the parent.
 
-        word are hashes, of the word of each dish, u its context, c > 0 its customers.
+        word are hashes, of the word of each dish, u the number of its context, c > 0 its customers.
         """
         t = np.ones(len(c), np.int64)
         served = np.bincount(of, weights=t, minlength=len(word)).astype(np.int64)
         seated = (served > 0).astype(np.int64)
         yield t, served, seated
         live = np.flatnonzero(served)
+        name = u if self.names is None else self.names[u]
         for i, at in enumerate(self.rounds):
             # the dish itself does not count among the rest
             left = 1 - t / served[of]
             new = (BASE_STRENGTH + self.d0 * at.tables) / (self.types + 1)
             p = ((served - self.d0 * seated)[of] * left + new) / (BASE_STRENGTH + at.customers - t)
-            draw = [chance(word[of], u, 8 * (self.seed + 64 * i) + k) for k in (0, 1)]
+            draw = [chance(word[of], name, 8 * (self.seed + 64 * i) + k) for k in (0, 1)]
             t = tables(c, p, at.contexts[u] - t, STRENGTH, self.d, *draw, t)
             served = np.bincount(of, weights=t, minlength=len(word)).astype(np.int64)
             draw = [chance(word[live], CONTEXTS, 8 * (self.seed + 64 * i) + k) for k in (2, 3)]
@@ -304,9 +308,9 @@ class Model:
 
 
 def _pairs(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    """Distinct words of a shard; word, context and training count of its distinct pairs; pair of each asked one."""
+    """Distinct words and contexts of a shard; word, context and training count of its distinct pairs; pair of each asked one."""
     word = np.concatenate([np.repeat(np.frombuffer(w, np.uint64), _unpack(r, np.uint32)) for w, r in zip(rows["words"], rows["runs"])])
-    ctx = np.concatenate([_unpack(x, np.uint16) for x in rows["contexts"]]).astype(np.int64)
+    ctx = np.concatenate([_unpack(n, np.uint64)[_unpack(x, np.uint32)] for n, x in zip(rows["names"], rows["contexts"])])
     train = np.concatenate([_unpack(x, np.uint32) for x in rows["counts"]]).astype(np.int64)
     order = np.lexsort((ctx, word))
     fresh_word = np.concatenate(([True], word[order][1:] != word[order][:-1]))
@@ -314,55 +318,117 @@ def _pairs(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
     pair = np.empty(len(order), np.int64)
     pair[order] = np.cumsum(fresh) - 1
     of = (np.cumsum(fresh_word) - 1)[fresh]
-    u = ctx[order][fresh]
+    names, u = np.unique(ctx[order][fresh], return_inverse=True)
     c = np.bincount(pair, weights=train, minlength=len(u)).astype(np.int64)
-    return word[order][fresh_word], of, u, c, pair
+    return word[order][fresh_word], names, of, u, c, pair
 
 
-_STATE = "shard int, words binary, runs binary, contexts binary, counts binary, sums binary"
+_STATE = "shard int, chunk long, words binary, runs binary, names binary, contexts binary, counts binary, sums array<long>, at binary"
 
 
 def _counted(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """The trained pairs of a shard, with the first sums and the counts of counts of both levels."""
-    word, of, u, c, _ = _pairs(rows)
-    live = np.flatnonzero(c)
-    of, u, c = of[live], u[live], c[live]
-    own, runs = _runs(word[of])
-    sums = [*(int((c == k).sum()) for k in (1, 2)), *(int((runs == k).sum()) for k in (1, 2)), len(own), *np.bincount(u, minlength=CONTEXTS).tolist()]
-    packed = own.tobytes(), _pack(runs), _pack(u.astype(np.uint16)), _pack(c.astype(np.uint32))
-    return pd.DataFrame([(key[0], *packed, _pack(np.array(sums, np.int64)))], columns=["shard", "words", "runs", "contexts", "counts", "sums"])
+    """The pairs of a shard in one row, chunk -1, with its sums; the places of its pairs in a row for each chunk.
+
+    The sums: counts of counts of both levels, trained words, pairs and tokens.
+    """
+    word, names, of, u, c, pair = _pairs(rows)
+    own, runs = _runs(word[of[c > 0]])
+    sums = [*(int((c == k).sum()) for k in (1, 2)), *(int((runs == k).sum()) for k in (1, 2)), len(own), int((c > 0).sum()), int(c.sum())]
+    packed = word.tobytes(), _pack(np.bincount(of).astype(np.uint32)), _pack(names), _pack(u.astype(np.uint32)), _pack(c.astype(np.uint64))
+    out, at = [(key[0], -1, *packed, sums, None)], 0
+    for chunk, runs in zip(rows["chunk"], rows["runs"]):
+        asked = pair[at : at + int(_unpack(runs, np.uint32).sum())]
+        at += len(asked)
+        out.append((key[0], chunk, *[None] * 6, _pack_rising(asked)))
+    return pd.DataFrame(out, columns=[x.split()[0] for x in _STATE.split(", ")])
+
 
+def _by_home(names: np.ndarray, homes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts in the order of their homes; the homes that have some, and where each begins among them."""
+    home = (names % np.uint64(homes)).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    there, first = np.unique(home[order], return_index=True)
+    return order, there, first
 
-def _seated(model: Model):
-    """(i, x): the sums of a task's shards after one round more than the model has sums of."""
 
-    def seated(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(CONTEXTS + 5, np.int64)
+def _loaded(row) -> tuple[np.ndarray, ...]:
+    word = np.frombuffer(row["words"], np.uint64)
+    of = np.repeat(np.arange(len(word)), _unpack(row["runs"], np.uint32))
+    return word, _unpack(row["names"], np.uint64), of, _unpack(row["contexts"], np.uint32).astype(np.int64), _unpack(row["counts"], np.uint64).astype(np.int64)
+
+
+def _sent(homes: int):
+    """(home, shard, names, tokens, tables): the contexts of each shard by their homes, with what the shard has of them at the start."""
+
+    def sent(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for i in range(len(batch)):
-                row = batch.iloc[i]
-                word, runs = np.frombuffer(row["words"], np.uint64), _unpack(row["runs"], np.uint32)
-                of = np.repeat(np.arange(len(word)), runs)
-                u, c = _unpack(row["contexts"], np.uint16).astype(np.int64), _unpack(row["counts"], np.uint32).astype(np.int64)
-                *_, (t, served, own) = model.seatings(word, of, u, c)
-                total[:2] += int(served.sum()), int(own.sum())
-                total[2 : CONTEXTS + 2] += np.bincount(u, weights=t, minlength=CONTEXTS).astype(np.int64)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"i": at, "x": total[at]})
+                _, names, _, u, c = _loaded(batch.iloc[i])
+                order, there, first = _by_home(names, homes)
+                parts = [np.split(x[order], first[1:]) for x in (
+                    names, np.bincount(u, weights=c, minlength=len(names)).astype(np.uint64), np.bincount(u[c > 0], minlength=len(names)).astype(np.uint64),
+                )]
+                rows = [(int(h), batch.iloc[i]["shard"], *map(_pack, x)) for h, *x in zip(there, *parts)]
+                yield pd.DataFrame(rows, columns=["home", "shard", "names", "tokens", "tables"])
+
+    return sent
+
+
+def _housed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """For each shard the places of its contexts among those of the home, with their sums over all shards."""
+    names = [_unpack(x, np.uint64) for x in rows["names"]]
+    _, place = np.unique(np.concatenate(names), return_inverse=True)
+    cuts = np.cumsum([len(x) for x in names])[:-1]
+    sums = []
+    for column in ("tokens", "tables"):
+        own = np.concatenate([_unpack(x, np.uint64) for x in rows[column]])
+        sums.append(np.split(np.bincount(place, weights=own).astype(np.uint64)[place], cuts))
+    out = [(key[0], s, _pack_rising(p), _pack(n), _pack(t)) for s, p, n, t in zip(rows["shard"], np.split(place, cuts), *sums)]
+    return pd.DataFrame(out, columns=["home", "shard", "at", "tokens", "tables"])
+
+
+def _local(model: Model, homes: int, names: np.ndarray, back: pd.DataFrame) -> Model:
+    """The model with the sums of the contexts of a shard, as their homes have sent them back."""
+    order, _, _ = _by_home(names, homes)
+
+    def whole(column: str, rows: pd.DataFrame) -> np.ndarray:
+        out = np.empty(len(names), np.int64)
+        out[order] = np.concatenate([_unpack(x, np.uint64) for x in rows.sort_values("home")[column]])
+        return out
+
+    by = dict(list(back.groupby("round")))
+    rounds = [replace(x, contexts=whole("tables", by[i])) for i, x in enumerate(model.rounds)]
+    return replace(model, totals=whole("tokens", by[0]), rounds=rounds, names=names)
+
+
+def _seated(model: Model, homes: int):
+    """(home, shard, tables, customers, seated): tables of the contexts of a shard after one round more than the model has sums of."""
+
+    def seated(state: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
+        word, names, of, u, c = _loaded(state.iloc[0])
+        live = np.flatnonzero(c)
+        *_, (t, served, own) = _local(model, homes, names, back).seatings(word, of[live], u[live], c[live])
+        order, there, first = _by_home(names, homes)
+        sums = np.bincount(u[live], weights=t, minlength=len(names)).astype(np.uint64)
+        out = [(int(h), state.iloc[0]["shard"], _pack(x), 0, 0) for h, x in zip(there, np.split(sums[order], first[1:]))]
+        out[0] = (*out[0][:3], int(served.sum()), int(own.sum()))
+        return pd.DataFrame(out, columns=["home", "shard", "tables", "customers", "seated"])
 
     return seated
 
 
-def _summed(rows: DataFrame, column: str) -> np.ndarray:
-    """The sums in a column, added within tasks and then over all; as many numbers as it has places."""
-    return _gathered(rows.select(column).mapInPandas(_added(column), "i long, x long"))
+def _added(number: int):
+    """The tables of each context added up over all shards, for each shard that has it."""
 
+    def added(places: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
+        rows = places.merge(sent, on=["home", "shard"])
+        place = [_unpack_rising(x) for x in rows["at"]]
+        own = np.concatenate([_unpack(x, np.uint64) for x in rows["tables"]])
+        sums = np.bincount(np.concatenate(place), weights=own).astype(np.uint64)
+        rows["tables"] = [_pack(sums[x]) for x in place]
+        return rows.assign(round=number, tokens=None)[["round", "home", "shard", "tokens", "tables", "customers", "seated"]]
 
-def _gathered(sums: DataFrame) -> np.ndarray:
-    by = sums.groupBy("i").agg(F.sum("x").alias("x")).toPandas()
-    out = np.zeros(CONTEXTS + 5, np.int64)
-    out[by["i"].to_numpy(np.int64)] = by["x"].to_numpy(np.int64)
-    return out
+    return added
 
 
 def predictions(model: Model, word: np.ndarray, of: np.ndarray, u: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -371,7 +437,7 @@ def predictions(model: Model, word: np.ndarray, of: np.ndarray, u: np.ndarray, c
     model.rounds has the sums of the start and of every round.
     """
     live = np.flatnonzero(c)
-    before = Model(model.d, model.d0, model.types, model.totals, model.rounds[:-1], model.seed)
+    before = replace(model, rounds=model.rounds[:-1])
     p, n = np.zeros(len(u)), min(SAMPLES, len(model.rounds) - 1)
     for i, (t, served, seated) in enumerate(before.seatings(word, of[live], u[live], c[live])):
         if i >= len(model.rounds) - n:
@@ -382,21 +448,27 @@ def predictions(model: Model, word: np.ndarray, of: np.ndarray, u: np.ndarray, c
     return p
 
 
-def _answered(model: Model):
-    def answered(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        word, of, u, c, pair = _pairs(rows)
-        p = np.log10(predictions(model, word, of, u, c)).astype(np.float32)
+def _answered(model: Model, homes: int):
+    def answered(state: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
+        word, names, of, u, c = _loaded(state[state["chunk"] < 0].iloc[0])
+        p = np.log10(predictions(_local(model, homes, names, back), word, of, u, c)).astype(np.float32)
         count = np.bincount(of, weights=c, minlength=len(word)).astype(np.int64)[of]
-        out, at = [], 0
-        for chunk, runs in zip(rows["chunk"], rows["runs"]):
-            own = pair[at : at + int(_unpack(runs, np.uint32).sum())]
-            at += len(own)
-            out.append((chunk, key[0], _pack(p[own]), _pack(count[own])))
+        asked = state[state["chunk"] >= 0]
+        out = [(chunk, shard, _pack(p[own]), _pack(count[own])) for chunk, shard, own in zip(asked["chunk"], asked["shard"], map(_unpack_rising, asked["at"]))]
         return pd.DataFrame(out, columns=["chunk", "shard", "logs", "count"])
 
     return answered
 
 
+def _kept(df: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
+    """Writes df to the shared folder in buckets of a key and reads it back, so that it meets others on that key where it lies."""
+    spark, table = df.sparkSession, f"snagline_{name}_{uuid.uuid4().hex}"
+    df.write.option("path", f"{shared_dir(spark)}/{table}").bucketBy(buckets, by).format("parquet").saveAsTable(table)
+    read = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the files stay
+    return read
+
+
 def _scored(types: int, n_train: int):
     def scored(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         answers = answers.sort_values("shard")
@@ -405,7 +477,7 @@ def _scored(types: int, n_train: int):
         base = np.log10((count + 0.1) / (n_train + 0.1 * (types + 1)))
         out = []
         for steps, times in zip(docs["steps"], docs["times"]):
-            at, n = np.cumsum(_unpack(steps, np.uint32)), _unpack(times, np.uint32).astype(float)
+            at, n = _unpack_rising(steps), _unpack(times, np.uint32).astype(float)
             out.append((int(n[count[at] > 0].sum()), n_train, float(base[at] @ n), float(logp[at] @ n)))
         made = pd.DataFrame(out, columns=["n_known", "train_tokens", "base_score", "score"])
         kept = docs[["_id", "held_out", "n_tokens"]].reset_index(drop=True)
@@ -432,26 +504,38 @@ def score_documents(
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 10 == 0, F.lit(False))
     rows = docs.select(F.col(doc_id).alias("_id"), held.alias("held_out"), text_of(text).alias("text"))
-    added = "held_out boolean, n_tokens long, steps binary, times binary, shard int, words binary, runs binary, contexts binary, counts binary, totals binary"
+    added = "held_out boolean, n_tokens long, steps binary, times binary, shard int, words binary, runs binary, names binary, contexts binary, counts binary"
     out = T.StructType(
         [T.StructField("chunk", T.LongType()), T.StructField("_id", rows.schema["_id"].dataType), *T.StructType.fromDDL(added).fields]
     )
     shards = shuffle_partitions(spark)
     encoded = stored(rows.mapInArrow(_encode(shards, out, chunk_tokens), out), "encoded")
-    totals = _summed(encoded.where("totals is not null"), "totals")[:CONTEXTS]  # a fixed number of contexts, so a fixed size
-    asked = encoded.where("shard is not null").select("chunk", "shard", "words", "runs", "contexts", "counts")
-    state = stored(asked.groupBy("shard").applyInPandas(_counted, _STATE), "state")
-    first = _summed(state, "sums")
-    types, contexts = int(first[4]), first[5:]
-    model = Model(discount_of(*first[:2]), discount_of(*first[2:4]), types, totals, [Sums(contexts, int(contexts.sum()), types)], seed)
-    for _ in range(ROUNDS):
-        sums = _gathered(state.select("words", "runs", "contexts", "counts").mapInPandas(_seated(model), "i long, x long"))
-        model.rounds.append(Sums(sums[2 : CONTEXTS + 2], int(sums[0]), int(sums[1])))
-    answers = asked.groupBy("shard").applyInPandas(_answered(model), "chunk long, shard int, logs binary, count binary")
+    asked = encoded.where("shard is not null").select("chunk", "shard", "words", "runs", "names", "contexts", "counts")
+    state = _kept(asked.groupBy("shard").applyInPandas(_counted, _STATE), "state", "shard", shards)
+    pairs = state.where("chunk < 0").select("shard", "words", "runs", "names", "contexts", "counts")
+    first = state.where("chunk < 0").agg(*[F.coalesce(F.sum(F.col("sums")[i]), F.lit(0)) for i in range(7)]).first()
+    sent = pairs.mapInPandas(_sent(shards), "home int, shard int, names binary, tokens binary, tables binary")
+    homes = _kept(sent.groupBy("home").applyInPandas(_housed, "home int, shard int, at binary, tokens binary, tables binary"), "homes", "home", shards)
+    places = homes.select("home", "shard", "at").groupBy("home")
+    model = Model(discount_of(*first[:2]), discount_of(*first[2:4]), first[4], None, [Sums(None, first[5], first[4])], seed)
+    back = homes.select(F.lit(0).alias("round"), "home", "shard", "tokens", "tables")
+    for i in range(1, ROUNDS + 1):
+        seated = pairs.groupBy("shard").cogroup(back.groupBy("shard")).applyInPandas(
+            _seated(model, shards), "home int, shard int, tables binary, customers long, seated long"
+        )
+        added = stored(places.cogroup(seated.groupBy("home")).applyInPandas(
+            _added(i), "round int, home int, shard int, tokens binary, tables binary, customers long, seated long"
+        ), "round")
+        numbers = added.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("customers", "seated")]).first()
+        model = replace(model, rounds=[*model.rounds, Sums(None, *numbers)])
+        back = back.unionByName(added.drop("customers", "seated"))
+    answers = state.groupBy("shard").cogroup(back.groupBy("shard")).applyInPandas(
+        _answered(model, shards), "chunk long, shard int, logs binary, count binary"
+    )
     kind = rows.schema["_id"].dataType.simpleString()
     whole = encoded.where("n_tokens is not null").select("chunk", "_id", "held_out", "n_tokens", "steps", "times").groupBy("chunk")
     scored = whole.cogroup(answers.groupBy("chunk")).applyInPandas(
-        _scored(types, int(totals.sum())),
+        _scored(first[4], first[6]),
         f"_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
     return scored.withColumnRenamed("_id", doc_id)

@@ -1051,6 +1051,17 @@ def test_scores_against_single_moves(spark):
     assert np.abs(mine / want - 1).max() < 0.03 and abs(mine.sum() / want.sum() - 1) < 0.01
 
 
+def test_each_word_is_a_context_of_its_own(spark):
+    words = [f"{i}aab".encode() for i in range(30_000)]
+    assert len({hpylm.context_of(w) for w in words} | {0}) == len(words) + 1
+    ids = iter(range(50_000))
+    train = [(next(x for x in ids if zlib.crc32(str(x).encode()) % 10), "xaab p " * 20 + "yaab q " * 20) for _ in range(20)]
+    held = [(next(x for x in ids if zlib.crc32(str(x).encode()) % 10 == 0), text * 20) for text in ("xaab p ", "xaab q ")]
+    got = {r["doc_id"]: r["score"] for r in hpylm.score_documents(docs(spark, train + held)).collect()}
+    # p stands behind xaab every time and q never, though both contexts end alike
+    assert got[held[0][0]] - got[held[1][0]] > 20
+
+
 def test_scores_do_not_follow_the_layout(spark):
     rows = [(i, prose(i, 60, 50)) for i in range(60)]
     df, several = docs(spark, rows), []
