@@ -13,7 +13,8 @@ round before.  Predictive probabilities are averaged over the last rounds.
 Documents are encoded in chunks with a dictionary of their own.  A chunk asks
 for each of its (context, word) pairs once; the pairs are dealt to shards by
 word, where they are counted over the whole corpus and seated; the answers go
-back to the chunk.  A restaurant has dishes in many shards, so contexts have
+back to the chunk.  Documents go along, dealt by chunk, so that one shuffle brings
+both where they stay and what the chunks ask is not written a second time.  A restaurant has dishes in many shards, so contexts have
 homes: between rounds each shard sends the tables of its contexts to their
 homes, which add them up and send the sums back.  Neither the vocabulary nor the
 model is ever in one place; the driver sees a few numbers.  Chance follows word
@@ -65,8 +66,11 @@ def context_of(word: bytes) -> int:
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """The bytes of the numbers, first bytes first, which compresses what is mostly small."""
-    return zlib.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), 1)
+    """The bytes of the numbers, first bytes first, each place with codes of its own, which compresses what is mostly small."""
+    packer, out = zlib.compressobj(1, strategy=zlib.Z_RLE), []
+    for place in np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T:
+        out += packer.compress(place.tobytes()), packer.flush(zlib.Z_BLOCK)
+    return b"".join([*out, packer.flush()])
 
 
 def _unpack(data: bytes, kind) -> np.ndarray:
@@ -82,6 +86,15 @@ def _unpack_rising(data: bytes) -> np.ndarray:
     return np.cumsum(_unpack(data, np.uint32), dtype=np.int64)
 
 
+def _pack_hashes(x: np.ndarray, step: int = 1) -> bytes:
+    """Rising hashes by what each adds to the one before; with a step the rest of dividing by it, which all share, is left out."""
+    return _pack(np.diff(x // np.uint64(step), prepend=np.uint64(0)))
+
+
+def _unpack_hashes(data: bytes, step: int = 1, rest: int = 0) -> np.ndarray:
+    return np.cumsum(_unpack(data, np.uint64), dtype=np.uint64) * np.uint64(step) + np.uint64(rest)
+
+
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Values of a sorted array and how often each occurs."""
     first = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
@@ -129,8 +142,8 @@ class _Chunk:
         for name, a, b in zip(there.tolist(), *cuts):
             own, runs = _runs(word[order[a:b]])
             names, u = np.unique(ctx[order[a:b]], return_inverse=True)
-            packed = _pack(names), _pack(u.astype(np.uint32)), _pack(counts[order[a:b]].astype(np.uint32))
-            asked.append((name, own.tobytes(), _pack(runs), *packed))
+            packed = _pack_hashes(names), _pack(u.astype(np.uint32)), _pack(counts[order[a:b]].astype(np.uint32))
+            asked.append((name, _pack_hashes(own, shards), _pack(runs), *packed))
         docs = []
         for (doc_id, held, n), part in zip(self.docs, np.split(place[spot], ends[:-1])):
             own, times = np.unique(part, return_counts=True)
@@ -138,6 +151,11 @@ class _Chunk:
         return docs, asked
 
 
+def _key(chunk):
+    """What documents of a chunk have in the place of a shard."""
+    return -1 - chunk
+
+
 def _encode(shards: int, out: T.StructType, chunk_tokens: int):
     kinds = [to_arrow_type(f.dataType) for f in out.fields]
 
@@ -148,8 +166,8 @@ def _encode(shards: int, out: T.StructType, chunk_tokens: int):
         def rows() -> pa.RecordBatch:
             name = (part << 24) + number
             docs, asked = chunk.encoded(shards)
-            made = [(name, *d, *[None] * 6) for d in docs]
-            made += [(name, *[None] * 5, *a) for a in asked]
+            made = [(_key(name), name, *d, *[None] * 5) for d in docs]
+            made += [(shard, name, *[None] * 5, *a) for shard, *a in asked]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), kinds)], out.names)
 
         for batch in slices(batches):
@@ -307,10 +325,11 @@ class Model:
             yield t, served, seated
 
 
-def _pairs(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
+def _pairs(rows: pd.DataFrame, shards: int) -> tuple[np.ndarray, ...]:
     """Distinct words and contexts of a shard; word, context and training count of its distinct pairs; pair of each asked one."""
-    word = np.concatenate([np.repeat(np.frombuffer(w, np.uint64), _unpack(r, np.uint32)) for w, r in zip(rows["words"], rows["runs"])])
-    ctx = np.concatenate([_unpack(n, np.uint64)[_unpack(x, np.uint32)] for n, x in zip(rows["names"], rows["contexts"])])
+    words = [_unpack_hashes(w, shards, s) for w, s in zip(rows["words"], rows["shard"])]
+    word = np.concatenate([np.repeat(w, _unpack(r, np.uint32)) for w, r in zip(words, rows["runs"])])
+    ctx = np.concatenate([_unpack_hashes(n)[_unpack(x, np.uint32)] for n, x in zip(rows["names"], rows["contexts"])])
     train = np.concatenate([_unpack(x, np.uint32) for x in rows["counts"]]).astype(np.int64)
     order = np.lexsort((ctx, word))
     fresh_word = np.concatenate(([True], word[order][1:] != word[order][:-1]))
@@ -323,24 +342,39 @@ def _pairs(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
     return word[order][fresh_word], names, of, u, c, pair
 
 
-_STATE = "shard int, chunk long, words binary, runs binary, names binary, contexts binary, counts binary, sums array<long>, at binary"
-
-
-def _counted(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+def _counted(rows: pd.DataFrame, shards: int) -> list[dict]:
     """The pairs of a shard in one row, chunk -1, with its sums; the places of its pairs in a row for each chunk.
 
     The sums: counts of counts of both levels, trained words, pairs and tokens.
     """
-    word, names, of, u, c, pair = _pairs(rows)
+    word, names, of, u, c, pair = _pairs(rows, shards)
+    shard = int(rows["shard"].iloc[0])
     own, runs = _runs(word[of[c > 0]])
     sums = [*(int((c == k).sum()) for k in (1, 2)), *(int((runs == k).sum()) for k in (1, 2)), len(own), int((c > 0).sum()), int(c.sum())]
-    packed = word.tobytes(), _pack(np.bincount(of).astype(np.uint32)), _pack(names), _pack(u.astype(np.uint32)), _pack(c.astype(np.uint64))
-    out, at = [(key[0], -1, *packed, sums, None)], 0
+    packed = {
+        "words": _pack_hashes(word, shards), "runs": _pack(np.bincount(of).astype(np.uint32)), "names": _pack_hashes(names),
+        "contexts": _pack(u.astype(np.uint32)), "counts": _pack(c.astype(np.uint64)),
+    }
+    out, at = [{"shard": shard, "chunk": -1, **packed, "sums": sums}], 0
     for chunk, runs in zip(rows["chunk"], rows["runs"]):
         asked = pair[at : at + int(_unpack(runs, np.uint32).sum())]
         at += len(asked)
-        out.append((key[0], chunk, *[None] * 6, _pack_rising(asked)))
-    return pd.DataFrame(out, columns=[x.split()[0] for x in _STATE.split(", ")])
+        out.append({"shard": shard, "chunk": chunk, "at": _pack_rising(asked)})
+    return out
+
+
+def _settled(shards: int, out: T.StructType):
+    """Shards are counted; documents of a chunk stay as they are."""
+    schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in out.fields])
+
+    def settled(key: tuple, rows: pa.Table) -> pa.Table:
+        if key[0].as_py() >= 0:
+            asked = rows.select(["shard", "chunk", "words", "runs", "names", "contexts", "counts"])
+            return pa.Table.from_pylist(_counted(asked.to_pandas(), shards), schema)
+        none = lambda f: pa.nulls(rows.num_rows, f.type)
+        return pa.Table.from_arrays([rows[f.name] if f.name in rows.column_names else none(f) for f in schema], schema=schema)
+
+    return settled
 
 
 def _by_home(names: np.ndarray, homes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -351,10 +385,10 @@ def _by_home(names: np.ndarray, homes: int) -> tuple[np.ndarray, np.ndarray, np.
     return order, there, first
 
 
-def _loaded(row) -> tuple[np.ndarray, ...]:
-    word = np.frombuffer(row["words"], np.uint64)
+def _loaded(row, shards: int) -> tuple[np.ndarray, ...]:
+    word = _unpack_hashes(row["words"], shards, row["shard"])
     of = np.repeat(np.arange(len(word)), _unpack(row["runs"], np.uint32))
-    return word, _unpack(row["names"], np.uint64), of, _unpack(row["contexts"], np.uint32).astype(np.int64), _unpack(row["counts"], np.uint64).astype(np.int64)
+    return word, _unpack_hashes(row["names"]), of, _unpack(row["contexts"], np.uint32).astype(np.int64), _unpack(row["counts"], np.uint64).astype(np.int64)
 
 
 def _sent(homes: int):
@@ -363,12 +397,13 @@ def _sent(homes: int):
     def sent(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for i in range(len(batch)):
-                _, names, _, u, c = _loaded(batch.iloc[i])
+                _, names, _, u, c = _loaded(batch.iloc[i], homes)
                 order, there, first = _by_home(names, homes)
                 parts = [np.split(x[order], first[1:]) for x in (
-                    names, np.bincount(u, weights=c, minlength=len(names)).astype(np.uint64), np.bincount(u[c > 0], minlength=len(names)).astype(np.uint64),
+                    np.bincount(u, weights=c, minlength=len(names)).astype(np.uint64), np.bincount(u[c > 0], minlength=len(names)).astype(np.uint64),
                 )]
-                rows = [(int(h), batch.iloc[i]["shard"], *map(_pack, x)) for h, *x in zip(there, *parts)]
+                own = [_pack_hashes(x, homes) for x in np.split(names[order], first[1:])]
+                rows = [(int(h), batch.iloc[i]["shard"], n, *map(_pack, x)) for h, n, *x in zip(there, own, *parts)]
                 yield pd.DataFrame(rows, columns=["home", "shard", "names", "tokens", "tables"])
 
     return sent
@@ -376,7 +411,8 @@ def _sent(homes: int):
 
 def _housed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """For each shard the places of its contexts among those of the home, with their sums over all shards."""
-    names = [_unpack(x, np.uint64) for x in rows["names"]]
+    # what all names of a home leave when divided is left out, which tells none apart
+    names = [_unpack_hashes(x) for x in rows["names"]]
     _, place = np.unique(np.concatenate(names), return_inverse=True)
     cuts = np.cumsum([len(x) for x in names])[:-1]
     sums = []
@@ -405,7 +441,7 @@ def _seated(model: Model, homes: int):
     """(home, shard, tables, customers, seated): tables of the contexts of a shard after one round more than the model has sums of."""
 
     def seated(state: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
-        word, names, of, u, c = _loaded(state.iloc[0])
+        word, names, of, u, c = _loaded(state.iloc[0], homes)
         live = np.flatnonzero(c)
         *_, (t, served, own) = _local(model, homes, names, back).seatings(word, of[live], u[live], c[live])
         order, there, first = _by_home(names, homes)
@@ -450,12 +486,12 @@ def predictions(model: Model, word: np.ndarray, of: np.ndarray, u: np.ndarray, c
 
 def _answered(model: Model, homes: int):
     def answered(state: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
-        word, names, of, u, c = _loaded(state[state["chunk"] < 0].iloc[0])
+        word, names, of, u, c = _loaded(state[state["chunk"] < 0].iloc[0], homes)
         p = np.log10(predictions(_local(model, homes, names, back), word, of, u, c)).astype(np.float32)
         count = np.bincount(of, weights=c, minlength=len(word)).astype(np.int64)[of]
         asked = state[state["chunk"] >= 0]
-        out = [(chunk, shard, _pack(p[own]), _pack(count[own])) for chunk, shard, own in zip(asked["chunk"], asked["shard"], map(_unpack_rising, asked["at"]))]
-        return pd.DataFrame(out, columns=["chunk", "shard", "logs", "count"])
+        out = [(_key(chunk), shard, _pack(p[own]), _pack(count[own])) for chunk, shard, own in zip(asked["chunk"], asked["shard"], map(_unpack_rising, asked["at"]))]
+        return pd.DataFrame(out, columns=["key", "shard", "logs", "count"])
 
     return answered
 
@@ -504,37 +540,37 @@ def score_documents(
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 10 == 0, F.lit(False))
     rows = docs.select(F.col(doc_id).alias("_id"), held.alias("held_out"), text_of(text).alias("text"))
-    added = "held_out boolean, n_tokens long, steps binary, times binary, shard int, words binary, runs binary, names binary, contexts binary, counts binary"
-    out = T.StructType(
-        [T.StructField("chunk", T.LongType()), T.StructField("_id", rows.schema["_id"].dataType), *T.StructType.fromDDL(added).fields]
-    )
+    own = [T.StructField("shard", T.LongType()), T.StructField("chunk", T.LongType()), T.StructField("_id", rows.schema["_id"].dataType)]
+    fields = "held_out boolean, n_tokens long, steps binary, times binary, words binary, runs binary, names binary, contexts binary, counts binary"
+    out = T.StructType([*own, *T.StructType.fromDDL(fields).fields])
+    kept = T.StructType([*out.fields, *T.StructType.fromDDL("sums array<long>, at binary").fields])
     shards = shuffle_partitions(spark)
-    encoded = stored(rows.mapInArrow(_encode(shards, out, chunk_tokens), out), "encoded")
-    asked = encoded.where("shard is not null").select("chunk", "shard", "words", "runs", "names", "contexts", "counts")
-    state = _kept(asked.groupBy("shard").applyInPandas(_counted, _STATE), "state", "shard", shards)
+    encoded = rows.mapInArrow(_encode(shards, out, chunk_tokens), out)
+    settled = _kept(encoded.groupBy("shard").applyInArrow(_settled(shards, kept), kept), "settled", "shard", shards)
+    state = settled.where("shard >= 0").select("shard", "chunk", "words", "runs", "names", "contexts", "counts", "sums", "at")
     pairs = state.where("chunk < 0").select("shard", "words", "runs", "names", "contexts", "counts")
     first = state.where("chunk < 0").agg(*[F.coalesce(F.sum(F.col("sums")[i]), F.lit(0)) for i in range(7)]).first()
-    sent = pairs.mapInPandas(_sent(shards), "home int, shard int, names binary, tokens binary, tables binary")
-    homes = _kept(sent.groupBy("home").applyInPandas(_housed, "home int, shard int, at binary, tokens binary, tables binary"), "homes", "home", shards)
+    sent = pairs.mapInPandas(_sent(shards), "home int, shard long, names binary, tokens binary, tables binary")
+    homes = _kept(sent.groupBy("home").applyInPandas(_housed, "home int, shard long, at binary, tokens binary, tables binary"), "homes", "home", shards)
     places = homes.select("home", "shard", "at").groupBy("home")
     model = Model(discount_of(*first[:2]), discount_of(*first[2:4]), first[4], None, [Sums(None, first[5], first[4])], seed)
     back = homes.select(F.lit(0).alias("round"), "home", "shard", "tokens", "tables")
     for i in range(1, ROUNDS + 1):
         seated = pairs.groupBy("shard").cogroup(back.groupBy("shard")).applyInPandas(
-            _seated(model, shards), "home int, shard int, tables binary, customers long, seated long"
+            _seated(model, shards), "home int, shard long, tables binary, customers long, seated long"
         )
         added = stored(places.cogroup(seated.groupBy("home")).applyInPandas(
-            _added(i), "round int, home int, shard int, tokens binary, tables binary, customers long, seated long"
+            _added(i), "round int, home int, shard long, tokens binary, tables binary, customers long, seated long"
         ), "round")
         numbers = added.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("customers", "seated")]).first()
         model = replace(model, rounds=[*model.rounds, Sums(None, *numbers)])
         back = back.unionByName(added.drop("customers", "seated"))
     answers = state.groupBy("shard").cogroup(back.groupBy("shard")).applyInPandas(
-        _answered(model, shards), "chunk long, shard int, logs binary, count binary"
+        _answered(model, shards), "key long, shard long, logs binary, count binary"
     )
     kind = rows.schema["_id"].dataType.simpleString()
-    whole = encoded.where("n_tokens is not null").select("chunk", "_id", "held_out", "n_tokens", "steps", "times").groupBy("chunk")
-    scored = whole.cogroup(answers.groupBy("chunk")).applyInPandas(
+    whole = settled.where("shard < 0").select("shard", "_id", "held_out", "n_tokens", "steps", "times").groupBy("shard")
+    scored = whole.cogroup(answers.groupBy("key")).applyInPandas(
         _scored(first[4], first[6]),
         f"_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 from html.parser import HTMLParser
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from snagline.llm import decontaminate, exact_dedup, hpylm, html, langid, licenses, lines, mixing, neardup, secrets, simhash
+from snagline.llm.common import shared_dir, shuffle_partitions
 from snagline.llm.components import connected_components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -1074,6 +1076,30 @@ def test_scores_do_not_follow_the_layout(spark):
     assert several[0] == pytest.approx(several[1], abs=1e-9) and several[0] == pytest.approx(several[2], abs=1e-9)
 
 
+def test_what_chunks_ask_is_written_once(spark):
+    folder = Path(shared_dir(spark))
+    before = set(folder.iterdir())
+    rows = [(i, prose(i, 60, 50)) for i in range(60)]
+    scored = hpylm.score_documents(docs(spark, rows).repartition(3), chunk_tokens=500)
+    stored = [spark.read.parquet(str(f)) for f in set(folder.iterdir()) - before if any(f.glob("*.parquet"))]
+    assert len(stored) == 2 + hpylm.ROUNDS
+    # words stay by shard, and not by chunk
+    assert sum(x.where("words is not null").count() for x in stored if "words" in x.columns) == shuffle_partitions(spark)
+    # only answers and sums of contexts travel to the documents, which lie by chunk
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert scored.count() == len(rows)
+
+
+def test_hashes_are_packed_whole():
+    rng = np.random.default_rng(3)
+    for n, step in ((0, 1), (1, 7), (5000, 1), (5000, 211)):
+        x = np.unique(np.append(rng.integers(0, (1 << 64) - 1, n, np.uint64), np.array([0, (1 << 64) - 1] if n > 1 else [], np.uint64)))
+        x = x[x % np.uint64(step) == x[0] % np.uint64(step)] if n else x
+        got = hpylm._unpack_hashes(hpylm._pack_hashes(x, step), step, int(x[0] % np.uint64(step)) if n else 0)
+        assert got.dtype == np.uint64 and (got == x).all() and len(got) == len(x)
+
+
 def test_predictions_sum_to_one():
     """In every context the probabilities of all words and of an unknown one sum to 1."""
     rng = np.random.default_rng(4)
