@@ -86,6 +86,23 @@ def test_sessions_are_not_put_together_again(spark):
         assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_tasks_of_transcripts_follow_the_lines(spark, tmp_path, monkeypatch):
+    from snagline.sources import transcripts as T
+
+    lines = spark.range(90).selectExpr("'/a' AS path", "id AS line", "'no record' AS text")
+    assert T.parts_of(lines, 9) == 10 and T.parts_of(lines) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert T.parts_of(spark.range(1000), 1) == T.UNHELD_PARTS
+    monkeypatch.setattr(T.parts_of, "__defaults__", (7,))
+    kind = "element_at(array('view', 'error', 'click', 'signup'), cast(id % 4 + 1 AS int)) AS event_type"
+    spark.range(40).selectExpr("id AS event_id", "id % 5 AS user_id", kind, "timestamp('2024-01-02 00:00:00') AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    # 80 lines, and one more for each of five files of the second shape
+    for name, tasks in (("transcript_events_a", 12), ("transcript_events_b", 13), ("transcript_interactions", 12)):
+        got = registry.QUERIES[name](spark, str(tmp_path))
+        assert got.rdd.getNumPartitions() == tasks
+        want = duckdb.sql(registry.ORACLES[name].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")).fetchall()
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_tasks_of_sessions_follow_the_rows(spark):
     from snagline.operators import detectors as D
 
