@@ -108,3 +108,24 @@ def test_tasks_of_sessions_follow_the_rows(spark):
 
     rows = spark.range(90).selectExpr("id AS obs_id", "concat('s', id % 30) AS session_id")
     assert D.dealt_by_session(rows, 9).rdd.getNumPartitions() == 10
+
+
+def test_pairs_of_keys_and_sessions_are_whole_and_a_file_of_them_small(spark, tmp_path, monkeypatch):
+    from snagline.operators import detectors as D
+
+    keys = spark.range(24_000).selectExpr("'a' AS program", "concat(repeat('k', 60), id) AS key").unionAll(spark.sql("SELECT 'b', 'x' UNION ALL SELECT 'c', 'y'"))
+    sessions = spark.range(200).selectExpr("'a' AS program", "concat('s', id) AS session_id").unionAll(spark.sql("SELECT 'b', null UNION ALL SELECT 'd', 's'"))
+    D._shared_sessions(sessions, keys).write.parquet(f"{tmp_path}/pairs")
+    got = spark.read.parquet(f"{tmp_path}/pairs")
+    assert got.count() == got.distinct().count() == 24_000 * 200 + 1
+    assert got.where("key = 'x' AND session_id IS NULL").count() == 1
+    assert sum(p.stat().st_size for p in tmp_path.glob("pairs/*.parquet")) < 0.4 * 24_000 * 200
+    # blocks and runs of any size give the same pairs, and tasks follow them
+    few = keys.where("key < concat(repeat('k', 60), '12') or program <> 'a'")
+    want = sorted(map(tuple, few.join(sessions, "program").select("key", "session_id").collect()), key=repr)
+    for name, size in (("KEYS", 100), ("SESSIONS", 30), ("RUN", 7), ("TASK_PAIRS", 10_000)):
+        monkeypatch.setattr(D, name, size)
+    small = D._shared_sessions(sessions, few)
+    assert small.rdd.getNumPartitions() >= len(want) // 10_000
+    assert sorted(map(tuple, small.collect()), key=repr) == want
+    assert D._shared_sessions(sessions.limit(0), few).count() == 0
