@@ -13,14 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snagline.llm.common import add_text_columns, distinct, stored, texts_of
-from snagline.llm.setlink import band_keys, id_filter, mixed, passes, similar_components
-from snagline.llm.simhash import signed
+from snagline.llm.setlink import band_keys, id_filter, mixed, passing, similar_components
 
 #: Characters of a shingle; bands and rows of a signature.
 CHARS, BANDS, ROWS = 5, 14, 6
 SIMILAR = 0.8
 #: Characters whose shingles are hashed at a time.
-BLOCK_CHARS = 300_000
+BLOCK_CHARS = 150_000
 #: Lines that a task remembers as seen.
 SEEN = 1_000_000
 _WHITE = " \t\n\r\x0b\x0c"
@@ -30,12 +29,11 @@ def stripped_lines(text: str) -> list[str]:
     return [line.strip(_WHITE) for line in text.split("\n")]
 
 
-def line_id(line: str) -> tuple[int, int]:
-    """128 bits, as two signed numbers; zeros for a blank line, which is never a duplicate."""
-    if not line:
-        return 0, 0
-    whole = xxhash.xxh3_128_intdigest(line.encode("utf-8", "surrogatepass"))
-    return signed(whole >> 64), signed(whole & 0xFFFFFFFFFFFFFFFF)
+def line_ids(lines: list[str]) -> np.ndarray:
+    """128 bits of each line, as two signed numbers; zeros for a blank line, which is never a duplicate."""
+    digest = xxhash.xxh3_128_digest
+    whole = b"".join([digest(line.encode("utf-8", "surrogatepass")) if line else bytes(16) for line in lines])
+    return np.frombuffer(whole, ">i8").astype(np.int64).reshape(-1, 2)
 
 
 def shingles(lines: list[str], chars: int = CHARS) -> tuple[np.ndarray, np.ndarray]:
@@ -43,21 +41,24 @@ def shingles(lines: list[str], chars: int = CHARS) -> tuple[np.ndarray, np.ndarr
 
     A line shorter than a shingle is padded to one.  Lines must not be empty.
     """
-    padded = [line if len(line) >= chars else line.ljust(chars, "\0") for line in lines]
-    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    lengths = np.fromiter(map(len, padded), np.int64, len(padded))
-    n = len(codes) - chars + 1
-    rolling = np.zeros(max(n, 0), np.uint64)
-    for i in range(chars):
-        rolling = rolling * np.uint64(0x100000001B3) + codes[i : i + n]
-    starts = np.cumsum(lengths) - lengths
-    owner = np.repeat(np.arange(len(lines)), lengths)[: len(rolling)]
-    inside = np.arange(len(rolling)) <= (starts + lengths - chars)[owner]
-    return mixed(rolling[inside]), owner[inside]
+    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+    if len(lines) and lengths.min() < chars:
+        lines = [line.ljust(chars, "\0") for line in lines]
+        lengths = np.maximum(lengths, chars)
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = max(len(codes) - chars + 1, 0)
+    rolling = codes[:n].copy()
+    for i in range(1, chars):
+        rolling *= np.uint64(0x100000001B3)
+        rolling += codes[i : i + n]
+    # the last places of a line begin shingles that reach into the next one
+    inside = np.ones(len(codes), bool)
+    inside[(np.cumsum(lengths)[:, None] - np.arange(1, chars)).ravel()] = False
+    return mixed(rolling[inside[:n]]), np.repeat(np.arange(len(lines)), lengths - chars + 1)
 
 
 def _ids():
-    return lambda text: tuple(zip(*[line_id(line) for line in stripped_lines(text)]))
+    return lambda text: tuple(line_ids(stripped_lines(text)).T)
 
 
 def _signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,8 +77,9 @@ def _signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
     for batch in batches:
         for text in texts_of(batch.column(0)):
-            for line in stripped_lines(text or ""):
-                if line and (i := line_id(line)[0]) not in seen:
+            lines = stripped_lines(text or "")
+            for line, i in zip(lines, line_ids(lines)[:, 0].tolist()):
+                if line and i not in seen:
                     if len(seen) > SEEN:
                         seen.clear()
                     seen.add(i)
@@ -98,10 +100,12 @@ def _sets(wanted: Broadcast):
             if len(seen) > SEEN:
                 seen.clear()
             new: dict[int, tuple] = {}
-            for line in stripped_lines(text):
-                i, i2 = line_id(line)
-                if line and passes(wanted.value, i) and i not in seen:
-                    new[i] = (i2, line.encode("utf-8", "surrogatepass"))
+            lines = stripped_lines(text)
+            ids = line_ids(lines)
+            for at in np.flatnonzero(passing(wanted.value, ids[:, 0])).tolist():
+                i, line = int(ids[at, 0]), lines[at]
+                if line and i not in seen:
+                    new[i] = (int(ids[at, 1]), line.encode("utf-8", "surrogatepass"))
             seen.update(new)
             return list(new), [i2 for i2, _ in new.values()], [line for _, line in new.values()]
 
@@ -110,12 +114,13 @@ def _sets(wanted: Broadcast):
     return maker
 
 
-def line_sets(items: pd.Series) -> list[np.ndarray]:
-    """The sorted distinct shingles of each line, from its UTF-8 bytes."""
+def line_sets(items: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of all lines, from their UTF-8 bytes, as number << 32 | value in one sorted array, and their counts."""
     values, owner = shingles([x.decode("utf-8", "surrogatepass") for x in items])
-    cells = distinct((owner.astype(np.uint64) << np.uint64(32)) | (values >> np.uint64(32)))
-    cuts = np.searchsorted(cells >> np.uint64(32), np.arange(1, len(items), dtype=np.uint64))
-    return [x.astype(np.uint32) for x in np.split(cells, cuts)]
+    values >>= np.uint64(32)
+    values |= owner.astype(np.uint64) << np.uint64(32)
+    cells = distinct(values)
+    return cells, np.bincount((cells >> np.uint64(32)).view(np.int64), minlength=len(items))
 
 
 def duplicate_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar: float = SIMILAR) -> DataFrame:

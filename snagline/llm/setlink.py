@@ -31,6 +31,8 @@ PACKED_KEYS, HOT_SHARDS = 4_000_000, 64
 FILTER_BITS = 1 << 27
 #: Values looked up at a time, and bytes of items whose groups are compared together.
 PAIR_VALUES, BLOCK_BYTES = 2_000_000, 4_000_000
+#: Steps after which a group of so many members goes on by bits, if they take so many bytes at most; bytes made at a time.
+FEW_STEPS, DENSE, DENSE_BYTES, MADE_BYTES = 3, 24, 32 << 20, 4 << 20
 Signatures = Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Times that a small set is hashed anew for its empty bins.
@@ -39,35 +41,50 @@ REHASHED = 12
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (shift, xor, multiply)."""
-    x = x ^ (x >> np.uint64(32))
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(32)
-    return x
+    y = x >> np.uint64(32)
+    y ^= x
+    y *= np.uint64(0xD6E8FEB86659FD93)
+    shifted = y >> np.uint64(29)
+    y ^= shifted
+    y *= np.uint64(0x94D049BB133111EB)
+    np.right_shift(y, np.uint64(32), out=shifted)
+    y ^= shifted
+    return y
 
 
 def band_keys(values: np.ndarray, owner: np.ndarray, n: int, bands: int, rows: int) -> np.ndarray:
     """(n, bands) keys of n sets; values are scrambled hashes, owner (ascending) their set."""
     bins = bands * rows
 
-    def least(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-        cell = (values >> np.uint64(40)) * np.uint64(bins) >> np.uint64(24)
-        full = np.full(n * bins, _EMPTY)
-        np.minimum.at(full, owner * bins + cell.astype(np.int64), values)
-        return full.reshape(n, bins)
+    def cells(values: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        cell = values >> np.uint64(40)
+        cell *= np.uint64(bins)
+        cell >>= np.uint64(24)
+        cell = cell.view(np.int64)
+        cell += owner * bins
+        return cell
 
-    sig = least(values, owner, n)
+    flat = np.full(n * bins, _EMPTY)
+    np.minimum.at(flat, cells(values, owner), values)
     # empty bins of a set of few values are filled by hashing it anew, a few times
-    few = np.bincount(owner, minlength=n) < 4 * bins
+    empty = flat == _EMPTY
+    left = np.flatnonzero(empty)
+    left = left[(np.bincount(owner, minlength=n) < 4 * bins)[left // bins]]
     for again in range(1, REHASHED + 1):
-        few &= (sig == _EMPTY).any(axis=1)
-        if not few.any():
+        if not len(left):
             break
+        few = np.zeros(n, bool)
+        few[left // bins] = True
         own = few[owner]
-        number = np.cumsum(few) - 1
-        more = least(mixed(values[own] + np.uint64(again)), number[owner[own]], int(few.sum()))
-        sig[few] = np.where(sig[few] == _EMPTY, more, sig[few])
+        values, owner = values[own], owner[own]
+        more = mixed(values + np.uint64(again))
+        at = cells(more, owner)
+        asked = empty[at]
+        np.minimum.at(flat, at[asked], more[asked])
+        filled = flat[left] != _EMPTY
+        empty[left[filled]] = False
+        left = left[~filled]
+    sig = flat.reshape(n, bins)
     # what is empty still takes the value of the next full bin, scrambled by the distance
     full, step = sig.copy(), 1
     row, column = np.nonzero(full == _EMPTY)
@@ -121,9 +138,16 @@ def packed_sets(items: pd.Series) -> list[np.ndarray]:
 
 
 class _Cells:
-    """The values of many sets in one sorted array, for comparing many pairs at once."""
+    """The values of many sets in one sorted array, for comparing many pairs at once.
 
-    def __init__(self, sets: list[np.ndarray]):
+    sets are arrays, or already one array of number << 32 | value, and the sizes.
+    """
+
+    def __init__(self, sets: list[np.ndarray] | tuple[np.ndarray, np.ndarray]):
+        if isinstance(sets, tuple):
+            self.cells, self.size = sets
+            self.start = np.cumsum(self.size) - self.size
+            return
         self.size = np.fromiter(map(len, sets), np.int64, len(sets))
         self.start = np.cumsum(self.size) - self.size
         number = np.repeat(np.arange(len(sets), dtype=np.uint64), self.size)
@@ -147,27 +171,87 @@ class _Cells:
     def _reach(self, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
         size = self.size[a]
         pair = np.repeat(np.arange(len(a)), size)
-        place = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size) + self.start[a][pair]
-        wanted = (self.cells[place] & np.uint64(0xFFFFFFFF)) | (b[pair].astype(np.uint64) << np.uint64(32))
+        place = np.arange(len(pair)) + np.repeat(self.start[a] - np.cumsum(size) + size, size)
+        wanted = self.cells[place]
+        wanted &= np.uint64(0xFFFFFFFF)
+        wanted |= np.repeat(b.astype(np.uint64) << np.uint64(32), size)
         at = np.minimum(np.searchsorted(self.cells, wanted), len(self.cells) - 1)
         both = np.bincount(pair[self.cells[at] == wanted], minlength=len(a))
         return both >= least * (size + self.size[b] - both) - 1e-9
 
 
+def _common_bits(sets: _Cells, members: np.ndarray) -> np.ndarray | None:
+    """A row of bits for each member, of the values that two members or more have; None where they take too much."""
+    size = sets.size[members]
+    owner = np.repeat(np.arange(len(members)), size)
+    values = sets.cells[np.arange(len(owner)) + np.repeat(sets.start[members] - np.cumsum(size) + size, size)].astype(np.uint32)
+    order = np.argsort(values)
+    values, owner = values[order], owner[order]
+    fresh = np.append(True, values[1:] != values[:-1])
+    shared = ~(fresh & np.append(fresh[1:], True))
+    fresh &= shared
+    width = -(-int(fresh.sum()) // 64) * 8
+    if width * len(members) > DENSE_BYTES:
+        return None
+    owner, column = owner[shared], (np.cumsum(fresh) - 1)[shared]
+    step = max(1, MADE_BYTES // max(1, 8 * width))
+    if step < len(members):
+        by = np.argsort(owner, kind="stable")
+        owner, column = owner[by], column[by]
+    bits = np.zeros((len(members), width), np.uint8)
+    for at in range(0, len(members), step):
+        some = slice(*np.searchsorted(owner, (at, at + step))) if step < len(members) else slice(None)
+        made = np.zeros((min(step, len(members) - at), 8 * width), bool)
+        made[owner[some] - at, column[some]] = True
+        bits[at : at + step] = np.packbits(made, axis=1)
+    return bits.view(np.uint64)
+
+
+def _dense_pairs(sets: _Cells, members: np.ndarray, reached: np.ndarray, least: float) -> list[np.ndarray] | None:
+    """What linked_pairs has still to find for one group, whose sets meet in few words of bits instead of value by value."""
+    bits, size = _common_bits(sets, members), sets.size[members]
+    if bits is None:
+        return None
+    edges, queue, rest = [], np.flatnonzero(reached).tolist(), np.flatnonzero(~reached)
+    while len(rest):
+        if not queue:
+            queue, rest = [rest[0]], rest[1:]
+        now = queue.pop()
+        both = np.bitwise_count(bits[rest] & bits[now]).sum(axis=1, dtype=np.int64)
+        small, large = np.minimum(size[rest], size[now]), np.maximum(size[rest], size[now])
+        ok = (small >= least * large) & (both >= least * (small + large - both) - 1e-9)
+        hit, rest = rest[ok], rest[~ok]
+        edges.append(np.stack((np.full(len(hit), now), hit), axis=1))
+        queue.extend(hit.tolist())
+    return edges
+
+
 def linked_pairs(group: np.ndarray, number: np.ndarray, cells: _Cells, least: float) -> np.ndarray:
     """Edges (place, place) that connect, in each group, what its similar sets connect.
 
     group is ascending, number the set of each place.  In each step every group
-    compares one member that it has reached with all that it has not.
+    compares one member that it has reached with all that it has not; groups
+    that are large after a few steps go on by the bits of values that several
+    members have.
     """
-    place, reached, edges = np.arange(len(group)), np.zeros(len(group), bool), []
+    place, reached, edges, step = np.arange(len(group)), np.zeros(len(group), bool), [], 0
     while len(place):
         # a group whose members are all reached is done; one without reached members takes its first
         order = np.lexsort((~reached, group[place]))
         place, reached = place[order], reached[order]
         g = group[place]
         first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(g))))
+        n = np.diff(np.append(first, len(g)))
+        if step == FEW_STEPS and (n >= DENSE).any():
+            stays = np.ones(len(place), bool)
+            for at, end in zip(first[n >= DENSE].tolist(), (first + n)[n >= DENSE].tolist()):
+                found = _dense_pairs(cells, number[place[at:end]], reached[at:end], least)
+                if found is not None:
+                    edges += [place[at:end][x] for x in found]
+                    stays[at:end] = False
+            place, reached, step = place[stays], reached[stays], step + 1
+            continue
+        of = np.repeat(np.arange(len(first)), n)
         now = place[first][of]
         reached[first] = True
         asked = np.flatnonzero(~reached)
@@ -179,7 +263,7 @@ def linked_pairs(group: np.ndarray, number: np.ndarray, cells: _Cells, least: fl
         open_groups[of[~reached]] = True
         stays = open_groups[of]
         stays[first] = False
-        place, reached = place[stays], reached[stays]
+        place, reached, step = place[stays], reached[stays], step + 1
     return np.concatenate(edges) if edges else np.empty((0, 2), np.int64)
 
 
@@ -255,6 +339,19 @@ def _edges(tasks: DataFrame, sets_of, least: float, radius: int | None, sets_fro
     return stored(found.select(node("a").alias("a"), node("b").alias("b")), "links")
 
 
+def _sorted_pairs(bucket: np.ndarray, id: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs by bucket, then id; most buckets have one member, so only the others are sorted by both."""
+    order = np.argsort(bucket)
+    same = bucket[order[1:]] == bucket[order[:-1]]
+    tied = np.flatnonzero(np.append(same, False) | np.append(False, same)) if len(order) else order
+    rest = order[tied]
+    order[tied] = rest[np.lexsort((id[rest], bucket[rest]))]
+    bucket, id = bucket[order], id[order]
+    fresh = np.ones(len(bucket), bool)
+    fresh[1:] = (bucket[1:] != bucket[:-1]) | (id[1:] != id[:-1])
+    return bucket[fresh], id[fresh]
+
+
 def _packed(shards: int, hot: int):
     """Rows (shard, buckets, ids, split) of the keys of a task, each pair once.
 
@@ -267,12 +364,7 @@ def _packed(shards: int, hot: int):
         size = 0
 
         def rows() -> pa.RecordBatch:
-            bucket, id = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((id, bucket))
-            bucket, id = bucket[order], id[order]
-            fresh = np.ones(len(bucket), bool)
-            fresh[1:] = (bucket[1:] != bucket[:-1]) | (id[1:] != id[:-1])
-            bucket, id = bucket[fresh], id[fresh]
+            bucket, id = _sorted_pairs(*(np.concatenate(x) for x in zip(*held)))
             first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
             n = np.diff(np.append(first, len(bucket)))
             many = np.repeat(n >= hot, n)
@@ -309,24 +401,22 @@ def _packed(shards: int, hot: int):
 def _shared(chunk: int):
     """Rows (bucket, split, ids) for the buckets of a shard that have two members, or are split."""
 
-    def shared(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        whole = lambda c: np.frombuffer(b"".join(rows[c]), np.uint64)
-        bucket, id, split = whole("buckets"), whole("ids"), np.unique(whole("split"))
-        order = np.lexsort((id, bucket))
-        bucket, id = bucket[order], id[order]
-        fresh = np.ones(len(bucket), bool)
-        fresh[1:] = (bucket[1:] != bucket[:-1]) | (id[1:] != id[:-1])
-        bucket, id = bucket[fresh], id[fresh]
+    def shared(key: tuple, rows: pa.Table) -> pa.Table:
+        whole = lambda c: np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint64)
+        bucket, id = _sorted_pairs(whole("buckets"), whole("ids"))
         first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
         n = np.diff(np.append(first, len(bucket)))
-        of = np.isin(bucket[first], split)
-        out = []
-        for at, size, apart in zip(first[(n > 1) | of].tolist(), n[(n > 1) | of].tolist(), of[(n > 1) | of].tolist()):
-            members = id[at : at + size].view(np.int64)
-            name = int(bucket[at : at + 1].view(np.int64)[0])
-            for part in np.array_split(members, -(-size // chunk)):
-                out.append((name, apart or size > chunk, part))
-        return pd.DataFrame(out, columns=["bucket", "split", "ids"])
+        of = np.isin(bucket[first], np.unique(whole("split")))
+        kept = (n > 1) | of
+        members = id[np.repeat(kept, n)]
+        name, n, of = bucket[first[kept]], n[kept], of[kept]
+        # a bucket in as many parts as it takes, of about the same size
+        parts = -(-n // chunk)
+        place = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        size = np.repeat(n // parts, parts) + (place < np.repeat(n % parts, parts))
+        ends = np.append(0, np.cumsum(size)).astype(np.int32)
+        columns = np.repeat(name, parts).view(np.int64), np.repeat(of | (n > chunk), parts)
+        return pa.table([*map(pa.array, columns), pa.ListArray.from_arrays(pa.array(ends), pa.array(members.view(np.int64)))], ["bucket", "split", "ids"])
 
     return shared
 
@@ -343,7 +433,7 @@ def bucket_members(keys: DataFrame, chunk: int = CHUNK, signatures: Signatures |
     pack = _packed(shards, chunk)
     run = pack if signatures is None else lambda batches: pack(signatures(batches))
     packed = keys.mapInArrow(run, "shard long, buckets binary, ids binary, split binary")
-    return packed.groupBy("shard").applyInPandas(_shared(chunk), "bucket long, split boolean, ids array<long>")
+    return packed.groupBy("shard").applyInArrow(_shared(chunk), "bucket long, split boolean, ids array<long>")
 
 
 def id_filter(ids: DataFrame, bits: int = FILTER_BITS) -> Broadcast:
@@ -362,6 +452,12 @@ def passes(bitmap: np.ndarray, id: int) -> bool:
     return bool(bitmap[low >> 3] >> (low & 7) & 1)
 
 
+def passing(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which of the ids may be in the set, as passes tells of one."""
+    low = ids & (len(bitmap) * 8 - 1)
+    return (bitmap[low >> 3] >> (low & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def similar_components(
     keys: DataFrame, sets_of, least: float, radius: int | None = None, chunk: int = CHUNK, sets_from=packed_sets, *, signatures: Signatures | None = None
 ) -> DataFrame:
@@ -370,7 +466,7 @@ def similar_components(
     keys has (id, keys array<long>), repeats of an id allowed, or what
     signatures makes that of, batch by batch.  sets_of(ids) gives (id, id2, items, fp) for the ids of a DataFrame, and perhaps for
     others, once each: id and id2 are 128 bits of the set, items are bytes of
-    which sets_from makes its sorted distinct values, fp a SimHash.  With a
+    which sets_from makes its sorted distinct values (or the cells of all sets, without a radius), fp a SimHash.  With a
     radius the Gray-order index proposes the pairs of a bucket that are compared
     first; then, or without one, all pairs that are not connected yet are
     compared.

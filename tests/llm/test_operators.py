@@ -156,6 +156,37 @@ def test_simhash_components(spark, split_at, monkeypatch):
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
 
 
+def test_large_groups_are_connected_by_bits_as_by_values(monkeypatch):
+    from snagline.llm import setlink
+
+    rng = np.random.default_rng(2)
+    base = [np.unique(rng.integers(0, 2**32, 300, dtype=np.uint32)) for _ in range(9)]
+    sets = [np.unique(np.where(rng.random(len(x)) < rng.choice([0.02, 0.1, 0.13]), rng.integers(0, 2**32, len(x), dtype=np.uint32), x)) for x in (base[rng.integers(9)] for _ in range(400))]
+    sets += [base[0][:250], base[0][:239], base[1][:1], base[0]]
+    number, group = np.concatenate((np.arange(404), np.arange(30), [3, 3])), np.repeat([0, 1, 2], [404, 30, 2])
+    cells, values = setlink._Cells(sets), []
+    own = setlink._Cells.similar
+    monkeypatch.setattr(setlink._Cells, "similar", lambda self, a, b, least: values.append(len(a)) or own(self, a, b, least))
+
+    def roots():
+        found = simhash.Forest(len(group))
+        edges = setlink.linked_pairs(group, number, cells, 0.8)
+        assert all(group[i] == group[j] and setlink._similar(sets[number[i]], sets[number[j]], 0.8) for i, j in edges.tolist())
+        found.add(edges[:, 0], edges[:, 1])
+        return found.root.tolist()
+
+    got = roots()
+    assert sum(values) < 4 * len(group)
+    monkeypatch.setattr(setlink, "MADE_BYTES", 3000)
+    assert roots() == got
+    monkeypatch.setattr(setlink, "DENSE_BYTES", 0)
+    assert roots() == got and sum(values) > 20 * len(group)
+    want = simhash.Forest(len(group))
+    pairs = np.array([(i, j) for i in range(len(group)) for j in range(i) if group[i] == group[j] and setlink._similar(sets[number[i]], sets[number[j]], 0.8)])
+    want.add(pairs[:, 0], pairs[:, 1])
+    assert want.root.tolist() == got
+
+
 def test_linked_pairs_connect_what_brute_force_connects():
     import pandas as pd
 
